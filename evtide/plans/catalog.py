@@ -459,3 +459,285 @@ FROM c_typed WHERE session_id IS NOT NULL GROUP BY session_id"""))
 def q_sessions(spark, sf_dir):
     t = _t(spark, sf_dir)
     return metrics.sessions(t.events)
+
+
+# ====================================================================== step 5
+# Command batches are derived from other driver tables; they only supply rows
+# in the command schema. The mutation logic runs on them unchanged.
+from evtide.operators import mutations  # noqa: E402
+from evtide.sources.driver_tables import read_driver  # noqa: E402
+
+RETENTION_CUTOFF = "2024-01-15 00:00:00"
+
+
+def ingest_records(spark, sf_dir) -> DataFrame:
+    """Order rows as ingest records (user, type name, optional time, JSON)."""
+    o = read_driver(spark, sf_dir, "orders")
+    return o.select(
+        (F.col("o_custkey") * 2).alias("user_id"),
+        F.when(F.col("o_orderstatus") == "F", "purchase")
+        .when(F.col("o_orderstatus") == "O", "view").otherwise("pending").alias("event_type"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None))
+        .otherwise(F.col("o_orderdate")).cast("timestamp_ntz").alias("timestamp"),
+        F.concat(F.lit('{"page":"/orders","product_id":'), F.col("o_orderkey").cast("string"),
+                 F.lit("}")).alias("metadata"))
+
+
+INGEST_SQL = f"""
+rec AS (
+  SELECT o_custkey * 2 AS user_id,
+         CASE o_orderstatus WHEN 'F' THEN 'purchase' WHEN 'O' THEN 'view' ELSE 'pending' END
+           AS event_type,
+         CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS "timestamp",
+         '{{"page":"/orders","product_id":' || CAST(o_orderkey AS VARCHAR) || '}}' AS metadata
+  FROM orders),
+chk AS (
+  SELECT r.*, t.id AS type_id, u.id AS known_user,
+    CASE WHEN r.user_id IS NULL THEN 'missing_user_id'
+         WHEN r.event_type IS NULL THEN 'missing_event_type'
+         WHEN t.id IS NULL THEN 'unknown_event_type'
+         WHEN u.id IS NULL THEN 'unknown_user' END AS reason
+  FROM rec r LEFT JOIN c_event_types t ON t.name = r.event_type
+  LEFT JOIN c_users u ON u.id = r.user_id)"""
+
+
+def _ingest(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.ingest_events(ingest_records(spark, sf_dir), t.users, t.event_types,
+                                   as_of=AS_OF, events=t.events)
+
+
+@register("ingest_accepted", sql(f"""
+SELECT user_id, type_id AS event_type_id, metadata,
+       coalesce("timestamp", {tsl(AS_OF)}) AS "timestamp"
+FROM chk WHERE reason IS NULL""", INGEST_SQL))
+def q_ingest_accepted(spark, sf_dir):
+    return _ingest(spark, sf_dir).table.select("user_id", "event_type_id", "metadata",
+                                               "timestamp")
+
+
+@register("ingest_ids", sql("""
+SELECT count(*) AS n, (SELECT max(id) FROM c_events) + 1 AS min_id,
+       (SELECT max(id) FROM c_events) + count(*) AS max_id, count(*) AS distinct_ids
+FROM chk WHERE reason IS NULL""", INGEST_SQL))
+def q_ingest_ids(spark, sf_dir):
+    return _ingest(spark, sf_dir).table.agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
+        F.max("id").alias("max_id"), F.countDistinct("id").alias("distinct_ids"))
+
+
+@register("ingest_rejects", sql(
+    'SELECT user_id, event_type, "timestamp", metadata, reason FROM chk '
+    'WHERE reason IS NOT NULL', INGEST_SQL))
+def q_ingest_rejects(spark, sf_dir):
+    return _ingest(spark, sf_dir).report.drop("seq")
+
+
+def event_updates(spark, sf_dir) -> DataFrame:
+    o = read_driver(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("event_id"),
+        F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 99)
+        .cast("int").alias("event_type_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('{"page":"/checkout"}'))
+        .alias("metadata"))
+
+
+UPDATE_SQL = """
+upd AS (
+  SELECT o_orderkey AS event_id,
+         CAST(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 99 END AS INTEGER)
+           AS event_type_id,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN '{"page":"/checkout"}' END AS metadata
+  FROM orders),
+chk AS (
+  SELECT u.*, CASE WHEN e.id IS NULL THEN 'not_found'
+                   WHEN u.event_type_id IS NOT NULL AND t.id IS NULL THEN 'unknown_event_type'
+                   ELSE 'updated' END AS status
+  FROM upd u LEFT JOIN c_events e ON e.id = u.event_id
+  LEFT JOIN c_event_types t ON t.id = u.event_type_id)"""
+
+
+def _update(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.update_events(t.events, event_updates(spark, sf_dir), t.event_types)
+
+
+@register("update_events", sql("""
+SELECT e.id, e.user_id, coalesce(g.event_type_id, e.event_type_id) AS event_type_id,
+       coalesce(g.metadata, e.metadata) AS metadata, e."timestamp"
+FROM c_events e LEFT JOIN (SELECT * FROM chk WHERE status = 'updated') g
+  ON g.event_id = e.id""", UPDATE_SQL))
+def q_update_events(spark, sf_dir):
+    return _update(spark, sf_dir).table
+
+
+@register("update_status", sql("""
+SELECT c.event_id, c.status, r.user_id, r.event_type_id, r.metadata, r."timestamp",
+       r.event_type
+FROM chk c LEFT JOIN (
+  SELECT g.event_id, e.user_id, coalesce(g.event_type_id, e.event_type_id) AS event_type_id,
+         coalesce(g.metadata, e.metadata) AS metadata, e."timestamp",
+         coalesce(t.name, '') AS event_type
+  FROM chk g JOIN c_events e ON e.id = g.event_id
+  LEFT JOIN c_event_types t ON t.id = coalesce(g.event_type_id, e.event_type_id)
+  WHERE g.status = 'updated') r
+ON r.event_id = c.event_id AND c.status = 'updated'""", UPDATE_SQL))
+def q_update_status(spark, sf_dir):
+    return _update(spark, sf_dir).report.drop("seq")
+
+
+def user_renames(spark, sf_dir) -> DataFrame:
+    s = read_driver(spark, sf_dir, "supplier")
+    return s.select(
+        (F.col("s_suppkey") * 15).alias("id"),
+        F.when(F.col("s_nationkey") % 3 == 0, F.lit(None))
+        .when(F.col("s_nationkey") % 3 == 1,
+              F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")))
+        .otherwise(F.col("s_name")).alias("name"))
+
+
+RENAME_SQL = """
+ren AS (
+  SELECT s_suppkey * 15 AS id,
+         CASE s_nationkey % 3 WHEN 0 THEN NULL
+              WHEN 1 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
+              ELSE s_name END AS name
+  FROM supplier),
+st AS (
+  SELECT r.id, r.name,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM c_users u WHERE u.id = r.id) THEN 'not_found'
+         WHEN r.name IS NULL THEN 'ok'
+         WHEN EXISTS (SELECT 1 FROM c_users u WHERE u.name = r.name AND u.id <> r.id)
+           THEN 'name_exists'
+         ELSE 'ok' END AS status
+  FROM ren r)"""
+
+
+def _rename(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.rename(t.users, user_renames(spark, sf_dir))
+
+
+@register("rename_status", sql("SELECT id, name, status FROM st", RENAME_SQL))
+def q_rename_status(spark, sf_dir):
+    return _rename(spark, sf_dir).report.drop("seq")
+
+
+@register("rename_users", sql("""
+SELECT u.id, coalesce(s.name, u.name) AS name, u.created_at
+FROM c_users u LEFT JOIN (SELECT * FROM st WHERE status = 'ok' AND name IS NOT NULL) s
+  ON s.id = u.id""", RENAME_SQL))
+def q_rename_users(spark, sf_dir):
+    return _rename(spark, sf_dir).table
+
+
+def _debtors(spark, sf_dir) -> DataFrame:
+    return read_driver(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").alias("id"))
+
+
+@register("delete_cascade_events", sql(
+    "SELECT * FROM c_events WHERE user_id NOT IN "
+    "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"))
+def q_delete_cascade_events(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.delete_users_cascade(t.users, t.events, _debtors(spark, sf_dir))[1]
+
+
+@register("delete_cascade_users", sql(
+    "SELECT * FROM c_users WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"))
+def q_delete_cascade_users(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.delete_users_cascade(t.users, t.events, _debtors(spark, sf_dir))[0]
+
+
+def _fulfilled(spark, sf_dir) -> DataFrame:
+    return read_driver(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("id"))
+
+
+@register("delete_events_kept", sql(
+    "SELECT * FROM c_events WHERE id NOT IN "
+    "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"))
+def q_delete_events_kept(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.delete_by_id(t.events, _fulfilled(spark, sf_dir)).table
+
+
+@register("delete_events_missing", sql(
+    "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' "
+    "AND o_orderkey NOT IN (SELECT id FROM c_events)"))
+def q_delete_events_missing(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.delete_by_id(t.events, _fulfilled(spark, sf_dir)).report
+
+
+@register("delete_type_cascade", sql(
+    "SELECT * FROM c_events WHERE event_type_id NOT IN "
+    "(SELECT id FROM c_event_types WHERE name = 'error')"))
+def q_delete_type_cascade(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ids = t.event_types.filter(F.col("name") == "error").select("id")
+    return mutations.delete_types_cascade(t.event_types, t.events, ids)[1]
+
+
+@register("retention_keep", sql(
+    f'SELECT * FROM c_events WHERE "timestamp" >= {tsl(RETENTION_CUTOFF)}'))
+def q_retention_keep(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.retention(t.events, RETENTION_CUTOFF).table
+
+
+@register("retention_count", sql(
+    f'SELECT count(*) AS deleted, {tsl(RETENTION_CUTOFF)} AS cutoff FROM c_events '
+    f'WHERE "timestamp" < {tsl(RETENTION_CUTOFF)}'))
+def q_retention_count(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return mutations.retention(t.events, RETENTION_CUTOFF).report
+
+
+def new_user_names(spark, sf_dir) -> DataFrame:
+    s = read_driver(spark, sf_dir, "supplier")
+    first = s.select(F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")))
+        .alias("name"))
+    again = s.filter(F.col("s_nationkey") < 5).select(F.col("s_name").alias("name"))
+    return first.unionByName(again)
+
+
+CREATE_SQL = """
+batch AS (
+  SELECT CASE WHEN s_nationkey % 2 = 0 THEN s_name
+              ELSE 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') END AS name
+  FROM supplier
+  UNION ALL SELECT s_name FROM supplier WHERE s_nationkey < 5),
+per AS (
+  SELECT name, count(*) AS n, name IN (SELECT name FROM c_users) AS ex FROM batch GROUP BY name)"""
+
+
+@register("create_users_report", sql("""
+SELECT name, 'name_exists' AS status, n AS "count" FROM per WHERE ex
+UNION ALL SELECT name, 'created', 1 FROM per WHERE NOT ex
+UNION ALL SELECT name, 'duplicate_in_batch', n - 1 FROM per WHERE NOT ex AND n > 1""",
+                                      CREATE_SQL))
+def q_create_users_report(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    out = mutations.create_named(new_user_names(spark, sf_dir), t.users,
+                                 defaults={"created_at": F.lit(AS_OF).cast("timestamp_ntz")})
+    return out.report.groupBy("name", "status").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("create_users_created", sql(f"""
+SELECT count(*) AS n, (SELECT max(id) FROM c_users) + 1 AS min_id,
+       (SELECT max(id) FROM c_users) + count(*) AS max_id,
+       count(DISTINCT name) AS distinct_names, max({tsl(AS_OF)}) AS created_at
+FROM per WHERE NOT ex""", CREATE_SQL))
+def q_create_users_created(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    out = mutations.create_named(new_user_names(spark, sf_dir), t.users,
+                                 defaults={"created_at": F.lit(AS_OF).cast("timestamp_ntz")})
+    return out.table.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
+                         F.max("id").alias("max_id"),
+                         F.countDistinct("name").alias("distinct_names"),
+                         F.max("created_at").alias("created_at"))
