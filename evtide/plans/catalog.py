@@ -741,3 +741,245 @@ def q_create_users_created(spark, sf_dir):
                          F.max("id").alias("max_id"),
                          F.countDistinct("name").alias("distinct_names"),
                          F.max("created_at").alias("created_at"))
+
+
+# ====================================================================== step 6
+from evtide.functions.metadata import json_text  # noqa: E402
+from evtide.operators import keyed  # noqa: E402
+
+
+def type_boards(spark, sf_dir) -> DataFrame:
+    """Boards per event type: every event adds 1 to its user's score."""
+    t = _t(spark, sf_dir)
+    inc = reads.with_type_name(t.events, t.event_types).select(
+        F.col("event_type").alias("board"), F.col("user_id").cast("string").alias("member"),
+        F.lit(1.0).alias("delta"))
+    return keyed.add_scores(None, inc)
+
+
+BOARDS_SQL = """
+boards AS (
+  SELECT t.name AS board, CAST(e.user_id AS VARCHAR) AS member,
+         CAST(count(*) AS DOUBLE) AS score
+  FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY board ORDER BY score, member) - 1 AS rank,
+         row_number() OVER (PARTITION BY board ORDER BY score DESC, member DESC) - 1
+           AS reverse_rank,
+         count(*) OVER (PARTITION BY board) AS size
+  FROM boards)"""
+
+
+@register("leaderboard_scores", sql("SELECT * FROM boards", BOARDS_SQL))
+def q_leaderboard_scores(spark, sf_dir):
+    return type_boards(spark, sf_dir)
+
+
+@register("leaderboard_rank", sql(
+    "SELECT board, member, score, rank, reverse_rank FROM ranked", BOARDS_SQL))
+def q_leaderboard_rank(spark, sf_dir):
+    return keyed.with_ranks(type_boards(spark, sf_dir))
+
+
+@register("leaderboard_top", sql(
+    "SELECT board, member, score, reverse_rank AS rank FROM ranked WHERE reverse_rank < 3",
+    BOARDS_SQL))
+def q_leaderboard_top(spark, sf_dir):
+    return keyed.top(type_boards(spark, sf_dir), 3)
+
+
+@register("leaderboard_range", sql(
+    "SELECT board, member, score, rank FROM ranked WHERE rank BETWEEN 0 AND 4", BOARDS_SQL))
+def q_leaderboard_range(spark, sf_dir):
+    return keyed.rank_range(type_boards(spark, sf_dir), 0, 4)
+
+
+@register("leaderboard_tail", sql(
+    "SELECT board, member, score, reverse_rank AS rank FROM ranked "
+    "WHERE reverse_rank >= size - 3", BOARDS_SQL))
+def q_leaderboard_tail(spark, sf_dir):
+    return keyed.rank_range(type_boards(spark, sf_dir), -3, -1, reverse=True)
+
+
+@register("score_range", sql("""
+SELECT board, member, score, pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY board ORDER BY score, member) - 1 AS pos
+  FROM boards WHERE score BETWEEN 10 AND 14) x WHERE pos >= 1 AND pos < 6""", BOARDS_SQL))
+def q_score_range(spark, sf_dir):
+    return keyed.score_range(type_boards(spark, sf_dir), 10, 14, offset=1, count=5)
+
+
+@register("score_count", sql(
+    'SELECT board, count(*) AS "count" FROM boards WHERE score BETWEEN 10 AND 14 GROUP BY board',
+    BOARDS_SQL))
+def q_score_count(spark, sf_dir):
+    return keyed.count_by_score(type_boards(spark, sf_dir), 10, 14)
+
+
+@register("global_rank", sql("""
+SELECT 'all' AS board, CAST(user_id AS VARCHAR) AS member, CAST(count(*) AS DOUBLE) AS score,
+       row_number() OVER (ORDER BY count(*), CAST(user_id AS VARCHAR)) - 1 AS rank
+FROM c_events GROUP BY user_id"""))
+def q_global_rank(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    inc = t.events.select(F.lit("all").alias("board"),
+                          F.col("user_id").cast("string").alias("member"),
+                          F.lit(1.0).alias("delta"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.global_rank(keyed.add_scores(None, inc), num_partitions=parts)
+
+
+@register("recent_activity", sql("""
+SELECT id, user_id, event_type_id, metadata, "timestamp", rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, id DESC) AS rank
+  FROM c_events) x WHERE rank <= 5"""))
+def q_recent_activity(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return reads.latest_per_user(t.events, 5)
+
+
+def user_lists(spark, sf_dir) -> DataFrame:
+    """Per user, the type names of their events, newest at the head."""
+    t = _t(spark, sf_dir)
+    ev = reads.with_type_name(t.events, t.event_types)
+    return keyed.list_from(ev, "user_id", "event_type",
+                           [F.col("timestamp").desc(), F.col("id").desc()])
+
+
+LISTS_SQL = """
+lists AS (
+  SELECT e.user_id AS key, t.name AS value,
+         row_number() OVER (PARTITION BY e.user_id ORDER BY e."timestamp" DESC, e.id DESC) - 1
+           AS pos,
+         count(*) OVER (PARTITION BY e.user_id) AS size
+  FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id)"""
+
+
+@register("list_range", sql("SELECT key, value, pos FROM lists WHERE pos <= 2", LISTS_SQL))
+def q_list_range(spark, sf_dir):
+    return keyed.list_range(user_lists(spark, sf_dir), 0, 2)
+
+
+@register("list_last", sql("SELECT key, value, pos FROM lists WHERE pos = size - 1", LISTS_SQL))
+def q_list_last(spark, sf_dir):
+    return keyed.list_index(user_lists(spark, sf_dir), -1)
+
+
+@register("list_pop_right", sql(
+    "SELECT key, value, pos FROM lists WHERE pos >= size - 2", LISTS_SQL))
+def q_list_pop_right(spark, sf_dir):
+    return keyed.list_pop(user_lists(spark, sf_dir), 2, right=True)[0]
+
+
+@register("list_trim_sizes", sql(
+    "SELECT key, count(*) AS size FROM lists WHERE pos BETWEEN 1 AND 10 GROUP BY key",
+    LISTS_SQL))
+def q_list_trim_sizes(spark, sf_dir):
+    trimmed = keyed.list_trim(user_lists(spark, sf_dir), 1, 10)
+    return trimmed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+
+
+ACTIVE_SQL = """
+active AS (
+  SELECT DISTINCT 'active:' || CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS key,
+         CAST(user_id AS VARCHAR) AS member FROM c_events)"""
+DAYS = ["active:2024-01-10", "active:2024-01-11", "active:2024-01-12"]
+_DAYS_SQL = ", ".join(f"'{d}'" for d in DAYS)
+
+
+def _active(spark, sf_dir):
+    return keyed.daily_active(_t(spark, sf_dir).events)
+
+
+@register("active_users_union", sql(
+    f"SELECT DISTINCT member FROM active WHERE key IN ({_DAYS_SQL})", ACTIVE_SQL))
+def q_active_union(spark, sf_dir):
+    return keyed.set_union(_active(spark, sf_dir), DAYS)
+
+
+@register("active_users_intersect", sql(
+    f"SELECT member FROM active WHERE key IN ({_DAYS_SQL}) GROUP BY member "
+    f"HAVING count(DISTINCT key) = {len(DAYS)}", ACTIVE_SQL))
+def q_active_intersect(spark, sf_dir):
+    return keyed.set_intersect(_active(spark, sf_dir), DAYS)
+
+
+@register("active_users_diff", sql(
+    f"SELECT DISTINCT member FROM active WHERE key = '{DAYS[0]}' AND member NOT IN "
+    f"(SELECT member FROM active WHERE key = '{DAYS[1]}')", ACTIVE_SQL))
+def q_active_diff(spark, sf_dir):
+    return keyed.set_diff(_active(spark, sf_dir), DAYS[0], DAYS[1:2])
+
+
+@register("active_set_sizes", sql(
+    "SELECT key, count(DISTINCT member) AS size FROM active GROUP BY key", ACTIVE_SQL))
+def q_active_sizes(spark, sf_dir):
+    return keyed.set_sizes(_active(spark, sf_dir))
+
+
+@register("random_members")
+def q_random_members(spark, sf_dir):
+    """Three reproducible members of every daily active set (no SQL twin:
+    the pick follows Spark's xxhash64)."""
+    return keyed.random_members(_active(spark, sf_dir), 3, seed=7)
+
+
+def page_writes(spark, sf_dir) -> DataFrame:
+    """Each event writes its raw page text to register ``last_page:<user>``."""
+    e = _t(spark, sf_dir).events
+    return e.select(F.concat(F.lit("last_page:"), F.col("user_id").cast("string")).alias("key"),
+                    json_text("metadata", "page").alias("value"),
+                    F.col("timestamp").alias("ts"), F.col("id").alias("seq"),
+                    F.lit(3 * 86400).alias("ttl_s"))
+
+
+WRITES_SQL = """
+writes AS (
+  SELECT 'last_page:' || CAST(user_id AS VARCHAR) AS key,
+         json_extract_string(metadata, '$.page') AS value, "timestamp" AS ts, id AS seq
+  FROM c_events)"""
+
+
+@register("latest_per_key", sql(
+    "SELECT key, arg_max_null(value, (ts, seq)) AS value, max(ts) AS ts FROM writes GROUP BY key",
+    WRITES_SQL))
+def q_latest_per_key(spark, sf_dir):
+    return keyed.last_write(page_writes(spark, sf_dir))
+
+
+@register("first_per_key", sql(
+    "SELECT key, arg_min_null(value, (ts, seq)) AS value, min(ts) AS ts FROM writes GROUP BY key",
+    WRITES_SQL))
+def q_first_per_key(spark, sf_dir):
+    return keyed.last_write(page_writes(spark, sf_dir), first=True)
+
+
+UNEXPIRED_AS_OF = "2024-01-28 00:00:00"
+
+
+@register("unexpired_per_key", sql(f"""
+SELECT key, value, ts FROM (
+  SELECT key, arg_max_null(value, (ts, seq)) AS value, max(ts) AS ts FROM writes GROUP BY key) x
+WHERE ts + INTERVAL 3 DAY > {tsl(UNEXPIRED_AS_OF)}""", WRITES_SQL))
+def q_unexpired(spark, sf_dir):
+    return keyed.unexpired(page_writes(spark, sf_dir), UNEXPIRED_AS_OF)
+
+
+@register("field_map", sql("""
+SELECT key, field, arg_max_null(value, (ts, seq)) AS value FROM (
+  SELECT 'user:' || CAST(user_id AS VARCHAR) AS key, 'page' AS field,
+         json_extract_string(metadata, '$.page') AS value, "timestamp" AS ts, id AS seq
+  FROM c_events
+  UNION ALL
+  SELECT 'user:' || CAST(user_id AS VARCHAR), 'referrer',
+         json_extract_string(metadata, '$.referrer'), "timestamp", id FROM c_events) w
+GROUP BY key, field"""))
+def q_field_map(spark, sf_dir):
+    e = _t(spark, sf_dir).events
+    key = F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key")
+    w = e.select(key, F.lit("page").alias("field"), json_text("metadata", "page").alias("value"),
+                 F.col("timestamp").alias("ts"), F.col("id").alias("seq")).unionByName(
+        e.select(key, F.lit("referrer").alias("field"),
+                 json_text("metadata", "referrer").alias("value"),
+                 F.col("timestamp").alias("ts"), F.col("id").alias("seq")))
+    return keyed.field_map(w)
