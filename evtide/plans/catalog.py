@@ -9,6 +9,7 @@ user 3.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -983,3 +984,120 @@ def q_field_map(spark, sf_dir):
                  json_text("metadata", "referrer").alias("value"),
                  F.col("timestamp").alias("ts"), F.col("id").alias("seq")))
     return keyed.field_map(w)
+
+
+# ====================================================================== step 7
+from evtide.session import scratch_path  # noqa: E402
+from evtide.sources import schemas  # noqa: E402
+from evtide.streaming import streams  # noqa: E402
+
+STREAM_WATERMARK = "31 days"   # data span is 30 days: nothing is late here
+
+
+def _events_as_files(spark, sf_dir, copies: int = 1, files: int = 4) -> str:
+    """Write the canonical events as Parquet files for a file-stream source."""
+    path = scratch_path(spark, "events-src")
+    ev = _t(spark, sf_dir).events
+    for _ in range(copies):
+        ev.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_rollup", sql("""
+SELECT t.name AS event_type, date_trunc('hour', e."timestamp") AS hour_bucket,
+       count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
+FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id GROUP BY 1, 2"""))
+def q_stream_rollup(spark, sf_dir):
+    """Incremental hourly rollup (T4) run to completion on a file stream."""
+    src = _events_as_files(spark, sf_dir)
+    out = scratch_path(spark, "stream-rollup")
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+    q = streams.hourly_rollup_stream(stream, out, name=os.path.basename(out),
+                                     watermark=STREAM_WATERMARK, available_now=True)
+    q.awaitTermination()
+    rows = streams.latest_rows(spark, out, ["hour_bucket", "event_type_id"])
+    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
+        "event_type", "hour_bucket", "total_count", "unique_users")
+
+
+@register("stream_dedup", sql("SELECT * FROM c_events"))
+def q_stream_dedup(spark, sf_dir):
+    """Every event delivered twice; the stream keeps one copy per id."""
+    src = _events_as_files(spark, sf_dir, copies=2)
+    out = scratch_path(spark, "stream-dedup")
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=2)
+    q = streams.append_stream(streams.dedup_replays(stream, STREAM_WATERMARK), out,
+                              name=os.path.basename(out), available_now=True)
+    q.awaitTermination()
+    return spark.read.schema(schemas.EVENTS).parquet(out)
+
+
+@register("stream_ingest", sql(f"""
+SELECT user_id, type_id AS event_type_id, metadata,
+       coalesce("timestamp", {tsl(AS_OF)}) AS "timestamp"
+FROM chk WHERE reason IS NULL""", INGEST_SQL))
+def q_stream_ingest(spark, sf_dir):
+    """JSON ingest records through the streaming ingest."""
+    src = scratch_path(spark, "ingest-src")
+    ingest_records(spark, sf_dir).repartition(3).write.json(src)
+    acc, rej = scratch_path(spark, "accepted"), scratch_path(spark, "rejects")
+    t = _t(spark, sf_dir)
+    q = streams.ingest_stream(streams.json_records(spark, src, max_files=1), t.users,
+                              t.event_types, acc, rej, name=os.path.basename(acc),
+                              as_of=AS_OF, base_id=mutations.max_id(t.events),
+                              available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(acc).select("user_id", "event_type_id", "metadata", "timestamp")
+
+
+SESSION_SQL = """
+g AS (
+  SELECT user_id, "timestamp",
+    CASE WHEN lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp") IS NULL
+           OR "timestamp" - lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp")
+              >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new_session
+  FROM c_events),
+s AS (
+  SELECT *, sum(new_session) OVER (PARTITION BY user_id ORDER BY "timestamp"
+                                   ROWS UNBOUNDED PRECEDING) AS sid FROM g)"""
+
+
+@register("inactivity_sessions", sql("""
+SELECT user_id, min("timestamp") AS session_start,
+       max("timestamp") + INTERVAL 30 MINUTE AS session_end, count(*) AS events
+FROM s GROUP BY user_id, sid""", SESSION_SQL))
+def q_inactivity_sessions(spark, sf_dir):
+    """Sessions split by 30 minutes of inactivity (T6, batch form)."""
+    return streams.inactivity_sessions(_t(spark, sf_dir).events, "30 minutes")
+
+
+@register("log_range", sql("""
+SELECT id, CAST(user_id AS VARCHAR) AS user_id FROM c_events
+WHERE id BETWEEN 100 AND 5000 ORDER BY id DESC LIMIT 20"""))
+def q_log_range(spark, sf_dir):
+    log = streams.log_from_events(_t(spark, sf_dir).events)
+    return streams.log_range(log, 100, 5000, count=20, reverse=True).select(
+        "id", F.col("fields")["user_id"].alias("user_id"))
+
+
+@register("log_read_after", sql(
+    "SELECT id, CAST(event_type_id AS VARCHAR) AS event_type_id FROM c_events "
+    "WHERE id > 4321 ORDER BY id LIMIT 10"))
+def q_log_read_after(spark, sf_dir):
+    log = streams.log_from_events(_t(spark, sf_dir).events)
+    return streams.log_read_after(log, 4321, 10).select(
+        "id", F.col("fields")["event_type_id"].alias("event_type_id"))
+
+
+@register("log_trim", sql("""
+SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id FROM (
+  SELECT id FROM c_events ORDER BY id DESC LIMIT 1000) x"""))
+def q_log_trim(spark, sf_dir):
+    log = streams.log_from_events(_t(spark, sf_dir).events)
+    return streams.log_info(streams.log_trim(log, 1000))
+
+
+@register("log_info", sql(
+    "SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id FROM c_events"))
+def q_log_info(spark, sf_dir):
+    return streams.log_info(streams.log_from_events(_t(spark, sf_dir).events))
