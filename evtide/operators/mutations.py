@@ -32,9 +32,18 @@ class Outcome:
 
 
 def with_seq(df: DataFrame, col: str = "seq") -> DataFrame:
-    """Add an input-order column when the batch has none (unique, increasing
-    within the batch; not dense)."""
-    return df if col in df.columns else df.withColumn(col, F.monotonically_increasing_id())
+    """Add an input-order column when the batch has none (unique within the
+    batch, not dense).
+
+    The numbering is checkpointed to the shared checkpoint folder at once:
+    ``monotonically_increasing_id`` depends on the row order inside each
+    partition, which a recomputation (a second branch of the plan, a retried
+    task after an executor loss) need not reproduce.
+    """
+    if col in df.columns:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.withColumn(col, F.monotonically_increasing_id()).checkpoint(eager=True)
 
 
 def max_id(df: DataFrame, col: str = "id") -> int:

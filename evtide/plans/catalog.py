@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from evtide.functions.metadata import metadata_issue, with_typed_metadata
 from evtide.operators import metrics, reads, report, rollup
 from evtide.plans.oracle import has_page, sql, tsl
-from evtide.sources.driver_tables import canonical
+from evtide.session import scratch_path
+from evtide.sources import sinks
+from evtide.streaming import streams
+from evtide.sources.driver_tables import stored
 
 AS_OF = "2024-02-05 00:00:00"
 FROM = "2024-01-10 06:30:00"
@@ -46,7 +49,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _t(spark, sf_dir):
-    return canonical(spark, sf_dir)
+    return stored(spark, sf_dir)
 
 
 # ====================================================================== step 1
@@ -100,9 +103,13 @@ pages AS (
 
 
 def _report(spark, sf_dir, type_name):
+    """Rollup job (W18: build + write a snapshot version), then the report
+    over the snapshot (S9), as the service does it."""
     t = _t(spark, sf_dir)
-    r = rollup.stats_rollup(t.events, t.event_types, as_of=AS_OF)
-    return report.stats_report(r, FROM, TO, type_name, now=AS_OF)
+    base = scratch_path(spark, "rollup")
+    streams.refresh_rollup(t.events, t.event_types, base, as_of=AS_OF)
+    snap = sinks.read_current(spark, base)
+    return report.stats_report(snap, FROM, TO, type_name, now=AS_OF)
 
 
 @register("stats_report", _report_sql(None))
@@ -987,9 +994,7 @@ def q_field_map(spark, sf_dir):
 
 
 # ====================================================================== step 7
-from evtide.session import scratch_path  # noqa: E402
 from evtide.sources import schemas  # noqa: E402
-from evtide.streaming import streams  # noqa: E402
 
 STREAM_WATERMARK = "31 days"   # data span is 30 days: nothing is late here
 
@@ -1104,7 +1109,7 @@ def q_log_info(spark, sf_dir):
 
 
 # ====================================================================== step 8
-from evtide.sources import generate, sinks  # noqa: E402
+from evtide.sources import generate  # noqa: E402
 
 
 @register("export_users", sql("""

@@ -45,8 +45,22 @@ class Tables:
     events: DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a too-narrow input at least one partition per core.
+
+    A small table stored as one Parquet row group is read by a single task,
+    and every per-row step before the first shuffle (JSON building and
+    parsing) would then run on one core. Such an input is round-robin
+    repartitioned to the cluster's default parallelism; an input that already
+    has that many splits -- any large table -- is returned untouched, so no
+    shuffle is added at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def event_types_from(raw_events: DataFrame) -> DataFrame:
@@ -99,8 +113,50 @@ def events_from(raw_events: DataFrame, event_types: DataFrame) -> DataFrame:
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> Tables:
+    """Lazy canonical plans straight over the driver tables (no writes)."""
     raw = read_driver(spark, sf_dir, "events")
     types = event_types_from(raw)
     return Tables(users=users_from(read_driver(spark, sf_dir, "customer")),
                   event_types=types,
                   events=events_from(raw, types))
+
+
+_STORED: dict[tuple, Tables] = {}
+
+
+def _source_key(spark: SparkSession, sf_dir: str) -> tuple:
+    stats = []
+    for name in ("events", "customer"):
+        p = os.path.join(sf_dir, f"{name}.parquet")
+        st = os.stat(p) if os.path.exists(p) else None
+        stats.append((name, st.st_size, st.st_mtime_ns) if st else (name,))
+    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(stats))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Tables:
+    """Canonical tables written once per session, then read back.
+
+    The load job (W14/W15) runs the adapter once and stores the tables under
+    the shared ``spark.checkpoint.dir``: events range-partitioned and sorted by
+    time (Parquet min/max statistics then skip row groups for time-range
+    predicates), the dimensions as small tables. Every later query reads
+    these files, as queries read the event store in production, instead of
+    re-deriving the rows.
+    """
+    from evtide.session import scratch_path
+    key = _source_key(spark, sf_dir)
+    if key not in _STORED:
+        t = canonical(spark, sf_dir)
+        base = scratch_path(spark, "canonical")
+        parts = max(spark.sparkContext.defaultParallelism,
+                    int(spark.conf.get("spark.sql.shuffle.partitions")))
+        t.event_types.coalesce(1).write.parquet(os.path.join(base, "event_types"))
+        t.users.write.parquet(os.path.join(base, "users"))
+        (t.events.repartitionByRange(parts, "timestamp", "id")
+         .sortWithinPartitions("timestamp", "id")
+         .write.parquet(os.path.join(base, "events")))
+        _STORED[key] = Tables(
+            users=spark.read.parquet(os.path.join(base, "users")),
+            event_types=spark.read.parquet(os.path.join(base, "event_types")),
+            events=spark.read.parquet(os.path.join(base, "events")))
+    return _STORED[key]
