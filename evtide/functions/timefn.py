@@ -18,6 +18,11 @@ def ts(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
+def utcnow() -> dt.datetime:
+    """Current UTC wall-clock time (naive, like the canonical timestamps)."""
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
 def parse_ts(value) -> dt.datetime | None:
     if value is None or isinstance(value, dt.datetime):
         return value

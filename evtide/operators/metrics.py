@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evtide.functions.metadata import has_key, json_text, with_typed_metadata
-from evtide.functions.timefn import parse_ts, trunc, ts
+from evtide.functions.timefn import parse_ts, trunc, ts, utcnow
 from evtide.operators.joins import restrict_type, with_type_name
 from evtide.operators.reads import in_range
 
@@ -91,7 +91,7 @@ def realtime_metrics(events: DataFrame, event_types: DataFrame, bucket: str = "m
     gives the single-row form with a type -> count map.
     """
     unit = _bucket(bucket)
-    at = parse_ts(at) or dt.datetime.utcnow()
+    at = parse_ts(at) or utcnow()
     start = trunc(unit, ts(at))
     ev = restrict_type(events, event_types, event_type)
     if user_ids is not None:
@@ -187,7 +187,7 @@ def popular_events(events: DataFrame, event_types: DataFrame, period: str = "dai
     (closed range), with distinct users (A18)."""
     if period not in PERIODS:
         raise ValueError(f"period must be one of {sorted(PERIODS)}")
-    end = parse_ts(as_of) or dt.datetime.utcnow()
+    end = parse_ts(as_of) or utcnow()
     start = end - dt.timedelta(days=PERIODS[period])
     ev = in_range(events, start, end)
     per = ev.groupBy("event_type_id").agg(

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evtide.functions.timefn import parse_ts, ts
+from evtide.functions.timefn import parse_ts, ts, utcnow
 from evtide.session import checkpoint_dir
 
 
@@ -90,7 +90,7 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
     schema, new dense ids after ``base_id`` or after ``max(events.id)``) and
     the rejects (the record plus ``reason``).
     """
-    as_of = parse_ts(as_of) or dt.datetime.utcnow()
+    as_of = parse_ts(as_of) or utcnow()
     if base_id is None:
         base_id = max_id(events) if events is not None else 0
     recs = with_seq(records)

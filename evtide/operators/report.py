@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evtide.functions.timefn import check_range, floor_hour, parse_ts, ts
+from evtide.functions.timefn import check_range, floor_hour, parse_ts, ts, utcnow
 
 DEFAULT_DAYS = 30
 TOP_PAGES = 10
@@ -30,7 +30,7 @@ def report_range(frm=None, to=None, now=None):
     Returns (from, to, from_rounded, to_rounded).
     """
     check_range(frm, to)
-    now = parse_ts(now) or dt.datetime.utcnow()
+    now = parse_ts(now) or utcnow()
     frm = parse_ts(frm) or now - dt.timedelta(days=DEFAULT_DAYS)
     to = parse_ts(to) or now
     return frm, to, floor_hour(frm), floor_hour(to)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evtide.functions.metadata import has_key, json_text
-from evtide.functions.timefn import lookback_start, parse_ts, trunc, ts
+from evtide.functions.timefn import lookback_start, parse_ts, trunc, ts, utcnow
 from evtide.operators.joins import with_type_name
 
 LOOKBACK_DAYS = 30
@@ -25,7 +25,7 @@ def _null(t: str):
 
 def _window(events: DataFrame, as_of, lookback_days: int) -> DataFrame:
     # Lower bound only: future-dated events stay in (the first hour is partial).
-    as_of = parse_ts(as_of) or dt.datetime.utcnow()
+    as_of = parse_ts(as_of) or utcnow()
     return events.filter(F.col("timestamp") >= ts(lookback_start(as_of, lookback_days)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtide.functions.text import category
-from evtide.functions.timefn import parse_ts, ts
+from evtide.functions.timefn import parse_ts, ts, utcnow
 
 # The event-type catalogue (name, page), in catalogue order.
 EVENT_CATALOGUE = (
@@ -144,7 +144,7 @@ def _h(idx: Column, seed: int, salt: int) -> Column:
 
 def users(spark: SparkSession, count: int, created_at=None) -> DataFrame:
     """``User1 .. UserN`` with one creation time (G1); ids 1..N."""
-    at = parse_ts(created_at) or dt.datetime.utcnow()
+    at = parse_ts(created_at) or utcnow()
     return spark.range(1, count + 1).select(
         F.col("id"), F.concat(F.lit("User"), F.col("id").cast("string")).alias("name"),
         ts(at).alias("created_at"))
@@ -186,7 +186,7 @@ def events(spark: SparkSession, count: int, user_ids: DataFrame, types: DataFram
     the row index modulo their sizes; Spark picks broadcast or shuffle by their
     size.
     """
-    at = parse_ts(as_of) or dt.datetime.utcnow()
+    at = parse_ts(as_of) or utcnow()
     span = SPAN_DAYS * 86400
     n_users = user_ids.count()
     n_types = types.count()

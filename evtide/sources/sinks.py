@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtide.functions.text import email_from_name
-from evtide.functions.timefn import rfc3339
+from evtide.functions.timefn import rfc3339, utcnow
 
 POINTER = "_current"
 
@@ -87,7 +87,7 @@ def write_version(df: DataFrame, base: str, partition_by: list[str] | None = Non
     is fully written, so readers switch versions atomically enough for a
     snapshot that is rebuilt whole.
     """
-    stamp = dt.datetime.utcnow().strftime("%Y%m%dT%H%M%S")
+    stamp = utcnow().strftime("%Y%m%dT%H%M%S")
     path = os.path.join(base, f"v={stamp}-{uuid.uuid4().hex[:8]}")
     w = df.write.mode("errorifexists")
     if partition_by:
