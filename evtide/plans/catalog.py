@@ -1169,3 +1169,183 @@ def q_realtime_nested(spark, sf_dir):
     t = _t(spark, sf_dir)
     return metrics.nested_realtime_metrics(
         metrics.realtime_metrics(t.events, t.event_types, "hour", at=AT))
+
+
+# ====================================================================== step 9
+# Remaining scans, counts, removals, set edits, dimension writes, CSV round trip.
+from evtide.sources import readers  # noqa: E402
+
+
+@register("events_with_types", sql(f"SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN}"))
+def q_events_with_types(spark, sf_dir):
+    """All events with type name, newest first."""
+    t = _t(spark, sf_dir)
+    return reads.events_with_types(t.events, t.event_types)
+
+
+@register("users_by_name", sql("SELECT id, name, created_at FROM c_users"))
+def q_users_by_name(spark, sf_dir):
+    """All users ordered by name."""
+    return reads.users_by_name(_t(spark, sf_dir).users)
+
+
+@register("types_by_name", sql("SELECT id, name FROM c_event_types"))
+def q_types_by_name(spark, sf_dir):
+    """All event types ordered by name (S3)."""
+    return reads.types_by_name(_t(spark, sf_dir).event_types)
+
+
+@register("user_by_name", sql(
+    "SELECT id, name, created_at FROM c_users WHERE name = 'Customer#000000007'"))
+def q_user_by_name(spark, sf_dir):
+    """Exact-name lookup."""
+    return reads.user_response(reads.find_by_name(_t(spark, sf_dir).users, "Customer#000000007"))
+
+
+@register("type_by_name", sql(f"SELECT id, name FROM c_event_types WHERE name = '{TYPE}'"))
+def q_type_by_name(spark, sf_dir):
+    """Exact-name lookup of an event type."""
+    return reads.find_by_name(_t(spark, sf_dir).event_types, TYPE)
+
+
+@register("user_by_id", sql(
+    "SELECT id, name, created_at FROM c_users WHERE id IN (3, 77, 123456789)"))
+def q_user_by_id(spark, sf_dir):
+    """Lookup of users by a key list."""
+    keys = spark.createDataFrame([(3,), (77,), (123456789,)], "id long")
+    return reads.user_response(reads.lookup(_t(spark, sf_dir).users, keys))
+
+
+@register("count_tables", sql("""
+SELECT 'events' AS tbl, count(*) AS "count" FROM c_events
+UNION ALL SELECT 'users', count(*) FROM c_users
+UNION ALL SELECT 'event_types', count(*) FROM c_event_types"""))
+def q_count_tables(spark, sf_dir):
+    """Row count of each table (A1)."""
+    t = _t(spark, sf_dir)
+    return (metrics.count_rows(t.events).withColumn("tbl", F.lit("events"))
+            .unionByName(metrics.count_rows(t.users).withColumn("tbl", F.lit("users")))
+            .unionByName(metrics.count_rows(t.event_types)
+                         .withColumn("tbl", F.lit("event_types"))))
+
+
+@register("event_fallback_labels", sql(
+    "SELECT id, user_id AS \"userId\", 'event_type_' || CAST(event_type_id AS VARCHAR) "
+    "AS \"eventType\", event_type_id, \"timestamp\", metadata FROM c_events"))
+def q_event_fallback_labels(spark, sf_dir):
+    """Response projection without the type join: ``event_type_<id>``."""
+    return reads.event_response(_t(spark, sf_dir).events)
+
+
+@register("leaderboard_trim", sql("""
+SELECT board, member, score FROM ranked WHERE rank > 2""", BOARDS_SQL))
+def q_leaderboard_trim(spark, sf_dir):
+    """Remove the three lowest-ranked members of every board."""
+    return keyed.remove_rank_range(type_boards(spark, sf_dir), 0, 2)
+
+
+@register("score_remove", sql(
+    "SELECT board, member, score FROM boards WHERE NOT (score BETWEEN 10 AND 14)", BOARDS_SQL))
+def q_score_remove(spark, sf_dir):
+    """Remove members scored in [10, 14]."""
+    return keyed.remove_by_score(type_boards(spark, sf_dir), 10, 14)
+
+
+@register("active_set_edit", sql(f"""
+SELECT DISTINCT key, member FROM (
+  SELECT key, member FROM active
+  WHERE NOT (key = '{DAYS[0]}' AND member IN (SELECT member FROM active WHERE key = '{DAYS[1]}'))
+  UNION ALL
+  SELECT '{DAYS[0]}', member FROM active WHERE key = '{DAYS[2]}')""", ACTIVE_SQL))
+def q_active_set_edit(spark, sf_dir):
+    """Set edits (U6): drop from day 1 the members active on day 2, add the
+    members of day 3; duplicates collapse."""
+    a = _active(spark, sf_dir)
+    removes = a.filter(F.col("key") == DAYS[1]).select(F.lit(DAYS[0]).alias("key"), "member")
+    adds = a.filter(F.col("key") == DAYS[2]).select(F.lit(DAYS[0]).alias("key"), "member")
+    return keyed.set_add(keyed.set_remove(a, removes), adds)
+
+
+@register("active_set_move", sql(f"""
+SELECT DISTINCT CASE WHEN key = '{DAYS[0]}' AND member IN
+         (SELECT member FROM active WHERE key = '{DAYS[2]}') THEN 'moved' ELSE key END AS key,
+       member
+FROM active""", ACTIVE_SQL))
+def q_active_set_move(spark, sf_dir):
+    """Move members of day 1 that are also active on day 3 into set ``moved``."""
+    a = _active(spark, sf_dir)
+    moves = a.filter(F.col("key") == DAYS[2]).select(
+        F.lit(DAYS[0]).alias("src"), F.lit("moved").alias("dst"), "member")
+    return keyed.set_move(a, moves)
+
+
+@register("log_delete", sql(
+    "SELECT id FROM c_events WHERE id NOT IN (SELECT o_orderkey FROM orders "
+    "WHERE o_orderstatus = 'P')"))
+def q_log_delete(spark, sf_dir):
+    """Delete log entries by id."""
+    log = streams.log_from_events(_t(spark, sf_dir).events)
+    ids = read_driver(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P").select(
+        F.col("o_orderkey").alias("id"))
+    return streams.log_delete(log, ids).select("id")
+
+
+@register("create_event_types_report", sql("""
+SELECT name, CASE WHEN name IN (SELECT name FROM c_event_types) THEN 'name_exists'
+                  ELSE 'created' END AS status, count(*) AS "count"
+FROM (SELECT lower(o_orderpriority) AS name FROM orders
+      UNION ALL SELECT name FROM c_event_types) b
+GROUP BY name HAVING name IN (SELECT name FROM c_event_types)
+UNION ALL
+SELECT name, 'created', 1 FROM (SELECT DISTINCT lower(o_orderpriority) AS name FROM orders) n
+WHERE name NOT IN (SELECT name FROM c_event_types)
+UNION ALL
+SELECT name, 'duplicate_in_batch', count(*) - 1 FROM (SELECT lower(o_orderpriority) AS name
+  FROM orders) d WHERE name NOT IN (SELECT name FROM c_event_types) GROUP BY name
+  HAVING count(*) > 1"""))
+def q_create_event_types_report(spark, sf_dir):
+    """Create event types by name unless present (W5): order priorities and
+    the existing type names as the batch."""
+    t = _t(spark, sf_dir)
+    batch = read_driver(spark, sf_dir, "orders").select(
+        F.lower("o_orderpriority").alias("name")).unionByName(t.event_types.select("name"))
+    out = mutations.create_named(batch, t.event_types)
+    return out.report.groupBy("name", "status").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("rename_event_types", sql("""
+SELECT t.id, r.name, CASE WHEN r.name IS NULL THEN 'ok'
+  WHEN EXISTS (SELECT 1 FROM c_event_types u WHERE u.name = r.name AND u.id <> r.id)
+  THEN 'name_exists' ELSE 'ok' END AS status
+FROM c_event_types t JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN upper(name)
+                                     ELSE (SELECT min(name) FROM c_event_types) END AS name
+                           FROM c_event_types) r ON r.id = t.id"""))
+def q_rename_event_types(spark, sf_dir):
+    """Rename event types (W9): even ids upper-cased, odd ids to the first
+    name (a clash except for the row that holds it)."""
+    t = _t(spark, sf_dir)
+    ren = t.event_types.select(
+        F.col("id").cast("long").alias("id"),
+        F.when(F.col("id") % 2 == 0, F.upper("name"))
+        .otherwise(F.min("name").over(_everything())).alias("name"))
+    return mutations.rename(t.event_types.withColumn("id", F.col("id").cast("long")),
+                            ren).report.drop("seq")
+
+
+def _everything():
+    from pyspark.sql import Window
+    # the window spans the event-type dimension only (a handful of rows)
+    return Window.partitionBy(F.lit(1))
+
+
+@register("users_csv_roundtrip", sql("""
+SELECT CAST(id AS VARCHAR) AS id, name,
+       lower(replace(name, ' ', '')) || '@example.com' AS email,
+       strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at
+FROM c_users"""))
+def q_users_csv_roundtrip(spark, sf_dir):
+    """Users exported to quoted CSV (W16) and read back with a schema."""
+    path = scratch_path(spark, "users-csv")
+    sinks.write_csv(sinks.users_export(_t(spark, sf_dir).users), path, quote_all=True)
+    return readers.csv_table(spark, path, "id string, name string, email string, "
+                                          "created_at string")
