@@ -46,10 +46,11 @@ def restrict_type(events: DataFrame, event_types: DataFrame,
                   name: str | None) -> DataFrame:
     """Keep events of the type called ``name`` (no-op for None).
 
-    A semi-join against the filtered dimension: one row on the build side, so
-    it broadcasts and never shuffles the events.
+    A semi-join against the filtered dimension (names are unique: at most one
+    row). No hint: Spark's size estimate of the filtered dimension scan, and
+    AQE at run time, make it a broadcast, so the events are not shuffled.
     """
     ids = type_ids_named(event_types, name)
     if ids is None:
         return events
-    return events.join(F.broadcast(ids), "event_type_id", "left_semi")
+    return events.join(ids, "event_type_id", "left_semi")

@@ -52,13 +52,13 @@ def add_scores(board: DataFrame | None, increments: DataFrame) -> DataFrame:
 def with_ranks(board: DataFrame) -> DataFrame:
     """0-based rank and reverse rank of every member in its board.
 
-    Both are one window over the board's rows; for one huge board use
-    ``global_rank`` instead.
+    Ranks come from ``board_ranks`` (no per-board window); the reverse order
+    is the exact mirror of (score, member), so reverse_rank = size - 1 - rank
+    with the board size from a grouped count.
     """
-    w_up = Window.partitionBy("board").orderBy(*_asc())
-    w_dn = Window.partitionBy("board").orderBy(*_desc())
-    return (board.withColumn("rank", F.row_number().over(w_up) - 1)
-            .withColumn("reverse_rank", F.row_number().over(w_dn) - 1))
+    sizes = board.groupBy("board").agg(F.count(F.lit(1)).alias("_size"))
+    r = board_ranks(board).join(sizes, "board")
+    return r.withColumn("reverse_rank", F.col("_size") - 1 - F.col("rank")).drop("_size")
 
 
 def _resolve(idx: int, size: Column) -> Column:
@@ -70,9 +70,8 @@ def rank_range(board: DataFrame, start: int, stop: int, reverse: bool = False) -
 
     Board sizes come from a grouped count joined back (one row per board).
     """
-    w = Window.partitionBy("board").orderBy(*(_desc() if reverse else _asc()))
     sizes = board.groupBy("board").agg(F.count(F.lit(1)).alias("_size"))
-    r = board.withColumn("rank", F.row_number().over(w) - 1).join(sizes, "board")
+    r = board_ranks(board, reverse).join(sizes, "board")
     lo, hi = _resolve(start, F.col("_size")), _resolve(stop, F.col("_size"))
     return (r.filter((F.col("rank") >= F.greatest(lo, F.lit(0))) & (F.col("rank") <= hi))
             .drop("_size"))
@@ -100,9 +99,8 @@ def score_range(board: DataFrame, lo: float, hi: float, offset: int = 0,
                 count: int | None = None) -> DataFrame:
     """Members with lo <= score <= hi in ascending order, optional offset and
     count per board (K9); ``pos`` is the position inside the range."""
-    r = board.filter(F.col("score").between(lo, hi))
-    w = Window.partitionBy("board").orderBy(*_asc())
-    r = r.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") >= offset)
+    r = board_ranks(board.filter(F.col("score").between(lo, hi)), col="pos")
+    r = r.filter(F.col("pos") >= offset)
     if count is not None:
         r = r.filter(F.col("pos") < offset + count)
     return r
@@ -119,47 +117,69 @@ def remove_by_score(board: DataFrame, lo: float, hi: float) -> DataFrame:
     return board.filter(~F.col("score").between(lo, hi))
 
 
-def ordered_positions(df: DataFrame, order: list[str], num_partitions: int,
-                      col: str = "pos", descending: bool = False) -> DataFrame:
-    """0-based global position of every row in ``order`` without a
-    single-partition window (N7).
-
-    Range-partition on the order keys (Spark samples the bounds), sort inside
-    each partition, checkpoint (positions must be computed on the very same
-    partitioning on every use, also after an executor loss), read each row's
-    index inside its partition, and add the running row count of all earlier
-    partitions. The running count is computed on the per-partition count table:
-    one row per partition.
+def ordered_positions(df: DataFrame, order: list[str], num_partitions: int | None = None,
+                      col: str = "pos", descending: bool = False,
+                      group: str | None = None) -> DataFrame:
+    """0-based position of every row in ``order`` -- globally, or inside each
+    ``group`` -- without a window over a whole group (N7).
+
+    A window partitioned by group puts a hot group (say a board holding a
+    third of all rows) into one task. Instead: range-partition on
+    (group, order keys) -- Spark samples the bounds, so a big group is cut
+    into many partitions -- sort inside each partition and checkpoint
+    (positions must come from the very same partitioning on every use, also
+    after an executor loss). Each row's index inside its partition, minus the
+    index of its group's first row there, is its position within the
+    partition; adding the row counts of the same group in all earlier
+    partitions gives the position in the group. Those counts live in a table
+    of one row per (partition, group) run, never in a buffer per group.
     """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
+    gkeys = [F.col(group).asc()] if group else []
+    checkpoint_dir(spark)
+    ranged = (df.repartitionByRange(n, *gkeys, *keys).sortWithinPartitions(*gkeys, *keys)
               .checkpoint(eager=True))
     pid = F.spark_partition_id()
     tagged = ranged.withColumn("_pid", pid).withColumn(
         "_idx", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offs), "_pid")
-            .withColumn(col, F.col("_off") + F.col("_idx"))
-            .drop("_pid", "_idx", "_off"))
-
-
-def global_rank(board: DataFrame, num_partitions: int = 64,
+    g = [group] if group else []
+    runs = tagged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"),
+                                          F.min("_idx").alias("_first"))
+    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))).orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = runs.select("_pid", *g, "_first",
+                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # (partition, group) runs: without a group one row per partition, so it
+    # is broadcast; with groups Spark sizes the join itself.
+    offs = F.broadcast(offs) if not g else offs
+    return (tagged.join(offs, ["_pid", *g])
+            .withColumn(col, F.col("_off") + F.col("_idx") - F.col("_first"))
+            .drop("_pid", "_idx", "_off", "_first"))
+
+
+def board_ranks(board: DataFrame, reverse: bool = False, col: str = "rank",
+                num_partitions: int | None = None) -> DataFrame:
+    """0-based rank of every member within its board, skew-proof."""
+    return ordered_positions(board, ["score", "member"], num_partitions, col,
+                             descending=reverse, group="board")
+
+
+def global_rank(board: DataFrame, num_partitions: int | None = None,
                 reverse: bool = False) -> DataFrame:
-    """Rank on one board of any size (N7): (member, score, rank)."""
-    return ordered_positions(board, ["score", "member"], num_partitions, "rank",
-                             descending=reverse)
+    """Rank on one board of any size (N7): (board, member, score, rank)."""
+    return board_ranks(board, reverse, "rank", num_partitions)
 
 
 # ---------------------------------------------------------------- lists
-def list_from(df: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
-    """Build lists: rows of each key in ``order`` become positions 0..n-1."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.select(F.col(key).alias("key"), F.col(value).alias("value"),
-                     (F.row_number().over(w) - 1).alias("pos"))
+def list_from(df: DataFrame, key: str, value: str, order: list[str],
+              descending: bool = False) -> DataFrame:
+    """Build lists: rows of each key in ``order`` become positions 0..n-1
+    (grouped positions, so one huge list is still spread over many tasks)."""
+    src = df.select(F.col(key).alias("key"), F.col(value).alias("value"), *order)
+    return ordered_positions(src, order, col="pos", descending=descending,
+                             group="key").drop(*order)
 
 
 def list_range(lists: DataFrame, start: int, stop: int) -> DataFrame:
@@ -177,9 +197,12 @@ def list_index(lists: DataFrame, index: int) -> DataFrame:
 
 def list_trim(lists: DataFrame, start: int, stop: int) -> DataFrame:
     """Keep only [start, stop] of every list, renumbered from 0."""
-    kept = list_range(lists, start, stop)
-    w = Window.partitionBy("key").orderBy("pos")
-    return kept.withColumn("pos", F.row_number().over(w) - 1)
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
+    j = lists.join(sizes, "key")
+    lo = F.greatest(_resolve(start, F.col("_size")), F.lit(0))
+    hi = _resolve(stop, F.col("_size"))
+    return (j.filter((F.col("pos") >= lo) & (F.col("pos") <= hi))
+            .withColumn("pos", F.col("pos") - lo).drop("_size"))
 
 
 def list_pop(lists: DataFrame, n: int = 1, right: bool = False

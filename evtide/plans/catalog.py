@@ -825,7 +825,7 @@ def q_score_count(spark, sf_dir):
 
 
 @register("global_rank", sql("""
-SELECT 'all' AS board, CAST(user_id AS VARCHAR) AS member, CAST(count(*) AS DOUBLE) AS score,
+SELECT CAST(user_id AS VARCHAR) AS member, CAST(count(*) AS DOUBLE) AS score,
        row_number() OVER (ORDER BY count(*), CAST(user_id AS VARCHAR)) - 1 AS rank
 FROM c_events GROUP BY user_id"""))
 def q_global_rank(spark, sf_dir):
@@ -833,8 +833,7 @@ def q_global_rank(spark, sf_dir):
     inc = t.events.select(F.lit("all").alias("board"),
                           F.col("user_id").cast("string").alias("member"),
                           F.lit(1.0).alias("delta"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.global_rank(keyed.add_scores(None, inc), num_partitions=parts)
+    return keyed.global_rank(keyed.add_scores(None, inc)).drop("board")
 
 
 @register("recent_activity", sql("""
@@ -850,8 +849,7 @@ def user_lists(spark, sf_dir) -> DataFrame:
     """Per user, the type names of their events, newest at the head."""
     t = _t(spark, sf_dir)
     ev = reads.with_type_name(t.events, t.event_types)
-    return keyed.list_from(ev, "user_id", "event_type",
-                           [F.col("timestamp").desc(), F.col("id").desc()])
+    return keyed.list_from(ev, "user_id", "event_type", ["timestamp", "id"], descending=True)
 
 
 LISTS_SQL = """
@@ -1137,9 +1135,8 @@ def q_generated_profile(spark, sf_dir):
     values follow Spark's xxhash64."""
     t = _t(spark, sf_dir)
     n = read_driver(spark, sf_dir, "events").count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     uids = keyed.ordered_positions(t.users.select(F.col("id").alias("user_id")),
-                                   ["user_id"], parts, col="idx")
+                                   ["user_id"], col="idx")
     types = t.event_types.withColumn("page", F.concat(F.lit("/"), F.col("name")))
     gen = generate.events(spark, n, uids, types, as_of=AS_OF)
     return gen.groupBy("event_type").agg(
