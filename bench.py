@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -20,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from evtide.plans.catalog import AS_OF, QUERIES  # noqa: E402
-from evtide.session import build_session  # noqa: E402
+from evtide.session import build_session, scratch_path  # noqa: E402
 from evtide.sources import generate, sinks  # noqa: E402
 
 HEADLINE = {
@@ -42,10 +41,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     gen_rows = int(os.environ.get("BENCH_GEN_ROWS", "10000000"))
-    scratch = tempfile.mkdtemp(prefix="evtide-bench-")
     spark = build_session(f"local[{cpus}]", "evtide-bench", shuffle_partitions=2 * cpus,
                           extra={"spark.driver.memory": "16g",
-                                 "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
                                  "spark.sql.files.maxPartitionBytes": str(128 << 20)})
     spark.sparkContext.setLogLevel("ERROR")
 
@@ -68,7 +65,7 @@ def main() -> None:
                                F.col("id").alias("event_type_id")), "event_type")
     ev = ev.select(F.col("seq").alias("id"), "user_id", "event_type_id", "metadata", "timestamp")
     t0 = time.perf_counter()
-    sinks.append_events(ev, os.path.join(scratch, "events"))
+    sinks.append_events(ev, scratch_path(spark, "bench-events"))
     gen_sec = time.perf_counter() - t0
     queries["G3_W14_generate_load"] = round(gen_sec, 3)
 

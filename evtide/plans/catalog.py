@@ -19,7 +19,7 @@ from evtide.functions.metadata import metadata_issue, with_typed_metadata
 from evtide.operators import metrics, reads, report, rollup
 from evtide.plans.oracle import has_page, sql, tsl
 from evtide.session import scratch_path
-from evtide.sources import sinks
+from evtide.sources import schemas, sinks
 from evtide.streaming import streams
 from evtide.sources.driver_tables import stored
 
@@ -108,7 +108,7 @@ def _report(spark, sf_dir, type_name):
     t = _t(spark, sf_dir)
     base = scratch_path(spark, "rollup")
     streams.refresh_rollup(t.events, t.event_types, base, as_of=AS_OF)
-    snap = sinks.read_current(spark, base)
+    snap = sinks.read_current(spark, base, schemas.ROLLUP)
     return report.stats_report(snap, FROM, TO, type_name, now=AS_OF)
 
 
@@ -992,7 +992,6 @@ def q_field_map(spark, sf_dir):
 
 
 # ====================================================================== step 7
-from evtide.sources import schemas  # noqa: E402
 
 STREAM_WATERMARK = "31 days"   # data span is 30 days: nothing is late here
 

@@ -104,5 +104,8 @@ def current_version(spark: SparkSession, base: str) -> str:
     return spark.read.text(os.path.join(base, POINTER)).first()[0]
 
 
-def read_current(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(current_version(spark, base))
+def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame:
+    """The current version; pass ``schema`` so an empty version reads as an
+    empty table instead of failing schema inference."""
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return r.parquet(current_version(spark, base))

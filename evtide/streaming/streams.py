@@ -92,8 +92,8 @@ def refresh_rollup(events: DataFrame, event_types: DataFrame, base: str, as_of=N
 
 
 def scheduled_refresh(trigger_source: DataFrame, load_events, event_types: DataFrame,
-                      base: str, every: str = "60 minutes", name: str = "rollup_refresh"
-                      ) -> StreamingQuery:
+                      base: str, every: str = "60 minutes", name: str = "rollup_refresh",
+                      as_of=None) -> StreamingQuery:
     """Hourly rebuild (T2): any stream (e.g. the raw event files) ticks a
     ``processingTime`` trigger; each tick rebuilds the snapshot from the full
     table returned by ``load_events()``. A failed rebuild leaves the previous
@@ -101,7 +101,7 @@ def scheduled_refresh(trigger_source: DataFrame, load_events, event_types: DataF
     spark = trigger_source.sparkSession
 
     def run(_batch: DataFrame, _batch_id: int) -> None:
-        refresh_rollup(load_events(), event_types, base)
+        refresh_rollup(load_events(), event_types, base, as_of=as_of)
 
     return (trigger_source.writeStream.foreachBatch(run)
             .option("checkpointLocation", query_checkpoint(spark, name))

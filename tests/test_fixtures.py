@@ -1,6 +1,7 @@
 """Small cases from the reference's own tests and our deviations (FIXTURES.md)."""
 
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,7 +204,7 @@ def test_streaming_rollup_equals_batch(spark, tmp_path, dims):
     out = str(tmp_path / "out")
     q = streams.hourly_rollup_stream(
         streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1), out,
-        name=f"t-{tmp_path.name}", watermark="10 days", available_now=True)
+        name=f"t-{uuid.uuid4().hex}", watermark="10 days", available_now=True)
     q.awaitTermination()
     got = sorted(tuple(r) for r in streams.latest_rows(spark, out, ["hour_bucket", "event_type_id"])
                  .select("hour_bucket", "event_type_id", "total_count", "unique_users").collect())
