@@ -115,6 +115,15 @@ def _page(df: DataFrame, order, limit: int | None, offset: int) -> DataFrame:
     return df
 
 
+def _named_page(events: DataFrame, event_types: DataFrame, limit: int | None,
+                offset: int) -> DataFrame:
+    # Top-k on the bare events first, then attach names to the <= limit rows.
+    # Equivalent to join-then-top-k because every event's type exists (the
+    # foreign key is enforced on ingest and deletes cascade).
+    top = _page(bare_event(events), newest_first(), limit, offset)
+    return event_response(with_type_name(top, event_types)).orderBy(*newest_first())
+
+
 def list_events(events: DataFrame, event_types: DataFrame, user_id: int | None = None,
                 event_type_id: int | None = None, limit: int | None = None,
                 offset: int | None = None, page: int | None = None) -> DataFrame:
@@ -122,15 +131,13 @@ def list_events(events: DataFrame, event_types: DataFrame, user_id: int | None =
     1000, offset wins over a 1-based page."""
     n = clamp_limit(limit)
     off = resolve_offset(offset, page, n)
-    ev = filter_events(events, user_id, event_type_id)
-    return _page(event_response(with_type_name(ev, event_types)), newest_first(), n, off)
+    return _named_page(filter_events(events, user_id, event_type_id), event_types, n, off)
 
 
 def user_events(events: DataFrame, event_types: DataFrame, user_id: int,
                 limit: int | None = None) -> DataFrame:
     """Events of one user, newest first, optional uncapped limit (K2)."""
-    ev = filter_events(events, user_id=user_id)
-    return _page(event_response(with_type_name(ev, event_types)), newest_first(), limit, 0)
+    return _named_page(filter_events(events, user_id=user_id), event_types, limit, 0)
 
 
 def events_page(events: DataFrame, limit: int | None = None,
