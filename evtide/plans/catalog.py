@@ -1345,3 +1345,18 @@ def q_users_csv_roundtrip(spark, sf_dir):
     sinks.write_csv(sinks.users_export(_t(spark, sf_dir).users), path, quote_all=True)
     return readers.csv_table(spark, path, "id string, name string, email string, "
                                           "created_at string")
+
+
+# ====================================================================== step 10
+@register("retention_partitioned", sql(
+    f'SELECT id, user_id, event_type_id, metadata, "timestamp" FROM c_events '
+    f'WHERE "timestamp" >= {tsl(RETENTION_CUTOFF)}'))
+def q_retention_partitioned(spark, sf_dir):
+    """Bulk load partitioned by day (W14), then retention on it (W13): older
+    day partitions are pruned from the scan, only the boundary day is
+    filtered row by row."""
+    path = scratch_path(spark, "events-by-day")
+    sinks.append_events(_t(spark, sf_dir).events, path)
+    events = spark.read.parquet(path)
+    return mutations.retention(events, RETENTION_CUTOFF, date_col="event_date").table.drop(
+        "event_date")
