@@ -132,7 +132,9 @@ def test_bounded_stream_rollup_emits_only_exact_closed_hours(spark, tmp_path):
     from evtide.operators import metrics
     rows = [(i, i % 5, 1 + i % 2, None, T0 + dt.timedelta(minutes=17 * i)) for i in range(400)]
     src = str(tmp_path / "src")
-    spark.createDataFrame(rows, schemas.EVENTS).repartition(4).write.parquet(src)
+    for part in range(4):  # arrives in time order: one file per slice, oldest first
+        spark.createDataFrame(rows[part * 100:(part + 1) * 100], schemas.EVENTS).coalesce(1) \
+            .write.mode("append").parquet(src)
     stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
     agg = streams.windowed_type_counts_bounded(stream, "1 day").select(
         F.date_trunc("hour", "wt").cast("timestamp_ntz").alias("hour_bucket"),
