@@ -15,13 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.functions.metadata import metadata_issue, with_typed_metadata
-from evtide.operators import metrics, reads, report, rollup
+from evtide.functions.metadata import json_text, metadata_issue, with_typed_metadata
+from evtide.operators import keyed, metrics, mutations, reads, report, rollup
 from evtide.plans.oracle import has_page, sql, tsl
 from evtide.session import scratch_path
-from evtide.sources import schemas, sinks
+from evtide.sources import generate, readers, schemas, sinks
+from evtide.sources.driver_tables import read_driver, stored
 from evtide.streaming import streams
-from evtide.sources.driver_tables import stored
 
 AS_OF = "2024-02-05 00:00:00"
 FROM = "2024-01-10 06:30:00"
@@ -472,8 +472,6 @@ def q_sessions(spark, sf_dir):
 # ====================================================================== step 5
 # Command batches are derived from other driver tables; they only supply rows
 # in the command schema. The mutation logic runs on them unchanged.
-from evtide.operators import mutations  # noqa: E402
-from evtide.sources.driver_tables import read_driver  # noqa: E402
 
 RETENTION_CUTOFF = "2024-01-15 00:00:00"
 
@@ -752,8 +750,6 @@ def q_create_users_created(spark, sf_dir):
 
 
 # ====================================================================== step 6
-from evtide.functions.metadata import json_text  # noqa: E402
-from evtide.operators import keyed  # noqa: E402
 
 
 def type_boards(spark, sf_dir) -> DataFrame:
@@ -1106,7 +1102,6 @@ def q_log_info(spark, sf_dir):
 
 
 # ====================================================================== step 8
-from evtide.sources import generate  # noqa: E402
 
 
 @register("export_users", sql("""
@@ -1169,7 +1164,6 @@ def q_realtime_nested(spark, sf_dir):
 
 # ====================================================================== step 9
 # Remaining scans, counts, removals, set edits, dimension writes, CSV round trip.
-from evtide.sources import readers  # noqa: E402
 
 
 @register("events_with_types", sql(f"SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN}"))
@@ -1360,3 +1354,49 @@ def q_retention_partitioned(spark, sf_dir):
     events = spark.read.parquet(path)
     return mutations.retention(events, RETENTION_CUTOFF, date_col="event_date").table.drop(
         "event_date")
+
+
+@register("delete_cascade", ORACLES["delete_cascade_events"])
+def q_delete_cascade(spark, sf_dir):
+    """Users in debt deleted; their events go with them."""
+    return q_delete_cascade_events(spark, sf_dir)
+
+
+def _events_in_time_order(spark, sf_dir, slices: int = 4) -> str:
+    """Write the canonical events as ``slices`` files, oldest slice first, so a
+    file stream receives them in event-time order."""
+    path = scratch_path(spark, "events-ordered")
+    ev = _t(spark, sf_dir).events
+    secs = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    cuts = ev.select(secs.alias("s")).approxQuantile("s", [i / slices for i in range(1, slices)],
+                                                     0.0)
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = ev
+        if lo is not None:
+            part = part.filter(secs >= F.lit(int(lo)))
+        if hi is not None:
+            part = part.filter(secs < F.lit(int(hi)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_sessions", ORACLES["inactivity_sessions"])
+def q_stream_sessions(spark, sf_dir):
+    """Live sessions by 30 minutes of inactivity (T6) on a stream that
+    arrives in time order, append mode. A final heartbeat file (one marker
+    event of user -1, a year after the data) moves the watermark past every
+    real session so all of them are emitted; the marker's own session is
+    still open and never output."""
+    src = _events_in_time_order(spark, sf_dir)
+    ev = _t(spark, sf_dir).events
+    (ev.agg(F.max("timestamp").alias("m"))
+     .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
+             F.lit(0).alias("event_type_id"), F.lit(None).cast("string").alias("metadata"),
+             (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
+     .write.mode("append").parquet(src))
+    out = scratch_path(spark, "stream-sessions")
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+    sess = streams.inactivity_sessions(stream, "30 minutes", watermark="30 minutes")
+    streams.append_stream(sess, out, os.path.basename(out), available_now=True).awaitTermination()
+    return spark.read.parquet(out)
