@@ -92,14 +92,27 @@ def realtime_metrics(events: DataFrame, event_types: DataFrame, bucket: str = "m
     """
     unit = _bucket(bucket)
     at = parse_ts(at) or utcnow()
-    start = trunc(unit, ts(at))
+    start, end = bucket_bounds(unit, at)
     ev = restrict_type(events, event_types, event_type)
     if user_ids is not None:
         ev = ev.filter(F.col("user_id").isin(list(user_ids)))
-    ev = ev.filter(trunc(unit, "timestamp") == start)
+    # half-open range on the raw column: reaches the Parquet scan
+    ev = ev.filter((F.col("timestamp") >= ts(start)) & (F.col("timestamp") < ts(end)))
     return _bucket_metrics(ev, event_types, unit)
 
 
+def bucket_bounds(unit: str, at: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+    """[start, end) of the minute / hour / day bucket containing ``at``."""
+    if unit == "minute":
+        start = at.replace(second=0, microsecond=0)
+        return start, start + dt.timedelta(minutes=1)
+    if unit == "hour":
+        start = at.replace(minute=0, second=0, microsecond=0)
+        return start, start + dt.timedelta(hours=1)
+    start = at.replace(hour=0, minute=0, second=0, microsecond=0)
+    return start, start + dt.timedelta(days=1)
+
+
 def _bucket_metrics(ev: DataFrame, event_types: DataFrame, unit: str) -> DataFrame:
     ev = ev.withColumn("bucket_start", trunc(unit, "timestamp"))
     per_type = ev.groupBy("bucket_start", "event_type_id").agg(

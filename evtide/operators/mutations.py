@@ -273,3 +273,52 @@ def retention(events: DataFrame, cutoff, date_col: str | None = None) -> Outcome
         gone = gone.filter(F.col(date_col) <= F.lit(c.date()))
     report = gone.agg(F.count(F.lit(1)).alias("deleted")).withColumn("cutoff", ts(c))
     return Outcome(kept, report)
+
+
+# ---------------------------------------------------------------- in place, by partition
+def affected_partitions(table: DataFrame, ids: DataFrame, key: str = "id",
+                        ids_col: str | None = None, part_col: str = "event_date") -> list:
+    """Partition values that hold any of ``ids``.
+
+    A semi-join that reads only the key and the partition column; the
+    distinct values (at most the table's partition count) come back to the
+    driver as the list of partitions to rewrite.
+    """
+    k = ids.select(F.col(ids_col or key).alias(key)).distinct()
+    hit = table.select(key, part_col).join(k, key, "left_semi").select(part_col).distinct()
+    return sorted(r[0] for r in hit.collect())
+
+
+def update_events_in_place(path: str, updates: DataFrame, event_types: DataFrame,
+                           part_col: str = "event_date") -> DataFrame:
+    """W6 on a day-partitioned events table, rewriting only the days that
+    hold an updated id. Returns the per-command report (materialised before
+    the table changes). The update never moves a row: the timestamp, and so
+    the day, is not updatable."""
+    from evtide.sources.sinks import replace_partitions, with_event_date
+    spark = updates.sparkSession
+    table = spark.read.parquet(path)
+    days = affected_partitions(table, updates, "id", "event_id", part_col)
+    scope = table.filter(F.col(part_col).isin(days)).drop(part_col)
+    out = update_events(scope, updates, event_types)
+    checkpoint_dir(spark)
+    report = out.report.checkpoint(eager=True)
+    replace_partitions(with_event_date(out.table), path, part_col, days)
+    return report
+
+
+def delete_events_in_place(path: str, ids: DataFrame, ids_col: str = "id",
+                           part_col: str = "event_date") -> DataFrame:
+    """W10 on a day-partitioned events table: only days holding a deleted id
+    are rewritten; a day that loses all its rows is removed. Returns the ids
+    that were not found (materialised before the table changes)."""
+    from evtide.sources.sinks import replace_partitions
+    spark = ids.sparkSession
+    table = spark.read.parquet(path)
+    days = affected_partitions(table, ids, "id", ids_col, part_col)
+    k = ids.select(F.col(ids_col).alias("id")).distinct()
+    checkpoint_dir(spark)
+    missing = k.join(table.select("id"), "id", "left_anti").checkpoint(eager=True)
+    scope = table.filter(F.col(part_col).isin(days))
+    replace_partitions(scope.join(k, "id", "left_anti"), path, part_col, days)
+    return missing

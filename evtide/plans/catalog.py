@@ -1400,3 +1400,27 @@ def q_stream_sessions(spark, sf_dir):
     sess = streams.inactivity_sessions(stream, "30 minutes", watermark="30 minutes")
     streams.append_stream(sess, out, os.path.basename(out), available_now=True).awaitTermination()
     return spark.read.parquet(out)
+
+
+def _events_by_day(spark, sf_dir) -> str:
+    path = scratch_path(spark, "events-by-day")
+    sinks.append_events(_t(spark, sf_dir).events, path)
+    return path
+
+
+@register("update_in_place", ORACLES["update_events"])
+def q_update_in_place(spark, sf_dir):
+    """W6 applied in place to a day-partitioned copy of the events: only the
+    days holding an updated id are rewritten; the whole table is read back."""
+    path = _events_by_day(spark, sf_dir)
+    mutations.update_events_in_place(path, event_updates(spark, sf_dir),
+                                     _t(spark, sf_dir).event_types)
+    return spark.read.parquet(path).drop("event_date")
+
+
+@register("delete_in_place", ORACLES["delete_events_kept"])
+def q_delete_in_place(spark, sf_dir):
+    """W10 applied in place to a day-partitioned copy of the events."""
+    path = _events_by_day(spark, sf_dir)
+    mutations.delete_events_in_place(path, _fulfilled(spark, sf_dir))
+    return spark.read.parquet(path).drop("event_date")

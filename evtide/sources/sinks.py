@@ -109,3 +109,50 @@ def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame:
     empty table instead of failing schema inference."""
     r = spark.read if schema is None else spark.read.schema(schema)
     return r.parquet(current_version(spark, base))
+
+
+# ---------------------------------------------------------------- partition-scoped rewrite
+def replace_partitions(new_rows: DataFrame, path: str, part_col: str, values: list) -> None:
+    """Replace exactly the partitions ``values`` of the Parquet table at
+    ``path`` with ``new_rows`` (which hold rows of those partitions only).
+
+    The new rows are checkpointed first (they are usually computed from the
+    very partitions being replaced, and a path is never overwritten while it is
+    read). Partitions that still have rows are swapped with a dynamic
+    partition overwrite; partitions left with no rows are emptied by a
+    static-partition ``INSERT OVERWRITE`` of an empty selection through a
+    temporary external table over ``path``. Untouched partitions are never
+    read or written.
+    """
+    if not values:
+        return
+    from evtide.session import checkpoint_dir
+    spark = new_rows.sparkSession
+    checkpoint_dir(spark)
+    staged = new_rows.checkpoint(eager=True)
+    present = {r[0] for r in staged.select(part_col).distinct().collect()}  # <= len(values)
+    if present:
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(part_col).parquet(path))
+    emptied = [v for v in values if v not in present]
+    if emptied:
+        _empty_partitions(spark, path, part_col, emptied, staged.schema)
+
+
+def _empty_partitions(spark: SparkSession, path: str, part_col: str, values: list,
+                      schema) -> None:
+    name = f"evtide_parts_{uuid.uuid4().hex[:12]}"
+    data = [f for f in schema.fields if f.name != part_col]
+    part = [f for f in schema.fields if f.name == part_col][0]
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data + [part])
+    spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet PARTITIONED BY (`{part_col}`) "
+              f"LOCATION '{path}'")
+    try:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        empty = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in data)
+        for v in values:
+            lit = f"{part.dataType.simpleString().upper()}'{v}'"
+            spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (`{part_col}` = {lit}) "
+                      f"SELECT {empty} WHERE false")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

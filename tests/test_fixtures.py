@@ -212,3 +212,25 @@ def test_streaming_rollup_equals_batch(spark, tmp_path, dims):
     want = sorted(tuple(r) for r in batch.select("hour_bucket", "event_type_id", "total_count",
                                                  "unique_users").collect())
     assert got == want
+
+
+def test_delete_in_place_rewrites_only_touched_days(spark):
+    import os
+    from evtide.session import scratch_path
+    from evtide.sources import sinks
+    day = dt.timedelta(days=1)
+    e = ev(spark, [(1, 1, 1, None, T0), (2, 1, 1, None, T0 + day), (3, 2, 1, None, T0 + day),
+                   (4, 2, 1, None, T0 + 2 * day)])
+    path = scratch_path(spark, "t-del")
+    sinks.append_events(e, path)
+    before = {d: sorted(os.listdir(os.path.join(path, d))) for d in os.listdir(path)
+              if d.startswith("event_date=")}
+    missing = mutations.delete_events_in_place(
+        path, spark.createDataFrame([(1,), (3,), (42,)], "id long"))
+    assert [r.id for r in missing.collect()] == [42]
+    got = sorted(r.id for r in spark.read.parquet(path).collect())
+    assert got == [2, 4]
+    days = sorted(d for d in os.listdir(path) if d.startswith("event_date="))
+    assert days == [f"event_date={(T0 + day).date()}", f"event_date={(T0 + 2 * day).date()}"]
+    untouched = f"event_date={(T0 + 2 * day).date()}"
+    assert sorted(os.listdir(os.path.join(path, untouched))) == before[untouched]
