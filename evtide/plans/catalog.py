@@ -1389,12 +1389,7 @@ def q_stream_sessions(spark, sf_dir):
     real session so all of them are emitted; the marker's own session is
     still open and never output."""
     src = _events_in_time_order(spark, sf_dir)
-    ev = _t(spark, sf_dir).events
-    (ev.agg(F.max("timestamp").alias("m"))
-     .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
-             F.lit(0).alias("event_type_id"), F.lit(None).cast("string").alias("metadata"),
-             (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
-     .write.mode("append").parquet(src))
+    _heartbeat(spark, sf_dir, src)
     out = scratch_path(spark, "stream-sessions")
     stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
     sess = streams.inactivity_sessions(stream, "30 minutes", watermark="30 minutes")
@@ -1424,3 +1419,33 @@ def q_delete_in_place(spark, sf_dir):
     path = _events_by_day(spark, sf_dir)
     mutations.delete_events_in_place(path, _fulfilled(spark, sf_dir))
     return spark.read.parquet(path).drop("event_date")
+
+
+def _heartbeat(spark, sf_dir, src: str) -> None:
+    """Append one marker event (user -1, type 0) a year after the data: it
+    moves the watermark past every real window or session, and its own
+    window stays open, so it is never output."""
+    ev = _t(spark, sf_dir).events
+    (ev.agg(F.max("timestamp").alias("m"))
+     .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
+             F.lit(0).alias("event_type_id"), F.lit(None).cast("string").alias("metadata"),
+             (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
+     .write.mode("append").parquet(src))
+
+
+@register("stream_rollup_bounded", ORACLES["stream_rollup"])
+def q_stream_rollup_bounded(spark, sf_dir):
+    """Bounded-state incremental rollup (T4): per-(hour, type, user) state,
+    then per (hour, type), append mode; time-ordered input closed by a
+    heartbeat event so every hour is emitted exactly once."""
+    src = _events_in_time_order(spark, sf_dir)
+    _heartbeat(spark, sf_dir, src)
+    out = scratch_path(spark, "stream-bounded")
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+    agg = streams.windowed_type_counts_bounded(stream, "1 hour").select(
+        F.date_trunc("hour", "wt").cast("timestamp_ntz").alias("hour_bucket"),
+        "event_type_id", "total_count", "unique_users")
+    streams.append_stream(agg, out, os.path.basename(out), available_now=True).awaitTermination()
+    rows = spark.read.parquet(out)
+    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
+        "event_type", "hour_bucket", "total_count", "unique_users")
