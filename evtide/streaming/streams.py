@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -65,19 +66,27 @@ def ingest_stream(records: DataFrame, users: DataFrame, event_types: DataFrame,
     """Continuous ingest (T1): each micro-batch runs the batch ingest (W1) as
     a stream-static join, then appends accepted events and rejects.
 
-    Ids continue after the largest id already accepted (or ``base_id``).
+    Ids continue after the largest id handed out by earlier batches (or
+    ``base_id``). That number comes from a one-row-per-batch log kept under
+    ``<accepted_path>/_id_log`` (hidden from readers of the sink), so finding
+    it never rescans the accepted events. A replayed batch rewrites its own
+    events, rejects and log row, so ids stay stable.
     """
     spark = records.sparkSession
+    id_log = os.path.join(accepted_path, "_id_log")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         try:
-            prev = spark.read.parquet(accepted_path).filter(F.col("batch_id") < batch_id)
-            base = max(mutations.max_id(prev), base_id)
-        except Exception:  # nothing accepted yet
-            base = base_id
+            prev = (spark.read.parquet(id_log).filter(F.col("batch_id") < batch_id)
+                    .agg(F.max("max_id")).first()[0])
+        except AnalysisException:  # first batch: no log yet
+            prev = None
+        base = max(prev or 0, base_id)
         out = mutations.ingest_events(batch, users, event_types, as_of=as_of, base_id=base)
+        n = out.table.count()  # the accepted rows are checkpointed by id assignment
         _write_batch(out.table, accepted_path, batch_id)
         _write_batch(out.report, rejects_path, batch_id)
+        _write_batch(spark.createDataFrame([(base + n,)], "max_id long"), id_log, batch_id)
 
     w = (records.writeStream.foreachBatch(run)
          .option("checkpointLocation", query_checkpoint(spark, name)))

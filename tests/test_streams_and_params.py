@@ -151,3 +151,19 @@ def test_bounded_stream_rollup_emits_only_exact_closed_hours(spark, tmp_path):
     assert all(want[k] == v for k, v in got.items())
     last = max(r[4] for r in rows) - dt.timedelta(days=1)
     assert all(k[0] + dt.timedelta(hours=1) <= last for k in got)
+
+
+def test_stream_ingest_ids_continue_across_batches(spark, tmp_path):
+    from evtide.session import scratch_path
+    users = spark.createDataFrame([(i, f"u{i}", T0) for i in (1, 2)], schemas.USERS)
+    src = str(tmp_path / "rec")
+    for part in range(3):
+        spark.createDataFrame([(1, "click", T0, None), (2, "view", None, None), (9, "click", T0, None)],
+                              schemas.INGEST_RECORD).coalesce(1).write.mode("append").json(src)
+    acc, rej = scratch_path(spark, "acc"), scratch_path(spark, "rej")
+    streams.ingest_stream(streams.json_records(spark, src, max_files=1), users, _types(spark),
+                          acc, rej, name=f"ing-{RUN}", as_of=T0, base_id=100,
+                          available_now=True).awaitTermination()
+    ids = sorted(r.id for r in spark.read.parquet(acc).collect())
+    assert ids == list(range(101, 107))
+    assert spark.read.parquet(rej).count() == 3
