@@ -279,7 +279,8 @@ def product_pivot(events: DataFrame, event_types: DataFrame, type_names: list[st
     ev = with_type_name(_typed(events).filter(F.col("_m.product_id").isNotNull()),
                         event_types)
     return (ev.groupBy(F.col("_m.product_id").alias("product_id"))
-            .pivot("event_type", list(type_names)).count())
+            .pivot("event_type", list(type_names)).count()
+            .na.fill(0, list(type_names)))
 
 
 def sessions(events: DataFrame, frm=None, to=None) -> DataFrame:

@@ -1449,3 +1449,40 @@ def q_stream_rollup_bounded(spark, sf_dir):
     rows = spark.read.parquet(out)
     return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
         "event_type", "hour_bucket", "total_count", "unique_users")
+
+
+MINUTE_FROM, MINUTE_TO = "2024-01-15 10:00:00", "2024-01-15 13:59:59"
+
+
+@register("timeseries_minute", _bucket_sql(
+    "minute", f'e."timestamp" >= {tsl(MINUTE_FROM)} AND e."timestamp" <= {tsl(MINUTE_TO)}'))
+def q_timeseries_minute(spark, sf_dir):
+    """Minute buckets over four hours (A15 with F3)."""
+    t = _t(spark, sf_dir)
+    return metrics.timeseries(t.events, t.event_types, "minute", MINUTE_FROM, MINUTE_TO)
+
+
+RT_USERS = (3, 7, 11, 12, 40)
+
+
+@register("realtime_metrics_users", _bucket_sql(
+    "day", f"date_trunc('day', \"timestamp\") = date_trunc('day', {tsl(AT)}) "
+           f"AND user_id IN ({', '.join(map(str, RT_USERS))})"))
+def q_realtime_metrics_users(spark, sf_dir):
+    """A14 for the day bucket of AT, restricted to a list of users."""
+    t = _t(spark, sf_dir)
+    return metrics.realtime_metrics(t.events, t.event_types, "day", at=AT,
+                                    user_ids=list(RT_USERS))
+
+
+PIVOT_TYPES = ("purchase", "view", "click")
+
+
+@register("product_pivot", sql(f"""
+SELECT e.product_id,
+       {", ".join(f"count(*) FILTER (WHERE t.name = '{n}') AS {n}" for n in PIVOT_TYPES)}
+FROM c_typed e {_TYPED_JOIN} WHERE e.product_id IS NOT NULL GROUP BY e.product_id"""))
+def q_product_pivot(spark, sf_dir):
+    """Per product id, one event-count column per listed type (A22, wide)."""
+    t = _t(spark, sf_dir)
+    return metrics.product_pivot(t.events, t.event_types, list(PIVOT_TYPES))
