@@ -16,6 +16,8 @@ from the end (-1 is the last).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,8 +224,22 @@ def list_pop(lists: DataFrame, n: int = 1, right: bool = False
 
 
 # ---------------------------------------------------------------- sets
-def daily_active(events: DataFrame) -> DataFrame:
-    """Active-user set per day (U9): key ``active:<yyyy-mm-dd>``."""
+def daily_active(events: DataFrame, days: list[str] | None = None) -> DataFrame:
+    """Active-user set per day (U9): key ``active:<yyyy-mm-dd>``.
+
+    With ``days`` (``yyyy-mm-dd`` strings) only those days are built: each
+    becomes a half-open time range on the raw column, so the day filter
+    reaches the Parquet scan instead of running after the whole table is
+    turned into sets.
+    """
+    if days:
+        cond = None
+        for d in sorted(set(days)):
+            start = dt.datetime.fromisoformat(d)
+            rng = ((F.col("timestamp") >= ts(start)) &
+                   (F.col("timestamp") < ts(start + dt.timedelta(days=1))))
+            cond = rng if cond is None else cond | rng
+        events = events.filter(cond)
     return events.select(
         F.concat(F.lit("active:"), F.to_date("timestamp").cast("string")).alias("key"),
         F.col("user_id").cast("string").alias("member")).distinct()

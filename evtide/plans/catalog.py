@@ -889,28 +889,32 @@ DAYS = ["active:2024-01-10", "active:2024-01-11", "active:2024-01-12"]
 _DAYS_SQL = ", ".join(f"'{d}'" for d in DAYS)
 
 
-def _active(spark, sf_dir):
-    return keyed.daily_active(_t(spark, sf_dir).events)
+def _active(spark, sf_dir, days: list[str] | None = None):
+    return keyed.daily_active(_t(spark, sf_dir).events, days)
+
+
+def _days(keys: list[str]) -> list[str]:
+    return [k.split(":", 1)[1] for k in keys]
 
 
 @register("active_users_union", sql(
     f"SELECT DISTINCT member FROM active WHERE key IN ({_DAYS_SQL})", ACTIVE_SQL))
 def q_active_union(spark, sf_dir):
-    return keyed.set_union(_active(spark, sf_dir), DAYS)
+    return keyed.set_union(_active(spark, sf_dir, _days(DAYS)), DAYS)
 
 
 @register("active_users_intersect", sql(
     f"SELECT member FROM active WHERE key IN ({_DAYS_SQL}) GROUP BY member "
     f"HAVING count(DISTINCT key) = {len(DAYS)}", ACTIVE_SQL))
 def q_active_intersect(spark, sf_dir):
-    return keyed.set_intersect(_active(spark, sf_dir), DAYS)
+    return keyed.set_intersect(_active(spark, sf_dir, _days(DAYS)), DAYS)
 
 
 @register("active_users_diff", sql(
     f"SELECT DISTINCT member FROM active WHERE key = '{DAYS[0]}' AND member NOT IN "
     f"(SELECT member FROM active WHERE key = '{DAYS[1]}')", ACTIVE_SQL))
 def q_active_diff(spark, sf_dir):
-    return keyed.set_diff(_active(spark, sf_dir), DAYS[0], DAYS[1:2])
+    return keyed.set_diff(_active(spark, sf_dir, _days(DAYS)), DAYS[0], DAYS[1:2])
 
 
 @register("active_set_sizes", sql(
