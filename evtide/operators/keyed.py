@@ -94,7 +94,8 @@ def top(board: DataFrame, n: int, bottom: bool = False) -> DataFrame:
     if n <= 0:
         return board.limit(0).withColumn("rank", F.lit(0))
     w = Window.partitionBy("board").orderBy(*(_asc() if bottom else _desc()))
-    return board.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < n)
+    return (board.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+            .filter(F.col("rank") < n))
 
 
 def score_range(board: DataFrame, lo: float, hi: float, offset: int = 0,

@@ -214,7 +214,7 @@ def latest_per_user(events: DataFrame, n: int, event_types: DataFrame | None = N
     if n <= 0:
         return events.limit(0).withColumn("rank", F.lit(0))
     w = Window.partitionBy("user_id").orderBy(*newest_first())
-    out = (events.withColumn("rank", F.row_number().over(w))
+    out = (events.withColumn("rank", F.row_number().over(w).cast("long"))
            .filter(F.col("rank") <= n))
     if event_types is not None:
         out = with_type_name(out, event_types)

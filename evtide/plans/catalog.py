@@ -1308,7 +1308,7 @@ def q_create_event_types_report(spark, sf_dir):
 
 
 @register("rename_event_types", sql("""
-SELECT t.id, r.name, CASE WHEN r.name IS NULL THEN 'ok'
+SELECT CAST(t.id AS BIGINT) AS id, r.name, CASE WHEN r.name IS NULL THEN 'ok'
   WHEN EXISTS (SELECT 1 FROM c_event_types u WHERE u.name = r.name AND u.id <> r.id)
   THEN 'name_exists' ELSE 'ok' END AS status
 FROM c_event_types t JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN upper(name)

@@ -61,3 +61,15 @@ def compare(spark, name: str, sf_dir: str, queries: dict, oracles: dict):
     s_pdf = queries[name](spark, sf_dir).toPandas()
     o_pdf = duck(sf_dir).execute(oracles[name]).df()
     return frame_digest(s_pdf), frame_digest(o_pdf), s_pdf, o_pdf
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def type_diffs(spark_df, duck_rel) -> list:
+    """Columns whose Spark type does not map to the oracle's DuckDB type."""
+    st = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
+    dt = dict(zip(duck_rel.columns, [str(t) for t in duck_rel.types]))
+    return [(c, st.get(c), dt.get(c)) for c in sorted(set(st) | set(dt))
+            if SPARK_TO_DUCK.get(st.get(c), st.get(c)) != dt.get(c)]

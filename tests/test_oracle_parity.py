@@ -3,7 +3,7 @@
 import pytest
 
 from evtide.plans.catalog import ORACLES, QUERIES
-from oracle_harness import compare
+from oracle_harness import compare, duck, type_diffs
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,6 +16,12 @@ def test_matches_oracle(spark, name):
     assert sh == oh, "values differ"
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_types_match_oracle(spark, name):
+    diffs = type_diffs(QUERIES[name](spark, SF), duck(SF).sql(ORACLES[name]))
+    assert not diffs, diffs
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_queries_run(spark, name):
     df = QUERIES[name](spark, SF)
