@@ -75,9 +75,14 @@ def events_with_types(events: DataFrame, event_types: DataFrame) -> DataFrame:
     return event_response(with_type_name(events, event_types)).orderBy(*newest_first())
 
 
-def users_by_name(users: DataFrame) -> DataFrame:
-    """All users by name (S2); binary collation, id breaks ties."""
-    return user_response(users).orderBy("name", "id")
+def users_by_name(users: DataFrame, collation: str | None = None) -> DataFrame:
+    """All users by name (S2); id breaks ties.
+
+    Binary (code point) order by default; ``collation="UNICODE"`` (or any
+    Spark collation name) sorts like a database's linguistic collation.
+    """
+    key = F.col("name") if collation is None else F.collate(F.col("name"), collation)
+    return user_response(users).orderBy(key, F.col("id"))
 
 
 def types_by_name(event_types: DataFrame) -> DataFrame:
