@@ -237,13 +237,35 @@ def _typed(events: DataFrame) -> DataFrame:
     return with_typed_metadata(events, out="_m")
 
 
+def _present(*cols: str):
+    """Rows of the aggregate whose key field was present.
+
+    The null group is dropped *after* aggregation through an aggregate value
+    (``count(field) > 0``). A ``field IS NOT NULL`` filter before grouping
+    would be pushed by Catalyst below the typed-metadata projection and parse
+    each row's JSON twice; the null group itself is cheap, since it is
+    pre-aggregated map-side like any other group.
+    """
+    return [F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)]
+
+
+def _keep_present(df: DataFrame, n: int) -> DataFrame:
+    cond = None
+    for i in range(n):
+        c = F.col(f"_n{i}") > 0
+        cond = c if cond is None else cond & c
+    return df.filter(cond).drop(*[f"_n{i}" for i in range(n)])
+
+
 def page_analytics(events: DataFrame, frm=None, to=None) -> DataFrame:
     """Per page of the typed metadata: events, distinct users and sessions."""
-    ev = _typed(in_range(events, frm, to)).filter(F.col("_m.page").isNotNull())
-    return ev.groupBy(F.col("_m.page").alias("page")).agg(
+    ev = _typed(in_range(events, frm, to))
+    g = ev.groupBy(F.col("_m.page").alias("page")).agg(
         F.count(F.lit(1)).alias("events"),
         F.countDistinct("user_id").alias("unique_users"),
-        F.countDistinct("_m.session_id").alias("unique_sessions"))
+        F.countDistinct("_m.session_id").alias("unique_sessions"),
+        *_present("_m.page"))
+    return _keep_present(g, 1)
 
 
 def referrer_host(referrer) -> "F.Column":
@@ -254,32 +276,33 @@ def referrer_host(referrer) -> "F.Column":
 def referrer_analytics(events: DataFrame, by: str = "host", frm=None, to=None) -> DataFrame:
     """Per referrer (``by="referrer"``) or referrer host (A21): events,
     distinct users, distinct sessions."""
-    ev = _typed(in_range(events, frm, to)).filter(F.col("_m.referrer").isNotNull())
+    ev = _typed(in_range(events, frm, to))
     key = (F.col("_m.referrer") if by == "referrer" else referrer_host(F.col("_m.referrer")))
-    return ev.groupBy(key.alias(by)).agg(
+    g = ev.groupBy(key.alias(by)).agg(
         F.count(F.lit(1)).alias("events"),
         F.countDistinct("user_id").alias("unique_users"),
-        F.countDistinct("_m.session_id").alias("unique_sessions"))
+        F.countDistinct("_m.session_id").alias("unique_sessions"),
+        *_present("_m.referrer"))
+    return _keep_present(g, 1)
 
 
 def product_analytics(events: DataFrame, event_types: DataFrame, frm=None, to=None
                       ) -> DataFrame:
     """Per (product id, event type): events and distinct users."""
-    ev = _typed(in_range(events, frm, to)).filter(F.col("_m.product_id").isNotNull())
+    ev = _typed(in_range(events, frm, to))
     per = ev.groupBy(F.col("_m.product_id").alias("product_id"), "event_type_id").agg(
         F.count(F.lit(1)).alias("events"),
-        F.countDistinct("user_id").alias("unique_users"))
-    return with_type_name(per, event_types).select(
+        F.countDistinct("user_id").alias("unique_users"),
+        *_present("_m.product_id"))
+    return with_type_name(_keep_present(per, 1), event_types).select(
         "product_id", "event_type", "events", "unique_users")
 
 
 def product_pivot(events: DataFrame, event_types: DataFrame, type_names: list[str]
                   ) -> DataFrame:
     """Wide form of A22: one count column per listed type name."""
-    ev = with_type_name(_typed(events).filter(F.col("_m.product_id").isNotNull()),
-                        event_types)
-    return (ev.groupBy(F.col("_m.product_id").alias("product_id"))
-            .pivot("event_type", list(type_names)).count()
+    per = product_analytics(events, event_types)
+    return (per.groupBy("product_id").pivot("event_type", list(type_names)).sum("events")
             .na.fill(0, list(type_names)))
 
 
@@ -291,7 +314,7 @@ def sessions(events: DataFrame, frm=None, to=None) -> DataFrame:
     Every aggregate is mergeable (min_by/max_by, counts), so a huge session
     never has to be held in one buffer.
     """
-    ev = _typed(in_range(events, frm, to)).filter(F.col("_m.session_id").isNotNull())
+    ev = _typed(in_range(events, frm, to))
     order = F.struct("timestamp", "id")
     g = ev.groupBy(F.col("_m.session_id").alias("session_id")).agg(
         F.min("user_id").alias("user_id"),
@@ -300,8 +323,9 @@ def sessions(events: DataFrame, frm=None, to=None) -> DataFrame:
         F.count(F.lit(1)).alias("events"),
         F.countDistinct("_m.page").alias("distinct_pages"),
         F.min_by("_m.page", order).alias("entry_page"),
-        F.max_by("_m.page", order).alias("exit_page"))
-    return g.withColumn(
+        F.max_by("_m.page", order).alias("exit_page"),
+        *_present("_m.session_id"))
+    return _keep_present(g, 1).withColumn(
         "duration_s",
         (F.unix_micros(F.col("session_end").cast("timestamp")) -
          F.unix_micros(F.col("session_start").cast("timestamp"))) / F.lit(1e6))

@@ -107,8 +107,8 @@ def _report(spark, sf_dir, type_name):
     over the snapshot (S9), as the service does it."""
     t = _t(spark, sf_dir)
     base = scratch_path(spark, "rollup")
-    streams.refresh_rollup(t.events, t.event_types, base, as_of=AS_OF)
-    snap = sinks.read_current(spark, base, schemas.ROLLUP)
+    version = streams.refresh_rollup(t.events, t.event_types, base, as_of=AS_OF)
+    snap = spark.read.schema(schemas.ROLLUP).parquet(version)  # the version just written
     return report.stats_report(snap, FROM, TO, type_name, now=AS_OF)
 
 
