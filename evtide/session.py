@@ -72,7 +72,7 @@ def recommended_conf(input_bytes: int, total_cores: int,
     near ``target_partition_bytes`` (never fewer than two per core); AQE then
     coalesces small ones and splits skewed ones at run time. Scan splits are
     kept at the same size so one task reads about one target partition.
-    For 100 TB on 1000 executors x 8 cores this gives 400,000 shuffle
+    For 100 TB on 1000 executors x 8 cores this gives 409,600 shuffle
     partitions before coalescing.
     """
     parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
