@@ -133,6 +133,15 @@ def _source_key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(stats))
 
 
+def _still_there(t: Tables) -> bool:
+    """False when a local copy written earlier has been removed."""
+    for path in t.events.inputFiles()[:1]:
+        local = path[len("file:"):] if path.startswith("file:") else path
+        if local.startswith("/") and not os.path.exists(local):
+            return False
+    return True
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Tables:
     """Canonical tables written once per session, then read back.
 
@@ -145,6 +154,8 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
     """
     from evtide.session import scratch_path
     key = _source_key(spark, sf_dir)
+    if key in _STORED and not _still_there(_STORED[key]):
+        del _STORED[key]
     if key not in _STORED:
         t = canonical(spark, sf_dir)
         base = scratch_path(spark, "canonical")
