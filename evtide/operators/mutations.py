@@ -149,27 +149,32 @@ def update_events(events: DataFrame, updates: DataFrame,
 
     A given type replaces the type, a given metadata *replaces* the metadata
     (no merge); null means "not given"; the update's timestamp is ignored.
-    The latest ``seq`` per event wins. Report rows: (seq, event_id, status)
-    with ``updated``, ``not_found`` or ``unknown_event_type`` (a type id
-    missing from the dimension), plus the response columns of updated rows
-    with the re-resolved type name ('' when missing, W7).
+    Commands for the same event act as if applied in ``seq`` order: the
+    event ends with the last given type and the last given metadata of its
+    valid commands (a mergeable ``max_by`` per event, so an event with very
+    many commands is pre-aggregated, not gathered). Report rows:
+    (seq, event_id, status) with ``updated``, ``not_found`` or
+    ``unknown_event_type`` (a type id missing from the dimension), plus, on
+    ``updated`` rows, the event as it stands after the batch with its
+    re-resolved type name ('' when missing, W7).
     """
     u = with_seq(updates)
-    last = u.groupBy("event_id").agg(F.max("seq").alias("_last"))
-    u = u.join(last, "event_id").withColumn("_superseded", F.col("seq") != F.col("_last"))
     ids = events.select(F.col("id").alias("event_id"), F.lit(True).alias("_found"))
-    types = event_types.select(F.col("id").alias("_tid"), F.col("name").alias("_tname"))
+    types = event_types.select(F.col("id").alias("_tid"))
     chk = (u.join(ids, "event_id", "left")
            .join(types, F.col("event_type_id") == F.col("_tid"), "left"))
     status = (F.when(F.col("_found").isNull(), F.lit("not_found"))
               .when(F.col("event_type_id").isNotNull() & F.col("_tid").isNull(),
                     F.lit("unknown_event_type"))
-              .when(F.col("_superseded"), F.lit("superseded"))
               .otherwise(F.lit("updated")))
     chk = chk.withColumn("status", status)
-    good = chk.filter(F.col("status") == "updated").select(
-        F.col("event_id").alias("id"), F.col("event_type_id").alias("_new_type"),
-        F.col("metadata").alias("_new_meta"), F.lit(True).alias("_hit"))
+    valid = chk.filter(F.col("status") == "updated")
+    good = valid.groupBy(F.col("event_id").alias("id")).agg(
+        F.max_by("event_type_id", F.when(F.col("event_type_id").isNotNull(), F.col("seq")))
+        .alias("_new_type"),
+        F.max_by("metadata", F.when(F.col("metadata").isNotNull(), F.col("seq")))
+        .alias("_new_meta"),
+        F.lit(True).alias("_hit"))
     e = events.join(good, "id", "left")
     new_events = e.select(
         "id", "user_id",
@@ -182,7 +187,7 @@ def update_events(events: DataFrame, updates: DataFrame,
                .join(event_types.select(F.col("id").alias("event_type_id"),
                                         F.col("name").alias("_n")), "event_type_id", "left")
                .withColumn("event_type", F.coalesce("_n", F.lit(""))).drop("_n"))
-    # response columns only on the command that was applied
+    # response columns only on commands that were applied
     report = chk.select("seq", "event_id", "status").join(
         changed.withColumnRenamed("id", "event_id").withColumn("status", F.lit("updated")),
         ["event_id", "status"], "left")
@@ -213,9 +218,9 @@ def rename(table: DataFrame, renames: DataFrame) -> Outcome:
               .when(F.col("seq") != F.col("_first"), F.lit("name_exists"))
               .otherwise(F.lit("ok")))
     rep = j.select("seq", "id", "name", status.alias("status"))
-    # one applied rename per id: the earliest ok command with a name
+    # commands act in seq order: an id ends with its last ok rename
     applied = (rep.filter((F.col("status") == "ok") & F.col("name").isNotNull())
-               .groupBy("id").agg(F.min_by("name", "seq").alias("_new")))
+               .groupBy("id").agg(F.max_by("name", "seq").alias("_new")))
     new = table.join(applied, "id", "left").withColumn(
         "name", F.coalesce("_new", "name")).drop("_new")
     return Outcome(new.select(*table.columns), rep)

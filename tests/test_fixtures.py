@@ -234,3 +234,23 @@ def test_delete_in_place_rewrites_only_touched_days(spark):
     assert days == [f"event_date={(T0 + day).date()}", f"event_date={(T0 + 2 * day).date()}"]
     untouched = f"event_date={(T0 + 2 * day).date()}"
     assert sorted(os.listdir(os.path.join(path, untouched))) == before[untouched]
+
+
+def test_updates_fold_in_sequence(spark, dims):
+    _, types = dims
+    e = ev(spark, [(1, 1, 1, '{"page":"a"}', T0)])
+    upd = spark.createDataFrame(
+        [(1, 2, None, None, 0), (1, None, '{"page":"b"}', None, 1), (1, 99, None, None, 2)],
+        "event_id long, event_type_id int, metadata string, timestamp timestamp_ntz, seq long")
+    out = mutations.update_events(e, upd, types)
+    row = out.table.collect()[0]
+    assert (row.event_type_id, row.metadata) == (2, '{"page":"b"}')
+    st = {r.seq: r.status for r in out.report.collect()}
+    assert st == {0: "updated", 1: "updated", 2: "unknown_event_type"}
+
+
+def test_rename_last_ok_command_wins(spark, dims):
+    users, _ = dims
+    ren = spark.createDataFrame([(1, "first", 0), (1, "second", 1)], "id long, name string, seq long")
+    out = mutations.rename(users, ren)
+    assert {r.id: r.name for r in out.table.collect()}[1] == "second"
