@@ -63,7 +63,7 @@ def variant_struct(v) -> Column:
 
 def metadata_ok(metadata) -> Column:
     """True when the typed view of ``metadata`` is a (possibly all-null) struct."""
-    return variant_ok(variant(metadata))
+    return typed_metadata(metadata).isNotNull()
 
 
 def parse_metadata(metadata) -> Column:
