@@ -1,1492 +1,10 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, plus SQL oracles.
 
-Every query reads the driver tables in full through the adapter
-(``evtide.sources.driver_tables``) and runs the library's own operators.
-Fixed parameters (data span 2024-01-01 .. 2024-01-30):
-as_of 2024-02-05, from 2024-01-10 06:30, to 2024-01-20 18:15, type click,
-user 3.
+Importing this module registers every query; the modules below group them
+by area. ``QUERIES`` and ``ORACLES`` are shared dictionaries.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from evtide.functions.metadata import json_text, metadata_issue, with_typed_metadata
-from evtide.operators import keyed, metrics, mutations, reads, report, rollup
-from evtide.plans.oracle import has_page, sql, tsl
-from evtide.session import scratch_path
-from evtide.sources import generate, readers, schemas, sinks
-from evtide.sources.driver_tables import read_driver, stored
-from evtide.streaming import streams
-
-AS_OF = "2024-02-05 00:00:00"
-FROM = "2024-01-10 06:30:00"
-TO = "2024-01-20 18:15:00"
-FROM_H = "2024-01-10 06:00:00"   # floor_hour(FROM)
-TO_H = "2024-01-20 18:00:00"     # floor_hour(TO)
-TYPE = "click"
-ABSENT_TYPE = "no_such_type"
-USER = 3
-LOOKUP_IDS = (0, 5, 17, 123, 4567, 99999, 10 ** 12)
-AT = "2024-01-15 12:34:56"
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-    return deco
-
-
-def _t(spark, sf_dir):
-    return stored(spark, sf_dir)
-
-
-# ====================================================================== step 1
-ROLLUP_SQL = f"""
-ty AS (
-  SELECT t.name AS key_name, date_trunc('hour', e."timestamp") AS hour_bucket,
-         count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
-  FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id
-  WHERE e."timestamp" >= {tsl(AS_OF)} - INTERVAL 30 DAY
-  GROUP BY 1, 2),
-pg AS (
-  SELECT coalesce(json_extract_string(metadata, '$.page'), 'unknown') AS key_name,
-         date_trunc('hour', "timestamp") AS hour_bucket, count(*) AS page_count
-  FROM c_events
-  WHERE {has_page()} AND "timestamp" >= {tsl(AS_OF)} - INTERVAL 30 DAY
-  GROUP BY 1, 2),
-rollup AS (
-  SELECT 'event_type' AS stat_type, key_name, hour_bucket, total_count, unique_users,
-         CAST(NULL AS BIGINT) AS page_count FROM ty
-  UNION ALL
-  SELECT 'page', key_name, hour_bucket, NULL, NULL, page_count FROM pg)"""
-
-
-@register("stats_rollup", sql("SELECT * FROM rollup", ROLLUP_SQL))
-def q_stats_rollup(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return rollup.stats_rollup(t.events, t.event_types, as_of=AS_OF)
-
-
-def _report_sql(type_name: str | None) -> str:
-    tf = "" if type_name is None else f"AND key_name = '{type_name}'"
-    return sql(f"""
-SELECT 'events' AS result_type, event_type, total_count AS "count", unique_users,
-       CAST(NULL AS VARCHAR) AS page FROM filtered
-UNION ALL
-SELECT 'totals', NULL, coalesce(CAST(sum(total_count) AS BIGINT), 0),
-       coalesce(CAST(sum(unique_users) AS BIGINT), 0), NULL FROM filtered
-UNION ALL
-SELECT 'pages', NULL, "count", NULL, page FROM pages""", ROLLUP_SQL + f""",
-filtered AS (
-  SELECT key_name AS event_type, CAST(sum(total_count) AS BIGINT) AS total_count,
-         CAST(sum(unique_users) AS BIGINT) AS unique_users
-  FROM rollup WHERE stat_type = 'event_type'
-    AND hour_bucket >= {tsl(FROM_H)} AND hour_bucket <= {tsl(TO_H)} {tf}
-  GROUP BY key_name),
-pages AS (
-  SELECT key_name AS page, CAST(sum(page_count) AS BIGINT) AS "count"
-  FROM rollup WHERE stat_type = 'page'
-    AND hour_bucket >= {tsl(FROM_H)} AND hour_bucket <= {tsl(TO_H)}
-  GROUP BY key_name ORDER BY "count" DESC, page LIMIT 10)""")
-
-
-def _report(spark, sf_dir, type_name):
-    """Rollup job (W18: build + write a snapshot version), then the report
-    over the snapshot (S9), as the service does it."""
-    t = _t(spark, sf_dir)
-    base = scratch_path(spark, "rollup")
-    version = streams.refresh_rollup(t.events, t.event_types, base, as_of=AS_OF)
-    snap = spark.read.schema(schemas.ROLLUP).parquet(version)  # the version just written
-    return report.stats_report(snap, FROM, TO, type_name, now=AS_OF)
-
-
-@register("stats_report", _report_sql(None))
-def q_stats_report(spark, sf_dir):
-    return _report(spark, sf_dir, None)
-
-
-@register("stats_report_typed", _report_sql(TYPE))
-def q_stats_report_typed(spark, sf_dir):
-    return _report(spark, sf_dir, TYPE)
-
-
-@register("stats_report_absent_type", _report_sql(ABSENT_TYPE))
-def q_stats_report_absent(spark, sf_dir):
-    return _report(spark, sf_dir, ABSENT_TYPE)
-
-
-# ====================================================================== step 2
-def _range_where(alias: str = "e") -> str:
-    return f'{alias}."timestamp" >= {tsl(FROM)} AND {alias}."timestamp" <= {tsl(TO)}'
-
-
-_TYPED_JOIN = "JOIN c_event_types t ON e.event_type_id = t.id"
-
-
-@register("count_events", sql(f'SELECT count(*) AS "count" FROM c_events e WHERE {_range_where()}'))
-def q_count_events(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.count_events(t.events, t.event_types, FROM, TO)
-
-
-@register("count_events_typed", sql(
-    f"SELECT count(*) AS \"count\" FROM c_events e {_TYPED_JOIN} "
-    f"WHERE {_range_where()} AND t.name = '{TYPE}'"))
-def q_count_events_typed(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.count_events(t.events, t.event_types, FROM, TO, TYPE)
-
-
-@register("unique_users", sql(
-    f"SELECT count(DISTINCT user_id) AS unique_users FROM c_events e WHERE {_range_where()}"))
-def q_unique_users(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.unique_users(t.events, t.event_types, FROM, TO)
-
-
-@register("unique_users_typed", sql(
-    f"SELECT count(DISTINCT e.user_id) AS unique_users FROM c_events e {_TYPED_JOIN} "
-    f"WHERE {_range_where()} AND t.name = '{TYPE}'"))
-def q_unique_users_typed(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.unique_users(t.events, t.event_types, FROM, TO, TYPE)
-
-
-@register("event_type_stats", sql(
-    f"SELECT t.name AS event_type, count(*) AS \"count\" FROM c_events e {_TYPED_JOIN} "
-    f"WHERE {_range_where()} GROUP BY t.name"))
-def q_event_type_stats(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.event_type_stats(t.events, t.event_types, FROM, TO)
-
-
-def _top_pages_sql(type_name):
-    tf = "" if type_name is None else f"AND t.name = '{type_name}'"
-    return sql(f"""
-SELECT coalesce(raw, 'unknown') AS page, "count" FROM (
-  SELECT json_extract_string(e.metadata, '$.page') AS raw, count(*) AS "count"
-  FROM c_events e {_TYPED_JOIN}
-  WHERE {_range_where()} AND {has_page('e.metadata')} {tf}
-  GROUP BY 1) g
-ORDER BY "count" DESC, coalesce(raw, 'unknown'), raw NULLS FIRST LIMIT 10""")
-
-
-@register("top_pages", _top_pages_sql(None))
-def q_top_pages(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.top_pages(t.events, t.event_types, FROM, TO, None, 10)
-
-
-@register("top_pages_typed", _top_pages_sql(TYPE))
-def q_top_pages_typed(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.top_pages(t.events, t.event_types, FROM, TO, TYPE, 10)
-
-
-# ====================================================================== step 3
-_RESPONSE = ('e.id, e.user_id AS "userId", t.name AS "eventType", e.event_type_id, '
-             'e."timestamp", e.metadata')
-_BARE = 'id, user_id, event_type_id, "timestamp", metadata'
-
-
-@register("event_by_id", sql(
-    f"SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN} "
-    f"WHERE e.id IN ({', '.join(map(str, LOOKUP_IDS))})"))
-def q_event_by_id(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    keys = spark.createDataFrame([(i,) for i in LOOKUP_IDS], "id long")
-    return reads.event_by_id(t.events, t.event_types, keys)
-
-
-@register("list_events", sql(
-    f'SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN} '
-    f'ORDER BY e."timestamp" DESC, e.id DESC LIMIT 100 OFFSET 100'))
-def q_list_events(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.list_events(t.events, t.event_types, page=2)
-
-
-@register("list_events_filtered", sql(
-    f'SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN} '
-    f'WHERE e.user_id = {USER} AND e.event_type_id = 1 '
-    f'ORDER BY e."timestamp" DESC, e.id DESC LIMIT 5 OFFSET 2'))
-def q_list_events_filtered(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.list_events(t.events, t.event_types, user_id=USER, event_type_id=1,
-                             limit=5, offset=2, page=7)
-
-
-@register("user_events", sql(
-    f'SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN} WHERE e.user_id = {USER}'))
-def q_user_events(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.user_events(t.events, t.event_types, USER)
-
-
-@register("user_events_limited", sql(
-    f'SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN} WHERE e.user_id = {USER} '
-    f'ORDER BY e."timestamp" DESC, e.id DESC LIMIT 7'))
-def q_user_events_limited(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.user_events(t.events, t.event_types, USER, limit=7)
-
-
-@register("events_page", sql(
-    f'SELECT {_BARE} FROM c_events ORDER BY "timestamp" DESC, id DESC LIMIT 50 OFFSET 20'))
-def q_events_page(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.events_page(t.events, limit=50, offset=20)
-
-
-def _cursor_sql(where: str, limit: int, order: str, keys: list[str], cols: str) -> str:
-    nxt = ", ".join(
-        f"CASE WHEN max(rn) OVER () > {limit} THEN "
-        f"max(CASE WHEN rn = {limit} THEN {k} END) OVER () END AS next_{k.strip(chr(34))}"
-        for k in keys)
-    return sql(f"""
-SELECT {cols}, {nxt} FROM (
-  SELECT {cols}, row_number() OVER (ORDER BY {order}) AS rn FROM (
-    SELECT {cols} FROM src {where} ORDER BY {order} LIMIT {limit + 1}) a) b
-QUALIFY rn <= {limit}""", "src AS (SELECT * FROM c_events)")
-
-
-CURSOR_TS = "2024-01-20 00:00:00"
-
-
-@register("events_cursor", _cursor_sql(
-    f'WHERE "timestamp" < {tsl(CURSOR_TS)}', 100, '"timestamp" DESC, id DESC',
-    ['"timestamp"', "id"], _BARE))
-def q_events_cursor(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.events_cursor(t.events, cursor_ts=CURSOR_TS, limit=100, ties="skip")
-
-
-@register("user_events_cursor", _cursor_sql(
-    f'WHERE user_id = {USER} AND "timestamp" < {tsl(CURSOR_TS)}', 10,
-    '"timestamp" DESC, id DESC', ['"timestamp"', "id"], _BARE))
-def q_user_events_cursor(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.events_cursor(t.events, cursor_ts=CURSOR_TS, limit=10, user_id=USER)
-
-
-@register("users_page", sql(
-    "SELECT id, name, created_at FROM c_users ORDER BY name, id LIMIT 20 OFFSET 10"))
-def q_users_page(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.users_page(t.users, limit=20, offset=10)
-
-
-USERS_CURSOR = "Customer#000000100"
-
-
-@register("users_cursor", _cursor_sql(
-    f"WHERE name > '{USERS_CURSOR}'", 25, "name, id", ["name"],
-    "id, name, created_at").replace("src AS (SELECT * FROM c_events)",
-                                    "src AS (SELECT * FROM c_users)"))
-def q_users_cursor(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.users_cursor(t.users, USERS_CURSOR, 25)
-
-
-@register("metadata_typed", sql(
-    "SELECT id, meta_ok, page, referrer, session_id, product_id FROM c_typed"))
-def q_metadata_typed(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return with_typed_metadata(t.events, out="m", ok_col="meta_ok").select(
-        "id", "meta_ok", "m.page", "m.referrer", "m.session_id", "m.product_id")
-
-
-_ISSUE_SQL = """CASE
-  WHEN referrer IS NOT NULL AND NOT (starts_with(referrer, 'http://')
-       OR starts_with(referrer, 'https://')) THEN 'invalid_referrer'
-  WHEN product_id IS NOT NULL AND product_id <= 0 THEN 'invalid_product_id' END"""
-
-
-@register("metadata_invalid", sql(
-    f"SELECT id, reason FROM (SELECT id, {_ISSUE_SQL} AS reason FROM c_typed "
-    "WHERE meta_ok) x WHERE reason IS NOT NULL"))
-def q_metadata_invalid(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    typed = with_typed_metadata(t.events, out="m")
-    return (typed.select("id", metadata_issue("m").alias("reason"))
-            .filter(F.col("reason").isNotNull()))
-
-
-@register("metadata_issue_counts", sql(
-    f"SELECT reason, count(*) AS \"count\" FROM (SELECT {_ISSUE_SQL} AS reason FROM c_typed "
-    "WHERE meta_ok) x WHERE reason IS NOT NULL GROUP BY reason"))
-def q_metadata_issue_counts(spark, sf_dir):
-    return q_metadata_invalid(spark, sf_dir).groupBy("reason").agg(
-        F.count(F.lit(1)).alias("count"))
-
-
-# ====================================================================== step 4
-def _bucket_sql(unit: str, where: str) -> str:
-    return sql(f"""
-SELECT p.bucket_start, t.name AS event_type, p.type_count, b.total_events, b.unique_users
-FROM (SELECT date_trunc('{unit}', "timestamp") AS bucket_start, event_type_id,
-             count(*) AS type_count FROM c_events e WHERE {where} GROUP BY 1, 2) p
-JOIN c_event_types t ON p.event_type_id = t.id
-JOIN (SELECT date_trunc('{unit}', "timestamp") AS bucket_start, count(*) AS total_events,
-             count(DISTINCT user_id) AS unique_users FROM c_events e WHERE {where} GROUP BY 1) b
-  ON p.bucket_start = b.bucket_start""")
-
-
-@register("realtime_metrics", _bucket_sql(
-    "hour", f"date_trunc('hour', \"timestamp\") = date_trunc('hour', {tsl(AT)})"))
-def q_realtime_metrics(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.realtime_metrics(t.events, t.event_types, "hour", at=AT)
-
-
-@register("timeseries_hour", _bucket_sql("hour", _range_where()))
-def q_timeseries_hour(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.timeseries(t.events, t.event_types, "hour", FROM, TO)
-
-
-@register("timeseries_day", sql(f"""
-SELECT g.bucket_start, s.event_type, coalesce(s.type_count, 0) AS type_count,
-       coalesce(s.total_events, 0) AS total_events, coalesce(s.unique_users, 0) AS unique_users
-FROM (SELECT unnest(generate_series(date_trunc('day', {tsl(FROM)}),
-                                    date_trunc('day', {tsl(TO)}), INTERVAL 1 DAY))
-             AS bucket_start) g
-LEFT JOIN series s ON s.bucket_start = g.bucket_start""", f"""
-series AS (
-SELECT p.bucket_start, t.name AS event_type, p.type_count, b.total_events, b.unique_users
-FROM (SELECT date_trunc('day', "timestamp") AS bucket_start, event_type_id,
-             count(*) AS type_count FROM c_events e
-      WHERE {_range_where()} AND event_type_id = 3 GROUP BY 1, 2) p
-JOIN c_event_types t ON p.event_type_id = t.id
-JOIN (SELECT date_trunc('day', "timestamp") AS bucket_start, count(*) AS total_events,
-             count(DISTINCT user_id) AS unique_users FROM c_events e
-      WHERE {_range_where()} AND event_type_id = 3 GROUP BY 1) b
-  ON p.bucket_start = b.bucket_start)"""))
-def q_timeseries_day(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.timeseries(t.events, t.event_types, "day", FROM, TO,
-                              event_type="purchase", fill_gaps=True)
-
-
-@register("hourly_summary", sql(f"""
-SELECT e.event_type_id, t.name AS event_type, date_trunc('hour', e."timestamp") AS hour_bucket,
-       count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
-FROM c_events e {_TYPED_JOIN}
-WHERE {_range_where()} AND e.event_type_id IN (1, 3)
-GROUP BY 1, 2, 3"""))
-def q_hourly_summary(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.hourly_summary(t.events, t.event_types, FROM, TO, type_ids=[1, 3])
-
-
-@register("user_activity", sql(f"""
-SELECT user_id, count(*) AS event_count, count(DISTINCT event_type_id) AS distinct_types,
-       min("timestamp") AS first_seen, max("timestamp") AS last_seen
-FROM c_events e WHERE {_range_where()} GROUP BY user_id"""))
-def q_user_activity(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.user_activity(t.events, FROM, TO)
-
-
-POPULAR_AS_OF = "2024-01-20 00:00:00"
-
-
-@register("popular_events", sql(f"""
-SELECT t.name AS event_type, count(*) AS "count", count(DISTINCT e.user_id) AS unique_users
-FROM c_events e {_TYPED_JOIN}
-WHERE e."timestamp" >= {tsl(POPULAR_AS_OF)} - INTERVAL 7 DAY
-  AND e."timestamp" <= {tsl(POPULAR_AS_OF)}
-GROUP BY t.name ORDER BY "count" DESC, event_type LIMIT 3"""))
-def q_popular_events(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.popular_events(t.events, t.event_types, "weekly", POPULAR_AS_OF, 3)
-
-
-@register("users_with_metrics", sql("""
-SELECT u.id, u.name, u.created_at, coalesce(a.event_count, 0) AS event_count,
-       coalesce(a.distinct_types, 0) AS distinct_types,
-       coalesce(a.distinct_pages, 0) AS distinct_pages, a.first_seen, a.last_seen
-FROM c_users u LEFT JOIN (
-  SELECT user_id, count(*) AS event_count, count(DISTINCT event_type_id) AS distinct_types,
-         count(DISTINCT page) AS distinct_pages, min("timestamp") AS first_seen,
-         max("timestamp") AS last_seen
-  FROM c_typed GROUP BY user_id) a ON a.user_id = u.id"""))
-def q_users_with_metrics(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.users_with_metrics(t.users, t.events)
-
-
-@register("page_analytics", sql("""
-SELECT page, count(*) AS events, count(DISTINCT user_id) AS unique_users,
-       count(DISTINCT session_id) AS unique_sessions
-FROM c_typed WHERE page IS NOT NULL GROUP BY page"""))
-def q_page_analytics(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.page_analytics(t.events)
-
-
-@register("referrer_analytics", sql("""
-SELECT regexp_extract(referrer, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1) AS host,
-       count(*) AS events, count(DISTINCT user_id) AS unique_users,
-       count(DISTINCT session_id) AS unique_sessions
-FROM c_typed WHERE referrer IS NOT NULL GROUP BY 1"""))
-def q_referrer_analytics(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.referrer_analytics(t.events, by="host")
-
-
-@register("product_analytics", sql(f"""
-SELECT e.product_id, t.name AS event_type, count(*) AS events,
-       count(DISTINCT e.user_id) AS unique_users
-FROM c_typed e {_TYPED_JOIN} WHERE e.product_id IS NOT NULL GROUP BY 1, 2"""))
-def q_product_analytics(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.product_analytics(t.events, t.event_types)
-
-
-@register("sessions", sql("""
-SELECT session_id, min(user_id) AS user_id, min("timestamp") AS session_start,
-       max("timestamp") AS session_end, count(*) AS events,
-       count(DISTINCT page) AS distinct_pages,
-       arg_min_null(page, ("timestamp", id)) AS entry_page,
-       arg_max_null(page, ("timestamp", id)) AS exit_page,
-       (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1e6 AS duration_s
-FROM c_typed WHERE session_id IS NOT NULL GROUP BY session_id"""))
-def q_sessions(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return metrics.sessions(t.events)
-
-
-# ====================================================================== step 5
-# Command batches are derived from other driver tables; they only supply rows
-# in the command schema. The mutation logic runs on them unchanged.
-
-RETENTION_CUTOFF = "2024-01-15 00:00:00"
-
-
-def ingest_records(spark, sf_dir) -> DataFrame:
-    """Order rows as ingest records (user, type name, optional time, JSON)."""
-    o = read_driver(spark, sf_dir, "orders")
-    return o.select(
-        (F.col("o_custkey") * 2).alias("user_id"),
-        F.when(F.col("o_orderstatus") == "F", "purchase")
-        .when(F.col("o_orderstatus") == "O", "view").otherwise("pending").alias("event_type"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None))
-        .otherwise(F.col("o_orderdate")).cast("timestamp_ntz").alias("timestamp"),
-        F.concat(F.lit('{"page":"/orders","product_id":'), F.col("o_orderkey").cast("string"),
-                 F.lit("}")).alias("metadata"))
-
-
-INGEST_SQL = f"""
-rec AS (
-  SELECT o_custkey * 2 AS user_id,
-         CASE o_orderstatus WHEN 'F' THEN 'purchase' WHEN 'O' THEN 'view' ELSE 'pending' END
-           AS event_type,
-         CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS "timestamp",
-         '{{"page":"/orders","product_id":' || CAST(o_orderkey AS VARCHAR) || '}}' AS metadata
-  FROM orders),
-chk AS (
-  SELECT r.*, t.id AS type_id, u.id AS known_user,
-    CASE WHEN r.user_id IS NULL THEN 'missing_user_id'
-         WHEN r.event_type IS NULL THEN 'missing_event_type'
-         WHEN t.id IS NULL THEN 'unknown_event_type'
-         WHEN u.id IS NULL THEN 'unknown_user' END AS reason
-  FROM rec r LEFT JOIN c_event_types t ON t.name = r.event_type
-  LEFT JOIN c_users u ON u.id = r.user_id)"""
-
-
-def _ingest(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.ingest_events(ingest_records(spark, sf_dir), t.users, t.event_types,
-                                   as_of=AS_OF, events=t.events)
-
-
-@register("ingest_accepted", sql(f"""
-SELECT user_id, type_id AS event_type_id, metadata,
-       coalesce("timestamp", {tsl(AS_OF)}) AS "timestamp"
-FROM chk WHERE reason IS NULL""", INGEST_SQL))
-def q_ingest_accepted(spark, sf_dir):
-    return _ingest(spark, sf_dir).table.select("user_id", "event_type_id", "metadata",
-                                               "timestamp")
-
-
-@register("ingest_ids", sql("""
-SELECT count(*) AS n, (SELECT max(id) FROM c_events) + 1 AS min_id,
-       (SELECT max(id) FROM c_events) + count(*) AS max_id, count(*) AS distinct_ids
-FROM chk WHERE reason IS NULL""", INGEST_SQL))
-def q_ingest_ids(spark, sf_dir):
-    return _ingest(spark, sf_dir).table.agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
-        F.max("id").alias("max_id"), F.countDistinct("id").alias("distinct_ids"))
-
-
-@register("ingest_rejects", sql(
-    'SELECT user_id, event_type, "timestamp", metadata, reason FROM chk '
-    'WHERE reason IS NOT NULL', INGEST_SQL))
-def q_ingest_rejects(spark, sf_dir):
-    return _ingest(spark, sf_dir).report.drop("seq")
-
-
-def event_updates(spark, sf_dir) -> DataFrame:
-    o = read_driver(spark, sf_dir, "orders")
-    return o.select(
-        F.col("o_orderkey").alias("event_id"),
-        F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 99)
-        .cast("int").alias("event_type_id"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('{"page":"/checkout"}'))
-        .alias("metadata"))
-
-
-UPDATE_SQL = """
-upd AS (
-  SELECT o_orderkey AS event_id,
-         CAST(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 99 END AS INTEGER)
-           AS event_type_id,
-         CASE WHEN o_orderpriority = '1-URGENT' THEN '{"page":"/checkout"}' END AS metadata
-  FROM orders),
-chk AS (
-  SELECT u.*, CASE WHEN e.id IS NULL THEN 'not_found'
-                   WHEN u.event_type_id IS NOT NULL AND t.id IS NULL THEN 'unknown_event_type'
-                   ELSE 'updated' END AS status
-  FROM upd u LEFT JOIN c_events e ON e.id = u.event_id
-  LEFT JOIN c_event_types t ON t.id = u.event_type_id)"""
-
-
-def _update(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.update_events(t.events, event_updates(spark, sf_dir), t.event_types)
-
-
-@register("update_events", sql("""
-SELECT e.id, e.user_id, coalesce(g.event_type_id, e.event_type_id) AS event_type_id,
-       coalesce(g.metadata, e.metadata) AS metadata, e."timestamp"
-FROM c_events e LEFT JOIN (SELECT * FROM chk WHERE status = 'updated') g
-  ON g.event_id = e.id""", UPDATE_SQL))
-def q_update_events(spark, sf_dir):
-    return _update(spark, sf_dir).table
-
-
-@register("update_status", sql("""
-SELECT c.event_id, c.status, r.user_id, r.event_type_id, r.metadata, r."timestamp",
-       r.event_type
-FROM chk c LEFT JOIN (
-  SELECT g.event_id, e.user_id, coalesce(g.event_type_id, e.event_type_id) AS event_type_id,
-         coalesce(g.metadata, e.metadata) AS metadata, e."timestamp",
-         coalesce(t.name, '') AS event_type
-  FROM chk g JOIN c_events e ON e.id = g.event_id
-  LEFT JOIN c_event_types t ON t.id = coalesce(g.event_type_id, e.event_type_id)
-  WHERE g.status = 'updated') r
-ON r.event_id = c.event_id AND c.status = 'updated'""", UPDATE_SQL))
-def q_update_status(spark, sf_dir):
-    return _update(spark, sf_dir).report.drop("seq")
-
-
-def user_renames(spark, sf_dir) -> DataFrame:
-    s = read_driver(spark, sf_dir, "supplier")
-    return s.select(
-        (F.col("s_suppkey") * 15).alias("id"),
-        F.when(F.col("s_nationkey") % 3 == 0, F.lit(None))
-        .when(F.col("s_nationkey") % 3 == 1,
-              F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")))
-        .otherwise(F.col("s_name")).alias("name"))
-
-
-RENAME_SQL = """
-ren AS (
-  SELECT s_suppkey * 15 AS id,
-         CASE s_nationkey % 3 WHEN 0 THEN NULL
-              WHEN 1 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
-              ELSE s_name END AS name
-  FROM supplier),
-st AS (
-  SELECT r.id, r.name,
-    CASE WHEN NOT EXISTS (SELECT 1 FROM c_users u WHERE u.id = r.id) THEN 'not_found'
-         WHEN r.name IS NULL THEN 'ok'
-         WHEN EXISTS (SELECT 1 FROM c_users u WHERE u.name = r.name AND u.id <> r.id)
-           THEN 'name_exists'
-         ELSE 'ok' END AS status
-  FROM ren r)"""
-
-
-def _rename(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.rename(t.users, user_renames(spark, sf_dir))
-
-
-@register("rename_status", sql("SELECT id, name, status FROM st", RENAME_SQL))
-def q_rename_status(spark, sf_dir):
-    return _rename(spark, sf_dir).report.drop("seq")
-
-
-@register("rename_users", sql("""
-SELECT u.id, coalesce(s.name, u.name) AS name, u.created_at
-FROM c_users u LEFT JOIN (SELECT * FROM st WHERE status = 'ok' AND name IS NOT NULL) s
-  ON s.id = u.id""", RENAME_SQL))
-def q_rename_users(spark, sf_dir):
-    return _rename(spark, sf_dir).table
-
-
-def _debtors(spark, sf_dir) -> DataFrame:
-    return read_driver(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 0).select(
-        F.col("c_custkey").alias("id"))
-
-
-@register("delete_cascade_events", sql(
-    "SELECT * FROM c_events WHERE user_id NOT IN "
-    "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"))
-def q_delete_cascade_events(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.delete_users_cascade(t.users, t.events, _debtors(spark, sf_dir))[1]
-
-
-@register("delete_cascade_users", sql(
-    "SELECT * FROM c_users WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"))
-def q_delete_cascade_users(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.delete_users_cascade(t.users, t.events, _debtors(spark, sf_dir))[0]
-
-
-def _fulfilled(spark, sf_dir) -> DataFrame:
-    return read_driver(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(
-        F.col("o_orderkey").alias("id"))
-
-
-@register("delete_events_kept", sql(
-    "SELECT * FROM c_events WHERE id NOT IN "
-    "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"))
-def q_delete_events_kept(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.delete_by_id(t.events, _fulfilled(spark, sf_dir)).table
-
-
-@register("delete_events_missing", sql(
-    "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' "
-    "AND o_orderkey NOT IN (SELECT id FROM c_events)"))
-def q_delete_events_missing(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.delete_by_id(t.events, _fulfilled(spark, sf_dir)).report
-
-
-@register("delete_type_cascade", sql(
-    "SELECT * FROM c_events WHERE event_type_id NOT IN "
-    "(SELECT id FROM c_event_types WHERE name = 'error')"))
-def q_delete_type_cascade(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    ids = t.event_types.filter(F.col("name") == "error").select("id")
-    return mutations.delete_types_cascade(t.event_types, t.events, ids)[1]
-
-
-@register("retention_keep", sql(
-    f'SELECT * FROM c_events WHERE "timestamp" >= {tsl(RETENTION_CUTOFF)}'))
-def q_retention_keep(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.retention(t.events, RETENTION_CUTOFF).table
-
-
-@register("retention_count", sql(
-    f'SELECT count(*) AS deleted, {tsl(RETENTION_CUTOFF)} AS cutoff FROM c_events '
-    f'WHERE "timestamp" < {tsl(RETENTION_CUTOFF)}'))
-def q_retention_count(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return mutations.retention(t.events, RETENTION_CUTOFF).report
-
-
-def new_user_names(spark, sf_dir) -> DataFrame:
-    s = read_driver(spark, sf_dir, "supplier")
-    first = s.select(F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise(
-        F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")))
-        .alias("name"))
-    again = s.filter(F.col("s_nationkey") < 5).select(F.col("s_name").alias("name"))
-    return first.unionByName(again)
-
-
-CREATE_SQL = """
-batch AS (
-  SELECT CASE WHEN s_nationkey % 2 = 0 THEN s_name
-              ELSE 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') END AS name
-  FROM supplier
-  UNION ALL SELECT s_name FROM supplier WHERE s_nationkey < 5),
-per AS (
-  SELECT name, count(*) AS n, name IN (SELECT name FROM c_users) AS ex FROM batch GROUP BY name)"""
-
-
-@register("create_users_report", sql("""
-SELECT name, 'name_exists' AS status, n AS "count" FROM per WHERE ex
-UNION ALL SELECT name, 'created', 1 FROM per WHERE NOT ex
-UNION ALL SELECT name, 'duplicate_in_batch', n - 1 FROM per WHERE NOT ex AND n > 1""",
-                                      CREATE_SQL))
-def q_create_users_report(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    out = mutations.create_named(new_user_names(spark, sf_dir), t.users,
-                                 defaults={"created_at": F.lit(AS_OF).cast("timestamp_ntz")})
-    return out.report.groupBy("name", "status").agg(F.count(F.lit(1)).alias("count"))
-
-
-@register("create_users_created", sql(f"""
-SELECT count(*) AS n, (SELECT max(id) FROM c_users) + 1 AS min_id,
-       (SELECT max(id) FROM c_users) + count(*) AS max_id,
-       count(DISTINCT name) AS distinct_names, max({tsl(AS_OF)}) AS created_at
-FROM per WHERE NOT ex""", CREATE_SQL))
-def q_create_users_created(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    out = mutations.create_named(new_user_names(spark, sf_dir), t.users,
-                                 defaults={"created_at": F.lit(AS_OF).cast("timestamp_ntz")})
-    return out.table.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
-                         F.max("id").alias("max_id"),
-                         F.countDistinct("name").alias("distinct_names"),
-                         F.max("created_at").alias("created_at"))
-
-
-# ====================================================================== step 6
-
-
-def type_boards(spark, sf_dir) -> DataFrame:
-    """Boards per event type: every event adds 1 to its user's score."""
-    t = _t(spark, sf_dir)
-    inc = reads.with_type_name(t.events, t.event_types).select(
-        F.col("event_type").alias("board"), F.col("user_id").cast("string").alias("member"),
-        F.lit(1.0).alias("delta"))
-    return keyed.add_scores(None, inc)
-
-
-BOARDS_SQL = """
-boards AS (
-  SELECT t.name AS board, CAST(e.user_id AS VARCHAR) AS member,
-         CAST(count(*) AS DOUBLE) AS score
-  FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id GROUP BY 1, 2),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY board ORDER BY score, member) - 1 AS rank,
-         row_number() OVER (PARTITION BY board ORDER BY score DESC, member DESC) - 1
-           AS reverse_rank,
-         count(*) OVER (PARTITION BY board) AS size
-  FROM boards)"""
-
-
-@register("leaderboard_scores", sql("SELECT * FROM boards", BOARDS_SQL))
-def q_leaderboard_scores(spark, sf_dir):
-    return type_boards(spark, sf_dir)
-
-
-@register("leaderboard_rank", sql(
-    "SELECT board, member, score, rank, reverse_rank FROM ranked", BOARDS_SQL))
-def q_leaderboard_rank(spark, sf_dir):
-    return keyed.with_ranks(type_boards(spark, sf_dir))
-
-
-@register("leaderboard_top", sql(
-    "SELECT board, member, score, reverse_rank AS rank FROM ranked WHERE reverse_rank < 3",
-    BOARDS_SQL))
-def q_leaderboard_top(spark, sf_dir):
-    return keyed.top(type_boards(spark, sf_dir), 3)
-
-
-@register("leaderboard_range", sql(
-    "SELECT board, member, score, rank FROM ranked WHERE rank BETWEEN 0 AND 4", BOARDS_SQL))
-def q_leaderboard_range(spark, sf_dir):
-    return keyed.rank_range(type_boards(spark, sf_dir), 0, 4)
-
-
-@register("leaderboard_tail", sql(
-    "SELECT board, member, score, reverse_rank AS rank FROM ranked "
-    "WHERE reverse_rank >= size - 3", BOARDS_SQL))
-def q_leaderboard_tail(spark, sf_dir):
-    return keyed.rank_range(type_boards(spark, sf_dir), -3, -1, reverse=True)
-
-
-@register("score_range", sql("""
-SELECT board, member, score, pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY board ORDER BY score, member) - 1 AS pos
-  FROM boards WHERE score BETWEEN 10 AND 14) x WHERE pos >= 1 AND pos < 6""", BOARDS_SQL))
-def q_score_range(spark, sf_dir):
-    return keyed.score_range(type_boards(spark, sf_dir), 10, 14, offset=1, count=5)
-
-
-@register("score_count", sql(
-    'SELECT board, count(*) AS "count" FROM boards WHERE score BETWEEN 10 AND 14 GROUP BY board',
-    BOARDS_SQL))
-def q_score_count(spark, sf_dir):
-    return keyed.count_by_score(type_boards(spark, sf_dir), 10, 14)
-
-
-@register("global_rank", sql("""
-SELECT CAST(user_id AS VARCHAR) AS member, CAST(count(*) AS DOUBLE) AS score,
-       row_number() OVER (ORDER BY count(*), CAST(user_id AS VARCHAR)) - 1 AS rank
-FROM c_events GROUP BY user_id"""))
-def q_global_rank(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    inc = t.events.select(F.lit("all").alias("board"),
-                          F.col("user_id").cast("string").alias("member"),
-                          F.lit(1.0).alias("delta"))
-    return keyed.global_rank(keyed.add_scores(None, inc)).drop("board")
-
-
-@register("recent_activity", sql("""
-SELECT id, user_id, event_type_id, metadata, "timestamp", rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, id DESC) AS rank
-  FROM c_events) x WHERE rank <= 5"""))
-def q_recent_activity(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return reads.latest_per_user(t.events, 5)
-
-
-def user_lists(spark, sf_dir) -> DataFrame:
-    """Per user, the type names of their events, newest at the head."""
-    t = _t(spark, sf_dir)
-    ev = reads.with_type_name(t.events, t.event_types)
-    return keyed.list_from(ev, "user_id", "event_type", ["timestamp", "id"], descending=True)
-
-
-LISTS_SQL = """
-lists AS (
-  SELECT e.user_id AS key, t.name AS value,
-         row_number() OVER (PARTITION BY e.user_id ORDER BY e."timestamp" DESC, e.id DESC) - 1
-           AS pos,
-         count(*) OVER (PARTITION BY e.user_id) AS size
-  FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id)"""
-
-
-@register("list_range", sql("SELECT key, value, pos FROM lists WHERE pos <= 2", LISTS_SQL))
-def q_list_range(spark, sf_dir):
-    return keyed.list_range(user_lists(spark, sf_dir), 0, 2)
-
-
-@register("list_last", sql("SELECT key, value, pos FROM lists WHERE pos = size - 1", LISTS_SQL))
-def q_list_last(spark, sf_dir):
-    return keyed.list_index(user_lists(spark, sf_dir), -1)
-
-
-@register("list_pop_right", sql(
-    "SELECT key, value, pos FROM lists WHERE pos >= size - 2", LISTS_SQL))
-def q_list_pop_right(spark, sf_dir):
-    return keyed.list_pop(user_lists(spark, sf_dir), 2, right=True)[0]
-
-
-@register("list_trim_sizes", sql(
-    "SELECT key, count(*) AS size FROM lists WHERE pos BETWEEN 1 AND 10 GROUP BY key",
-    LISTS_SQL))
-def q_list_trim_sizes(spark, sf_dir):
-    trimmed = keyed.list_trim(user_lists(spark, sf_dir), 1, 10)
-    return trimmed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-
-
-ACTIVE_SQL = """
-active AS (
-  SELECT DISTINCT 'active:' || CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS key,
-         CAST(user_id AS VARCHAR) AS member FROM c_events)"""
-DAYS = ["active:2024-01-10", "active:2024-01-11", "active:2024-01-12"]
-_DAYS_SQL = ", ".join(f"'{d}'" for d in DAYS)
-
-
-def _active(spark, sf_dir, days: list[str] | None = None):
-    return keyed.daily_active(_t(spark, sf_dir).events, days)
-
-
-def _days(keys: list[str]) -> list[str]:
-    return [k.split(":", 1)[1] for k in keys]
-
-
-@register("active_users_union", sql(
-    f"SELECT DISTINCT member FROM active WHERE key IN ({_DAYS_SQL})", ACTIVE_SQL))
-def q_active_union(spark, sf_dir):
-    return keyed.set_union(_active(spark, sf_dir, _days(DAYS)), DAYS)
-
-
-@register("active_users_intersect", sql(
-    f"SELECT member FROM active WHERE key IN ({_DAYS_SQL}) GROUP BY member "
-    f"HAVING count(DISTINCT key) = {len(DAYS)}", ACTIVE_SQL))
-def q_active_intersect(spark, sf_dir):
-    return keyed.set_intersect(_active(spark, sf_dir, _days(DAYS)), DAYS)
-
-
-@register("active_users_diff", sql(
-    f"SELECT DISTINCT member FROM active WHERE key = '{DAYS[0]}' AND member NOT IN "
-    f"(SELECT member FROM active WHERE key = '{DAYS[1]}')", ACTIVE_SQL))
-def q_active_diff(spark, sf_dir):
-    return keyed.set_diff(_active(spark, sf_dir, _days(DAYS)), DAYS[0], DAYS[1:2])
-
-
-@register("active_set_sizes", sql(
-    "SELECT key, count(DISTINCT member) AS size FROM active GROUP BY key", ACTIVE_SQL))
-def q_active_sizes(spark, sf_dir):
-    return keyed.set_sizes(_active(spark, sf_dir))
-
-
-@register("random_members")
-def q_random_members(spark, sf_dir):
-    """Three reproducible members of every daily active set (no SQL twin:
-    the pick follows Spark's xxhash64)."""
-    return keyed.random_members(_active(spark, sf_dir), 3, seed=7)
-
-
-def page_writes(spark, sf_dir) -> DataFrame:
-    """Each event writes its raw page text to register ``last_page:<user>``."""
-    e = _t(spark, sf_dir).events
-    return e.select(F.concat(F.lit("last_page:"), F.col("user_id").cast("string")).alias("key"),
-                    json_text("metadata", "page").alias("value"),
-                    F.col("timestamp").alias("ts"), F.col("id").alias("seq"),
-                    F.lit(3 * 86400).alias("ttl_s"))
-
-
-WRITES_SQL = """
-writes AS (
-  SELECT 'last_page:' || CAST(user_id AS VARCHAR) AS key,
-         json_extract_string(metadata, '$.page') AS value, "timestamp" AS ts, id AS seq
-  FROM c_events)"""
-
-
-@register("latest_per_key", sql(
-    "SELECT key, arg_max_null(value, (ts, seq)) AS value, max(ts) AS ts FROM writes GROUP BY key",
-    WRITES_SQL))
-def q_latest_per_key(spark, sf_dir):
-    return keyed.last_write(page_writes(spark, sf_dir))
-
-
-@register("first_per_key", sql(
-    "SELECT key, arg_min_null(value, (ts, seq)) AS value, min(ts) AS ts FROM writes GROUP BY key",
-    WRITES_SQL))
-def q_first_per_key(spark, sf_dir):
-    return keyed.last_write(page_writes(spark, sf_dir), first=True)
-
-
-UNEXPIRED_AS_OF = "2024-01-28 00:00:00"
-
-
-@register("unexpired_per_key", sql(f"""
-SELECT key, value, ts FROM (
-  SELECT key, arg_max_null(value, (ts, seq)) AS value, max(ts) AS ts FROM writes GROUP BY key) x
-WHERE ts + INTERVAL 3 DAY > {tsl(UNEXPIRED_AS_OF)}""", WRITES_SQL))
-def q_unexpired(spark, sf_dir):
-    return keyed.unexpired(page_writes(spark, sf_dir), UNEXPIRED_AS_OF)
-
-
-@register("field_map", sql("""
-SELECT key, field, arg_max_null(value, (ts, seq)) AS value FROM (
-  SELECT 'user:' || CAST(user_id AS VARCHAR) AS key, 'page' AS field,
-         json_extract_string(metadata, '$.page') AS value, "timestamp" AS ts, id AS seq
-  FROM c_events
-  UNION ALL
-  SELECT 'user:' || CAST(user_id AS VARCHAR), 'referrer',
-         json_extract_string(metadata, '$.referrer'), "timestamp", id FROM c_events) w
-GROUP BY key, field"""))
-def q_field_map(spark, sf_dir):
-    e = _t(spark, sf_dir).events
-    key = F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key")
-    w = e.select(key, F.lit("page").alias("field"), json_text("metadata", "page").alias("value"),
-                 F.col("timestamp").alias("ts"), F.col("id").alias("seq")).unionByName(
-        e.select(key, F.lit("referrer").alias("field"),
-                 json_text("metadata", "referrer").alias("value"),
-                 F.col("timestamp").alias("ts"), F.col("id").alias("seq")))
-    return keyed.field_map(w)
-
-
-# ====================================================================== step 7
-
-STREAM_WATERMARK = "31 days"   # data span is 30 days: nothing is late here
-
-
-def _events_as_files(spark, sf_dir, copies: int = 1, files: int = 4) -> str:
-    """Write the canonical events as Parquet files for a file-stream source."""
-    path = scratch_path(spark, "events-src")
-    ev = _t(spark, sf_dir).events
-    for _ in range(copies):
-        ev.repartition(files).write.mode("append").parquet(path)
-    return path
-
-
-@register("stream_rollup", sql("""
-SELECT t.name AS event_type, date_trunc('hour', e."timestamp") AS hour_bucket,
-       count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
-FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id GROUP BY 1, 2"""))
-def q_stream_rollup(spark, sf_dir):
-    """Incremental hourly rollup (T4) run to completion on a file stream."""
-    src = _events_as_files(spark, sf_dir)
-    out = scratch_path(spark, "stream-rollup")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    q = streams.hourly_rollup_stream(stream, out, name=os.path.basename(out),
-                                     watermark=STREAM_WATERMARK, available_now=True)
-    q.awaitTermination()
-    rows = streams.latest_rows(spark, out, ["hour_bucket", "event_type_id"])
-    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
-        "event_type", "hour_bucket", "total_count", "unique_users")
-
-
-@register("stream_dedup", sql("SELECT * FROM c_events"))
-def q_stream_dedup(spark, sf_dir):
-    """Every event delivered twice; the stream keeps one copy per id."""
-    src = _events_as_files(spark, sf_dir, copies=2)
-    out = scratch_path(spark, "stream-dedup")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=2)
-    q = streams.append_stream(streams.dedup_replays(stream, STREAM_WATERMARK), out,
-                              name=os.path.basename(out), available_now=True)
-    q.awaitTermination()
-    return spark.read.schema(schemas.EVENTS).parquet(out)
-
-
-@register("stream_ingest", sql(f"""
-SELECT user_id, type_id AS event_type_id, metadata,
-       coalesce("timestamp", {tsl(AS_OF)}) AS "timestamp"
-FROM chk WHERE reason IS NULL""", INGEST_SQL))
-def q_stream_ingest(spark, sf_dir):
-    """JSON ingest records through the streaming ingest."""
-    src = scratch_path(spark, "ingest-src")
-    ingest_records(spark, sf_dir).repartition(3).write.json(src)
-    acc, rej = scratch_path(spark, "accepted"), scratch_path(spark, "rejects")
-    t = _t(spark, sf_dir)
-    q = streams.ingest_stream(streams.json_records(spark, src, max_files=1), t.users,
-                              t.event_types, acc, rej, name=os.path.basename(acc),
-                              as_of=AS_OF, base_id=mutations.max_id(t.events),
-                              available_now=True)
-    q.awaitTermination()
-    return spark.read.parquet(acc).select("user_id", "event_type_id", "metadata", "timestamp")
-
-
-SESSION_SQL = """
-g AS (
-  SELECT user_id, "timestamp",
-    CASE WHEN lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp") IS NULL
-           OR "timestamp" - lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp")
-              >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new_session
-  FROM c_events),
-s AS (
-  SELECT *, sum(new_session) OVER (PARTITION BY user_id ORDER BY "timestamp"
-                                   ROWS UNBOUNDED PRECEDING) AS sid FROM g)"""
-
-
-@register("inactivity_sessions", sql("""
-SELECT user_id, min("timestamp") AS session_start,
-       max("timestamp") + INTERVAL 30 MINUTE AS session_end, count(*) AS events
-FROM s GROUP BY user_id, sid""", SESSION_SQL))
-def q_inactivity_sessions(spark, sf_dir):
-    """Sessions split by 30 minutes of inactivity (T6, batch form)."""
-    return streams.inactivity_sessions(_t(spark, sf_dir).events, "30 minutes")
-
-
-@register("log_range", sql("""
-SELECT id, CAST(user_id AS VARCHAR) AS user_id FROM c_events
-WHERE id BETWEEN 100 AND 5000 ORDER BY id DESC LIMIT 20"""))
-def q_log_range(spark, sf_dir):
-    log = streams.log_from_events(_t(spark, sf_dir).events)
-    return streams.log_range(log, 100, 5000, count=20, reverse=True).select(
-        "id", F.col("fields")["user_id"].alias("user_id"))
-
-
-@register("log_read_after", sql(
-    "SELECT id, CAST(event_type_id AS VARCHAR) AS event_type_id FROM c_events "
-    "WHERE id > 4321 ORDER BY id LIMIT 10"))
-def q_log_read_after(spark, sf_dir):
-    log = streams.log_from_events(_t(spark, sf_dir).events)
-    return streams.log_read_after(log, 4321, 10).select(
-        "id", F.col("fields")["event_type_id"].alias("event_type_id"))
-
-
-@register("log_trim", sql("""
-SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id FROM (
-  SELECT id FROM c_events ORDER BY id DESC LIMIT 1000) x"""))
-def q_log_trim(spark, sf_dir):
-    log = streams.log_from_events(_t(spark, sf_dir).events)
-    return streams.log_info(streams.log_trim(log, 1000))
-
-
-@register("log_info", sql(
-    "SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id FROM c_events"))
-def q_log_info(spark, sf_dir):
-    return streams.log_info(streams.log_from_events(_t(spark, sf_dir).events))
-
-
-# ====================================================================== step 8
-
-
-@register("export_users", sql("""
-SELECT CAST(id AS VARCHAR) AS id, name,
-       lower(replace(name, ' ', '')) || '@example.com' AS email,
-       strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at
-FROM c_users ORDER BY created_at, id LIMIT 100"""))
-def q_export_users(spark, sf_dir):
-    """Rows of the users CSV export (W16), first 100 by creation time."""
-    return sinks.users_export(_t(spark, sf_dir).users, limit=100)
-
-
-@register("export_event_types", sql(
-    "SELECT id, name, 'Event type description' AS description, 99990 + id % 10 AS \"count\" "
-    "FROM c_event_types"))
-def q_export_event_types(spark, sf_dir):
-    """Rows of the event-types CSV export."""
-    return sinks.event_types_export(_t(spark, sf_dir).event_types)
-
-
-@register("generated_profile")
-def q_generated_profile(spark, sf_dir):
-    """Generate as many events as the driver table holds (G3) for the
-    canonical users and types, then profile them per type. Rows-only: the
-    values follow Spark's xxhash64."""
-    t = _t(spark, sf_dir)
-    n = read_driver(spark, sf_dir, "events").count()
-    uids = keyed.ordered_positions(t.users.select(F.col("id").alias("user_id")),
-                                   ["user_id"], col="idx")
-    types = t.event_types.withColumn("page", F.concat(F.lit("/"), F.col("name")))
-    gen = generate.events(spark, n, uids, types, as_of=AS_OF)
-    return gen.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("unique_users"),
-        F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
-        F.count(F.get_json_object("metadata", "$.product_id")).alias("with_product"))
-
-
-@register("sketch_unique_users")
-def q_sketch_unique_users(spark, sf_dir):
-    """Distinct users per type over the report range from mergeable HLL
-    sketches (A24). Rows-only: an estimate has no exact SQL twin."""
-    t = _t(spark, sf_dir)
-    sk = rollup.sketch_rollup(t.events, t.event_types, as_of=AS_OF)
-    return rollup.sketch_unique_users(sk, FROM_H, TO_H)
-
-
-@register("stats_report_nested")
-def q_stats_report_nested(spark, sf_dir):
-    """Single-row nested report (A13): arrays of structs, no flat SQL twin."""
-    return report.nested_report(_report(spark, sf_dir, None), FROM, TO, now=AS_OF)
-
-
-@register("realtime_metrics_nested")
-def q_realtime_nested(spark, sf_dir):
-    """A14 with the type -> count map."""
-    t = _t(spark, sf_dir)
-    return metrics.nested_realtime_metrics(
-        metrics.realtime_metrics(t.events, t.event_types, "hour", at=AT))
-
-
-# ====================================================================== step 9
-# Remaining scans, counts, removals, set edits, dimension writes, CSV round trip.
-
-
-@register("events_with_types", sql(f"SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN}"))
-def q_events_with_types(spark, sf_dir):
-    """All events with type name, newest first."""
-    t = _t(spark, sf_dir)
-    return reads.events_with_types(t.events, t.event_types)
-
-
-@register("users_by_name", sql("SELECT id, name, created_at FROM c_users"))
-def q_users_by_name(spark, sf_dir):
-    """All users ordered by name."""
-    return reads.users_by_name(_t(spark, sf_dir).users)
-
-
-@register("types_by_name", sql("SELECT id, name FROM c_event_types"))
-def q_types_by_name(spark, sf_dir):
-    """All event types ordered by name (S3)."""
-    return reads.types_by_name(_t(spark, sf_dir).event_types)
-
-
-@register("user_by_name", sql(
-    "SELECT id, name, created_at FROM c_users WHERE name = 'Customer#000000007'"))
-def q_user_by_name(spark, sf_dir):
-    """Exact-name lookup."""
-    return reads.user_response(reads.find_by_name(_t(spark, sf_dir).users, "Customer#000000007"))
-
-
-@register("type_by_name", sql(f"SELECT id, name FROM c_event_types WHERE name = '{TYPE}'"))
-def q_type_by_name(spark, sf_dir):
-    """Exact-name lookup of an event type."""
-    return reads.find_by_name(_t(spark, sf_dir).event_types, TYPE)
-
-
-@register("user_by_id", sql(
-    "SELECT id, name, created_at FROM c_users WHERE id IN (3, 77, 123456789)"))
-def q_user_by_id(spark, sf_dir):
-    """Lookup of users by a key list."""
-    keys = spark.createDataFrame([(3,), (77,), (123456789,)], "id long")
-    return reads.user_response(reads.lookup(_t(spark, sf_dir).users, keys))
-
-
-@register("count_tables", sql("""
-SELECT 'events' AS tbl, count(*) AS "count" FROM c_events
-UNION ALL SELECT 'users', count(*) FROM c_users
-UNION ALL SELECT 'event_types', count(*) FROM c_event_types"""))
-def q_count_tables(spark, sf_dir):
-    """Row count of each table (A1)."""
-    t = _t(spark, sf_dir)
-    return (metrics.count_rows(t.events).withColumn("tbl", F.lit("events"))
-            .unionByName(metrics.count_rows(t.users).withColumn("tbl", F.lit("users")))
-            .unionByName(metrics.count_rows(t.event_types)
-                         .withColumn("tbl", F.lit("event_types"))))
-
-
-@register("event_fallback_labels", sql(
-    "SELECT id, user_id AS \"userId\", 'event_type_' || CAST(event_type_id AS VARCHAR) "
-    "AS \"eventType\", event_type_id, \"timestamp\", metadata FROM c_events"))
-def q_event_fallback_labels(spark, sf_dir):
-    """Response projection without the type join: ``event_type_<id>``."""
-    return reads.event_response(_t(spark, sf_dir).events)
-
-
-@register("leaderboard_trim", sql("""
-SELECT board, member, score FROM ranked WHERE rank > 2""", BOARDS_SQL))
-def q_leaderboard_trim(spark, sf_dir):
-    """Remove the three lowest-ranked members of every board."""
-    return keyed.remove_rank_range(type_boards(spark, sf_dir), 0, 2)
-
-
-@register("score_remove", sql(
-    "SELECT board, member, score FROM boards WHERE NOT (score BETWEEN 10 AND 14)", BOARDS_SQL))
-def q_score_remove(spark, sf_dir):
-    """Remove members scored in [10, 14]."""
-    return keyed.remove_by_score(type_boards(spark, sf_dir), 10, 14)
-
-
-@register("active_set_edit", sql(f"""
-SELECT DISTINCT key, member FROM (
-  SELECT key, member FROM active
-  WHERE NOT (key = '{DAYS[0]}' AND member IN (SELECT member FROM active WHERE key = '{DAYS[1]}'))
-  UNION ALL
-  SELECT '{DAYS[0]}', member FROM active WHERE key = '{DAYS[2]}')""", ACTIVE_SQL))
-def q_active_set_edit(spark, sf_dir):
-    """Set edits (U6): drop from day 1 the members active on day 2, add the
-    members of day 3; duplicates collapse."""
-    a = _active(spark, sf_dir)
-    removes = a.filter(F.col("key") == DAYS[1]).select(F.lit(DAYS[0]).alias("key"), "member")
-    adds = a.filter(F.col("key") == DAYS[2]).select(F.lit(DAYS[0]).alias("key"), "member")
-    return keyed.set_add(keyed.set_remove(a, removes), adds)
-
-
-@register("active_set_move", sql(f"""
-SELECT DISTINCT CASE WHEN key = '{DAYS[0]}' AND member IN
-         (SELECT member FROM active WHERE key = '{DAYS[2]}') THEN 'moved' ELSE key END AS key,
-       member
-FROM active""", ACTIVE_SQL))
-def q_active_set_move(spark, sf_dir):
-    """Move members of day 1 that are also active on day 3 into set ``moved``."""
-    a = _active(spark, sf_dir)
-    moves = a.filter(F.col("key") == DAYS[2]).select(
-        F.lit(DAYS[0]).alias("src"), F.lit("moved").alias("dst"), "member")
-    return keyed.set_move(a, moves)
-
-
-@register("log_delete", sql(
-    "SELECT id FROM c_events WHERE id NOT IN (SELECT o_orderkey FROM orders "
-    "WHERE o_orderstatus = 'P')"))
-def q_log_delete(spark, sf_dir):
-    """Delete log entries by id."""
-    log = streams.log_from_events(_t(spark, sf_dir).events)
-    ids = read_driver(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P").select(
-        F.col("o_orderkey").alias("id"))
-    return streams.log_delete(log, ids).select("id")
-
-
-@register("create_event_types_report", sql("""
-SELECT name, CASE WHEN name IN (SELECT name FROM c_event_types) THEN 'name_exists'
-                  ELSE 'created' END AS status, count(*) AS "count"
-FROM (SELECT lower(o_orderpriority) AS name FROM orders
-      UNION ALL SELECT name FROM c_event_types) b
-GROUP BY name HAVING name IN (SELECT name FROM c_event_types)
-UNION ALL
-SELECT name, 'created', 1 FROM (SELECT DISTINCT lower(o_orderpriority) AS name FROM orders) n
-WHERE name NOT IN (SELECT name FROM c_event_types)
-UNION ALL
-SELECT name, 'duplicate_in_batch', count(*) - 1 FROM (SELECT lower(o_orderpriority) AS name
-  FROM orders) d WHERE name NOT IN (SELECT name FROM c_event_types) GROUP BY name
-  HAVING count(*) > 1"""))
-def q_create_event_types_report(spark, sf_dir):
-    """Create event types by name unless present (W5): order priorities and
-    the existing type names as the batch."""
-    t = _t(spark, sf_dir)
-    batch = read_driver(spark, sf_dir, "orders").select(
-        F.lower("o_orderpriority").alias("name")).unionByName(t.event_types.select("name"))
-    out = mutations.create_named(batch, t.event_types)
-    return out.report.groupBy("name", "status").agg(F.count(F.lit(1)).alias("count"))
-
-
-@register("rename_event_types", sql("""
-SELECT CAST(t.id AS BIGINT) AS id, r.name, CASE WHEN r.name IS NULL THEN 'ok'
-  WHEN EXISTS (SELECT 1 FROM c_event_types u WHERE u.name = r.name AND u.id <> r.id)
-  THEN 'name_exists' ELSE 'ok' END AS status
-FROM c_event_types t JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN upper(name)
-                                     ELSE (SELECT min(name) FROM c_event_types) END AS name
-                           FROM c_event_types) r ON r.id = t.id"""))
-def q_rename_event_types(spark, sf_dir):
-    """Rename event types (W9): even ids upper-cased, odd ids to the first
-    name (a clash except for the row that holds it)."""
-    t = _t(spark, sf_dir)
-    ren = t.event_types.select(
-        F.col("id").cast("long").alias("id"),
-        F.when(F.col("id") % 2 == 0, F.upper("name"))
-        .otherwise(F.min("name").over(_everything())).alias("name"))
-    return mutations.rename(t.event_types.withColumn("id", F.col("id").cast("long")),
-                            ren).report.drop("seq")
-
-
-def _everything():
-    from pyspark.sql import Window
-    # the window spans the event-type dimension only (a handful of rows)
-    return Window.partitionBy(F.lit(1))
-
-
-@register("users_csv_roundtrip", sql("""
-SELECT CAST(id AS VARCHAR) AS id, name,
-       lower(replace(name, ' ', '')) || '@example.com' AS email,
-       strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at
-FROM c_users"""))
-def q_users_csv_roundtrip(spark, sf_dir):
-    """Users exported to quoted CSV (W16) and read back with a schema."""
-    path = scratch_path(spark, "users-csv")
-    sinks.write_csv(sinks.users_export(_t(spark, sf_dir).users), path, quote_all=True)
-    return readers.csv_table(spark, path, "id string, name string, email string, "
-                                          "created_at string")
-
-
-# ====================================================================== step 10
-@register("retention_partitioned", sql(
-    f'SELECT id, user_id, event_type_id, metadata, "timestamp" FROM c_events '
-    f'WHERE "timestamp" >= {tsl(RETENTION_CUTOFF)}'))
-def q_retention_partitioned(spark, sf_dir):
-    """Bulk load partitioned by day (W14), then retention on it (W13): older
-    day partitions are pruned from the scan, only the boundary day is
-    filtered row by row."""
-    path = scratch_path(spark, "events-by-day")
-    sinks.append_events(_t(spark, sf_dir).events, path)
-    events = spark.read.parquet(path)
-    return mutations.retention(events, RETENTION_CUTOFF, date_col="event_date").table.drop(
-        "event_date")
-
-
-@register("delete_cascade", ORACLES["delete_cascade_events"])
-def q_delete_cascade(spark, sf_dir):
-    """Users in debt deleted; their events go with them."""
-    return q_delete_cascade_events(spark, sf_dir)
-
-
-def _events_in_time_order(spark, sf_dir, slices: int = 4) -> str:
-    """Write the canonical events as ``slices`` files, oldest slice first, so a
-    file stream receives them in event-time order."""
-    path = scratch_path(spark, "events-ordered")
-    ev = _t(spark, sf_dir).events
-    secs = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    cuts = ev.select(secs.alias("s")).approxQuantile("s", [i / slices for i in range(1, slices)],
-                                                     0.0)
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = ev
-        if lo is not None:
-            part = part.filter(secs >= F.lit(int(lo)))
-        if hi is not None:
-            part = part.filter(secs < F.lit(int(hi)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-@register("stream_sessions", ORACLES["inactivity_sessions"])
-def q_stream_sessions(spark, sf_dir):
-    """Live sessions by 30 minutes of inactivity (T6) on a stream that
-    arrives in time order, append mode. A final heartbeat file (one marker
-    event of user -1, a year after the data) moves the watermark past every
-    real session so all of them are emitted; the marker's own session is
-    still open and never output."""
-    src = _events_in_time_order(spark, sf_dir)
-    _heartbeat(spark, sf_dir, src)
-    out = scratch_path(spark, "stream-sessions")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    sess = streams.inactivity_sessions(stream, "30 minutes", watermark="30 minutes")
-    streams.append_stream(sess, out, os.path.basename(out), available_now=True).awaitTermination()
-    return spark.read.parquet(out)
-
-
-def _events_by_day(spark, sf_dir) -> str:
-    path = scratch_path(spark, "events-by-day")
-    sinks.append_events(_t(spark, sf_dir).events, path)
-    return path
-
-
-@register("update_in_place", ORACLES["update_events"])
-def q_update_in_place(spark, sf_dir):
-    """W6 applied in place to a day-partitioned copy of the events: only the
-    days holding an updated id are rewritten; the whole table is read back."""
-    path = _events_by_day(spark, sf_dir)
-    mutations.update_events_in_place(path, event_updates(spark, sf_dir),
-                                     _t(spark, sf_dir).event_types)
-    return spark.read.parquet(path).drop("event_date")
-
-
-@register("delete_in_place", ORACLES["delete_events_kept"])
-def q_delete_in_place(spark, sf_dir):
-    """W10 applied in place to a day-partitioned copy of the events."""
-    path = _events_by_day(spark, sf_dir)
-    mutations.delete_events_in_place(path, _fulfilled(spark, sf_dir))
-    return spark.read.parquet(path).drop("event_date")
-
-
-def _heartbeat(spark, sf_dir, src: str) -> None:
-    """Append one marker event (user -1, type 0) a year after the data: it
-    moves the watermark past every real window or session, and its own
-    window stays open, so it is never output."""
-    ev = _t(spark, sf_dir).events
-    (ev.agg(F.max("timestamp").alias("m"))
-     .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
-             F.lit(0).alias("event_type_id"), F.lit(None).cast("string").alias("metadata"),
-             (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
-     .write.mode("append").parquet(src))
-
-
-@register("stream_rollup_bounded", ORACLES["stream_rollup"])
-def q_stream_rollup_bounded(spark, sf_dir):
-    """Bounded-state incremental rollup (T4): per-(hour, type, user) state,
-    then per (hour, type), append mode; time-ordered input closed by a
-    heartbeat event so every hour is emitted exactly once."""
-    src = _events_in_time_order(spark, sf_dir)
-    _heartbeat(spark, sf_dir, src)
-    out = scratch_path(spark, "stream-bounded")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    agg = streams.windowed_type_counts_bounded(stream, "1 hour").select(
-        F.date_trunc("hour", "wt").cast("timestamp_ntz").alias("hour_bucket"),
-        "event_type_id", "total_count", "unique_users")
-    streams.append_stream(agg, out, os.path.basename(out), available_now=True).awaitTermination()
-    rows = spark.read.parquet(out)
-    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
-        "event_type", "hour_bucket", "total_count", "unique_users")
-
-
-MINUTE_FROM, MINUTE_TO = "2024-01-15 10:00:00", "2024-01-15 13:59:59"
-
-
-@register("timeseries_minute", _bucket_sql(
-    "minute", f'e."timestamp" >= {tsl(MINUTE_FROM)} AND e."timestamp" <= {tsl(MINUTE_TO)}'))
-def q_timeseries_minute(spark, sf_dir):
-    """Minute buckets over four hours (A15 with F3)."""
-    t = _t(spark, sf_dir)
-    return metrics.timeseries(t.events, t.event_types, "minute", MINUTE_FROM, MINUTE_TO)
-
-
-RT_USERS = (3, 7, 11, 12, 40)
-
-
-@register("realtime_metrics_users", _bucket_sql(
-    "day", f"date_trunc('day', \"timestamp\") = date_trunc('day', {tsl(AT)}) "
-           f"AND user_id IN ({', '.join(map(str, RT_USERS))})"))
-def q_realtime_metrics_users(spark, sf_dir):
-    """A14 for the day bucket of AT, restricted to a list of users."""
-    t = _t(spark, sf_dir)
-    return metrics.realtime_metrics(t.events, t.event_types, "day", at=AT,
-                                    user_ids=list(RT_USERS))
-
-
-PIVOT_TYPES = ("purchase", "view", "click")
-
-
-@register("product_pivot", sql(f"""
-SELECT e.product_id,
-       {", ".join(f"count(*) FILTER (WHERE t.name = '{n}') AS {n}" for n in PIVOT_TYPES)}
-FROM c_typed e {_TYPED_JOIN} WHERE e.product_id IS NOT NULL GROUP BY e.product_id"""))
-def q_product_pivot(spark, sf_dir):
-    """Per product id, one event-count column per listed type (A22, wide)."""
-    t = _t(spark, sf_dir)
-    return metrics.product_pivot(t.events, t.event_types, list(PIVOT_TYPES))
+from evtide.plans import q_exports, q_keyed, q_mutations, q_reads, q_report, q_streams  # noqa: F401
+from evtide.plans.registry import AS_OF, FROM, ORACLES, QUERIES, TO, TYPE, USER  # noqa: F401
