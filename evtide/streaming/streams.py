@@ -9,6 +9,7 @@ instead of duplicating it.
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,8 @@ from evtide.operators import mutations, rollup
 from evtide.session import checkpoint_dir
 from evtide.sources import schemas, sinks
 
+log = logging.getLogger("evtide.streams")
+
 
 def query_checkpoint(spark: SparkSession, name: str) -> str:
     """One checkpoint folder per named query / consumer."""
@@ -102,15 +105,24 @@ def refresh_rollup(events: DataFrame, event_types: DataFrame, base: str, as_of=N
 
 def scheduled_refresh(trigger_source: DataFrame, load_events, event_types: DataFrame,
                       base: str, every: str = "60 minutes", name: str = "rollup_refresh",
-                      as_of=None) -> StreamingQuery:
+                      as_of=None, skip_first: bool = True) -> StreamingQuery:
     """Hourly rebuild (T2): any stream (e.g. the raw event files) ticks a
     ``processingTime`` trigger; each tick rebuilds the snapshot from the full
-    table returned by ``load_events()``. A failed rebuild leaves the previous
-    version current; the next tick retries."""
+    table returned by ``load_events()``.
+
+    Like the service's loop, the first (immediate) tick is skipped unless
+    ``skip_first=False``, and a failed rebuild is logged and leaves the
+    previous version current; the stream keeps ticking.
+    """
     spark = trigger_source.sparkSession
 
-    def run(_batch: DataFrame, _batch_id: int) -> None:
-        refresh_rollup(load_events(), event_types, base, as_of=as_of)
+    def run(_batch: DataFrame, batch_id: int) -> None:
+        if skip_first and batch_id == 0:
+            return
+        try:
+            refresh_rollup(load_events(), event_types, base, as_of=as_of)
+        except Exception:  # noqa: BLE001 - keep ticking, as the service does
+            log.exception("rollup refresh failed; the previous snapshot stays current")
 
     return (trigger_source.writeStream.foreachBatch(run)
             .option("checkpointLocation", query_checkpoint(spark, name))

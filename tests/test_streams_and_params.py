@@ -102,7 +102,8 @@ def test_scheduled_refresh_writes_versions(spark, tmp_path):
     base = str(tmp_path / "rollup")
     q = streams.scheduled_refresh(streams.parquet_stream(spark, src, schemas.EVENTS),
                                   lambda: e, _types(spark), base, every="1 second",
-                                  name=f"refresh-{RUN}", as_of=T0 + dt.timedelta(days=1))
+                                  name=f"refresh-{RUN}", as_of=T0 + dt.timedelta(days=1),
+                                  skip_first=False)
     q.processAllAvailable()
     q.stop()
     snap = sinks.read_current(spark, base, schemas.ROLLUP)
@@ -167,3 +168,20 @@ def test_stream_ingest_ids_continue_across_batches(spark, tmp_path):
     ids = sorted(r.id for r in spark.read.parquet(acc).collect())
     assert ids == list(range(101, 107))
     assert spark.read.parquet(rej).count() == 3
+
+
+def test_failed_refresh_keeps_ticking(spark, tmp_path):
+    src = str(tmp_path / "ticks")
+    _events(spark, 2).write.parquet(src)
+    calls = []
+
+    def broken():
+        calls.append(1)
+        raise RuntimeError("source unavailable")
+
+    q = streams.scheduled_refresh(streams.parquet_stream(spark, src, schemas.EVENTS), broken,
+                                  _types(spark), str(tmp_path / "rollup"), every="1 second",
+                                  name=f"broken-{RUN}", skip_first=False)
+    q.processAllAvailable()
+    assert q.isActive and calls == [1]
+    q.stop()
