@@ -111,13 +111,32 @@ def find_by_name(df: DataFrame, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- paging
-def _page(df: DataFrame, order, limit: int | None, offset: int) -> DataFrame:
-    df = df.orderBy(*order)
+# Largest offset + limit served by a top-k (each task keeps that many rows).
+TOPK_MAX = 100_000
+
+
+def _page(df: DataFrame, cols: list[str], descending: bool, limit: int | None,
+          offset: int) -> DataFrame:
+    """Rows ``offset .. offset+limit-1`` of ``df`` ordered by ``cols``.
+
+    Shallow pages are a top-k (TakeOrderedAndProject). Deep pages -- an
+    offset+limit above ``TOPK_MAX``, or an offset with no limit -- use global
+    positions from range partitioning (``keyed.ordered_positions``), so no
+    task ever holds ``offset`` rows; no offset and no limit is a plain
+    distributed sort.
+    """
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
+    if limit is not None and offset + limit <= TOPK_MAX:
+        out = df.orderBy(*order).limit(offset + limit)
+        return out.offset(offset) if offset else out
+    if not offset and limit is None:
+        return df.orderBy(*order)
+    from evtide.operators.keyed import ordered_positions
+    pos = ordered_positions(df, cols, col="_pos", descending=descending)
+    keep = F.col("_pos") >= offset
     if limit is not None:
-        df = df.limit(offset + limit)
-    if offset:
-        df = df.offset(offset)
-    return df
+        keep = keep & (F.col("_pos") < offset + limit)
+    return pos.filter(keep).orderBy("_pos").drop("_pos")
 
 
 def _named_page(events: DataFrame, event_types: DataFrame, limit: int | None,
@@ -125,7 +144,7 @@ def _named_page(events: DataFrame, event_types: DataFrame, limit: int | None,
     # Top-k on the bare events first, then attach names to the <= limit rows.
     # Equivalent to join-then-top-k because every event's type exists (the
     # foreign key is enforced on ingest and deletes cascade).
-    top = _page(bare_event(events), newest_first(), limit, offset)
+    top = _page(bare_event(events), ["timestamp", "id"], True, limit, offset)
     return event_response(with_type_name(top, event_types)).orderBy(*newest_first())
 
 
@@ -148,13 +167,13 @@ def user_events(events: DataFrame, event_types: DataFrame, user_id: int,
 def events_page(events: DataFrame, limit: int | None = None,
                 offset: int | None = None) -> DataFrame:
     """Events by limit/offset, no join (K3); all four combinations."""
-    return _page(bare_event(events), newest_first(), limit, offset or 0)
+    return _page(bare_event(events), ["timestamp", "id"], True, limit, offset or 0)
 
 
 def users_page(users: DataFrame, limit: int | None = None,
                offset: int | None = None) -> DataFrame:
     """Users by name with optional limit/offset (K4)."""
-    return _page(user_response(users), (F.col("name"), F.col("id")), limit, offset or 0)
+    return _page(user_response(users), ["name", "id"], False, limit, offset or 0)
 
 
 def _cursor_page(df: DataFrame, order, limit: int, key_cols: list[str]) -> DataFrame:

@@ -272,19 +272,45 @@ def consume(source: DataFrame, name: str, handler, available_now: bool = False,
     return _trigger(w, available_now, every).start()
 
 
+TRIM_TOPK_MAX = 100_000
+
+
 def log_trim(log: DataFrame, maxlen: int) -> DataFrame:
-    """Keep the newest ``maxlen`` entries.
+    """Keep the newest ``maxlen`` entries (T11), exactly.
 
-    The cut id is the smallest id of the top-``maxlen`` (a bounded top-k, not
-    a sort of the log); it comes back as one scalar and becomes a plain
-    ``id >= cut`` filter that reaches the Parquet scan.
+    Up to ``TRIM_TOPK_MAX`` the cut id is the smallest id of a top-``maxlen``
+    and comes back as one scalar, so the result is a plain ``id >= cut``
+    filter that reaches the Parquet scan. Beyond it, entries get global
+    positions from range partitioning (newest first) and positions below
+    ``maxlen`` are kept; no task holds ``maxlen`` rows.
     """
     if maxlen <= 0:
         return log.limit(0)
+    if maxlen > TRIM_TOPK_MAX:
+        from evtide.operators.keyed import ordered_positions
+        pos = ordered_positions(log, ["id"], col="_pos", descending=True)
+        return pos.filter(F.col("_pos") < maxlen).drop("_pos")
     cut = log.select("id").orderBy(F.col("id").desc()).limit(maxlen).agg(F.min("id")).first()[0]
     return log if cut is None else log.filter(F.col("id") >= F.lit(cut))
 
 
+def log_trim_approx(log: DataFrame, maxlen: int, accuracy: int = 10_000) -> DataFrame:
+    """Keep about the newest ``maxlen`` entries (T11, approximate form).
+
+    Two aggregate passes give the length and an approximate id quantile at
+    ``1 - maxlen / length``; the filter ``id >= cut`` then prunes whole files
+    and row groups by their id statistics. Keeps at least every entry above
+    the estimated cut; the count is within the quantile's error.
+    """
+    if maxlen <= 0:
+        return log.limit(0)
+    n = log.count()
+    if n <= maxlen:
+        return log
+    cut = log.agg(F.percentile_approx("id", 1.0 - maxlen / n, accuracy)).first()[0]
+    return log.filter(F.col("id") >= F.lit(cut))
+
+
 def log_info(log: DataFrame) -> DataFrame:
     """Length, first and last entry id of the log."""
     return log.agg(F.count(F.lit(1)).alias("length"), F.min("id").alias("first_id"),

@@ -185,3 +185,21 @@ def test_failed_refresh_keeps_ticking(spark, tmp_path):
     q.processAllAvailable()
     assert q.isActive and calls == [1]
     q.stop()
+
+
+def test_deep_pages_and_large_trims_use_positions(spark, monkeypatch):
+    from evtide.operators import reads
+    e = _events(spark, 60)
+    full = [r.id for r in e.orderBy(F.col("timestamp").desc(), F.col("id").desc()).collect()]
+    shallow = [r.id for r in reads.events_page(e, limit=7, offset=11).collect()]
+    monkeypatch.setattr(reads, "TOPK_MAX", 5)
+    deep = [r.id for r in reads.events_page(e, limit=7, offset=11).collect()]
+    tail = [r.id for r in reads.events_page(e, offset=50).collect()]
+    assert shallow == deep == full[11:18]
+    assert tail == full[50:]
+    log = streams.log_from_events(e)
+    monkeypatch.setattr(streams, "TRIM_TOPK_MAX", 3)
+    kept = sorted(r.id for r in streams.log_trim(log, 10).collect())
+    assert kept == list(range(50, 60))
+    approx = streams.log_trim_approx(log, 10).count()
+    assert 8 <= approx <= 14
