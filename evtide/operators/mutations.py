@@ -17,7 +17,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evtide.functions.timefn import parse_ts, ts, utcnow
@@ -327,3 +327,27 @@ def delete_events_in_place(path: str, ids: DataFrame, ids_col: str = "id",
     scope = table.filter(F.col(part_col).isin(days))
     replace_partitions(scope.join(k, "id", "left_anti"), path, part_col, days)
     return missing
+
+
+def retention_in_place(path: str, cutoff, part_col: str = "event_date") -> DataFrame:
+    """W13 as a physical job on a day-partitioned events table.
+
+    Days wholly before the cutoff are dropped as partitions (no row is read);
+    the cutoff's own day, when the cutoff is not at midnight, is rewritten
+    with only its rows at or after the cutoff; later days are untouched.
+    Returns (deleted, cutoff), counted before anything changes.
+    """
+    from evtide.sources.sinks import replace_partitions
+    spark = SparkSession.getActiveSession()
+    c = parse_ts(cutoff)
+    table = spark.read.parquet(path)
+    day = F.col(part_col)
+    old_days = sorted(r[0] for r in
+                      table.select(part_col).filter(day < F.lit(c.date())).distinct().collect())
+    deleted = table.filter(F.col("timestamp") < ts(c)).count()
+    boundary = [c.date()] if c != dt.datetime.combine(c.date(), dt.time()) else []
+    if boundary and table.filter(day == F.lit(c.date())).limit(1).count() == 0:
+        boundary = []
+    keep = table.filter(day.isin(boundary) & (F.col("timestamp") >= ts(c)))
+    replace_partitions(keep, path, part_col, old_days + boundary)
+    return spark.createDataFrame([(deleted, c)], "deleted long, cutoff timestamp_ntz")

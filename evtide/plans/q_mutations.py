@@ -378,3 +378,25 @@ def q_delete_in_place(spark, sf_dir):
     path = _events_by_day(spark, sf_dir)
     mutations.delete_events_in_place(path, _fulfilled(spark, sf_dir))
     return spark.read.parquet(path).drop("event_date")
+
+
+MIDDAY_CUTOFF = "2024-01-15 12:00:00"
+
+
+@register("retention_in_place", sql(
+    f'SELECT id, user_id, event_type_id, metadata, "timestamp" FROM c_events '
+    f'WHERE "timestamp" >= {tsl(MIDDAY_CUTOFF)}'))
+def q_retention_in_place(spark, sf_dir):
+    """W13 as a physical job on a day-partitioned copy: older days dropped as
+    partitions, the cutoff day rewritten; the table is read back."""
+    path = _events_by_day(spark, sf_dir)
+    mutations.retention_in_place(path, MIDDAY_CUTOFF)
+    return spark.read.parquet(path).drop("event_date")
+
+
+@register("retention_in_place_count", sql(
+    f'SELECT count(*) AS deleted, {tsl(MIDDAY_CUTOFF)} AS cutoff FROM c_events '
+    f'WHERE "timestamp" < {tsl(MIDDAY_CUTOFF)}'))
+def q_retention_in_place_count(spark, sf_dir):
+    """The (deleted, cutoff) report of the physical retention job."""
+    return mutations.retention_in_place(_events_by_day(spark, sf_dir), MIDDAY_CUTOFF)

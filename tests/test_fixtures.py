@@ -254,3 +254,23 @@ def test_rename_last_ok_command_wins(spark, dims):
     ren = spark.createDataFrame([(1, "first", 0), (1, "second", 1)], "id long, name string, seq long")
     out = mutations.rename(users, ren)
     assert {r.id: r.name for r in out.table.collect()}[1] == "second"
+
+
+def test_retention_in_place_drops_old_days(spark):
+    import os
+    from evtide.session import scratch_path
+    from evtide.sources import sinks
+    day = dt.timedelta(days=1)
+    e = ev(spark, [(1, 1, 1, None, T0 - 2 * day), (2, 1, 1, None, T0 - day),
+                   (3, 1, 1, None, T0 - dt.timedelta(hours=1)), (4, 1, 1, None, T0),
+                   (5, 1, 1, None, T0 + day)])
+    path = scratch_path(spark, "t-ret")
+    sinks.append_events(e, path)
+    later = f"event_date={(T0 + day).date()}"
+    before = sorted(os.listdir(os.path.join(path, later)))
+    rep = mutations.retention_in_place(path, T0).collect()[0]
+    assert rep.deleted == 3
+    days = sorted(d for d in os.listdir(path) if d.startswith("event_date="))
+    assert days == [f"event_date={T0.date()}", later]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [4, 5]
+    assert sorted(os.listdir(os.path.join(path, later))) == before
