@@ -313,19 +313,21 @@ def update_events_in_place(path: str, updates: DataFrame, event_types: DataFrame
 
 
 def delete_events_in_place(path: str, ids: DataFrame, ids_col: str = "id",
-                           part_col: str = "event_date") -> DataFrame:
-    """W10 on a day-partitioned events table: only days holding a deleted id
-    are rewritten; a day that loses all its rows is removed. Returns the ids
-    that were not found (materialised before the table changes)."""
+                           part_col: str = "event_date", key: str = "id") -> DataFrame:
+    """W10 on a day-partitioned events table: only days holding a row whose
+    ``key`` is listed are rewritten; a day that loses all its rows is removed.
+    With ``key="user_id"`` this is the event side of the user cascade (W11),
+    with ``key="event_type_id"`` of the type cascade (W12). Returns the listed
+    keys that matched no row (materialised before the table changes)."""
     from evtide.sources.sinks import replace_partitions
     spark = ids.sparkSession
     table = spark.read.parquet(path)
-    days = affected_partitions(table, ids, "id", ids_col, part_col)
-    k = ids.select(F.col(ids_col).alias("id")).distinct()
+    days = affected_partitions(table, ids, key, ids_col, part_col)
+    k = ids.select(F.col(ids_col).alias(key)).distinct()
     checkpoint_dir(spark)
-    missing = k.join(table.select("id"), "id", "left_anti").checkpoint(eager=True)
+    missing = k.join(table.select(key), key, "left_anti").checkpoint(eager=True)
     scope = table.filter(F.col(part_col).isin(days))
-    replace_partitions(scope.join(k, "id", "left_anti"), path, part_col, days)
+    replace_partitions(scope.join(k, key, "left_anti"), path, part_col, days)
     return missing
 
 

@@ -400,3 +400,14 @@ def q_retention_in_place(spark, sf_dir):
 def q_retention_in_place_count(spark, sf_dir):
     """The (deleted, cutoff) report of the physical retention job."""
     return mutations.retention_in_place(_events_by_day(spark, sf_dir), MIDDAY_CUTOFF)
+
+
+@register("delete_cascade_in_place", ORACLES["delete_cascade_events"])
+def q_delete_cascade_in_place(spark, sf_dir):
+    """Users in debt deleted: their events removed in place from a
+    day-partitioned copy, rewriting only the days that held them (W11)."""
+    path = _events_by_day(spark, sf_dir)
+    t = _t(spark, sf_dir)
+    gone = _debtors(spark, sf_dir).join(t.users.select("id"), "id", "left_semi")
+    mutations.delete_events_in_place(path, gone, "id", key="user_id")
+    return spark.read.parquet(path).drop("event_date")
