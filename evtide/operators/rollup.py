@@ -7,8 +7,6 @@ report reads it instead of the fact table.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -7,7 +7,6 @@ see a complete version and a failed job leaves the old one in place.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import uuid
 

@@ -4,7 +4,6 @@ import datetime as dt
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from evtide.operators import keyed, metrics, mutations, reads, report, rollup
 from evtide.sources import schemas
