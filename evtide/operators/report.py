@@ -114,3 +114,32 @@ def nested_report(report: DataFrame, frm=None, to=None, now=None) -> DataFrame:
                     lambda x: F.struct(x["page"].alias("page"),
                                        x["count"].alias("count"))).alias("top_pages"),
         F.struct(ts(frm).alias("from"), ts(to).alias("to")).alias("time_range"))
+
+
+def exact_unique_users(events: DataFrame, event_types: DataFrame, frm=None, to=None,
+                       event_type: str | None = None, now=None, as_of=None,
+                       lookback_days: int = 30) -> DataFrame:
+    """Exact distinct users over the report's window (repairs Q4).
+
+    Same window as ``stats_report`` -- hours ``floor(from) .. floor(to)``
+    inclusive, i.e. ``[floor(from), floor(to) + 1 hour)``, and no earlier
+    than the rollup's lookback from ``as_of`` -- but counted from the events:
+    one ``events`` row per type and a ``totals`` row with the true overall
+    distinct count (not the sum of the per-type numbers).
+    """
+    from evtide.functions.timefn import lookback_start
+    from evtide.operators.joins import restrict_type, with_type_name
+    _, _, frm_r, to_r = report_range(frm, to, now)
+    lo = frm_r
+    if as_of is not None:
+        lo = max(lo, lookback_start(as_of, lookback_days))
+    ev = events.filter((F.col("timestamp") >= ts(lo)) &
+                       (F.col("timestamp") < ts(to_r + dt.timedelta(hours=1))))
+    ev = restrict_type(ev, event_types, event_type)
+    per = ev.groupBy("event_type_id").agg(F.countDistinct("user_id").alias("unique_users"))
+    rows = with_type_name(per, event_types).select(
+        F.lit("events").alias("result_type"), "event_type", "unique_users")
+    tot = ev.agg(F.countDistinct("user_id").alias("unique_users")).select(
+        F.lit("totals").alias("result_type"), _null("string").alias("event_type"),
+        "unique_users")
+    return rows.unionByName(tot)

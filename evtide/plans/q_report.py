@@ -317,3 +317,18 @@ def q_product_pivot(spark, sf_dir):
     """Per product id, one event-count column per listed type (A22, wide)."""
     t = _t(spark, sf_dir)
     return metrics.product_pivot(t.events, t.event_types, list(PIVOT_TYPES))
+
+
+@register("report_exact_users", sql(f"""
+SELECT 'events' AS result_type, t.name AS event_type,
+       count(DISTINCT e.user_id) AS unique_users
+FROM c_events e {_TYPED_JOIN}
+WHERE e."timestamp" >= {tsl(FROM_H)} AND e."timestamp" < {tsl(TO_H)} + INTERVAL 1 HOUR
+GROUP BY t.name
+UNION ALL
+SELECT 'totals', NULL, count(DISTINCT user_id) FROM c_events e
+WHERE e."timestamp" >= {tsl(FROM_H)} AND e."timestamp" < {tsl(TO_H)} + INTERVAL 1 HOUR"""))
+def q_report_exact_users(spark, sf_dir):
+    """Exact distinct users over the report window, per type and overall (Q4)."""
+    t = _t(spark, sf_dir)
+    return report.exact_unique_users(t.events, t.event_types, FROM, TO, now=AS_OF, as_of=AS_OF)
