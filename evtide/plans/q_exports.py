@@ -12,6 +12,7 @@ from evtide.session import scratch_path
 from evtide.sources import generate, readers, sinks
 from evtide.sources.driver_tables import read_driver
 
+
 @register("export_users", sql("""
 SELECT CAST(id AS VARCHAR) AS id, name,
        lower(replace(name, ' ', '')) || '@example.com' AS email,
@@ -49,11 +50,18 @@ def q_generated_profile(spark, sf_dir):
 
 @register("sketch_unique_users")
 def q_sketch_unique_users(spark, sf_dir):
-    """Distinct users per type over the report range from mergeable HLL
-    sketches (A24). Rows-only: an estimate has no exact SQL twin."""
+    """Distinct users per type, and over all types, for the report range from
+    mergeable HLL sketches (A24): the sketch rollup is written as a snapshot
+    version, then its hourly sketches are unioned at query time. Rows-only:
+    an estimate has no exact SQL twin."""
     t = _t(spark, sf_dir)
-    sk = rollup.sketch_rollup(t.events, t.event_types, as_of=AS_OF)
-    return rollup.sketch_unique_users(sk, FROM_H, TO_H)
+    version = sinks.write_version(rollup.sketch_rollup(t.events, t.event_types, as_of=AS_OF),
+                                  scratch_path(spark, "sketch-rollup"))
+    sk = spark.read.parquet(version)
+    per_type = rollup.sketch_unique_users(sk, FROM_H, TO_H)
+    overall = rollup.sketch_unique_users(sk, FROM_H, TO_H, by_type=False).select(
+        F.lit(None).cast("string").alias("event_type"), "total_count", "unique_users_est")
+    return per_type.unionByName(overall)
 
 
 @register("stats_report_nested")

@@ -10,6 +10,7 @@ from evtide.operators import keyed, reads
 from evtide.plans.oracle import sql, tsl
 from evtide.plans.registry import register, _t
 
+
 def type_boards(spark, sf_dir) -> DataFrame:
     """Boards per event type: every event adds 1 to its user's score."""
     t = _t(spark, sf_dir)

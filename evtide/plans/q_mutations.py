@@ -12,6 +12,7 @@ from evtide.session import scratch_path
 from evtide.sources import sinks
 from evtide.sources.driver_tables import read_driver
 
+
 RETENTION_CUTOFF = "2024-01-15 00:00:00"
 
 

@@ -18,6 +18,7 @@ from evtide.plans.registry import (
     USER,
 )
 
+
 @register("event_by_id", sql(
     f"SELECT {_RESPONSE} FROM c_events e {_TYPED_JOIN} "
     f"WHERE e.id IN ({', '.join(map(str, LOOKUP_IDS))})"))

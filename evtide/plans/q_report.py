@@ -12,6 +12,7 @@ from evtide.session import scratch_path
 from evtide.sources import schemas
 from evtide.streaming import streams
 
+
 ROLLUP_SQL = f"""
 ty AS (
   SELECT t.name AS key_name, date_trunc('hour', e."timestamp") AS hour_bucket,

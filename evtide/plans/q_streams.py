@@ -15,6 +15,7 @@ from evtide.sources import schemas
 from evtide.sources.driver_tables import read_driver
 from evtide.streaming import streams
 
+
 STREAM_WATERMARK = "31 days"   # data span is 30 days: nothing is late here
 
 
