@@ -202,3 +202,31 @@ def q_stream_rollup_bounded(spark, sf_dir):
     rows = spark.read.parquet(out)
     return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
         "event_type", "hour_bucket", "total_count", "unique_users")
+
+
+@register("stream_live_metrics", sql("""
+SELECT w.ws AS window_start, t.name AS event_type, count(*) AS total_count,
+       count(DISTINCT w.user_id) AS unique_users
+FROM (
+  SELECT time_bucket(INTERVAL 30 MINUTE, "timestamp") AS ws, user_id, event_type_id
+  FROM c_events
+  UNION ALL
+  SELECT time_bucket(INTERVAL 30 MINUTE, "timestamp") - INTERVAL 30 MINUTE, user_id,
+         event_type_id
+  FROM c_events) w
+JOIN c_event_types t ON w.event_type_id = t.id
+GROUP BY 1, 2"""))
+def q_stream_live_metrics(spark, sf_dir):
+    """Live per-type metrics on sliding windows (T5): one-hour windows every
+    30 minutes, update mode, upserted by (window, type)."""
+    src = _events_as_files(spark, sf_dir)
+    out = scratch_path(spark, "stream-live")
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+    agg = streams.windowed_type_counts(stream, STREAM_WATERMARK, "1 hour", "30 minutes").select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type_id",
+        "total_count", "unique_users")
+    q = streams.upsert_stream(agg, out, os.path.basename(out), available_now=True)
+    q.awaitTermination()
+    rows = streams.latest_rows(spark, out, ["window_start", "event_type_id"])
+    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
+        "window_start", "event_type", "total_count", "unique_users")
