@@ -45,17 +45,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster's shared storage). Only when
-    unset -- local runs and tests -- a fresh scratch folder is created and
-    registered, so lineage-cutting writes never land on an executor-local disk.
+    it is unset -- local runs and tests -- a fresh scratch folder is created and
+    registered with the context (the setting itself cannot change at run
+    time), so lineage-cutting writes never land on an executor-local disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="evtide-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = tempfile.mkdtemp(prefix="evtide-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
