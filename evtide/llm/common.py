@@ -92,16 +92,24 @@ class WordCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def missing(self, wanted: set) -> set:
-        """The wanted words that are in neither generation; the others are
-        in ``young`` afterwards."""
+    def turn(self) -> None:
+        """Start a new generation if the young one is full."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        gone = wanted - self.young.keys()
-        back = gone & self.old.keys()
-        for w in back:
-            self.young[w] = self.old[w]
-        return gone - back
+
+    def missing(self, wanted: set) -> set:
+        """Of words that are not in ``young`` those that aren't in ``old`` either;
+        the others are in ``young`` afterwards."""
+        if not self.old:
+            return wanted
+        get, gone = self.old.get, set()
+        for w in wanted:
+            v = get(w)
+            if v is None:
+                gone.add(w)
+            else:
+                self.young[w] = v
+        return gone
 
 
 def replace_text(b: pa.RecordBatch, names: list[str], changed: dict[int, str]) -> pa.RecordBatch:

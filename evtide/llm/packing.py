@@ -33,7 +33,7 @@ from evtide.llm.word_tokens import encoder
 DIMENSIONS = 4
 BITS = 15
 #: Buckets that token ids are hashed into, and the seed of the projection.
-BUCKETS = 4096
+BUCKETS = 2048
 SEED = 20240205
 _SEQ_SHIFT = 40
 
@@ -45,10 +45,12 @@ def projection() -> np.ndarray:
 
 def hashed_point(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The document's hashed log-count vector, normalised and projected."""
-    bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-    v = np.log1p(np.bincount(bucket.astype(np.int64), minlength=BUCKETS)).astype(np.float32)
+    bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
+    counts = np.bincount(bucket.astype(np.int64), minlength=BUCKETS)
+    held = np.flatnonzero(counts)
+    v = np.log1p(counts[held]).astype(np.float32)
     norm = float(np.sqrt(v @ v))
-    return (v / norm) @ matrix if norm else np.zeros(DIMENSIONS, np.float32)
+    return (v / norm) @ matrix[held] if norm else np.zeros(DIMENSIONS, np.float32)
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS, reach: float = 4.0) -> np.ndarray:

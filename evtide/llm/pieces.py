@@ -235,7 +235,9 @@ class PieceEncoder:
         gc.disable()
         try:
             cut = [self.cut_words(t) for t in texts]
-            new = self.words.missing(set().union(*[w for w, _ in cut]))
+            self.words.turn()
+            new = self.words.missing(
+                set().union(*[w for w, _ in cut]) - self.words.young.keys())
             if new:
                 self._learn(list(new))
             return [self._join(*c) for c in cut]

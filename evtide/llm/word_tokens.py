@@ -21,12 +21,12 @@ import numpy as np
 from evtide.llm.common import WordCache
 
 #: Words and chunks a worker keeps in each of two generations (about 200 bytes each).
-CACHE_WORDS = 200_000
-CACHE_CHUNKS = 150_000
+CACHE_WORDS = 350_000
 _ALNUM = r"0-9A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _PUNCT = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 _OTHER = rf"[^{_ALNUM}{_PUNCT}]"
 _CHUNK = re.compile(rf"[{_ALNUM}]++(?!{_OTHER})|[{_PUNCT}]++(?!{_OTHER})|(?s:.+)")
+_STOPS = b".,"
 #: One run of letters in lower case that no normalisation changes.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -59,37 +59,45 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if len(self.word_end) <= 1 << 16 else "<u4")
         self.symbols = _byte_symbols()
         self.words = WordCache(CACHE_WORDS)
-        self.chunks = WordCache(CACHE_CHUNKS)
 
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        known = self.chunks.young
-        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of new words in the young generation."""
+        known = self.words.young
+        plain: list[bytes] = []
+        cut: dict[bytes, list[bytes]] = {}
+        for w in words:
+            if w.isalpha():                                 # ASCII letters, in lower case
+                plain.append(w)
+            elif w[-1] in _STOPS and w[:-1].isalpha():
+                cut[w] = [w[:-1], w[-1:]]
+            elif _PLAIN.fullmatch(t := w.decode()):
+                plain.append(w)
+            else:
+                cut[w] = [c.encode() for c in _CHUNK.findall(t)]
+        chunks = {c for parts in cut.values() for c in parts if c not in known}
+        odd: list[bytes] = []
+        for c in self.words.missing(chunks):
+            (plain if c.isalpha() or _PLAIN.fullmatch(c.decode()) else odd).append(c)
         for i in range(0, len(plain), 5_000):
             part = plain[i:i + 5_000]
-            text = " ".join(part).encode().decode("latin-1").translate(self.symbols)
+            text = b" ".join(part).decode("latin-1").translate(self.symbols)
             ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids,
                            self.dtype)
             ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), 0
-                for w, e in zip(part, (ends * self.dtype.itemsize).tolist()):
-                    known[w] = raw[at:e]
-                    at = e
-        rest = [c for c in chunks if c not in known]
-        for i in range(0, len(rest), 5_000):
-            part = rest[i:i + 5_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part,
-                                                                   add_special_tokens=False)):
+            if len(ends) != len(part):
+                odd += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(part, (ends * self.dtype.itemsize).tolist()):
+                known[w] = raw[at:e]
+                at = e
+        for i in range(0, len(odd), 5_000):
+            part = odd[i:i + 5_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(
+                    [c.decode() for c in part], add_special_tokens=False)):
                 known[c] = np.array(e.ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        cut = [_CHUNK.findall(w.decode()) for w in words]
-        new = self.chunks.missing(set().union(*cut))
-        if new:
-            self._learn_chunks(list(new))
-        get = self.chunks.young.__getitem__
-        for w, c in zip(words, cut):
-            self.words.young[w] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+        for w, parts in cut.items():
+            known[w] = b"".join([known[c] for c in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # no cycles are made here, and millions of small objects are
@@ -103,12 +111,18 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         # bytes.lower and bytes.split touch ASCII only; the tokenizer lowers the rest
+        self.words.turn()
+        known = self.words.young
         cut = [t.encode().lower().split() for t in texts]
-        new = self.words.missing(set().union(*cut))
+        found = [list(map(known.get, words)) for words in cut]
+        new = {w for words, ids in zip(cut, found) if None in ids
+               for w, v in zip(words, ids) if v is None}
+        new = self.words.missing(new) if new else new
         if new:
             self._learn(list(new))
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, w)) for w in cut]
+        return [b"".join(ids) if None not in ids else
+                b"".join([known[w] if v is None else v for w, v in zip(words, ids)])
+                for words, ids in zip(cut, found)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
