@@ -3,15 +3,18 @@
 The tree is fitted by numpy on a bounded sample (``SAMPLE`` distinct vectors,
 chosen by hash) and is small enough for every task. Every distinct vector of
 the table is put in its leaf; a query walks the tree best bin first, a priority
-queue ordering the nodes seen so far by the inner product with their centre,
+queue ordering the nodes seen so far by the inner product with
+their centre plus a share of their radius,
 until it has visited as many leaves as calibration asks for. Calibration finds
 the true neighbours of ``PROBES`` queries by a full scan and widens the number
 of visits until their recall reaches ``TARGET``.
 
 Scale: equal vectors are one row with their ``k + 1`` smallest ids (more can't
 be among the k nearest), so a vector held by a third of all rows is no hot
-leaf; leaves and their queries are split into blocks of bounded size, and each
-pair of blocks is one matrix product in its own task.
+leaf. Neighbouring leaves are kept together in blocks of bounded size (a larger
+leaf is split); a query goes once to each block that holds leaves of its visit,
+in blocks of queries of bounded size, and each pair of blocks is one matrix
+product that returns the best of the visited leaves.
 
 Nearness is the largest inner product in double precision, ties to the smaller
 id. Defined results: rows with a null id or a vector that is null, zero, of
@@ -31,12 +34,16 @@ from pyspark.sql import functions as F
 
 from evtide.llm.common import map_batches, materialise
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 BRANCH = 8
 LEAF = 24
 PROBES = 128
-TARGET = 0.97
-BLOCK = 4096
+TARGET = 0.96
+#: Share of a node's radius (times the query's length) added to its priority.
+REACH = 0.3
+#: Numbers in a block of vectors (8 MB), and queries in a block of queries.
+BLOCK_VALUES = 1 << 20
+QUERY_BLOCK = 2048
 SEED = 11
 
 
@@ -48,10 +55,12 @@ class Tree:
         self.centres: list[np.ndarray] = [sample.mean(axis=0) if len(sample) else
                                           np.zeros(sample.shape[1])]
         self.children: list[list[int]] = [[]]
+        self.radius: list[float] = [0.0]
         self._split(0, sample, branch, leaf)
         self.leaves = [i for i, c in enumerate(self.children) if not c]
         self.stacked = [np.array([self.centres[c] for c in kids]) if kids else None
                         for kids in self.children]
+        self.reach = [REACH * np.array([self.radius[c] for c in kids]) for kids in self.children]
         del self.rng
 
     def _split(self, node: int, x: np.ndarray, branch: int, leaf: int) -> None:
@@ -69,6 +78,7 @@ class Tree:
         for k in groups:
             self.centres.append(centres[k])
             self.children.append([])
+            self.radius.append(float(np.linalg.norm(x[near == k] - centres[k], axis=1).mean()))
             self.children[node].append(len(self.centres) - 1)
         for k, child in zip(groups, list(self.children[node])):
             self._split(child, x[near == k], branch, leaf)
@@ -93,6 +103,7 @@ class Tree:
         """The first leaves in best-bin-first order: ``most`` of them, and on
         until they hold ``need`` vectors (``held``: vectors in each leaf)."""
         heap, out, have = [(0.0, 0)], [], 0
+        size = float(np.linalg.norm(q))
         while heap and (len(out) < most or have < need):
             _, node = heapq.heappop(heap)
             kids = self.children[node]
@@ -100,7 +111,8 @@ class Tree:
                 out.append(node)
                 have += held.get(node, 0) if held else 0
                 continue
-            for child, s in zip(kids, (self.stacked[node] @ q).tolist()):
+            for child, s in zip(kids, (self.stacked[node] @ q
+                                       + size * self.reach[node]).tolist()):
                 heapq.heappush(heap, (-s, child))
         return out
 
@@ -115,20 +127,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _top(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray,
-         keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the ``keep`` best (ids, scores), ties to the smaller id."""
-    rough = queries @ rows.T
+def _top(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, keep: int,
+         leaf: np.ndarray | None = None, visited: list | None = None
+         ) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the ``keep`` best (ids, scores) among the rows, or those of the
+    leaves it visits; ties to the smaller id."""
     out = []
-    for q, s in zip(queries, rough):
-        if len(s) > keep:       # everything that rounding could put among the best
-            floor = np.partition(s, len(s) - keep)[len(s) - keep]
-            near = np.flatnonzero(s >= floor - 1e-9 * max(1.0, abs(floor)))
-        else:
-            near = np.arange(len(s))
-        exact = (rows[near] * q).sum(axis=1)
-        order = np.lexsort((ids[near], -exact))[:keep]
-        out.append((ids[near][order], exact[order]))
+    for at in range(0, len(queries), 128):
+        rough = queries[at:at + 128] @ rows.T
+        for k, s in enumerate(rough, start=at):
+            q = queries[k]
+            among = np.arange(len(s)) if visited is None else np.flatnonzero(
+                np.isin(leaf, visited[k]))
+            s = s[among]
+            if len(s) > keep:       # everything that rounding could put among the best
+                floor = np.partition(s, len(s) - keep)[len(s) - keep]
+                among = among[s >= floor - 1e-9 * max(1.0, abs(floor))]
+            exact = (rows[among] * q).sum(axis=1)
+            order = np.lexsort((ids[among], -exact))[:keep]
+            out.append((ids[among][order], exact[order]))
     return out
 
 
@@ -209,23 +226,48 @@ def _in_leaves(base: DataFrame, tree: Tree, dim: int) -> DataFrame:
     return map_batches(base.select("rep", "v"), run, "rep bigint, v array<double>, leaf bigint")
 
 
+def leaf_blocks(tree: Tree, held: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """leaf -> (block, parts): leaves in tree order share a block up to ``size``
+    vectors; a larger leaf has a block of its own in several parts."""
+    order, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        kids = tree.children[node]
+        todo += reversed(kids)
+        if not kids:
+            order.append(node)
+    out, block, full = {}, 0, 0
+    for leaf in order:
+        n = held.get(leaf, 0)
+        if full and full + n > size:
+            block, full = block + 1, 0
+        out[leaf] = (block, max(1, -(-n // size)))
+        full += n
+    return out
+
+
 def _visits(queries: DataFrame, tree: Tree, dim: int, most: int, held: dict[int, int],
-            need: int) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(tree)
+            need: int, blocks: dict[int, tuple[int, int]]) -> DataFrame:
+    """(q, v, block, parts, leaves): a row per query and block that it visits."""
+    shared = queries.sparkSession.sparkContext.broadcast((tree, held, blocks))
+    there = pa.list_(pa.struct([("block", pa.int64()), ("parts", pa.int64()),
+                                ("leaves", pa.list_(pa.int64()))]))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        leaves = [shared.value.visit(q, most, held, need) for q in _matrix(b.column(1), dim)]
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int64()))],
-            names=["q", "v", "leaves"])
+        tree_, held_, blocks_ = shared.value
+        out = []
+        for q in _matrix(b.column(1), dim):
+            per: dict[int, list[int]] = {}
+            for leaf in tree_.visit(q, most, held_, need):
+                per.setdefault(blocks_[leaf][0], []).append(leaf)
+            out.append([{"block": k, "parts": max(blocks_[x][1] for x in leaves),
+                         "leaves": leaves} for k, leaves in per.items()])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, there)],
+                                          names=["q", "v", "there"])
     return map_batches(queries.select("q", "v"), run,
-                       "q bigint, v array<double>, leaves array<bigint>").select(
-        "q", "v", F.explode("leaves").alias("leaf"))
-
-
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Number of blocks of each leaf: (leaf, name)."""
-    return rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+                       "q bigint, v array<double>, there array<struct<block:bigint,parts:bigint,"
+                       "leaves:array<bigint>>>").select(
+        "q", "v", F.explode("there").alias("t")).select("q", "v", "t.*")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE,
@@ -233,6 +275,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE,
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds its
     k nearest other rows, nearest first; all of them if they are fewer. A query
     visits further leaves until it has seen more than k distinct vectors."""
+    spark = vectors.sparkSession
     v, dim = valid_vectors(vectors)
     v = materialise(v, "vectors")
     keep = k + 1
@@ -253,36 +296,40 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE,
         for r in rows:
             truth.setdefault(r.q, []).append(r.leaf)
     held = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    visits = _visits(q_of, tree, dim, calibrate(tree, probes, truth, target), held, keep)
-    visits = materialise(visits, "visits")
-    parts = _blocks(placed, "nd").join(_blocks(visits, "nq"), "leaf")
-    key = ["leaf", "db", "qb"]
-    left = placed.join(F.broadcast(parts), "leaf").select(
-        "rep", "v", "leaf", F.pmod(F.xxhash64("rep"), F.col("nd")).alias("db"),
+    blocks = leaf_blocks(tree, held, max(1, BLOCK_VALUES // dim))
+    visits = materialise(_visits(q_of, tree, dim, calibrate(tree, probes, truth, target), held,
+                                 keep, blocks), "visits")
+    where = spark.createDataFrame([(k, *v) for k, v in blocks.items()],
+                                  "leaf long, block long, parts long")    # a row per leaf
+    asked_of = visits.groupBy("block").agg(
+        F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("nq"))
+    data = placed.join(F.broadcast(where), "leaf").join(F.broadcast(asked_of), "block").select(
+        "rep", "v", "leaf", "block", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"))
-    right = visits.join(F.broadcast(parts), "leaf").select(
-        "q", "v", "leaf", F.pmod(F.xxhash64("q"), F.col("nq")).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nd") - 1)).alias("db"))
-
-    def score(data: pa.Table, queries: pa.Table) -> pa.Table:
-        if data.num_rows and queries.num_rows:
-            best = _top(_matrix(data.column("v"), dim), data.column("rep").to_numpy(),
-                        _matrix(queries.column("v"), dim), keep)
-            ids = queries.column("q").to_numpy()
-        else:
-            best, ids = [], np.zeros(0, np.int64)
+    queries = visits.join(F.broadcast(asked_of), "block").select(
+        "q", "v", "leaves", "block", F.pmod(F.xxhash64("q"), F.col("nq")).alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    key = ["block", "part", "qb"]
+
+    def score(rows: pa.Table, asked_: pa.Table) -> pa.Table:
+        best, ids = [], np.zeros(0, np.int64)
+        if rows.num_rows and asked_.num_rows:
+            ids = asked_.column("q").to_numpy()
+            best = _top(_matrix(rows.column("v"), dim), rows.column("rep").to_numpy(),
+                        _matrix(asked_.column("v"), dim), keep, rows.column("leaf").to_numpy(),
+                        asked_.column("leaves").to_pylist())
         none = [np.zeros(0)]
         return pa.table({
             "q": pa.array(np.repeat(ids, [len(r) for r, _ in best]), pa.int64()),
             "rep": pa.array(np.concatenate([r for r, _ in best] or none).astype(np.int64)),
             "score": pa.array(np.concatenate([s for _, s in best] or none), pa.float64())})
-    found = (left.groupBy(*key).cogroup(right.groupBy(*key))
+    found = (data.groupBy(*key).cogroup(queries.groupBy(*key))
              .applyInArrow(score, "q bigint, rep bigint, score double"))
     best = _best(found, keep).join(base.select("rep", "members"), "rep").select(
         "q", "score", F.explode("members").alias("rep"))
     best = _best(best, keep).withColumnRenamed("rep", "vec_id")
-    queries = asked.join(q_of, "v").select(F.col("vec_id").alias("query_id"), "q")
+    members = asked.join(q_of, "v").select(F.col("vec_id").alias("query_id"), "q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (queries.join(best, "q").where(F.col("query_id") != F.col("vec_id"))
+    return (members.join(best, "q").where(F.col("query_id") != F.col("vec_id"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
