@@ -61,20 +61,6 @@ def variant_struct(v) -> Column:
                       .alias(f.name) for f in METADATA.fields])
 
 
-def metadata_ok(metadata) -> Column:
-    """True when the typed view of ``metadata`` is a (possibly all-null) struct."""
-    return typed_metadata(metadata).isNotNull()
-
-
-def parse_metadata(metadata) -> Column:
-    """Strict typed view (P5): a struct, or null when any known field mistypes.
-
-    Single-expression form; on DataFrames prefer ``with_typed_metadata``, which
-    parses each row's JSON once.
-    """
-    return typed_metadata(metadata)
-
-
 def typed_metadata(metadata) -> Column:
     """Strict typed view as ONE expression that parses the JSON once.
 
@@ -125,3 +111,23 @@ def metadata_issue(typed) -> Column:
         ok_prefix = ok_prefix | ref.startswith(p)
     return (F.when(ref.isNotNull() & ~ok_prefix, F.lit("invalid_referrer"))
             .when(pid.isNotNull() & (pid <= 0), F.lit("invalid_product_id")))
+
+
+# Columns that ingest extracts from the JSON once, beside the raw text: whether
+# there is a ``page`` key and its text, and the fields of the strict typed view.
+HOT_COLUMNS = ("m_has_page", "m_page_text", "m_page", "m_referrer", "m_session_id",
+               "m_product_id")
+
+
+def with_hot_columns(df, metadata: str = "metadata"):
+    """``df`` with ``HOT_COLUMNS``; unchanged if it has them already.
+
+    Reports and analytics read these columns, so the JSON is parsed once, when
+    an event is stored, and never by a query.
+    """
+    if set(HOT_COLUMNS) <= set(df.columns):
+        return df
+    m = with_typed_metadata(df, metadata, out="_m")
+    fields = [F.col(f"_m.{f.name}").alias(f"m_{f.name}") for f in METADATA.fields]
+    return m.select(*df.columns, has_key(metadata, "page").alias("m_has_page"),
+                    json_text(metadata, "page").alias("m_page_text"), *fields)

@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 def ts(value) -> Column:
     """A TIMESTAMP_NTZ literal from a datetime or ISO text (constant-folded,
     so range predicates on it still reach the Parquet scan)."""
-    if isinstance(value, dt.datetime):
-        if value.tzinfo is not None:
-            value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-        value = value.isoformat(sep=" ")
-    return F.lit(str(value)).cast("timestamp_ntz")
+    return F.lit(parse_ts(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def utcnow() -> dt.datetime:
@@ -24,9 +20,24 @@ def utcnow() -> dt.datetime:
 
 
 def parse_ts(value) -> dt.datetime | None:
-    if value is None or isinstance(value, dt.datetime):
-        return value
-    return dt.datetime.fromisoformat(str(value))
+    """A parameter as naive UTC: RFC 3339 text (``Z`` or an offset) or a zoned
+    datetime is converted, a naive one is taken to be UTC."""
+    if value is None:
+        return None
+    v = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value))
+    return v if v.tzinfo is None else v.astimezone(dt.timezone.utc).replace(tzinfo=None)
+
+
+# A date, a time with optional fraction, and a zone; all three are required.
+_RFC3339 = (r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+
+
+def utc_from_rfc3339(c) -> Column:
+    """RFC 3339 text to UTC as TIMESTAMP_NTZ; null for anything else, a time
+    without a zone included. Digits beyond microseconds are cut."""
+    col = F.upper(F.col(c) if isinstance(c, str) else c)
+    parsed = F.try_to_timestamp(F.replace(col, F.lit("T"), F.lit(" ")))
+    return F.when(col.rlike(_RFC3339), parsed.cast("timestamp_ntz"))
 
 
 def trunc(unit: str, c) -> Column:
@@ -43,9 +54,14 @@ def floor_hour(value) -> dt.datetime | None:
 
 
 def rfc3339(c) -> Column:
-    """RFC 3339 text with an explicit +00:00 offset."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.date_format(col.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    """RFC 3339 text with an explicit +00:00 offset (F12): no fraction, or as
+    many groups of three digits as it needs."""
+    t = (F.col(c) if isinstance(c, str) else c).cast("timestamp")
+    micros = F.unix_micros(t)
+    form = (F.when(micros % 1_000_000 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ssxxx"))
+            .when(micros % 1_000 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSxxx"))
+            .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")))
+    return form
 
 
 def lookback_start(as_of, days: int = 30) -> dt.datetime:

@@ -1,10 +1,9 @@
 """Join helpers shared by the operators.
 
-Broadcast policy: a side is broadcast only after its row count is *proven*
-small (``bounded_broadcast``), otherwise the plain join is left to Spark,
-whose own size estimate (``autoBroadcastJoinThreshold``) and AQE's runtime
-statistics pick broadcast-hash or sort-merge. Nothing whose size grows with
-the fact table is ever hinted.
+Broadcast policy: plain joins are left to Spark, whose size estimate
+(``autoBroadcastJoinThreshold``) and AQE's runtime statistics pick
+broadcast-hash or sort-merge. Nothing whose size grows with the fact table is
+ever hinted.
 """
 
 from __future__ import annotations
@@ -12,20 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension we broadcast on an explicit hint.
-DIM_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows.
-
-    Meant for stored dimension tables: the probe reads at most ``max_rows+1``
-    rows. Beyond the bound the DataFrame is returned unhinted (shuffle join).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_type_name(events: DataFrame, event_types: DataFrame,
                    name_col: str = "event_type") -> DataFrame:
     """Inner equi-join of events with their type name."""

@@ -54,35 +54,62 @@ def add_scores(board: DataFrame | None, increments: DataFrame) -> DataFrame:
 def with_ranks(board: DataFrame) -> DataFrame:
     """0-based rank and reverse rank of every member in its board.
 
-    Ranks come from ``board_ranks`` (no per-board window); the reverse order
-    is the exact mirror of (score, member), so reverse_rank = size - 1 - rank
-    with the board size from a grouped count.
+    Ranks and board sizes both come from ``ordered_positions`` (no per-board
+    window, no shuffle on the board); the reverse order is the exact mirror of
+    (score, member), so reverse_rank = size - 1 - rank.
     """
-    sizes = board.groupBy("board").agg(F.count(F.lit(1)).alias("_size"))
-    r = board_ranks(board).join(sizes, "board")
+    r = ordered_positions(board, ["score", "member"], col="rank", group="board",
+                          size_col="_size")
     return r.withColumn("reverse_rank", F.col("_size") - 1 - F.col("rank")).drop("_size")
 
 
-def _resolve(idx: int, size: Column) -> Column:
-    return F.lit(idx) if idx >= 0 else size + F.lit(idx)
+def _bounds(start: int, stop: int, size: Column) -> tuple[Column, Column]:
+    """First and last index of [start, stop], negatives from the end."""
+    lo = F.lit(start) if start >= 0 else F.greatest(size + F.lit(start), F.lit(0))
+    return lo, F.lit(stop) if stop >= 0 else size + F.lit(stop)
 
 
 def rank_range(board: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """Members by rank in [start, stop], inclusive, negatives from the end.
 
-    Board sizes come from a grouped count joined back (one row per board).
+    Two ends on the same side are the first (or last) rows of each board:
+    ``row_number() <= n`` cuts every board to n rows per task before the
+    shuffle. An end on either side needs every position, taken from
+    ``ordered_positions`` together with the board's size.
     """
-    sizes = board.groupBy("board").agg(F.count(F.lit(1)).alias("_size"))
-    r = board_ranks(board, reverse).join(sizes, "board")
-    lo, hi = _resolve(start, F.col("_size")), _resolve(stop, F.col("_size"))
-    return (r.filter((F.col("rank") >= F.greatest(lo, F.lit(0))) & (F.col("rank") <= hi))
-            .drop("_size"))
+    if start >= 0 and stop >= 0:
+        return _first_ranks(board, start, stop, not reverse)
+    if start < 0 and stop < 0:
+        near = _first_ranks(board, -stop - 1, -start - 1, reverse)
+        sizes = board.groupBy(F.col("board").alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
+        # only the few rows kept meet the sizes
+        return (near.join(sizes, F.col("board").eqNullSafe(F.col("_b")))
+                .withColumn("rank", F.col("_size") - 1 - F.col("rank")).drop("_b", "_size"))
+    r = ordered_positions(board, ["score", "member"], col="rank", descending=reverse,
+                          group="board", size_col="_size")
+    lo, hi = _bounds(start, stop, F.col("_size"))
+    return r.filter((F.col("rank") >= lo) & (F.col("rank") <= hi)).drop("_size")
+
+
+def _first_ranks(board: DataFrame, start: int, stop: int, ascending: bool) -> DataFrame:
+    r = _first_rows(board, stop + 1, ascending).withColumn(
+        "rank", (F.col("_rn") - 1).cast("long"))
+    return r.filter(F.col("rank") >= start).drop("_rn")
+
+
+def _first_rows(board: DataFrame, n: int, ascending: bool) -> DataFrame:
+    """The first n members of every board, numbered from 1 in ``_rn``. The bare
+    ``row_number() <= n`` is what Spark turns into a limit per task."""
+    w = Window.partitionBy("board").orderBy(*(_asc() if ascending else _desc()))
+    return board.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
 
 
 def remove_rank_range(board: DataFrame, start: int, stop: int) -> DataFrame:
     """The board without the members of rank [start, stop]."""
-    gone = rank_range(board, start, stop).select("board", "member")
-    return board.join(gone, ["board", "member"], "left_anti")
+    gone = rank_range(board, start, stop).select(F.col("board").alias("_b"),
+                                                 F.col("member").alias("_m"))
+    return board.join(gone, F.col("board").eqNullSafe(F.col("_b"))
+                      & F.col("member").eqNullSafe(F.col("_m")), "left_anti")
 
 
 def top(board: DataFrame, n: int, bottom: bool = False) -> DataFrame:
@@ -93,20 +120,25 @@ def top(board: DataFrame, n: int, bottom: bool = False) -> DataFrame:
     """
     if n <= 0:
         return board.limit(0).withColumn("rank", F.lit(0))
-    w = Window.partitionBy("board").orderBy(*(_asc() if bottom else _desc()))
-    return (board.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
-            .filter(F.col("rank") < n))
+    return _first_rows(board, n, bottom).withColumn(
+        "rank", (F.col("_rn") - 1).cast("long")).drop("_rn")
 
 
 def score_range(board: DataFrame, lo: float, hi: float, offset: int = 0,
                 count: int | None = None) -> DataFrame:
     """Members with lo <= score <= hi in ascending order, optional offset and
-    count per board (K9); ``pos`` is the position inside the range."""
-    r = board_ranks(board.filter(F.col("score").between(lo, hi)), col="pos")
-    r = r.filter(F.col("pos") >= offset)
+    count per board (K9); ``pos`` is the position inside the range.
+
+    With a count the range is the first ``offset + count`` members of each
+    board (cut per task before the shuffle); without one, every position.
+    """
+    inside = board.filter(F.col("score").between(lo, hi))
     if count is not None:
-        r = r.filter(F.col("pos") < offset + count)
-    return r
+        r = _first_rows(inside, offset + count, True)
+        return r.filter(F.col("_rn") > offset).withColumn(
+            "pos", (F.col("_rn") - 1).cast("long")).drop("_rn")
+    r = ordered_positions(inside, ["score", "member"], col="pos", group="board")
+    return r.filter(F.col("pos") >= offset) if offset else r
 
 
 def count_by_score(board: DataFrame, lo: float, hi: float) -> DataFrame:
@@ -122,7 +154,7 @@ def remove_by_score(board: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def ordered_positions(df: DataFrame, order: list[str], num_partitions: int | None = None,
                       col: str = "pos", descending: bool = False,
-                      group: str | None = None) -> DataFrame:
+                      group: str | None = None, size_col: str | None = None) -> DataFrame:
     """0-based position of every row in ``order`` -- globally, or inside each
     ``group`` -- without a window over a whole group (N7).
 
@@ -135,7 +167,8 @@ def ordered_positions(df: DataFrame, order: list[str], num_partitions: int | Non
     index of its group's first row there, is its position within the
     partition; adding the row counts of the same group in all earlier
     partitions gives the position in the group. Those counts live in a table
-    of one row per (partition, group) run, never in a buffer per group.
+    of one row per (partition, group) run, never in a buffer per group, and
+    give the group's size (``size_col``) on the way. A null group is a group.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -150,16 +183,22 @@ def ordered_positions(df: DataFrame, order: list[str], num_partitions: int | Non
     g = [group] if group else []
     runs = tagged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"),
                                           F.min("_idx").alias("_first"))
-    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = runs.select("_pid", *g, "_first",
-                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # (partition, group) runs: without a group one row per partition, so it
-    # is broadcast; with groups Spark sizes the join itself.
-    offs = F.broadcast(offs) if not g else offs
-    return (tagged.join(offs, ["_pid", *g])
-            .withColumn(col, F.col("_off") + F.col("_idx") - F.col("_first"))
-            .drop("_pid", "_idx", "_off", "_first"))
+    per = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
+    w = per.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = runs.select(F.col("_pid").alias("_run"), *[F.col(c).alias("_of") for c in g], "_first",
+                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
+                       F.sum("_n").over(per).alias("_all"))
+    same = F.col("_pid") == F.col("_run")
+    if g:
+        # (partition, group) runs: Spark sizes the join itself
+        same = same & F.col(group).eqNullSafe(F.col("_of"))
+    else:
+        offs = F.broadcast(offs)    # one row per partition
+    out = tagged.join(offs, same).withColumn(
+        col, F.col("_off") + F.col("_idx") - F.col("_first"))
+    if size_col:
+        out = out.withColumn(size_col, F.col("_all"))
+    return out.drop("_pid", "_idx", "_off", "_first", "_run", "_of", "_all")
 
 
 def board_ranks(board: DataFrame, reverse: bool = False, col: str = "rank",
@@ -178,34 +217,44 @@ def global_rank(board: DataFrame, num_partitions: int | None = None,
 # ---------------------------------------------------------------- lists
 def list_from(df: DataFrame, key: str, value: str, order: list[str],
               descending: bool = False) -> DataFrame:
-    """Build lists: rows of each key in ``order`` become positions 0..n-1
-    (grouped positions, so one huge list is still spread over many tasks)."""
+    """Build lists (key, value, pos, size): rows of each key in ``order`` become
+    positions 0..n-1 (grouped positions, so one huge list is still spread over
+    many tasks). The size travels with the rows, so that every later operation
+    on either end is a filter."""
     src = df.select(F.col(key).alias("key"), F.col(value).alias("value"), *order)
     return ordered_positions(src, order, col="pos", descending=descending,
-                             group="key").drop(*order)
+                             group="key", size_col="size").drop(*order)
+
+
+def _sized(lists: DataFrame) -> DataFrame:
+    """Lists with their size; lists made elsewhere get it by a grouped maximum."""
+    if "size" in lists.columns:
+        return lists
+    sizes = lists.groupBy(F.col("key").alias("_k")).agg((F.max("pos") + 1).alias("size"))
+    return lists.join(sizes, F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def list_range(lists: DataFrame, start: int, stop: int) -> DataFrame:
     """Elements at positions [start, stop] inclusive, negatives from the end."""
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-    j = lists.join(sizes, "key")
-    lo, hi = _resolve(start, F.col("_size")), _resolve(stop, F.col("_size"))
-    return j.filter((F.col("pos") >= F.greatest(lo, F.lit(0))) & (F.col("pos") <= hi)).drop("_size")
+    d = lists if start >= 0 and stop >= 0 else _sized(lists)
+    lo, hi = _bounds(start, stop, F.col("size"))
+    return d.filter((F.col("pos") >= lo) & (F.col("pos") <= hi)).drop("size")
 
 
 def list_index(lists: DataFrame, index: int) -> DataFrame:
-    """The element at ``index`` of every list."""
-    return list_range(lists, index, index)
+    """The element at ``index`` of every list (N5); none where the list is shorter."""
+    return list_range(lists, index, index) if index >= 0 else _sized(lists).filter(
+        F.col("pos") == F.col("size") + F.lit(index)).drop("size")
 
 
 def list_trim(lists: DataFrame, start: int, stop: int) -> DataFrame:
     """Keep only [start, stop] of every list, renumbered from 0."""
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-    j = lists.join(sizes, "key")
-    lo = F.greatest(_resolve(start, F.col("_size")), F.lit(0))
-    hi = _resolve(stop, F.col("_size"))
-    return (j.filter((F.col("pos") >= lo) & (F.col("pos") <= hi))
-            .withColumn("pos", F.col("pos") - lo).drop("_size"))
+    d = _sized(lists)
+    lo, hi = _bounds(start, stop, F.col("size"))
+    hi = F.least(hi, F.col("size") - 1)
+    return d.filter((F.col("pos") >= lo) & (F.col("pos") <= hi)).select(
+        *[c for c in d.columns if c not in ("pos", "size")],
+        (F.col("pos") - lo).alias("pos"), (hi - lo + 1).alias("size"))
 
 
 def list_pop(lists: DataFrame, n: int = 1, right: bool = False
@@ -214,14 +263,12 @@ def list_pop(lists: DataFrame, n: int = 1, right: bool = False
 
     Returns (popped, remaining renumbered from 0).
     """
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-    j = lists.join(sizes, "key")
-    cond = (F.col("pos") >= F.col("_size") - n) if right else (F.col("pos") < n)
-    popped = j.filter(cond).drop("_size")
-    rest = j.filter(~cond)
-    rest = rest.withColumn("pos", F.col("pos") - F.lit(0 if right else n)).drop("_size")
-    rest = rest.withColumn("pos", F.when(F.col("pos") < 0, 0).otherwise(F.col("pos")))
-    return popped, rest
+    d = _sized(lists)
+    gone = (F.col("pos") >= F.col("size") - n) if right else (F.col("pos") < n)
+    rest = d.filter(~gone).withColumn("size", F.col("size") - n)
+    if not right:
+        rest = rest.withColumn("pos", F.col("pos") - n)
+    return d.filter(gone).drop("size"), rest
 
 
 # ---------------------------------------------------------------- sets
@@ -277,8 +324,11 @@ def set_remove(sets: DataFrame, removes: DataFrame) -> DataFrame:
 
 
 def set_move(sets: DataFrame, moves: DataFrame) -> DataFrame:
-    """Move (src, dst, member) where the member is in src."""
-    m = moves.select(F.col("src").alias("key"), "member", "dst")
+    """Move (src, dst, member) where the member is in src (U7). Of several
+    moves of one member from one set, the lowest ``seq`` (input order) wins."""
+    from evtide.operators.mutations import with_seq
+    m = (with_seq(moves).groupBy(F.col("src").alias("key"), "member")
+         .agg(F.min_by("dst", "seq").alias("dst")))
     j = sets.join(m, ["key", "member"], "left")
     return j.select(F.coalesce("dst", "key").alias("key"), "member").distinct()
 
@@ -290,9 +340,10 @@ def set_sizes(sets: DataFrame) -> DataFrame:
 
 def random_members(sets: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n members per key without removal (U8), reproducible: ordered by a
-    seeded hash of the member, not by ``rand()``, so the pick is the same for
-    any partitioning."""
-    w = Window.partitionBy("key").orderBy(F.xxhash64("member", F.lit(seed)), "member")
+    seeded hash of the member (md5, which other engines have too), not by
+    ``rand()``, so the pick is the same for any partitioning."""
+    w = Window.partitionBy("key").orderBy(
+        F.md5(F.concat(F.lit(f"{seed}:"), F.col("member")).cast("binary")), "member")
     return (sets.withColumn("_r", F.row_number().over(w))
             .filter(F.col("_r") <= n).drop("_r"))
 

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evtide.functions.metadata import has_key, json_text, with_typed_metadata
+from evtide.functions.metadata import with_hot_columns
 from evtide.functions.timefn import parse_ts, trunc, ts, utcnow
 from evtide.operators.joins import restrict_type, with_type_name
+from evtide.operators.keyed import ordered_positions
 from evtide.operators.reads import in_range
 
 BUCKETS = {"minute": "minute", "hour": "hour", "day": "day"}
@@ -68,11 +69,12 @@ def top_pages(events: DataFrame, event_types: DataFrame, frm, to,
     """Top pages in range among rows that have a ``page`` key (A5).
 
     Groups on the raw extracted text (a JSON-null page is its own group) and
-    shows it as ``unknown``; ties break on the shown page.
+    shows it as ``unknown``; ties break on the shown page. Reads the columns
+    extracted at ingest.
     """
-    ev = restrict_type(in_range(events, frm, to), event_types, event_type)
-    ev = ev.filter(has_key("metadata", "page"))
-    per = ev.groupBy(json_text("metadata", "page").alias("_raw")).agg(
+    ev = with_hot_columns(restrict_type(in_range(events, frm, to), event_types, event_type))
+    ev = ev.filter(F.col("m_has_page"))
+    per = ev.groupBy(F.col("m_page_text").alias("_raw")).agg(
         F.count(F.lit(1)).alias("count"))
     shown = F.coalesce(F.col("_raw"), F.lit("unknown"))
     return (per.orderBy(F.col("count").desc(), shown, F.col("_raw").asc_nulls_first())
@@ -114,16 +116,21 @@ def bucket_bounds(unit: str, at: dt.datetime) -> tuple[dt.datetime, dt.datetime]
 
 
 def _bucket_metrics(ev: DataFrame, event_types: DataFrame, unit: str) -> DataFrame:
-    ev = ev.withColumn("bucket_start", trunc(unit, "timestamp"))
-    per_type = ev.groupBy("bucket_start", "event_type_id").agg(
-        F.count(F.lit(1)).alias("type_count"))
-    per_bucket = ev.groupBy("bucket_start").agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.countDistinct("user_id").alias("unique_users"))
-    return (with_type_name(per_type, event_types)
-            .join(per_bucket, "bucket_start")
-            .select("bucket_start", "event_type", "type_count", "total_events",
-                    "unique_users"))
+    # one scan: per-(bucket, type, user) counts, folded by (bucket, type) and by
+    # bucket at once; the window then runs over a row per type and bucket
+    per_user = ev.groupBy(trunc(unit, "timestamp").alias("bucket_start"), "event_type_id",
+                          "user_id").agg(F.count(F.lit(1)).alias("_n"))
+    bucket, kind = F.col("bucket_start"), F.col("event_type_id")
+    folded = per_user.groupingSets([[bucket, kind], [bucket]], bucket, kind).agg(
+        F.grouping("event_type_id").alias("_all"), F.sum("_n").alias("_events"),
+        F.countDistinct("user_id").alias("_users"))
+    w = Window.partitionBy("bucket_start")
+    per = folded.select(
+        "bucket_start", "event_type_id", "_all", F.col("_events").alias("type_count"),
+        F.max(F.when(F.col("_all") == 1, F.col("_events"))).over(w).alias("total_events"),
+        F.max(F.when(F.col("_all") == 1, F.col("_users"))).over(w).alias("unique_users"))
+    return with_type_name(per.filter("_all = 0"), event_types).select(
+        "bucket_start", "event_type", "type_count", "total_events", "unique_users")
 
 
 def nested_realtime_metrics(long_form: DataFrame) -> DataFrame:
@@ -143,8 +150,8 @@ def timeseries(events: DataFrame, event_types: DataFrame, bucket: str, frm, to,
                event_type: str | None = None, fill_gaps: bool = False) -> DataFrame:
     """A14 for every bucket of the closed range [frm, to].
 
-    Two aggregations -- (bucket, type) counts and per-bucket distinct users --
-    joined on the bucket. With ``fill_gaps`` every bucket start between
+    (bucket, type) counts and per-bucket distinct users, both folded from one
+    aggregate of the events, joined on the bucket. With ``fill_gaps`` every bucket start between
     floor(frm) and floor(to) appears; empty ones carry a null type and zeros.
     """
     unit = _bucket(bucket)
@@ -197,7 +204,7 @@ def user_activity(events: DataFrame, frm=None, to=None,
 def popular_events(events: DataFrame, event_types: DataFrame, period: str = "daily",
                    as_of=None, limit: int = 10) -> DataFrame:
     """Most frequent types over the last day / week / month before ``as_of``
-    (closed range), with distinct users (A18)."""
+    (closed range), with distinct users and the period's name (A18)."""
     if period not in PERIODS:
         raise ValueError(f"period must be one of {sorted(PERIODS)}")
     end = parse_ts(as_of) or utcnow()
@@ -209,7 +216,7 @@ def popular_events(events: DataFrame, event_types: DataFrame, period: str = "dai
     return (with_type_name(per, event_types)
             .orderBy(F.col("count").desc(), F.col("event_type"))
             .limit(max(int(limit), 0))
-            .select("event_type", "count", "unique_users"))
+            .select(F.lit(period).alias("period"), "event_type", "count", "unique_users"))
 
 
 def users_with_metrics(users: DataFrame, events: DataFrame) -> DataFrame:
@@ -218,10 +225,10 @@ def users_with_metrics(users: DataFrame, events: DataFrame) -> DataFrame:
     Users without events are kept with zeros (left join of the aggregate,
     which has one row per active user).
     """
-    per = with_typed_metadata(events, out="_m").groupBy("user_id").agg(
+    per = with_hot_columns(events).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.countDistinct("event_type_id").alias("distinct_types"),
-        F.countDistinct("_m.page").alias("distinct_pages"),
+        F.countDistinct("m_page").alias("distinct_pages"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"))
     j = users.join(per.withColumnRenamed("user_id", "id"), "id", "left")
@@ -233,39 +240,15 @@ def users_with_metrics(users: DataFrame, events: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A20-A23
-def _typed(events: DataFrame) -> DataFrame:
-    return with_typed_metadata(events, out="_m")
-
-
-def _present(*cols: str):
-    """Rows of the aggregate whose key field was present.
-
-    The null group is dropped *after* aggregation through an aggregate value
-    (``count(field) > 0``). A ``field IS NOT NULL`` filter before grouping
-    would be pushed by Catalyst below the typed-metadata projection and parse
-    each row's JSON twice; the null group itself is cheap, since it is
-    pre-aggregated map-side like any other group.
-    """
-    return [F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)]
-
-
-def _keep_present(df: DataFrame, n: int) -> DataFrame:
-    cond = None
-    for i in range(n):
-        c = F.col(f"_n{i}") > 0
-        cond = c if cond is None else cond & c
-    return df.filter(cond).drop(*[f"_n{i}" for i in range(n)])
-
-
+# Rows without the key field are filtered before grouping: on stored events the
+# field is a column, so the filter reaches the Parquet scan.
 def page_analytics(events: DataFrame, frm=None, to=None) -> DataFrame:
     """Per page of the typed metadata: events, distinct users and sessions."""
-    ev = _typed(in_range(events, frm, to))
-    g = ev.groupBy(F.col("_m.page").alias("page")).agg(
+    ev = with_hot_columns(in_range(events, frm, to)).filter(F.col("m_page").isNotNull())
+    return ev.groupBy(F.col("m_page").alias("page")).agg(
         F.count(F.lit(1)).alias("events"),
         F.countDistinct("user_id").alias("unique_users"),
-        F.countDistinct("_m.session_id").alias("unique_sessions"),
-        *_present("_m.page"))
-    return _keep_present(g, 1)
+        F.countDistinct("m_session_id").alias("unique_sessions"))
 
 
 def referrer_host(referrer) -> "F.Column":
@@ -276,25 +259,22 @@ def referrer_host(referrer) -> "F.Column":
 def referrer_analytics(events: DataFrame, by: str = "host", frm=None, to=None) -> DataFrame:
     """Per referrer (``by="referrer"``) or referrer host (A21): events,
     distinct users, distinct sessions."""
-    ev = _typed(in_range(events, frm, to))
-    key = (F.col("_m.referrer") if by == "referrer" else referrer_host(F.col("_m.referrer")))
-    g = ev.groupBy(key.alias(by)).agg(
+    ev = with_hot_columns(in_range(events, frm, to)).filter(F.col("m_referrer").isNotNull())
+    key = F.col("m_referrer") if by == "referrer" else referrer_host("m_referrer")
+    return ev.groupBy(key.alias(by)).agg(
         F.count(F.lit(1)).alias("events"),
         F.countDistinct("user_id").alias("unique_users"),
-        F.countDistinct("_m.session_id").alias("unique_sessions"),
-        *_present("_m.referrer"))
-    return _keep_present(g, 1)
+        F.countDistinct("m_session_id").alias("unique_sessions"))
 
 
 def product_analytics(events: DataFrame, event_types: DataFrame, frm=None, to=None
                       ) -> DataFrame:
     """Per (product id, event type): events and distinct users."""
-    ev = _typed(in_range(events, frm, to))
-    per = ev.groupBy(F.col("_m.product_id").alias("product_id"), "event_type_id").agg(
+    ev = with_hot_columns(in_range(events, frm, to)).filter(F.col("m_product_id").isNotNull())
+    per = ev.groupBy(F.col("m_product_id").alias("product_id"), "event_type_id").agg(
         F.count(F.lit(1)).alias("events"),
-        F.countDistinct("user_id").alias("unique_users"),
-        *_present("_m.product_id"))
-    return with_type_name(_keep_present(per, 1), event_types).select(
+        F.countDistinct("user_id").alias("unique_users"))
+    return with_type_name(per, event_types).select(
         "product_id", "event_type", "events", "unique_users")
 
 
@@ -306,26 +286,39 @@ def product_pivot(events: DataFrame, event_types: DataFrame, type_names: list[st
             .na.fill(0, list(type_names)))
 
 
+def _session_events(events: DataFrame, frm, to) -> DataFrame:
+    return with_hot_columns(in_range(events, frm, to)).filter(F.col("m_session_id").isNotNull())
+
+
 def sessions(events: DataFrame, frm=None, to=None) -> DataFrame:
     """Events grouped by metadata session_id.
 
     Per session: user, start, end, length in seconds, event count, distinct
     pages, entry and exit page (page of the first / last event by (time, id)).
     Every aggregate is mergeable (min_by/max_by, counts), so a huge session
-    never has to be held in one buffer.
+    never has to be held in one buffer. ``session_pages`` has the pages.
     """
-    ev = _typed(in_range(events, frm, to))
     order = F.struct("timestamp", "id")
-    g = ev.groupBy(F.col("_m.session_id").alias("session_id")).agg(
+    g = _session_events(events, frm, to).groupBy(F.col("m_session_id").alias("session_id")).agg(
         F.min("user_id").alias("user_id"),
         F.min("timestamp").alias("session_start"),
         F.max("timestamp").alias("session_end"),
         F.count(F.lit(1)).alias("events"),
-        F.countDistinct("_m.page").alias("distinct_pages"),
-        F.min_by("_m.page", order).alias("entry_page"),
-        F.max_by("_m.page", order).alias("exit_page"),
-        *_present("_m.session_id"))
-    return _keep_present(g, 1).withColumn(
+        F.countDistinct("m_page").alias("distinct_pages"),
+        F.min_by("m_page", order).alias("entry_page"),
+        F.max_by("m_page", order).alias("exit_page"))
+    return g.withColumn(
         "duration_s",
         (F.unix_micros(F.col("session_end").cast("timestamp")) -
          F.unix_micros(F.col("session_start").cast("timestamp"))) / F.lit(1e6))
+
+
+def session_pages(events: DataFrame, frm=None, to=None) -> DataFrame:
+    """The pages of every session in order (A23): (session_id, pos, page), a row
+    per event with a page. Positions come from range partitioning, so a session
+    of any length is spread over many tasks."""
+    ev = _session_events(events, frm, to).filter(F.col("m_page").isNotNull()).select(
+        F.col("m_session_id").alias("session_id"), F.col("m_page").alias("page"),
+        "timestamp", "id")
+    return ordered_positions(ev, ["timestamp", "id"], group="session_id").select(
+        "session_id", "pos", "page")

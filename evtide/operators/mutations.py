@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evtide.functions.timefn import parse_ts, ts, utcnow
+from pyspark.sql.types import StringType
+
+from evtide.functions.timefn import parse_ts, ts, utc_from_rfc3339, utcnow
 from evtide.session import checkpoint_dir
 
 
@@ -85,8 +87,9 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
 
     ``records``: user_id, event_type (name), timestamp (nullable), metadata
     (JSON text, nullable, kept as given). Type names resolve to ids through
-    the dimension; a missing timestamp becomes ``as_of``; unknown users or
-    types are rejected with a reason. Returns accepted events (canonical
+    the dimension; a missing (or JSON null) timestamp becomes ``as_of``. Text
+    timestamps are RFC 3339 and stored as UTC; text that isn't is rejected as
+    ``invalid_timestamp``, as are unknown users and types by their reasons. Returns accepted events (canonical
     schema, new dense ids after ``base_id`` or after ``max(events.id)``) and
     the rejects (the record plus ``reason``).
     """
@@ -98,40 +101,56 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
                                F.col("id").alias("_type_id"))
     known_users = users.select(F.col("id").alias("user_id"),
                                F.lit(True).alias("_user_ok"))
-    j = (recs.join(types, "event_type", "left")
+    at = F.col("timestamp")
+    if isinstance(recs.schema["timestamp"].dataType, StringType):
+        at = utc_from_rfc3339(at)
+    j = (recs.withColumn("_at", at.cast("timestamp_ntz")).join(types, "event_type", "left")
          .join(known_users, "user_id", "left"))
     reason = (F.when(F.col("user_id").isNull(), F.lit("missing_user_id"))
               .when(F.col("event_type").isNull(), F.lit("missing_event_type"))
               .when(F.col("_type_id").isNull(), F.lit("unknown_event_type"))
-              .when(F.col("_user_ok").isNull(), F.lit("unknown_user")))
+              .when(F.col("_user_ok").isNull(), F.lit("unknown_user"))
+              .when(F.col("timestamp").isNotNull() & F.col("_at").isNull(),
+                    F.lit("invalid_timestamp")))
     j = j.withColumn("reason", reason)
     rejects = j.filter(F.col("reason").isNotNull()).select(
         "seq", "user_id", "event_type", "timestamp", "metadata", "reason")
     ok = j.filter(F.col("reason").isNull()).select(
         "seq", "user_id", F.col("_type_id").alias("event_type_id"), "metadata",
-        F.coalesce(F.col("timestamp"), ts(as_of)).alias("timestamp"))
+        F.coalesce(F.col("_at"), ts(as_of)).alias("timestamp"))
     accepted = assign_ids(ok, base_id).select(
         "id", "user_id", "event_type_id", "metadata", "timestamp", "seq")
     return Outcome(accepted, rejects)
 
 
 # ---------------------------------------------------------------- W4, W5
+def name_issue(name, longest: int | None):
+    """Why a name can't be stored: missing or longer than ``longest``; else null."""
+    c = F.col(name) if isinstance(name, str) else name
+    reason = F.when(c.isNull(), F.lit("missing_name"))
+    return reason if longest is None else reason.when(F.length(c) > longest,
+                                                      F.lit("name_too_long"))
+
+
 def create_named(batch: DataFrame, table: DataFrame, base_id: int | None = None,
-                 defaults: dict | None = None) -> Outcome:
+                 defaults: dict | None = None, longest: int | None = None) -> Outcome:
     """Create rows by name unless the name exists (W4 users, W5 types).
 
     Within the batch the first ``seq`` per name wins (a grouped min, so a hot
     name is pre-aggregated, never collected). Returns created rows with new
-    ids plus the report: (seq, name, status) with status ``created``,
-    ``name_exists`` or ``duplicate_in_batch``.
+    ids plus the report: (seq, name, status), one row per command, with status
+    ``created``, ``name_exists``, ``duplicate_in_batch``, ``missing_name`` or
+    ``name_too_long`` (more than ``longest`` characters).
     """
     if base_id is None:
         base_id = max_id(table)
     b = with_seq(batch)
     first = b.groupBy("name").agg(F.min("seq").alias("_first"))
     existing = table.select("name").distinct().withColumn("_exists", F.lit(True))
-    j = b.join(first, "name").join(existing, "name", "left")
-    status = (F.when(F.col("_exists"), F.lit("name_exists"))
+    j = b.join(first, "name", "left").join(existing, "name", "left")
+    issue = name_issue("name", longest)
+    status = (F.when(issue.isNotNull(), issue)
+              .when(F.col("_exists"), F.lit("name_exists"))
               .when(F.col("seq") != F.col("_first"), F.lit("duplicate_in_batch"))
               .otherwise(F.lit("created")))
     rep = j.select("seq", "name", status.alias("status"))
@@ -195,12 +214,13 @@ def update_events(events: DataFrame, updates: DataFrame,
 
 
 # ---------------------------------------------------------------- W8, W9
-def rename(table: DataFrame, renames: DataFrame) -> Outcome:
+def rename(table: DataFrame, renames: DataFrame, longest: int | None = None) -> Outcome:
     """Rename rows by id with statuses (W8 users, W9 event types).
 
-    Per command: ``not_found`` when the id is absent; ``name_exists`` when
-    another row (different id) already has the name, or an earlier command of
-    the batch claims the same name; else ``ok``. A null name is a no-op with
+    Per command: ``not_found`` when the id is absent; ``name_too_long`` beyond
+    ``longest`` characters; ``name_exists`` when another row (different id)
+    already has the name, or another id claims it by an earlier command of the
+    batch that is itself valid; else ``ok``. A null name is a no-op with
     status ``ok``. The new table applies the ``ok`` renames.
     """
     r = with_seq(renames)
@@ -208,14 +228,17 @@ def rename(table: DataFrame, renames: DataFrame) -> Outcome:
     t = table.select(F.col("id").alias("_oid"), F.col("name").alias("_oname"))
     clash = r.join(t, (r["name"] == t["_oname"]) & (r["id"] != t["_oid"]), "left_semi") \
         .select("seq", F.lit(True).alias("_clash"))
-    first = (r.filter(F.col("name").isNotNull()).groupBy("name")
-             .agg(F.min("seq").alias("_first")))
-    j = (r.join(ids, "id", "left").join(clash, "seq", "left")
-         .join(first, "name", "left"))
+    too_long = (F.length("name") > longest) if longest is not None else F.lit(False)
+    j = r.join(ids, "id", "left").join(clash, "seq", "left")
+    claims = j.filter(F.col("_found") & F.col("name").isNotNull() & F.col("_clash").isNull()
+                      & ~too_long)
+    # the id of the first valid claim owns the name within the batch
+    owner = claims.groupBy("name").agg(F.min_by("id", "seq").alias("_owner"))
+    j = j.join(owner, "name", "left")
     status = (F.when(F.col("_found").isNull(), F.lit("not_found"))
               .when(F.col("name").isNull(), F.lit("ok"))
-              .when(F.col("_clash"), F.lit("name_exists"))
-              .when(F.col("seq") != F.col("_first"), F.lit("name_exists"))
+              .when(too_long, F.lit("name_too_long"))
+              .when(F.col("_clash") | (F.col("id") != F.col("_owner")), F.lit("name_exists"))
               .otherwise(F.lit("ok")))
     rep = j.select("seq", "id", "name", status.alias("status"))
     # commands act in seq order: an id ends with its last ok rename
@@ -281,17 +304,17 @@ def retention(events: DataFrame, cutoff, date_col: str | None = None) -> Outcome
 
 
 # ---------------------------------------------------------------- in place, by partition
-def affected_partitions(table: DataFrame, ids: DataFrame, key: str = "id",
-                        ids_col: str | None = None, part_col: str = "event_date") -> list:
-    """Partition values that hold any of ``ids``.
+def _key_days(table: DataFrame, keys: DataFrame, key: str, part_col: str) -> DataFrame:
+    """(key, day) of every listed key in the table: one scan of two columns,
+    checkpointed, from which both the days to rewrite and the missing keys come."""
+    checkpoint_dir(table.sparkSession)
+    return (table.select(key, part_col).join(keys, key, "left_semi").distinct()
+            .checkpoint(eager=True))
 
-    A semi-join that reads only the key and the partition column; the
-    distinct values (at most the table's partition count) come back to the
-    driver as the list of partitions to rewrite.
-    """
-    k = ids.select(F.col(ids_col or key).alias(key)).distinct()
-    hit = table.select(key, part_col).join(k, key, "left_semi").select(part_col).distinct()
-    return sorted(r[0] for r in hit.collect())
+
+def _days_of(found: DataFrame, part_col: str) -> list:
+    # at most one value per partition of the table
+    return sorted(r[0] for r in found.select(part_col).distinct().collect())
 
 
 def update_events_in_place(path: str, updates: DataFrame, event_types: DataFrame,
@@ -300,15 +323,16 @@ def update_events_in_place(path: str, updates: DataFrame, event_types: DataFrame
     hold an updated id. Returns the per-command report (materialised before
     the table changes). The update never moves a row: the timestamp, and so
     the day, is not updatable."""
-    from evtide.sources.sinks import replace_partitions, with_event_date
+    from evtide.sources import schemas, sinks
     spark = updates.sparkSession
+    sinks.finish_rewrite(spark, path)
     table = spark.read.parquet(path)
-    days = affected_partitions(table, updates, "id", "event_id", part_col)
-    scope = table.filter(F.col(part_col).isin(days)).drop(part_col)
+    keys = updates.select(F.col("event_id").alias("id")).distinct()
+    days = _days_of(_key_days(table, keys, "id", part_col), part_col)
+    scope = table.filter(F.col(part_col).isin(days)).select(*schemas.EVENTS.fieldNames())
     out = update_events(scope, updates, event_types)
-    checkpoint_dir(spark)
     report = out.report.checkpoint(eager=True)
-    replace_partitions(with_event_date(out.table), path, part_col, days)
+    sinks.replace_partitions(sinks.stored_form(out.table), path, part_col, days)
     return report
 
 
@@ -318,38 +342,48 @@ def delete_events_in_place(path: str, ids: DataFrame, ids_col: str = "id",
     ``key`` is listed are rewritten; a day that loses all its rows is removed.
     With ``key="user_id"`` this is the event side of the user cascade (W11),
     with ``key="event_type_id"`` of the type cascade (W12). Returns the listed
-    keys that matched no row (materialised before the table changes)."""
-    from evtide.sources.sinks import replace_partitions
+    keys that matched no row (materialised before the table changes).
+
+    The table's keys are read once, days that hold none of them not at all
+    after that."""
+    from evtide.sources import sinks
     spark = ids.sparkSession
+    sinks.finish_rewrite(spark, path)
     table = spark.read.parquet(path)
-    days = affected_partitions(table, ids, key, ids_col, part_col)
-    k = ids.select(F.col(ids_col).alias(key)).distinct()
-    checkpoint_dir(spark)
-    missing = k.join(table.select(key), key, "left_anti").checkpoint(eager=True)
+    k = ids.select(F.col(ids_col).cast(table.schema[key].dataType).alias(key)).distinct()
+    found = _key_days(table, k, key, part_col)
+    days = _days_of(found, part_col)
+    missing = k.join(found, key, "left_anti").checkpoint(eager=True)
     scope = table.filter(F.col(part_col).isin(days))
-    replace_partitions(scope.join(k, key, "left_anti"), path, part_col, days)
+    sinks.replace_partitions(scope.join(k, key, "left_anti"), path, part_col, days)
     return missing
 
 
-def retention_in_place(path: str, cutoff, part_col: str = "event_date") -> DataFrame:
+def retention_in_place(path: str, cutoff, part_col: str = "event_date",
+                       spark: SparkSession | None = None) -> DataFrame:
     """W13 as a physical job on a day-partitioned events table.
 
     Days wholly before the cutoff are dropped as partitions (no row is read);
     the cutoff's own day, when the cutoff is not at midnight, is rewritten
     with only its rows at or after the cutoff; later days are untouched.
-    Returns (deleted, cutoff), counted before anything changes.
+    Returns (deleted, cutoff), counted before anything changes over the days
+    up to the cutoff only.
     """
-    from evtide.sources.sinks import replace_partitions
-    spark = SparkSession.getActiveSession()
+    from evtide.sources import sinks
+    spark = spark or SparkSession.builder.getOrCreate()
+    sinks.finish_rewrite(spark, path)
     c = parse_ts(cutoff)
     table = spark.read.parquet(path)
     day = F.col(part_col)
-    old_days = sorted(r[0] for r in
-                      table.select(part_col).filter(day < F.lit(c.date())).distinct().collect())
-    deleted = table.filter(F.col("timestamp") < ts(c)).count()
-    boundary = [c.date()] if c != dt.datetime.combine(c.date(), dt.time()) else []
-    if boundary and table.filter(day == F.lit(c.date())).limit(1).count() == 0:
-        boundary = []
-    keep = table.filter(day.isin(boundary) & (F.col("timestamp") >= ts(c)))
-    replace_partitions(keep, path, part_col, old_days + boundary)
+    midnight = c == dt.datetime.combine(c.date(), dt.time())
+    old = table.filter(day < F.lit(c.date()) if midnight else day <= F.lit(c.date()))
+    days = _days_of(old, part_col)
+    deleted = retention_scope(old, c).count()
+    keep = old.filter((day == F.lit(c.date())) & (F.col("timestamp") >= ts(c)))
+    sinks.replace_partitions(keep, path, part_col, days)
     return spark.createDataFrame([(deleted, c)], "deleted long, cutoff timestamp_ntz")
+
+
+def retention_scope(old: DataFrame, cutoff) -> DataFrame:
+    """The rows that retention deletes, out of the days up to the cutoff."""
+    return old.filter(F.col("timestamp") < ts(cutoff))

@@ -111,26 +111,22 @@ def find_by_name(df: DataFrame, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- paging
-# Largest offset + limit served by a top-k (each task keeps that many rows).
-TOPK_MAX = 100_000
-
-
 def _page(df: DataFrame, cols: list[str], descending: bool, limit: int | None,
-          offset: int) -> DataFrame:
+          offset: int, deep: bool = False) -> DataFrame:
     """Rows ``offset .. offset+limit-1`` of ``df`` ordered by ``cols``.
 
-    Shallow pages are a top-k (TakeOrderedAndProject). Deep pages -- an
-    offset+limit above ``TOPK_MAX``, or an offset with no limit -- use global
-    positions from range partitioning (``keyed.ordered_positions``), so no
-    task ever holds ``offset`` rows; no offset and no limit is a plain
-    distributed sort.
+    A page with a limit is a top-k (TakeOrderedAndProject: each task keeps its
+    best ``offset + limit`` rows). ``deep`` -- for callers that page far into
+    the table -- and an offset without a limit use global positions from range
+    partitioning, so no task holds ``offset`` rows. Neither offset nor limit
+    is a plain distributed sort.
     """
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
-    if limit is not None and offset + limit <= TOPK_MAX:
-        out = df.orderBy(*order).limit(offset + limit)
-        return out.offset(offset) if offset else out
     if not offset and limit is None:
         return df.orderBy(*order)
+    if limit is not None and not deep:
+        out = df.orderBy(*order).limit(offset + limit)
+        return out.offset(offset) if offset else out
     from evtide.operators.keyed import ordered_positions
     pos = ordered_positions(df, cols, col="_pos", descending=descending)
     keep = F.col("_pos") >= offset
@@ -165,15 +161,16 @@ def user_events(events: DataFrame, event_types: DataFrame, user_id: int,
 
 
 def events_page(events: DataFrame, limit: int | None = None,
-                offset: int | None = None) -> DataFrame:
-    """Events by limit/offset, no join (K3); all four combinations."""
-    return _page(bare_event(events), ["timestamp", "id"], True, limit, offset or 0)
+                offset: int | None = None, deep: bool = False) -> DataFrame:
+    """Events by limit/offset, no join (K3); all four combinations, ``deep``
+    for pages far into the table."""
+    return _page(bare_event(events), ["timestamp", "id"], True, limit, offset or 0, deep)
 
 
 def users_page(users: DataFrame, limit: int | None = None,
-               offset: int | None = None) -> DataFrame:
-    """Users by name with optional limit/offset (K4)."""
-    return _page(user_response(users), ["name", "id"], False, limit, offset or 0)
+               offset: int | None = None, deep: bool = False) -> DataFrame:
+    """Users by name with optional limit/offset (K4), ``deep`` as in K3."""
+    return _page(user_response(users), ["name", "id"], False, limit, offset or 0, deep)
 
 
 def _cursor_page(df: DataFrame, order, limit: int, key_cols: list[str]) -> DataFrame:

@@ -84,10 +84,8 @@ def stats_report(rollup: DataFrame, frm=None, to=None, event_type: str | None =
     pg_rows = top_pages_from_rollup(rollup, frm_r, to_r).select(
         F.lit("pages").alias("result_type"), _null("string").alias("event_type"), "count",
         _null("long").alias("unique_users"), "page")
-    # at most (#types + 11) rows: sorted inside one partition, which skips the
-    # sampling job a global range-partitioned sort would run
-    return (ev_rows.unionByName(tot_rows).unionByName(pg_rows).coalesce(1)
-            .sortWithinPartitions("result_type", F.col("count").desc(), "event_type", "page"))
+    return (ev_rows.unionByName(tot_rows).unionByName(pg_rows)
+            .orderBy("result_type", F.col("count").desc(), "event_type", "page"))
 
 
 def nested_report(report: DataFrame, frm=None, to=None, now=None) -> DataFrame:
@@ -128,7 +126,7 @@ def exact_unique_users(events: DataFrame, event_types: DataFrame, frm=None, to=N
     distinct count (not the sum of the per-type numbers).
     """
     from evtide.functions.timefn import lookback_start
-    from evtide.operators.joins import restrict_type, with_type_name
+    from evtide.operators.joins import restrict_type
     _, _, frm_r, to_r = report_range(frm, to, now)
     lo = frm_r
     if as_of is not None:
@@ -136,10 +134,19 @@ def exact_unique_users(events: DataFrame, event_types: DataFrame, frm=None, to=N
     ev = events.filter((F.col("timestamp") >= ts(lo)) &
                        (F.col("timestamp") < ts(to_r + dt.timedelta(hours=1))))
     ev = restrict_type(ev, event_types, event_type)
-    per = ev.groupBy("event_type_id").agg(F.countDistinct("user_id").alias("unique_users"))
-    rows = with_type_name(per, event_types).select(
-        F.lit("events").alias("result_type"), "event_type", "unique_users")
-    tot = ev.agg(F.countDistinct("user_id").alias("unique_users")).select(
+    # one scan: distinct (type, user) pairs, folded by type and over all at once
+    pairs = ev.select("event_type_id", "user_id").distinct()
+    folded = pairs.groupingSets([[F.col("event_type_id")], []], F.col("event_type_id")).agg(
+        F.grouping("event_type_id").alias("_all"),
+        F.countDistinct("user_id").alias("unique_users"))
+    names = event_types.select(F.col("id").alias("event_type_id"),
+                               F.col("name").alias("event_type"))
+    named = folded.join(names, "event_type_id", "left").select(
+        F.when(F.col("_all") == 1, "totals").otherwise("events").alias("result_type"),
+        "event_type", "unique_users")
+    # without events there is no total either: a zero stands in for it
+    zero = events.sparkSession.range(1).select(
         F.lit("totals").alias("result_type"), _null("string").alias("event_type"),
-        "unique_users")
-    return rows.unionByName(tot)
+        F.lit(0).cast("long").alias("unique_users"))
+    return named.unionByName(zero).groupBy("result_type", "event_type").agg(
+        F.max("unique_users").alias("unique_users"))

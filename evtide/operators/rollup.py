@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evtide.functions.metadata import has_key, json_text
+from evtide.functions.metadata import with_hot_columns
 from evtide.functions.timefn import lookback_start, parse_ts, trunc, ts, utcnow
 from evtide.operators.joins import with_type_name
 
@@ -48,10 +48,10 @@ def page_rollup(events: DataFrame, as_of=None,
 
     A JSON-null page and a literal "unknown" page fall in the same
     ``unknown`` row (grouped by the shown value, so the snapshot key stays
-    unique).
+    unique). Reads the columns extracted at ingest.
     """
-    ev = _window(events, as_of, lookback_days).filter(has_key("metadata", "page"))
-    page = F.coalesce(json_text("metadata", "page"), F.lit("unknown"))
+    ev = with_hot_columns(_window(events, as_of, lookback_days)).filter(F.col("m_has_page"))
+    page = F.coalesce("m_page_text", F.lit("unknown"))
     return ev.groupBy(page.alias("page"), trunc("hour", "timestamp").alias("hour_bucket")).agg(
         F.count(F.lit(1)).alias("page_count"))
 

@@ -186,10 +186,11 @@ def q_active_sizes(spark, sf_dir):
     return keyed.set_sizes(_active(spark, sf_dir))
 
 
-@register("random_members")
+@register("random_members", sql("""
+SELECT key, member FROM active QUALIFY row_number() OVER (
+  PARTITION BY key ORDER BY md5('7:' || member), member) <= 3""", ACTIVE_SQL))
 def q_random_members(spark, sf_dir):
-    """Three reproducible members of every daily active set (no SQL twin:
-    the pick follows Spark's xxhash64)."""
+    """Three reproducible members of every daily active set."""
     return keyed.random_members(_active(spark, sf_dir), 3, seed=7)
 
 
@@ -294,3 +295,74 @@ def q_active_set_move(spark, sf_dir):
     moves = a.filter(F.col("key") == DAYS[2]).select(
         F.lit(DAYS[0]).alias("src"), F.lit("moved").alias("dst"), "member")
     return keyed.set_move(a, moves)
+
+
+@register("leaderboard_bottom", sql(
+    "SELECT board, member, score, rank FROM ranked WHERE rank < 3", BOARDS_SQL))
+def q_leaderboard_bottom(spark, sf_dir):
+    """The three lowest members of every board (K8, bottom form)."""
+    return keyed.top(type_boards(spark, sf_dir), 3, bottom=True)
+
+
+@register("leaderboard_last", sql(
+    "SELECT board, member, score, rank FROM ranked WHERE rank BETWEEN size - 4 AND size - 2",
+    BOARDS_SQL))
+def q_leaderboard_last(spark, sf_dir):
+    """Ranks -4 to -2 of every board, both ends from the end."""
+    return keyed.rank_range(type_boards(spark, sf_dir), -4, -2)
+
+
+@register("leaderboard_middle", sql(
+    "SELECT board, member, score, rank FROM ranked WHERE rank >= 2 AND rank <= size - 3",
+    BOARDS_SQL))
+def q_leaderboard_middle(spark, sf_dir):
+    """Ranks 2 to -3 of every board, one end from either side."""
+    return keyed.rank_range(type_boards(spark, sf_dir), 2, -3)
+
+
+@register("list_pop_left", sql(
+    "SELECT key, value, pos FROM lists WHERE pos < 2", LISTS_SQL))
+def q_list_pop_left(spark, sf_dir):
+    """The two elements popped from the head of every list."""
+    return keyed.list_pop(user_lists(spark, sf_dir), 2)[0]
+
+
+@register("list_pop_rest", sql(
+    "SELECT key, value, pos - 2 AS pos FROM lists WHERE pos >= 2", LISTS_SQL))
+def q_list_pop_rest(spark, sf_dir):
+    """What is left after the pop, renumbered from 0."""
+    return keyed.list_pop(user_lists(spark, sf_dir), 2)[1].drop("size")
+
+
+@register("list_middle", sql(
+    "SELECT key, value, pos FROM lists WHERE pos >= 1 AND pos <= size - 3", LISTS_SQL))
+def q_list_middle(spark, sf_dir):
+    """Positions 1 to -3 of every list."""
+    return keyed.list_range(user_lists(spark, sf_dir), 1, -3)
+
+
+@register("null_keys", sql("""
+SELECT key, value, pos, size FROM (
+  SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 3 END AS key, id AS value,
+         row_number() OVER (PARTITION BY CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 3 END
+                            ORDER BY id) - 1 AS pos,
+         count(*) OVER (PARTITION BY CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 3 END)
+           AS size
+  FROM c_events) x"""))
+def q_null_keys(spark, sf_dir):
+    """Lists where a third of all rows have a null key: a list like any other."""
+    e = _t(spark, sf_dir).events.select(
+        F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 3).alias("k"), "id")
+    return keyed.list_from(e.withColumn("value", F.col("id")), "k", "value", ["id"])
+
+
+@register("set_move_twice", sql(f"""
+SELECT DISTINCT CASE WHEN a.key = '{DAYS[0]}' THEN 'first' ELSE a.key END AS key, a.member
+FROM active a""", ACTIVE_SQL))
+def q_set_move_twice(spark, sf_dir):
+    """Every member of day 1 is moved twice; the lower seq wins."""
+    a = _active(spark, sf_dir)
+    day = a.filter(F.col("key") == DAYS[0]).select(F.lit(DAYS[0]).alias("src"), "member")
+    moves = day.withColumn("dst", F.lit("second")).withColumn("seq", F.lit(2)).unionByName(
+        day.withColumn("dst", F.lit("first")).withColumn("seq", F.lit(1)))
+    return keyed.set_move(a, moves)

@@ -9,7 +9,7 @@ from evtide.operators import mutations
 from evtide.plans.oracle import sql, tsl
 from evtide.plans.registry import AS_OF, ORACLES, register, _t
 from evtide.session import scratch_path
-from evtide.sources import sinks
+from evtide.sources import readers, schemas, sinks
 from evtide.sources.driver_tables import read_driver
 
 
@@ -79,6 +79,64 @@ def q_ingest_rejects(spark, sf_dir):
     return _ingest(spark, sf_dir).report.drop("seq")
 
 
+def rfc3339_records(spark, sf_dir) -> DataFrame:
+    """Order rows as ingest records whose time is text in every form that a
+    client may send: UTC, offsets, fractions, none, no zone, no time."""
+    o = read_driver(spark, sf_dir, "orders").filter(F.col("o_orderkey").isNotNull())
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    forms = [F.concat(day, F.lit(t)) for t in
+             ("T06:30:00Z", "T06:30:00+03:00", "T23:30:00-05:30", "t06:30:00.25z",
+              "T06:30:00.123456+00:00")]
+    forms += [F.lit(None).cast("string"), F.lit("garbage"), F.concat(day, F.lit("T06:30:00"))]
+    form = F.col("o_orderkey") % len(forms)
+    at = forms[0]
+    for k, f in enumerate(forms[1:], start=1):
+        at = F.when(form == k, f).otherwise(at)
+    return o.select(
+        ((F.col("o_custkey") % 100) + 1).alias("user_id"), F.lit("purchase").alias("event_type"),
+        at.alias("timestamp"),
+        F.concat(F.lit('{"product_id":'), F.col("o_orderkey").cast("string"), F.lit("}"))
+        .alias("metadata"))
+
+
+RFC3339_SQL = """
+rfc AS (
+  SELECT (o_custkey % 100) + 1 AS user_id,
+         (SELECT id FROM c_event_types WHERE name = 'purchase') AS event_type_id,
+         '{"product_id":' || CAST(o_orderkey AS VARCHAR) || '}' AS metadata,
+         CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + CASE o_orderkey % 8
+           WHEN 0 THEN INTERVAL 390 MINUTE WHEN 1 THEN INTERVAL 210 MINUTE
+           WHEN 2 THEN INTERVAL 1740 MINUTE
+           WHEN 3 THEN INTERVAL 390 MINUTE + INTERVAL 250 MILLISECOND
+           WHEN 4 THEN INTERVAL 390 MINUTE + INTERVAL 123456 MICROSECOND END AS utc,
+         CASE WHEN o_orderkey % 8 IN (6, 7) THEN 'invalid_timestamp' END AS reason
+  FROM orders)"""
+
+
+def _ingest_rfc3339(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    path = scratch_path(spark, "records")
+    rfc3339_records(spark, sf_dir).write.json(path)
+    return mutations.ingest_events(readers.json_records(spark, path), t.users, t.event_types,
+                                   as_of=AS_OF, events=t.events)
+
+
+@register("ingest_rfc3339", sql(f"""
+SELECT user_id, event_type_id, metadata, coalesce(utc, {tsl(AS_OF)}) AS "timestamp"
+FROM rfc WHERE reason IS NULL""", RFC3339_SQL))
+def q_ingest_rfc3339(spark, sf_dir):
+    """JSON records with zoned, fractional and absent times."""
+    return _ingest_rfc3339(spark, sf_dir).table.select(
+        "user_id", "event_type_id", "metadata", "timestamp")
+
+
+@register("ingest_rfc3339_rejects", sql(
+    "SELECT user_id, metadata, reason FROM rfc WHERE reason IS NOT NULL", RFC3339_SQL))
+def q_ingest_rfc3339_rejects(spark, sf_dir):
+    """The records whose time is given but is not RFC 3339."""
+    return _ingest_rfc3339(spark, sf_dir).report.select("user_id", "metadata", "reason")
+
+
 def event_updates(spark, sf_dir) -> DataFrame:
     o = read_driver(spark, sf_dir, "orders")
     return o.select(
@@ -345,10 +403,10 @@ def q_retention_partitioned(spark, sf_dir):
     day partitions are pruned from the scan, only the boundary day is
     filtered row by row."""
     path = scratch_path(spark, "events-by-day")
-    sinks.append_events(_t(spark, sf_dir).events, path)
+    sinks.append_events(_t(spark, sf_dir).hot, path)
     events = spark.read.parquet(path)
-    return mutations.retention(events, RETENTION_CUTOFF, date_col="event_date").table.drop(
-        "event_date")
+    return mutations.retention(events, RETENTION_CUTOFF, date_col="event_date").table.select(
+        *schemas.EVENTS.fieldNames())
 
 
 @register("delete_cascade", ORACLES["delete_cascade_events"])
@@ -359,7 +417,7 @@ def q_delete_cascade(spark, sf_dir):
 
 def _events_by_day(spark, sf_dir) -> str:
     path = scratch_path(spark, "events-by-day")
-    sinks.append_events(_t(spark, sf_dir).events, path)
+    sinks.append_events(_t(spark, sf_dir).hot, path)
     return path
 
 
@@ -370,7 +428,7 @@ def q_update_in_place(spark, sf_dir):
     path = _events_by_day(spark, sf_dir)
     mutations.update_events_in_place(path, event_updates(spark, sf_dir),
                                      _t(spark, sf_dir).event_types)
-    return spark.read.parquet(path).drop("event_date")
+    return sinks.read_events(spark, path)
 
 
 @register("delete_in_place", ORACLES["delete_events_kept"])
@@ -378,7 +436,7 @@ def q_delete_in_place(spark, sf_dir):
     """W10 applied in place to a day-partitioned copy of the events."""
     path = _events_by_day(spark, sf_dir)
     mutations.delete_events_in_place(path, _fulfilled(spark, sf_dir))
-    return spark.read.parquet(path).drop("event_date")
+    return sinks.read_events(spark, path)
 
 
 MIDDAY_CUTOFF = "2024-01-15 12:00:00"
@@ -392,7 +450,7 @@ def q_retention_in_place(spark, sf_dir):
     partitions, the cutoff day rewritten; the table is read back."""
     path = _events_by_day(spark, sf_dir)
     mutations.retention_in_place(path, MIDDAY_CUTOFF)
-    return spark.read.parquet(path).drop("event_date")
+    return sinks.read_events(spark, path)
 
 
 @register("retention_in_place_count", sql(
@@ -411,4 +469,63 @@ def q_delete_cascade_in_place(spark, sf_dir):
     t = _t(spark, sf_dir)
     gone = _debtors(spark, sf_dir).join(t.users.select("id"), "id", "left_semi")
     mutations.delete_events_in_place(path, gone, "id", key="user_id")
-    return spark.read.parquet(path).drop("event_date")
+    return sinks.read_events(spark, path)
+
+
+def _name_commands(spark, sf_dir) -> DataFrame:
+    """Supplier rows as create and rename commands (seq, id, name) that hold
+    null, over-long and repeated names, unknown ids and names in use."""
+    s = read_driver(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    customer = F.concat(F.lit("Customer#"), F.lpad((k % 7 + 1).cast("string"), 9, "0"))
+    name = (F.when(k % 6 == 0, F.lit(None).cast("string"))
+            .when(k % 6 == 1, F.repeat(F.lit("x"), 101))
+            .when(k % 6 == 2, F.concat(F.lit("new-"), (k % 5).cast("string")))
+            .when(k % 6 == 3, customer)
+            .when(k % 6 == 4, F.repeat(F.lit("y"), 100))
+            .otherwise(F.concat(F.lit("own-"), k.cast("string"))))
+    return s.select(k.alias("seq"),
+                    F.when(k % 4 == 0, F.lit(10 ** 9) + k).otherwise(k % 40 + 1).alias("id"),
+                    name.alias("name"))
+
+
+_NAME_SQL = """
+cmd AS (
+  SELECT s_suppkey AS seq,
+         CASE WHEN s_suppkey % 4 = 0 THEN 1000000000 + s_suppkey ELSE s_suppkey % 40 + 1 END AS id,
+         CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN repeat('x', 101)
+           WHEN 2 THEN 'new-' || CAST(s_suppkey % 5 AS VARCHAR)
+           WHEN 3 THEN 'Customer#' || lpad(CAST(s_suppkey % 7 + 1 AS VARCHAR), 9, '0')
+           WHEN 4 THEN repeat('y', 100) ELSE 'own-' || CAST(s_suppkey AS VARCHAR) END AS name
+  FROM supplier)"""
+
+
+@register("create_names_checked", sql("""
+SELECT seq, name, CASE WHEN name IS NULL THEN 'missing_name'
+  WHEN length(name) > 100 THEN 'name_too_long'
+  WHEN name IN (SELECT name FROM c_users) THEN 'name_exists'
+  WHEN EXISTS (SELECT 1 FROM cmd d WHERE d.name = c.name AND d.seq < c.seq)
+  THEN 'duplicate_in_batch' ELSE 'created' END AS status FROM cmd c""", _NAME_SQL))
+def q_create_names_checked(spark, sf_dir):
+    """Create users from commands with null, long, repeated and used names (W4):
+    a status for every command."""
+    return mutations.create_named(_name_commands(spark, sf_dir).select("seq", "name"),
+                                  _t(spark, sf_dir).users,
+                                  longest=schemas.USER_NAME_MAX).report
+
+
+@register("rename_checked", sql("""
+SELECT seq, id, name, CASE WHEN NOT known THEN 'not_found' WHEN name IS NULL THEN 'ok'
+  WHEN length(name) > 100 THEN 'name_too_long' WHEN clash OR id <> owner THEN 'name_exists'
+  ELSE 'ok' END AS status
+FROM (SELECT j.*, (SELECT arg_min(d.id, d.seq) FROM j d WHERE d.name = j.name AND d.known
+                   AND NOT d.clash AND length(d.name) <= 100) AS owner FROM j) x""", _NAME_SQL + """,
+j AS (
+  SELECT c.*, c.id IN (SELECT id FROM c_users) AS known,
+         EXISTS (SELECT 1 FROM c_users u WHERE u.name = c.name AND u.id <> c.id) AS clash
+  FROM cmd c)"""))
+def q_rename_checked(spark, sf_dir):
+    """Rename users by commands with unknown ids, repeated claims of one name,
+    one id twice, null and long names (W8)."""
+    return mutations.rename(_t(spark, sf_dir).users, _name_commands(spark, sf_dir),
+                            longest=schemas.USER_NAME_MAX).report

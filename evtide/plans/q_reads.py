@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evtide.functions.metadata import metadata_issue, with_typed_metadata
 from evtide.operators import metrics, reads
+from evtide.operators.keyed import ordered_positions
 from evtide.plans.oracle import sql, tsl
 from evtide.plans.registry import (
     _BARE,
@@ -209,3 +210,53 @@ def q_count_tables(spark, sf_dir):
 def q_event_fallback_labels(spark, sf_dir):
     """Response projection without the type join: ``event_type_<id>``."""
     return reads.event_response(_t(spark, sf_dir).events)
+
+
+@register("events_page_deep", sql(
+    f'SELECT {_BARE} FROM c_events ORDER BY "timestamp" DESC, id DESC LIMIT 50 OFFSET 4000'))
+def q_events_page_deep(spark, sf_dir):
+    """A page far into the table by global positions (K3)."""
+    return reads.events_page(_t(spark, sf_dir).events, limit=50, offset=4000, deep=True)
+
+
+@register("events_offset_only", sql(
+    f'SELECT {_BARE} FROM c_events ORDER BY "timestamp" DESC, id DESC OFFSET 500'))
+def q_events_offset_only(spark, sf_dir):
+    """All but the newest 500 events, no limit (K3)."""
+    return reads.events_page(_t(spark, sf_dir).events, offset=500)
+
+
+@register("events_cursor_id", _cursor_sql(
+    f'WHERE "timestamp" < {tsl(CURSOR_TS)} OR ("timestamp" = {tsl(CURSOR_TS)} AND id < 3000)', 100,
+    '"timestamp" DESC, id DESC', ['"timestamp"', "id"], _BARE))
+def q_events_cursor_id(spark, sf_dir):
+    """Keyset page by the whole cursor (timestamp, id), the default (K5)."""
+    return reads.events_cursor(_t(spark, sf_dir).events, cursor_ts=CURSOR_TS + "Z",
+                               cursor_id=3000, limit=100)
+
+
+@register("events_in_order", sql("""
+SELECT id, row_number() OVER (ORDER BY "timestamp" DESC, id DESC) - 1 AS pos FROM c_events"""))
+def q_events_in_order(spark, sf_dir):
+    """Place of every event in the newest-first listing (S1): its order."""
+    return ordered_rows(reads.events_with_types(*_events(spark, sf_dir)))
+
+
+@register("users_in_order", sql(
+    "SELECT id, row_number() OVER (ORDER BY name, id) - 1 AS pos FROM c_users"))
+def q_users_in_order(spark, sf_dir):
+    """Place of every user in the listing by name."""
+    return ordered_rows(reads.users_by_name(_t(spark, sf_dir).users))
+
+
+def _events(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return t.events, t.event_types
+
+
+def ordered_rows(listing):
+    """The rows of a sorted listing with their place in it: partition after
+    partition, row after row."""
+    at = F.monotonically_increasing_id()
+    rows = listing.select("id", at.alias("_at"))
+    return ordered_positions(rows, ["_at"], col="pos").drop("_at")

@@ -8,67 +8,64 @@ from evtide.plans.registry import (
     ABSENT_TYPE, AS_OF, AT, FROM, FROM_H, _range_where, register, _t, TO, TO_H, TYPE,
     _TYPED_JOIN,
 )
-from evtide.session import scratch_path
-from evtide.sources import schemas
+from evtide.sources import schemas, sinks
+from evtide.sources.driver_tables import stored_snapshot
 from evtide.streaming import streams
 
 
-ROLLUP_SQL = f"""
-ty AS (
-  SELECT t.name AS key_name, date_trunc('hour', e."timestamp") AS hour_bucket,
-         count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
-  FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id
-  WHERE e."timestamp" >= {tsl(AS_OF)} - INTERVAL 30 DAY
-  GROUP BY 1, 2),
-pg AS (
-  SELECT coalesce(json_extract_string(metadata, '$.page'), 'unknown') AS key_name,
-         date_trunc('hour', "timestamp") AS hour_bucket, count(*) AS page_count
-  FROM c_events
-  WHERE {has_page()} AND "timestamp" >= {tsl(AS_OF)} - INTERVAL 30 DAY
-  GROUP BY 1, 2),
+# One row per event and thing it counts for: its type and, where the metadata
+# has a page key, its page. Every expected figure is one aggregate of these.
+HITS_SQL = f"""
+hits AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, e."timestamp") AS slot, e.user_id, v.kind,
+         CASE v.kind WHEN 'event_type' THEN (SELECT name FROM c_event_types
+                                             WHERE id = e.event_type_id)
+              ELSE ifnull(e.metadata ->> '$.page', 'unknown') END AS what
+  FROM c_events e, (VALUES ('event_type'), ('page')) v(kind)
+  WHERE NOT (e."timestamp" < {tsl(AS_OF)} - INTERVAL 30 DAY)
+    AND (v.kind = 'event_type' OR {has_page('e.metadata')}))"""
+
+ROLLUP_SQL = HITS_SQL + """,
 rollup AS (
-  SELECT 'event_type' AS stat_type, key_name, hour_bucket, total_count, unique_users,
-         CAST(NULL AS BIGINT) AS page_count FROM ty
-  UNION ALL
-  SELECT 'page', key_name, hour_bucket, NULL, NULL, page_count FROM pg)"""
+  SELECT kind AS stat_type, what AS key_name, slot AS hour_bucket,
+         CASE kind WHEN 'event_type' THEN count(*) END AS total_count,
+         CASE kind WHEN 'event_type' THEN count(DISTINCT user_id) END AS unique_users,
+         CASE kind WHEN 'page' THEN count(*) END AS page_count
+  FROM hits GROUP BY kind, what, slot)"""
 
 
 @register("stats_rollup", sql("SELECT * FROM rollup", ROLLUP_SQL))
 def q_stats_rollup(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return rollup.stats_rollup(t.events, t.event_types, as_of=AS_OF)
+    return rollup.stats_rollup(t.hot, t.event_types, as_of=AS_OF)
 
 
 def _report_sql(type_name: str | None) -> str:
-    tf = "" if type_name is None else f"AND key_name = '{type_name}'"
+    only = "TRUE" if type_name is None else f"what = '{type_name}'"
+    span = f"slot BETWEEN {tsl(FROM_H)} AND {tsl(TO_H)}"
+    # hourly distinct users added up are the distinct (hour, user) pairs
     return sql(f"""
-SELECT 'events' AS result_type, event_type, total_count AS "count", unique_users,
-       CAST(NULL AS VARCHAR) AS page FROM filtered
+SELECT 'events' AS result_type, what AS event_type, count(*) AS "count",
+       count(DISTINCT (slot, user_id)) AS unique_users, CAST(NULL AS VARCHAR) AS page
+FROM hits WHERE kind = 'event_type' AND {span} AND {only} GROUP BY what
 UNION ALL
-SELECT 'totals', NULL, coalesce(CAST(sum(total_count) AS BIGINT), 0),
-       coalesce(CAST(sum(unique_users) AS BIGINT), 0), NULL FROM filtered
+SELECT 'totals', NULL, count(*), count(DISTINCT (slot, what, user_id)), NULL
+FROM hits WHERE kind = 'event_type' AND {span} AND {only}
 UNION ALL
-SELECT 'pages', NULL, "count", NULL, page FROM pages""", ROLLUP_SQL + f""",
-filtered AS (
-  SELECT key_name AS event_type, CAST(sum(total_count) AS BIGINT) AS total_count,
-         CAST(sum(unique_users) AS BIGINT) AS unique_users
-  FROM rollup WHERE stat_type = 'event_type'
-    AND hour_bucket >= {tsl(FROM_H)} AND hour_bucket <= {tsl(TO_H)} {tf}
-  GROUP BY key_name),
-pages AS (
-  SELECT key_name AS page, CAST(sum(page_count) AS BIGINT) AS "count"
-  FROM rollup WHERE stat_type = 'page'
-    AND hour_bucket >= {tsl(FROM_H)} AND hour_bucket <= {tsl(TO_H)}
-  GROUP BY key_name ORDER BY "count" DESC, page LIMIT 10)""")
+SELECT 'pages', NULL, n, NULL, what FROM (
+  SELECT what, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, what) AS place
+  FROM hits WHERE kind = 'page' AND {span} GROUP BY what) x WHERE place <= 10""", HITS_SQL)
+
+
+def _build_rollup(t, base: str) -> None:
+    streams.refresh_rollup(t.hot, t.event_types, base, as_of=AS_OF)
 
 
 def _report(spark, sf_dir, type_name):
-    """Rollup job (W18: build + write a snapshot version), then the report
-    over the snapshot (S9), as the service does it."""
-    t = _t(spark, sf_dir)
-    base = scratch_path(spark, "rollup")
-    version = streams.refresh_rollup(t.events, t.event_types, base, as_of=AS_OF)
-    snap = spark.read.schema(schemas.ROLLUP).parquet(version)  # the version just written
+    """The report over the current version of the rollup snapshot (S9), which
+    the rollup job (W18) has built before and keeps."""
+    base = stored_snapshot(spark, sf_dir, "rollup", _build_rollup)
+    snap = sinks.read_current(spark, base, schemas.ROLLUP)
     return report.stats_report(snap, FROM, TO, type_name, now=AS_OF)
 
 
@@ -138,13 +135,13 @@ ORDER BY "count" DESC, coalesce(raw, 'unknown'), raw NULLS FIRST LIMIT 10""")
 @register("top_pages", _top_pages_sql(None))
 def q_top_pages(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.top_pages(t.events, t.event_types, FROM, TO, None, 10)
+    return metrics.top_pages(t.hot, t.event_types, FROM, TO, None, 10)
 
 
 @register("top_pages_typed", _top_pages_sql(TYPE))
 def q_top_pages_typed(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.top_pages(t.events, t.event_types, FROM, TO, TYPE, 10)
+    return metrics.top_pages(t.hot, t.event_types, FROM, TO, TYPE, 10)
 
 
 def _bucket_sql(unit: str, where: str) -> str:
@@ -217,17 +214,33 @@ def q_user_activity(spark, sf_dir):
 POPULAR_AS_OF = "2024-01-20 00:00:00"
 
 
-@register("popular_events", sql(f"""
-SELECT t.name AS event_type, count(*) AS "count", count(DISTINCT e.user_id) AS unique_users
+def _popular_sql(period: str, days: int, limit: int) -> str:
+    return sql(f"""
+SELECT '{period}' AS period, t.name AS event_type, count(*) AS "count",
+       count(DISTINCT e.user_id) AS unique_users
 FROM c_events e {_TYPED_JOIN}
-WHERE e."timestamp" >= {tsl(POPULAR_AS_OF)} - INTERVAL 7 DAY
-  AND e."timestamp" <= {tsl(POPULAR_AS_OF)}
-GROUP BY t.name ORDER BY "count" DESC, event_type LIMIT 3"""))
+WHERE e."timestamp" BETWEEN {tsl(POPULAR_AS_OF)} - INTERVAL {days} DAY AND {tsl(POPULAR_AS_OF)}
+GROUP BY t.name ORDER BY "count" DESC, event_type LIMIT {limit}""")
+
+
+@register("popular_events", _popular_sql("weekly", 7, 3))
 def q_popular_events(spark, sf_dir):
     t = _t(spark, sf_dir)
     return metrics.popular_events(t.events, t.event_types, "weekly", POPULAR_AS_OF, 3)
 
 
+@register("popular_events_daily", _popular_sql("daily", 1, 4))
+def q_popular_events_daily(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return metrics.popular_events(t.events, t.event_types, "daily", POPULAR_AS_OF, 4)
+
+
+@register("popular_events_monthly", _popular_sql("monthly", 30, 10))
+def q_popular_events_monthly(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return metrics.popular_events(t.events, t.event_types, "monthly", POPULAR_AS_OF)
+
+
 @register("users_with_metrics", sql("""
 SELECT u.id, u.name, u.created_at, coalesce(a.event_count, 0) AS event_count,
        coalesce(a.distinct_types, 0) AS distinct_types,
@@ -239,7 +252,7 @@ FROM c_users u LEFT JOIN (
   FROM c_typed GROUP BY user_id) a ON a.user_id = u.id"""))
 def q_users_with_metrics(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.users_with_metrics(t.users, t.events)
+    return metrics.users_with_metrics(t.users, t.hot)
 
 
 @register("page_analytics", sql("""
@@ -248,7 +261,7 @@ SELECT page, count(*) AS events, count(DISTINCT user_id) AS unique_users,
 FROM c_typed WHERE page IS NOT NULL GROUP BY page"""))
 def q_page_analytics(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.page_analytics(t.events)
+    return metrics.page_analytics(t.hot)
 
 
 @register("referrer_analytics", sql("""
@@ -258,7 +271,25 @@ SELECT regexp_extract(referrer, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1) AS h
 FROM c_typed WHERE referrer IS NOT NULL GROUP BY 1"""))
 def q_referrer_analytics(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.referrer_analytics(t.events, by="host")
+    return metrics.referrer_analytics(t.hot, by="host")
+
+
+@register("referrer_analytics_full", sql("""
+SELECT referrer, count(*) AS events, count(DISTINCT user_id) AS unique_users,
+       count(DISTINCT session_id) AS unique_sessions
+FROM c_typed WHERE referrer IS NOT NULL GROUP BY 1"""))
+def q_referrer_analytics_full(spark, sf_dir):
+    """A21 by the whole referrer."""
+    return metrics.referrer_analytics(_t(spark, sf_dir).hot, by="referrer")
+
+
+@register("session_pages", sql("""
+SELECT session_id, page,
+       row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", id) - 1 AS pos
+FROM c_typed WHERE session_id IS NOT NULL AND page IS NOT NULL"""))
+def q_session_pages(spark, sf_dir):
+    """The pages of every session in order."""
+    return metrics.session_pages(_t(spark, sf_dir).hot)
 
 
 @register("product_analytics", sql(f"""
@@ -267,7 +298,7 @@ SELECT e.product_id, t.name AS event_type, count(*) AS events,
 FROM c_typed e {_TYPED_JOIN} WHERE e.product_id IS NOT NULL GROUP BY 1, 2"""))
 def q_product_analytics(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.product_analytics(t.events, t.event_types)
+    return metrics.product_analytics(t.hot, t.event_types)
 
 
 @register("sessions", sql("""
@@ -280,7 +311,7 @@ SELECT session_id, min(user_id) AS user_id, min("timestamp") AS session_start,
 FROM c_typed WHERE session_id IS NOT NULL GROUP BY session_id"""))
 def q_sessions(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return metrics.sessions(t.events)
+    return metrics.sessions(t.hot)
 
 
 MINUTE_FROM, MINUTE_TO = "2024-01-15 10:00:00", "2024-01-15 13:59:59"
@@ -317,7 +348,7 @@ FROM c_typed e {_TYPED_JOIN} WHERE e.product_id IS NOT NULL GROUP BY e.product_i
 def q_product_pivot(spark, sf_dir):
     """Per product id, one event-count column per listed type (A22, wide)."""
     t = _t(spark, sf_dir)
-    return metrics.product_pivot(t.events, t.event_types, list(PIVOT_TYPES))
+    return metrics.product_pivot(t.hot, t.event_types, list(PIVOT_TYPES))
 
 
 @register("report_exact_users", sql(f"""

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import os
+import time
 
 from pyspark.sql import functions as F
 
 from evtide.operators import mutations, reads
 from evtide.plans.oracle import sql, tsl
-from evtide.plans.q_mutations import ingest_records, INGEST_SQL
+from evtide.plans.q_mutations import (
+    RFC3339_SQL, ingest_records, rfc3339_records, INGEST_SQL,
+)
+from evtide.plans.q_report import ROLLUP_SQL
 from evtide.plans.registry import AS_OF, ORACLES, register, _t
 from evtide.session import scratch_path
-from evtide.sources import schemas
+from evtide.sources import schemas, sinks
 from evtide.sources.driver_tables import read_driver
 from evtide.streaming import streams
 
 
-STREAM_WATERMARK = "31 days"   # data span is 30 days: nothing is late here
+def _named(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
 
 
 def _events_as_files(spark, sf_dir, copies: int = 1, files: int = 4) -> str:
@@ -28,33 +32,29 @@ def _events_as_files(spark, sf_dir, copies: int = 1, files: int = 4) -> str:
     return path
 
 
-@register("stream_rollup", sql("""
-SELECT t.name AS event_type, date_trunc('hour', e."timestamp") AS hour_bucket,
-       count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
-FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id GROUP BY 1, 2"""))
-def q_stream_rollup(spark, sf_dir):
-    """Incremental hourly rollup (T4) run to completion on a file stream."""
-    src = _events_as_files(spark, sf_dir)
-    out = scratch_path(spark, "stream-rollup")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    q = streams.hourly_rollup_stream(stream, out, name=os.path.basename(out),
-                                     watermark=STREAM_WATERMARK, available_now=True)
-    q.awaitTermination()
-    rows = streams.latest_rows(spark, out, ["hour_bucket", "event_type_id"])
-    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
-        "event_type", "hour_bucket", "total_count", "unique_users")
-
-
 @register("stream_dedup", sql("SELECT * FROM c_events"))
 def q_stream_dedup(spark, sf_dir):
-    """Every event delivered twice; the stream keeps one copy per id."""
+    """Every event delivered twice, in no order; the stream keeps one copy per
+    id, events later than a day are put aside and admitted afterwards (T7)."""
     src = _events_as_files(spark, sf_dir, copies=2)
-    out = scratch_path(spark, "stream-dedup")
+    out, late = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-late")
     stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=2)
-    q = streams.append_stream(streams.dedup_replays(stream, STREAM_WATERMARK), out,
-                              name=os.path.basename(out), available_now=True)
-    q.awaitTermination()
-    return spark.read.schema(schemas.EVENTS).parquet(out)
+    streams.dedup_replays(stream, out, late, _named(out), 86_400,
+                          available_now=True).awaitTermination()
+    return streams.admit_late(streams.read_batches(spark, out, schemas.EVENTS),
+                              streams.read_batches(spark, late, schemas.EVENTS))
+
+
+def _stream_ingest(spark, sf_dir, records):
+    src = scratch_path(spark, "ingest-src")
+    records.repartition(3).write.json(src)
+    acc, rej = scratch_path(spark, "accepted"), scratch_path(spark, "rejects")
+    t = _t(spark, sf_dir)
+    streams.ingest_stream(streams.json_records(spark, src, max_files=1), lambda: t.users,
+                          lambda: t.event_types, acc, rej, name=_named(acc), as_of=AS_OF,
+                          base_id=mutations.max_id(t.events), available_now=True
+                          ).awaitTermination()
+    return acc, rej
 
 
 @register("stream_ingest", sql(f"""
@@ -62,17 +62,75 @@ SELECT user_id, type_id AS event_type_id, metadata,
        coalesce("timestamp", {tsl(AS_OF)}) AS "timestamp"
 FROM chk WHERE reason IS NULL""", INGEST_SQL))
 def q_stream_ingest(spark, sf_dir):
-    """JSON ingest records through the streaming ingest."""
-    src = scratch_path(spark, "ingest-src")
-    ingest_records(spark, sf_dir).repartition(3).write.json(src)
-    acc, rej = scratch_path(spark, "accepted"), scratch_path(spark, "rejects")
+    """JSON ingest records through the streaming ingest (T1), the accepted
+    batches compacted into a day-partitioned table."""
+    recs = ingest_records(spark, sf_dir).withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    acc, _ = _stream_ingest(spark, sf_dir, recs)
+    table = scratch_path(spark, "events-by-day")
+    streams.compact_batches(spark, acc, table, 10 ** 9)
+    return sinks.read_events(spark, table).drop("id")
+
+
+@register("stream_ingest_rfc3339", sql(f"""
+SELECT user_id, event_type_id, metadata, coalesce(utc, {tsl(AS_OF)}) AS "timestamp",
+       CAST(NULL AS VARCHAR) AS reason FROM rfc WHERE reason IS NULL
+UNION ALL
+SELECT user_id, NULL, metadata, NULL, reason FROM rfc WHERE reason IS NOT NULL""", RFC3339_SQL))
+def q_stream_ingest_rfc3339(spark, sf_dir):
+    """Streamed JSON records with zoned, fractional, absent and bad times (T1,
+    S10): accepted events and reject reasons."""
+    acc, rej = _stream_ingest(spark, sf_dir, rfc3339_records(spark, sf_dir))
+    good = streams.read_batches(spark, acc, schemas.EVENTS).select(
+        "user_id", "event_type_id", "metadata", "timestamp",
+        F.lit(None).cast("string").alias("reason"))
+    bad = spark.read.parquet(rej).select(
+        "user_id", F.lit(None).cast("int").alias("event_type_id"), "metadata",
+        F.lit(None).cast("timestamp_ntz").alias("timestamp"), "reason")
+    return good.unionByName(bad)
+
+
+@register("scheduled_refresh", sql("SELECT * FROM rollup", ROLLUP_SQL))
+def q_scheduled_refresh(spark, sf_dir):
+    """The timed rebuild (T2): the clock ticks without any new event; the
+    first tick is skipped, a later one writes the snapshot that is read back."""
     t = _t(spark, sf_dir)
-    q = streams.ingest_stream(streams.json_records(spark, src, max_files=1), t.users,
-                              t.event_types, acc, rej, name=os.path.basename(acc),
-                              as_of=AS_OF, base_id=mutations.max_id(t.events),
-                              available_now=True)
-    q.awaitTermination()
-    return spark.read.parquet(acc).select("user_id", "event_type_id", "metadata", "timestamp")
+    base = scratch_path(spark, "scheduled-rollup")
+    q = streams.scheduled_refresh(spark, lambda: t.hot, lambda: t.event_types, base,
+                                  every="1 second", name=_named(base), as_of=AS_OF)
+    try:
+        for _ in range(600):
+            if sinks.versions(spark, base) or not q.isActive:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    return sinks.read_current(spark, base, schemas.ROLLUP)
+
+
+@register("log_consumers", sql("""
+SELECT 'counts' AS consumer, event_type_id, count(*) AS n FROM c_events GROUP BY 2
+UNION ALL SELECT 'users', event_type_id, count(DISTINCT user_id) FROM c_events GROUP BY 2"""))
+def q_log_consumers(spark, sf_dir):
+    """Two independent consumers of one log (T10), each with its own position:
+    one counts entries, one collects the users it has seen."""
+    src = _events_as_files(spark, sf_dir)
+    outs = {}
+    for who in ("counts", "users"):
+        out = outs[who] = scratch_path(spark, f"consumer-{who}")
+
+        def handle(batch, batch_id, who=who, out=out):
+            g = batch.groupBy("event_type_id").agg(F.count(F.lit(1)).alias("n"))
+            d = g if who == "counts" else batch.select("event_type_id", "user_id").distinct()
+            d.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        source = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+        streams.consume(source, _named(out), handle, available_now=True).awaitTermination()
+    counts = spark.read.parquet(outs["counts"]).groupBy("event_type_id").agg(
+        F.sum("n").alias("n"))
+    users = spark.read.parquet(outs["users"]).groupBy("event_type_id").agg(
+        F.countDistinct("user_id").alias("n"))
+    return counts.withColumn("consumer", F.lit("counts")).unionByName(
+        users.withColumn("consumer", F.lit("users")))
 
 
 SESSION_SQL = """
@@ -119,13 +177,32 @@ SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id FROM (
   SELECT id FROM c_events ORDER BY id DESC LIMIT 1000) x"""))
 def q_log_trim(spark, sf_dir):
     log = streams.log_from_events(_t(spark, sf_dir).events)
-    return streams.log_info(streams.log_trim(log, 1000))
-
-
-@register("log_info", sql(
-    "SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id FROM c_events"))
+    return streams.log_info(streams.log_trim(log, 1000)).select("length", "first_id", "last_id")
+
+
+@register("log_trim_repeats", sql("""
+SELECT id, user_id FROM (
+  SELECT o_custkey AS id, o_orderkey AS user_id, row_number() OVER (
+    ORDER BY o_custkey DESC, '{"order":"' || CAST(o_orderkey AS VARCHAR) || '"}' DESC) AS k
+  FROM orders) x WHERE k <= 777"""))
+def q_log_trim_repeats(spark, sf_dir):
+    """Exact trim (T11) of a log whose ids repeat, at the cut too."""
+    log = read_driver(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"),
+        F.create_map(F.lit("order"), F.col("o_orderkey").cast("string")).alias("fields"))
+    return streams.log_trim(log, 777).select(
+        "id", F.col("fields")["order"].cast("long").alias("user_id"))
+
+
+@register("log_info", sql("""
+SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id,
+       CAST(arg_min(user_id, id) AS VARCHAR) AS first_user,
+       CAST(arg_max(user_id, id) AS VARCHAR) AS last_user FROM c_events"""))
 def q_log_info(spark, sf_dir):
-    return streams.log_info(streams.log_from_events(_t(spark, sf_dir).events))
+    """Length, first and last entry with a field of each."""
+    return streams.log_info(streams.log_from_events(_t(spark, sf_dir).events)).select(
+        "length", "first_id", "last_id", F.col("first_fields")["user_id"].alias("first_user"),
+        F.col("last_fields")["user_id"].alias("last_user"))
 
 
 @register("log_delete", sql(
@@ -139,94 +216,97 @@ def q_log_delete(spark, sf_dir):
     return streams.log_delete(log, ids).select("id")
 
 
-def _events_in_time_order(spark, sf_dir, slices: int = 4) -> str:
-    """Write the canonical events as ``slices`` files, oldest slice first, so a
-    file stream receives them in event-time order."""
+def _events_in_time_order(spark, sf_dir, slices: int = 4) -> tuple[str, int]:
+    """Write the canonical events as ``slices`` time ranges, oldest first, and a
+    marker event (user -1, type 0) a year after the data, which moves the
+    watermark past every real window and session; its own stay open, so it is
+    never output. Files of one range arrive in any order: returns the folder
+    and the longest range in seconds, the delay that the watermark must allow."""
     path = scratch_path(spark, "events-ordered")
     ev = _t(spark, sf_dir).events
     secs = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    cuts = ev.select(secs.alias("s")).approxQuantile("s", [i / slices for i in range(1, slices)],
-                                                     0.0)
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = ev
-        if lo is not None:
-            part = part.filter(secs >= F.lit(int(lo)))
-        if hi is not None:
-            part = part.filter(secs < F.lit(int(hi)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    span = ev.agg(F.min(secs).alias("a"), F.max(secs).alias("b")).first()
+    step = (span.b - span.a) // slices + 1 if span.a is not None else 1
+    for k in range(slices if span.a is not None else 0):
+        lo = span.a + k * step
+        ev.filter((secs >= F.lit(lo)) & (secs < F.lit(lo + step))).write.mode("append").parquet(
+            path)
+    (ev.agg(F.max("timestamp").alias("m"))
+     .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
+             F.lit(0).alias("event_type_id"), F.lit('{"page":"end"}').alias("metadata"),
+             (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
+     .write.mode("append").parquet(path))
+    return path, step // 1_000_000 + 1
+
+
+def _run_ordered(spark, sf_dir, make, name: str):
+    """``make(stream, watermark)`` run to completion in append mode."""
+    src, delay = _events_in_time_order(spark, sf_dir)
+    out = scratch_path(spark, name)
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=2)
+    streams.append_stream(make(stream, f"{delay} seconds"), out, _named(out),
+                          available_now=True).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @register("stream_sessions", ORACLES["inactivity_sessions"])
 def q_stream_sessions(spark, sf_dir):
     """Live sessions by 30 minutes of inactivity (T6) on a stream that
-    arrives in time order, append mode. A final heartbeat file (one marker
-    event of user -1, a year after the data) moves the watermark past every
-    real session so all of them are emitted; the marker's own session is
-    still open and never output."""
-    src = _events_in_time_order(spark, sf_dir)
-    _heartbeat(spark, sf_dir, src)
-    out = scratch_path(spark, "stream-sessions")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    sess = streams.inactivity_sessions(stream, "30 minutes", watermark="30 minutes")
-    streams.append_stream(sess, out, os.path.basename(out), available_now=True).awaitTermination()
-    return spark.read.parquet(out)
+    arrives in time order, append mode."""
+    return _run_ordered(spark, sf_dir, lambda s, w: streams.inactivity_sessions(
+        s, "30 minutes", watermark=w), "stream-sessions")
 
 
-def _heartbeat(spark, sf_dir, src: str) -> None:
-    """Append one marker event (user -1, type 0) a year after the data: it
-    moves the watermark past every real window or session, and its own
-    window stays open, so it is never output."""
-    ev = _t(spark, sf_dir).events
-    (ev.agg(F.max("timestamp").alias("m"))
-     .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
-             F.lit(0).alias("event_type_id"), F.lit(None).cast("string").alias("metadata"),
-             (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
-     .write.mode("append").parquet(src))
+@register("stream_rollup", sql("""
+SELECT t.name AS event_type, date_trunc('hour', e."timestamp") AS hour_bucket,
+       count(*) AS total_count, count(DISTINCT e.user_id) AS unique_users
+FROM c_events e JOIN c_event_types t ON e.event_type_id = t.id GROUP BY 1, 2"""))
+def q_stream_rollup(spark, sf_dir):
+    """Incremental hourly rollup (T4): per-(hour, type, user) state, then per
+    (hour, type), every hour output once."""
+    rows = _run_ordered(spark, sf_dir, streams.windowed_type_counts, "stream-rollup")
+    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
+        "event_type", F.col("window_start").alias("hour_bucket"), "total_count", "unique_users")
 
 
-@register("stream_rollup_bounded", ORACLES["stream_rollup"])
-def q_stream_rollup_bounded(spark, sf_dir):
-    """Bounded-state incremental rollup (T4): per-(hour, type, user) state,
-    then per (hour, type), append mode; time-ordered input closed by a
-    heartbeat event so every hour is emitted exactly once."""
-    src = _events_in_time_order(spark, sf_dir)
-    _heartbeat(spark, sf_dir, src)
-    out = scratch_path(spark, "stream-bounded")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    agg = streams.windowed_type_counts_bounded(stream, "1 hour").select(
-        F.date_trunc("hour", "wt").cast("timestamp_ntz").alias("hour_bucket"),
-        "event_type_id", "total_count", "unique_users")
-    streams.append_stream(agg, out, os.path.basename(out), available_now=True).awaitTermination()
-    rows = spark.read.parquet(out)
-    return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
-        "event_type", "hour_bucket", "total_count", "unique_users")
+@register("stream_rollup_pages", sql("""
+SELECT coalesce(json_extract_string(metadata, '$.page'), 'unknown') AS page,
+       date_trunc('hour', "timestamp") AS hour_bucket, count(*) AS page_count
+FROM c_events WHERE list_contains(json_keys(metadata), 'page') GROUP BY 1, 2"""))
+def q_stream_rollup_pages(spark, sf_dir):
+    """Page half of the incremental rollup (T4 for A7)."""
+    rows = _run_ordered(spark, sf_dir, streams.windowed_page_counts, "stream-pages")
+    return rows.select("page", F.col("window_start").alias("hour_bucket"), "page_count")
 
 
-@register("stream_live_metrics", sql("""
+_SLIDING = """(
+  SELECT time_bucket(INTERVAL 30 MINUTE, "timestamp") - k * INTERVAL 30 MINUTE AS ws,
+         user_id, event_type_id
+  FROM c_events, (VALUES (0), (1)) v(k)) w"""
+
+
+@register("stream_live_metrics", sql(f"""
 SELECT w.ws AS window_start, t.name AS event_type, count(*) AS total_count,
        count(DISTINCT w.user_id) AS unique_users
-FROM (
-  SELECT time_bucket(INTERVAL 30 MINUTE, "timestamp") AS ws, user_id, event_type_id
-  FROM c_events
-  UNION ALL
-  SELECT time_bucket(INTERVAL 30 MINUTE, "timestamp") - INTERVAL 30 MINUTE, user_id,
-         event_type_id
-  FROM c_events) w
-JOIN c_event_types t ON w.event_type_id = t.id
-GROUP BY 1, 2"""))
+FROM {_SLIDING} JOIN c_event_types t ON w.event_type_id = t.id GROUP BY 1, 2"""))
 def q_stream_live_metrics(spark, sf_dir):
-    """Live per-type metrics on sliding windows (T5): one-hour windows every
-    30 minutes, update mode, upserted by (window, type)."""
-    src = _events_as_files(spark, sf_dir)
-    out = scratch_path(spark, "stream-live")
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    agg = streams.windowed_type_counts(stream, STREAM_WATERMARK, "1 hour", "30 minutes").select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type_id",
-        "total_count", "unique_users")
-    q = streams.upsert_stream(agg, out, os.path.basename(out), available_now=True)
-    q.awaitTermination()
-    rows = streams.latest_rows(spark, out, ["window_start", "event_type_id"])
+    """Live per-type metrics on sliding windows (T5): one hour every 30 minutes."""
+    rows = _run_ordered(spark, sf_dir, lambda s, w: streams.windowed_type_counts(
+        s, w, "1 hour", "30 minutes"), "stream-live")
     return reads.with_type_name(rows, _t(spark, sf_dir).event_types).select(
         "window_start", "event_type", "total_count", "unique_users")
+
+
+@register("stream_live_totals", sql(f"""
+SELECT ws AS window_start, count(*) AS total_events, count(DISTINCT user_id) AS unique_users
+FROM {_SLIDING} GROUP BY 1"""))
+def q_stream_live_totals(spark, sf_dir):
+    """Events and distinct users of every sliding window, all types (T5)."""
+    return _run_ordered(spark, sf_dir, lambda s, w: streams.windowed_totals(
+        s, w, "1 hour", "30 minutes"), "stream-totals")
+
+
+@register("stream_rollup_bounded", ORACLES["stream_rollup"])
+def q_stream_rollup_bounded(spark, sf_dir):
+    """The incremental rollup (T4) under its earlier name."""
+    return q_stream_rollup(spark, sf_dir)

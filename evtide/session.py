@@ -17,6 +17,35 @@ REQUIRED_CONF = {
 }
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """(name, size, time of change) of every file under ``path``: what a cache
+    of the table's contents depends on."""
+    fs, p = hadoop_path(spark, path)
+    out = []
+    if fs.exists(p):
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def build_session(master: str | None = None, app_name: str = "evtide",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -30,6 +59,8 @@ def build_session(master: str | None = None, app_name: str = "evtide",
         b = b.master(master)
     conf = dict(REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
+    # checkpoint files go when nothing refers to them any more
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -44,10 +75,11 @@ def build_session(master: str | None = None, app_name: str = "evtide",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared storage). Only when
-    it is unset -- local runs and tests -- a fresh scratch folder is created and
-    registered with the context (the setting itself cannot change at run
-    time), so lineage-cutting writes never land on an executor-local disk.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared storage). Where it
+    is unset, a local run (driver and executors in one process) gets a fresh
+    scratch folder, registered with the context since the setting itself cannot
+    change at run time; on a cluster that is an error, since each executor
+    would write to its own disk.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,6 +90,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="evtide-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -66,27 +101,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
-
-
-def recommended_conf(input_bytes: int, total_cores: int,
-                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Settings sized for a job reading ``input_bytes`` on ``total_cores``.
-
-    Shuffle partitions are sized so an uncompressed shuffle partition stays
-    near ``target_partition_bytes`` (never fewer than two per core); AQE then
-    coalesces small ones and splits skewed ones at run time. Scan splits are
-    kept at the same size so one task reads about one target partition.
-    For 100 TB on 1000 executors x 8 cores this gives 409,600 shuffle
-    partitions before coalescing.
-    """
-    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.session.timeZone": "UTC",
-    }
+    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"

@@ -21,12 +21,16 @@ Adapter rule (the same rule is written as SQL in ``evtide.plans.oracle``):
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evtide.functions.metadata import with_hot_columns
+from evtide.session import file_state, path_exists, scratch_path
+from evtide.sources import schemas
+from evtide.sources.sinks import write_table
+
 # Referrer list of the adapter, indexed by k % 5.
 REFERRERS = (
     "https://www.google.com/",
@@ -40,27 +44,15 @@ USERS_EPOCH = "2024-01-01 00:00:00"
 
 @dataclass(frozen=True)
 class Tables:
+    """``hot`` is ``events`` with the columns extracted from the metadata."""
     users: DataFrame
     event_types: DataFrame
     events: DataFrame
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a too-narrow input at least one partition per core.
-
-    A small table stored as one Parquet row group is read by a single task,
-    and every per-row step before the first shuffle (JSON building and
-    parsing) would then run on one core. Such an input is round-robin
-    repartitioned to the cluster's default parallelism; an input that already
-    has that many splits -- any large table -- is returned untouched, so no
-    shuffle is added at scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    hot: DataFrame | None = None
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def event_types_from(raw_events: DataFrame) -> DataFrame:
@@ -122,24 +114,13 @@ def canonical(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 _STORED: dict[tuple, Tables] = {}
+_PATHS: dict[tuple, str] = {}
 
 
 def _source_key(spark: SparkSession, sf_dir: str) -> tuple:
-    stats = []
-    for name in ("events", "customer"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        st = os.stat(p) if os.path.exists(p) else None
-        stats.append((name, st.st_size, st.st_mtime_ns) if st else (name,))
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(stats))
-
-
-def _still_there(t: Tables) -> bool:
-    """False when a local copy written earlier has been removed."""
-    for path in t.events.inputFiles()[:1]:
-        local = path[len("file:"):] if path.startswith("file:") else path
-        if local.startswith("/") and not os.path.exists(local):
-            return False
-    return True
+    return (spark.sparkContext.applicationId, sf_dir,
+            *[file_state(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+              for name in ("events", "customer")])
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Tables:
@@ -148,26 +129,39 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
     The load job (W14/W15) runs the adapter once and stores the tables under
     the shared ``spark.checkpoint.dir``: events range-partitioned and sorted by
     time (Parquet min/max statistics then skip row groups for time-range
-    predicates), the dimensions as small tables. Every later query reads
+    predicates) with the metadata's hot columns, the dimensions as small tables. Every later query reads
     these files, as queries read the event store in production, instead of
     re-deriving the rows.
     """
-    from evtide.session import scratch_path
     key = _source_key(spark, sf_dir)
-    if key in _STORED and not _still_there(_STORED[key]):
-        del _STORED[key]
-    if key not in _STORED:
+    if key not in _STORED or not path_exists(spark, f"{_PATHS[key]}/events"):
         t = canonical(spark, sf_dir)
         base = scratch_path(spark, "canonical")
         parts = max(spark.sparkContext.defaultParallelism,
                     int(spark.conf.get("spark.sql.shuffle.partitions")))
-        t.event_types.coalesce(1).write.parquet(os.path.join(base, "event_types"))
-        t.users.write.parquet(os.path.join(base, "users"))
-        (t.events.repartitionByRange(parts, "timestamp", "id")
-         .sortWithinPartitions("timestamp", "id")
-         .write.parquet(os.path.join(base, "events")))
+        write_table(t.event_types, f"{base}/event_types")
+        write_table(t.users, f"{base}/users")
+        ordered = t.events.repartitionByRange(parts, "timestamp", "id")
+        (with_hot_columns(ordered).sortWithinPartitions("timestamp", "id")
+         .write.parquet(f"{base}/events"))
+        hot = spark.read.parquet(f"{base}/events")
         _STORED[key] = Tables(
-            users=spark.read.parquet(os.path.join(base, "users")),
-            event_types=spark.read.parquet(os.path.join(base, "event_types")),
-            events=spark.read.parquet(os.path.join(base, "events")))
+            users=spark.read.parquet(f"{base}/users"),
+            event_types=spark.read.parquet(f"{base}/event_types"),
+            events=hot.select(*schemas.EVENTS.fieldNames()), hot=hot)
+        _PATHS[key] = base
     return _STORED[key]
+
+
+_SNAPSHOTS: dict[tuple, str] = {}
+
+
+def stored_snapshot(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """Base folder of the named snapshot of these tables, built on first use by
+    ``build(tables, base)``; later readers find the current version there."""
+    key = (name, *_source_key(spark, sf_dir))
+    if key not in _SNAPSHOTS or not path_exists(spark, _SNAPSHOTS[key]):
+        base = scratch_path(spark, name)
+        build(stored(spark, sf_dir), base)
+        _SNAPSHOTS[key] = base
+    return _SNAPSHOTS[key]

@@ -17,10 +17,3 @@ def csv_table(spark: SparkSession, path: str, schema, limit: int | None = None)
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """Ingest records from JSON lines (S10), batch form."""
     return spark.read.schema(schemas.INGEST_RECORD).json(path)
-
-
-def parquet_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(path)

@@ -34,11 +34,16 @@ METADATA = T.StructType([
     T.StructField("product_id", T.IntegerType(), True),
 ])
 
-# One ingest command (JSON record or stream row). ``metadata`` is raw JSON text.
+# Longest names of users and event types, in characters.
+USER_NAME_MAX = 100
+TYPE_NAME_MAX = 255
+
+# One ingest command (JSON record or stream row). ``metadata`` is raw JSON text,
+# ``timestamp`` RFC 3339 text, so that a bad time is told from a missing one.
 INGEST_RECORD = T.StructType([
     T.StructField("user_id", T.LongType(), True),
     T.StructField("event_type", T.StringType(), True),
-    T.StructField("timestamp", T.TimestampNTZType(), True),
+    T.StructField("timestamp", T.StringType(), True),
     T.StructField("metadata", T.StringType(), True),
 ])
 

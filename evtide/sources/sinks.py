@@ -1,22 +1,25 @@
 """Writers: partitioned appends, CSV exports, versioned snapshots.
 
 A mutation never overwrites the path it reads: each new table version goes to
-its own folder and a small pointer names the current one, so readers always
-see a complete version and a failed job leaves the old one in place.
+its own folder, complete once Spark has left its success mark there, and readers
+take the newest complete one. A failed job leaves the version before in place.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evtide.functions.metadata import with_hot_columns
 from evtide.functions.text import email_from_name
 from evtide.functions.timefn import rfc3339, utcnow
+from evtide.session import delete_path, hadoop_path, path_exists
+from evtide.sources import schemas
 
-POINTER = "_current"
+SUCCESS = "_SUCCESS"
 
 
 # ---------------------------------------------------------------- W14, W15
@@ -25,6 +28,17 @@ def with_event_date(events: DataFrame) -> DataFrame:
     return events.withColumn("event_date", F.to_date("timestamp"))
 
 
+def stored_form(events: DataFrame) -> DataFrame:
+    """Events as they are stored: with the metadata's hot columns, extracted
+    here once, and the day they are partitioned by."""
+    return with_event_date(with_hot_columns(events))
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """A day-partitioned events table in the canonical columns."""
+    return spark.read.parquet(path).select(*schemas.EVENTS.fieldNames())
+
+
 def append_events(events: DataFrame, path: str, max_records_per_file: int = 5_000_000,
                   num_partitions: int | None = None) -> None:
     """Bulk append of events partitioned by ``event_date``.
@@ -36,7 +50,7 @@ def append_events(events: DataFrame, path: str, max_records_per_file: int = 5_00
     Parquet min/max statistics then prune user and time predicates, the role
     the reference's user/time indexes play.
     """
-    e = with_event_date(events)
+    e = stored_form(events)
     n = num_partitions or int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (e.repartitionByRange(n, "event_date", "user_id", "timestamp")
      .sortWithinPartitions("event_date", "user_id", "timestamp")
@@ -83,28 +97,42 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
 
 
 # ---------------------------------------------------------------- W18
-def write_version(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as a new version under ``base`` and make it current.
-
-    The pointer is a one-line text table; it is replaced only after the data
-    is fully written, so readers switch versions atomically enough for a
-    snapshot that is rebuilt whole.
+def versions(spark: SparkSession, base: str) -> list[str]:
+    """Complete versions under ``base``, oldest first."""
+    fs, p = hadoop_path(spark, base)
+    if not fs.exists(p):
+        return []
+    names = sorted(f.getPath().getName() for f in fs.listStatus(p))
+    return [f"{base}/{n}" for n in names
+            if n.startswith("v=") and path_exists(spark, f"{base}/{n}/{SUCCESS}")]
+
+
+def write_version(df: DataFrame, base: str, partition_by: list[str] | None = None,
+                  keep: int = 2) -> str:
+    """Write ``df`` as a new version under ``base``, which makes it current.
+
+    A version is complete once Spark's success mark is in its folder, the last
+    thing a write does, so readers switch at one moment. Versions before the
+    last ``keep`` are removed; the one that running readers may still use stays.
     """
-    stamp = utcnow().strftime("%Y%m%dT%H%M%S")
-    path = os.path.join(base, f"v={stamp}-{uuid.uuid4().hex[:8]}")
+    base = base.rstrip("/")
+    stamp = utcnow().strftime("%Y%m%dT%H%M%S%f")
+    path = f"{base}/v={stamp}-{uuid.uuid4().hex[:8]}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    spark = df.sparkSession
-    (spark.createDataFrame([(path,)], "path string").coalesce(1)
-     .write.mode("overwrite").text(os.path.join(base, POINTER)))
+    for old in versions(df.sparkSession, base)[:-max(keep, 1)]:
+        delete_path(df.sparkSession, old)
     return path
 
 
 def current_version(spark: SparkSession, base: str) -> str:
-    """Path of the current version (reads the one-line pointer)."""
-    return spark.read.text(os.path.join(base, POINTER)).first()[0]
+    """Path of the newest complete version."""
+    found = versions(spark, base.rstrip("/"))
+    if not found:
+        raise FileNotFoundError(f"no complete version under {base}")
+    return found[-1]
 
 
 def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame:
@@ -115,47 +143,78 @@ def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- partition-scoped rewrite
+PENDING = "_pending_rewrite"
+
+
 def replace_partitions(new_rows: DataFrame, path: str, part_col: str, values: list) -> None:
     """Replace exactly the partitions ``values`` of the Parquet table at
     ``path`` with ``new_rows`` (which hold rows of those partitions only).
 
-    The new rows are checkpointed first (they are usually computed from the
-    very partitions being replaced, and a path is never overwritten while it is
-    read). Partitions that still have rows are swapped with a dynamic
-    partition overwrite; partitions left with no rows are emptied by a
-    static-partition ``INSERT OVERWRITE`` of an empty selection through a
-    temporary external table over ``path``. Untouched partitions are never
-    read or written.
+    The new rows are written beside the table first (they are usually computed
+    from the partitions being replaced), then a note of the rewrite: the staged
+    folder, the partitions that get rows and those left empty. From then on the
+    rewrite can only go forward: ``finish_rewrite`` swaps the partitions that
+    have rows by one dynamic partition overwrite, removes the empty ones and the
+    note, and does the same again if an earlier attempt broke off. Untouched
+    partitions are never read or written.
     """
     if not values:
         return
-    from evtide.session import checkpoint_dir
-    spark = new_rows.sparkSession
-    checkpoint_dir(spark)
-    staged = new_rows.checkpoint(eager=True)
-    present = {r[0] for r in staged.select(part_col).distinct().collect()}  # <= len(values)
-    if present:
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(part_col).parquet(path))
-    emptied = [v for v in values if v not in present]
-    if emptied:
-        _empty_partitions(spark, path, part_col, emptied, staged.schema)
-
-
-def _empty_partitions(spark: SparkSession, path: str, part_col: str, values: list,
-                      schema) -> None:
-    name = f"evtide_parts_{uuid.uuid4().hex[:12]}"
-    data = [f for f in schema.fields if f.name != part_col]
-    part = [f for f in schema.fields if f.name == part_col][0]
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data + [part])
-    spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet PARTITIONED BY (`{part_col}`) "
-              f"LOCATION '{path}'")
+    spark, path = new_rows.sparkSession, path.rstrip("/")
+    finish_rewrite(spark, path)
+    staged = f"{path}/_staged-{uuid.uuid4().hex[:12]}"
+    new_rows.write.partitionBy(part_col).parquet(staged)
+    fs, p = hadoop_path(spark, staged)
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    present = sorted(n for n in names if n.startswith(f"{part_col}="))
+    emptied = sorted({f"{part_col}={v}" for v in values} - set(present))
+    _write_note(spark, f"{path}/{PENDING}",
+                {"staged": staged, "part_col": part_col, "present": present, "emptied": emptied,
+                 "schema": new_rows.schema.json()})
+    finish_rewrite(spark, path)
+
+
+def finish_rewrite(spark: SparkSession, path: str) -> bool:
+    """Carry a noted rewrite of the table to its end; False if there is none.
+
+    Every step can be repeated, so writers call this before they start, after
+    any failure. Readers do not need it once it has returned.
+    """
+    path = path.rstrip("/")
+    note_path = f"{path}/{PENDING}"
+    if not path_exists(spark, note_path):
+        return False
+    note = json.loads(_read_note(spark, note_path))
+    if note["present"]:
+        from pyspark.sql.types import StructType
+        rows = (spark.read.schema(StructType.fromJson(json.loads(note["schema"])))
+                .parquet(note["staged"]))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(note["part_col"]).parquet(path))
+    for name in note["emptied"]:
+        delete_path(spark, f"{path}/{name}")
+    delete_path(spark, note_path)
+    delete_path(spark, note["staged"])
+    return True
+
+
+def _read_note(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop_path(spark, path)
+    f = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")
+    finally:
+        f.close()
+
+
+def _write_note(spark: SparkSession, path: str, note: dict) -> None:
+    """Write the note beside its place and rename it there, in one step."""
+    fs, tmp = hadoop_path(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    out = fs.create(tmp, True)
     try:
-        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-        empty = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in data)
-        for v in values:
-            lit = f"{part.dataType.simpleString().upper()}'{v}'"
-            spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (`{part_col}` = {lit}) "
-                      f"SELECT {empty} WHERE false")
+        out.write(bytearray(json.dumps(note).encode()))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        out.close()
+    _, target = hadoop_path(spark, path)
+    if not fs.rename(tmp, target):
+        raise OSError(f"could not write {path}")

@@ -9,17 +9,19 @@ instead of duplicating it.
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
-import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from evtide.functions.timefn import parse_ts, ts
+from evtide.functions.metadata import with_hot_columns
+from evtide.functions.timefn import parse_ts, ts, utcnow
 from evtide.operators import mutations, rollup
-from evtide.session import checkpoint_dir
+from evtide.operators.keyed import ordered_positions
+from evtide.session import checkpoint_dir, delete_path, hadoop_path, path_exists
 from evtide.sources import schemas, sinks
 
 log = logging.getLogger("evtide.streams")
@@ -27,7 +29,7 @@ log = logging.getLogger("evtide.streams")
 
 def query_checkpoint(spark: SparkSession, name: str) -> str:
     """One checkpoint folder per named query / consumer."""
-    return os.path.join(checkpoint_dir(spark), "streams", name)
+    return f"{checkpoint_dir(spark)}/streams/{name}"
 
 
 def _trigger(writer, available_now: bool, every: str | None):
@@ -55,47 +57,99 @@ def parquet_stream(spark: SparkSession, path: str, schema, max_files: int | None
     return r.parquet(path)
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def _write_batch(df: DataFrame, path: str, batch_id: int, part_col: str | None = None) -> None:
     # overwrite exactly this batch's folder: a replayed batch is idempotent
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-        os.path.join(path, f"batch_id={batch_id}"))
+    w = df.write.mode("overwrite")
+    if part_col:
+        w = w.partitionBy(part_col)
+    w.parquet(f"{path}/batch_id={batch_id}")
 
 
 # ---------------------------------------------------------------- T1
-def ingest_stream(records: DataFrame, users: DataFrame, event_types: DataFrame,
+def _batch_row(spark: SparkSession, path: str, batch_id: int, schema: str, make):
+    """One row kept per batch: the row an earlier attempt left, or a new one."""
+    own = f"{path}/batch_id={batch_id}"
+    if not path_exists(spark, f"{own}/{sinks.SUCCESS}"):
+        spark.createDataFrame([make()], schema).write.mode("overwrite").parquet(own)
+    return spark.read.schema(schema).parquet(own).first()
+
+
+def ingest_stream(records: DataFrame, load_users, load_types,
                   accepted_path: str, rejects_path: str, name: str = "ingest",
                   as_of=None, base_id: int = 0, available_now: bool = False,
                   every: str | None = None) -> StreamingQuery:
     """Continuous ingest (T1): each micro-batch runs the batch ingest (W1) as
     a stream-static join, then appends accepted events and rejects.
 
-    Ids continue after the largest id handed out by earlier batches (or
-    ``base_id``). That number comes from a one-row-per-batch log kept under
-    ``<accepted_path>/_id_log`` (hidden from readers of the sink), so finding
-    it never rescans the accepted events. A replayed batch rewrites its own
-    events, rejects and log row, so ids stay stable.
+    ``load_users()`` and ``load_types()`` are called for every batch, so users
+    and types added while the stream runs are known to the next batch. Ids
+    continue after the largest id handed out by the batch before (or
+    ``base_id``), kept in a one-row-per-batch log under
+    ``<accepted_path>/_id_log``; the time given to events without one is the
+    batch's own, noted before the batch is written. A replayed batch finds both
+    notes and rewrites its own rows, so ids and times stay as they were.
+    Accepted events are partitioned by day inside each batch's folder;
+    ``compact_batches`` moves closed batches into the events table.
     """
     spark = records.sparkSession
-    id_log = os.path.join(accepted_path, "_id_log")
+    id_log, times = f"{accepted_path}/_id_log", f"{accepted_path}/_times"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        try:
-            prev = (spark.read.parquet(id_log).filter(F.col("batch_id") < batch_id)
-                    .agg(F.max("max_id")).first()[0])
-        except AnalysisException:  # first batch: no log yet
-            prev = None
-        base = max(prev or 0, base_id)
-        out = mutations.ingest_events(batch, users, event_types, as_of=as_of, base_id=base)
+        base = base_id
+        if path_exists(spark, id_log):
+            row = (spark.read.schema("max_id long, batch_id int").parquet(id_log)
+                   .filter(F.col("batch_id") < batch_id).agg(F.max("max_id")).first()[0])
+            base = max(row or 0, base_id)
+        at = _batch_row(spark, times, batch_id, "at timestamp_ntz",
+                        lambda: (parse_ts(as_of) or utcnow(),)).at
+        out = mutations.ingest_events(batch, load_users(), load_types(), as_of=at, base_id=base)
         n = out.table.count()  # the accepted rows are checkpointed by id assignment
-        _write_batch(out.table, accepted_path, batch_id)
+        _write_batch(sinks.with_event_date(out.table), accepted_path, batch_id, "event_date")
         _write_batch(out.report, rejects_path, batch_id)
-        _write_batch(spark.createDataFrame([(base + n,)], "max_id long"), id_log, batch_id)
+        (spark.createDataFrame([(base + n,)], "max_id long").write.mode("overwrite")
+         .parquet(f"{id_log}/batch_id={batch_id}"))
 
     w = (records.writeStream.foreachBatch(run)
          .option("checkpointLocation", query_checkpoint(spark, name)))
     return _trigger(w, available_now, every).start()
 
 
+def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of a batch-keyed sink, all batches, in the columns of ``schema``."""
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
+    return spark.read.schema(full).parquet(path).select(*schema.fieldNames())
+
+
+def compact_batches(spark: SparkSession, accepted_path: str, table_path: str,
+                    up_to: int) -> int:
+    """Append the accepted batches up to number ``up_to`` to the day-partitioned
+    events table in large files, and remove them; returns how many there were.
+
+    Run by one job at a time, on batches that the stream has finished. If a run
+    broke off, the next one skips the ids that it had appended, which it looks
+    for in the days of these batches only.
+    """
+    fs, p = hadoop_path(spark, accepted_path)
+    found = []
+    for f in (fs.listStatus(p) if fs.exists(p) else []):
+        name = f.getPath().getName()
+        if name.startswith("batch_id=") and int(name.split("=")[1]) <= up_to:
+            found.append(name)
+    if not found:
+        return 0
+    rows = spark.read.option("basePath", accepted_path).parquet(
+        *[f"{accepted_path}/{n}" for n in found]).select(
+        *schemas.EVENTS.fieldNames())
+    if path_exists(spark, table_path):
+        lo, hi = rows.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+        there = spark.read.parquet(table_path).filter(F.col("event_date").between(lo, hi))
+        rows = rows.join(there.select("id"), "id", "left_anti")
+    sinks.append_events(rows, table_path)
+    for n in found:
+        delete_path(spark, f"{accepted_path}/{n}")
+    return len(found)
+
+
 # ---------------------------------------------------------------- T2, T3
 def refresh_rollup(events: DataFrame, event_types: DataFrame, base: str, as_of=None) -> str:
     """Full rebuild of the rollup snapshot into a new version."""
@@ -103,28 +157,30 @@ def refresh_rollup(events: DataFrame, event_types: DataFrame, base: str, as_of=N
     return sinks.write_version(snap, base, partition_by=["stat_type"])
 
 
-def scheduled_refresh(trigger_source: DataFrame, load_events, event_types: DataFrame,
-                      base: str, every: str = "60 minutes", name: str = "rollup_refresh",
+def scheduled_refresh(spark: SparkSession, load_events, load_types, base: str,
+                      every: str = "60 minutes", name: str = "rollup_refresh",
                       as_of=None, skip_first: bool = True) -> StreamingQuery:
-    """Hourly rebuild (T2): any stream (e.g. the raw event files) ticks a
-    ``processingTime`` trigger; each tick rebuilds the snapshot from the full
-    table returned by ``load_events()``.
+    """Hourly rebuild (T2): a clock stream ticks a ``processingTime`` trigger,
+    whether or not new events have arrived; each tick rebuilds the snapshot
+    from the full tables that ``load_events()`` and ``load_types()`` return.
 
-    Like the service's loop, the first (immediate) tick is skipped unless
-    ``skip_first=False``, and a failed rebuild is logged and leaves the
-    previous version current; the stream keeps ticking.
+    Like the service's loop, the first (immediate) tick after a start or
+    restart is skipped unless ``skip_first=False``, and a failed rebuild is
+    logged and leaves the previous version current; the stream keeps ticking.
     """
-    spark = trigger_source.sparkSession
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    waiting = [skip_first]
 
-    def run(_batch: DataFrame, batch_id: int) -> None:
-        if skip_first and batch_id == 0:
+    def run(_batch: DataFrame, _batch_id: int) -> None:
+        if waiting[0]:
+            waiting[0] = False
             return
         try:
-            refresh_rollup(load_events(), event_types, base, as_of=as_of)
+            refresh_rollup(load_events(), load_types(), base, as_of=as_of)
         except Exception:  # noqa: BLE001 - keep ticking, as the service does
             log.exception("rollup refresh failed; the previous snapshot stays current")
 
-    return (trigger_source.writeStream.foreachBatch(run)
+    return (clock.writeStream.foreachBatch(run)
             .option("checkpointLocation", query_checkpoint(spark, name))
             .trigger(processingTime=every).start())
 
@@ -139,34 +195,54 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn(EVENT_TIME, F.col("timestamp").cast("timestamp"))
 
 
+def _per_user(stream: DataFrame, watermark: str, window: str, slide: str | None,
+              *keys: str) -> DataFrame:
+    """A row per (window, keys, user) with its events: what state holds."""
+    w = F.window(EVENT_TIME, window, slide) if slide else F.window(EVENT_TIME, window)
+    return (with_event_time(stream).withWatermark(EVENT_TIME, watermark)
+            .groupBy(w.alias("w"), *keys, "user_id").agg(F.count(F.lit(1)).alias("n")))
+
+
 def windowed_type_counts(stream: DataFrame, watermark: str = "1 hour",
                          window: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Per (window, type): count and exact distinct users (T4, T5).
+    """Per (window_start, type): count and exact distinct users (T4, T5).
 
-    Streaming ``count(DISTINCT)`` is not supported, so the distinct users of
-    an open window are kept as a set in state and sized on output; the
-    watermark bounds how long a window's state lives.
+    Two chained aggregations in append mode: first one row per (window, type,
+    user), then per (window, type) the sum and number of those rows. State
+    holds one small row per active user and open window, never a set of users;
+    a window is output once it is behind the watermark.
     """
-    w = F.window(EVENT_TIME, window, slide) if slide else F.window(EVENT_TIME, window)
-    return (with_event_time(stream).withWatermark(EVENT_TIME, watermark)
-            .groupBy(w.alias("w"), "event_type_id")
-            .agg(F.count(F.lit(1)).alias("total_count"),
-                 F.size(F.collect_set("user_id")).cast("long").alias("unique_users")))
+    per = _per_user(stream, watermark, window, slide, "event_type_id")
+    return _with_start(per.groupBy(F.window_time("w").alias("wt"), "event_type_id").agg(
+        F.sum("n").alias("total_count"), F.count(F.lit(1)).alias("unique_users")), window)
 
 
-def windowed_type_counts_bounded(stream: DataFrame, watermark: str = "1 hour",
-                                 window: str = "1 hour") -> DataFrame:
-    """Bounded-state form of T4: two chained aggregations in append mode.
+def windowed_totals(stream: DataFrame, watermark: str = "1 hour", window: str = "1 hour",
+                    slide: str | None = None) -> DataFrame:
+    """Per window_start: all events and their distinct users (T5)."""
+    per = _per_user(stream, watermark, window, slide)
+    return _with_start(per.groupBy(F.window_time("w").alias("wt")).agg(
+        F.sum("n").alias("total_events"), F.count(F.lit(1)).alias("unique_users")), window)
+
+
+def windowed_page_counts(stream: DataFrame, watermark: str = "1 hour",
+                         window: str = "1 hour") -> DataFrame:
+    """Per (window_start, page): events that have a page key (T4, the rollup's
+    page half); a JSON-null page is ``unknown``."""
+    ev = with_hot_columns(stream).filter(F.col("m_has_page"))
+    return (with_event_time(ev).withWatermark(EVENT_TIME, watermark)
+            .groupBy(F.window(EVENT_TIME, window).alias("w"),
+                     F.coalesce("m_page_text", F.lit("unknown")).alias("page"))
+            .agg(F.count(F.lit(1)).alias("page_count"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "page",
+                    "page_count"))
 
-    First one row per (window, type, user), then per (window, type) count of
-    those rows and sum of their event counts. State holds one row per active
-    user and window; output appears once a window is behind the watermark.
-    """
-    per_user = (with_event_time(stream).withWatermark(EVENT_TIME, watermark)
-                .groupBy(F.window(EVENT_TIME, window).alias("w"), "event_type_id", "user_id")
-                .agg(F.count(F.lit(1)).alias("n")))
-    return (per_user.groupBy(F.window_time("w").alias("wt"), "event_type_id")
-            .agg(F.sum("n").alias("total_count"), F.count(F.lit(1)).alias("unique_users")))
+
+def _with_start(agg: DataFrame, window: str) -> DataFrame:
+    # a window's time is its last microsecond
+    start = (F.col("wt") + F.expr("INTERVAL 1 MICROSECOND") - F.expr(f"INTERVAL {window}"))
+    return agg.select(start.cast("timestamp_ntz").alias("window_start"),
+                      *[c for c in agg.columns if c != "wt"])
 
 
 def upsert_stream(agg: DataFrame, path: str, name: str, available_now: bool = False,
@@ -191,16 +267,6 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in vals])
 
 
-def hourly_rollup_stream(events_stream: DataFrame, path: str, name: str,
-                         watermark: str = "1 hour", available_now: bool = False
-                         ) -> StreamingQuery:
-    """Incremental hourly type rollup (T4) into an upsert sink."""
-    agg = windowed_type_counts(events_stream, watermark).select(
-        F.col("w.start").cast("timestamp_ntz").alias("hour_bucket"), "event_type_id",
-        "total_count", "unique_users")
-    return upsert_stream(agg, path, name, available_now)
-
-
 # ---------------------------------------------------------------- T6
 def inactivity_sessions(events: DataFrame, gap: str = "30 minutes",
                         watermark: str | None = None) -> DataFrame:
@@ -221,10 +287,54 @@ def inactivity_sessions(events: DataFrame, gap: str = "30 minutes",
 
 
 # ---------------------------------------------------------------- T7
-def dedup_replays(stream: DataFrame, watermark: str, key: str = "id") -> DataFrame:
-    """Drop replayed rows with an id already seen within the watermark."""
-    return (with_event_time(stream).withWatermark(EVENT_TIME, watermark)
-            .dropDuplicatesWithinWatermark([key]).drop(EVENT_TIME))
+def dedup_replays(stream: DataFrame, path: str, late_path: str, name: str,
+                  delay_s: int, available_now: bool = False,
+                  every: str | None = None) -> StreamingQuery:
+    """Keep one event per id of a stream that delivers some twice.
+
+    Accepted events go to ``path`` by day. A batch's ids are compared with the
+    accepted events of the days that can still receive events: none older than
+    the newest time seen in earlier batches less ``delay_s``. Rows older than
+    that are neither accepted nor dropped but put aside in ``late_path``;
+    ``admit_late`` compares those with the whole table. A replayed batch
+    rewrites its own rows.
+    """
+    spark = stream.sparkSession
+    marks = f"{path}/_marks"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        newest = None
+        if path_exists(spark, marks):
+            newest = (spark.read.schema("newest timestamp_ntz, batch_id int").parquet(marks)
+                      .filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0])
+        cut = None if newest is None else newest - dt.timedelta(seconds=delay_s)
+        mark = _batch_row(spark, marks, batch_id, "newest timestamp_ntz",
+                          lambda: (batch.agg(F.max("timestamp")).first()[0],))
+        late = batch.filter(F.col("timestamp") < ts(cut)) if cut else batch.limit(0)
+        fresh = (batch.filter(F.col("timestamp") >= ts(cut)) if cut else batch
+                 ).dropDuplicates(["id"])
+        if cut is not None:
+            seen = (spark.read.schema(_ACCEPTED).parquet(path)
+                    .filter((F.col("batch_id") < batch_id)
+                            & (F.col("event_date") >= F.lit(cut.date()))))
+            fresh = fresh.join(seen.select("id"), "id", "left_anti")
+        log.debug("batch %s: newest %s", batch_id, mark.newest)
+        _write_batch(sinks.with_event_date(fresh), path, batch_id, "event_date")
+        _write_batch(late, late_path, batch_id)
+
+    w = (stream.writeStream.foreachBatch(run)
+         .option("checkpointLocation", query_checkpoint(spark, name)))
+    return _trigger(w, available_now, every).start()
+
+
+_ACCEPTED = T.StructType([*schemas.EVENTS.fields, T.StructField("batch_id", T.IntegerType()),
+                          T.StructField("event_date", T.DateType())])
+
+
+def admit_late(accepted: DataFrame, late: DataFrame) -> DataFrame:
+    """The accepted events plus the late ones whose id is not among them."""
+    new = late.dropDuplicates(["id"]).join(accepted.select("id"), "id", "left_anti")
+    return accepted.unionByName(new.select(*accepted.columns))
 
 
 def append_stream(df: DataFrame, path: str, name: str, available_now: bool = False,
@@ -272,26 +382,19 @@ def consume(source: DataFrame, name: str, handler, available_now: bool = False,
     return _trigger(w, available_now, every).start()
 
 
-TRIM_TOPK_MAX = 100_000
-
-
 def log_trim(log: DataFrame, maxlen: int) -> DataFrame:
-    """Keep the newest ``maxlen`` entries (T11), exactly.
+    """Keep the newest ``maxlen`` entries (T11), exactly, also where ids repeat
+    (entries of one id are ordered by their fields).
 
-    Up to ``TRIM_TOPK_MAX`` the cut id is the smallest id of a top-``maxlen``
-    and comes back as one scalar, so the result is a plain ``id >= cut``
-    filter that reaches the Parquet scan. Beyond it, entries get global
-    positions from range partitioning (newest first) and positions below
-    ``maxlen`` are kept; no task holds ``maxlen`` rows.
+    Entries get global positions from range partitioning, newest first, so no
+    task holds ``maxlen`` rows whatever it is.
     """
     if maxlen <= 0:
         return log.limit(0)
-    if maxlen > TRIM_TOPK_MAX:
-        from evtide.operators.keyed import ordered_positions
-        pos = ordered_positions(log, ["id"], col="_pos", descending=True)
-        return pos.filter(F.col("_pos") < maxlen).drop("_pos")
-    cut = log.select("id").orderBy(F.col("id").desc()).limit(maxlen).agg(F.min("id")).first()[0]
-    return log if cut is None else log.filter(F.col("id") >= F.lit(cut))
+    tie = F.to_json("fields") if "fields" in log.columns else F.lit("")
+    pos = ordered_positions(log.withColumn("_tie", tie), ["id", "_tie"], col="_pos",
+                            descending=True)
+    return pos.filter(F.col("_pos") < maxlen).drop("_pos", "_tie")
 
 
 def log_trim_approx(log: DataFrame, maxlen: int, accuracy: int = 10_000) -> DataFrame:
@@ -312,19 +415,12 @@ def log_trim_approx(log: DataFrame, maxlen: int, accuracy: int = 10_000) -> Data
 
 
 def log_info(log: DataFrame) -> DataFrame:
-    """Length, first and last entry id of the log."""
+    """Length and first and last entry (id and fields) of the log."""
     return log.agg(F.count(F.lit(1)).alias("length"), F.min("id").alias("first_id"),
-                   F.max("id").alias("last_id"))
+                   F.max("id").alias("last_id"), F.min_by("fields", "id").alias("first_fields"),
+                   F.max_by("fields", "id").alias("last_fields"))
 
 
 def log_delete(log: DataFrame, ids: DataFrame) -> DataFrame:
     """Delete entries by id."""
     return log.join(ids.select("id").distinct(), "id", "left_anti")
-
-
-def in_window(df: DataFrame, frm=None, to=None) -> DataFrame:
-    if frm is not None:
-        df = df.filter(F.col("timestamp") >= ts(parse_ts(frm)))
-    if to is not None:
-        df = df.filter(F.col("timestamp") <= ts(parse_ts(to)))
-    return df

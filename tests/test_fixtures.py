@@ -27,10 +27,10 @@ def ev(spark, rows):
 def test_ingest_resolves_defaults_and_rejects(spark, dims):
     users, types = dims
     recs = spark.createDataFrame([
-        (1, "test_event", T0, '{"action":"click","button":"submit"}'),
-        (1, "no_such_type", T0, None),
-        (999999, "click", T0, None),
-        (2, "view", None, None)], schemas.INGEST_RECORD)
+        (1, "test_event", "2024-01-10T12:00:00Z", '{"action":"click","button":"submit"}'),
+        (1, "no_such_type", "2024-01-10T12:00:00Z", None),
+        (999999, "click", "2024-01-10T12:00:00Z", None),
+        (2, "view", None, None), (2, "view", "soon", None)], schemas.INGEST_RECORD)
     out = mutations.ingest_events(recs, users, types, as_of=T0 + dt.timedelta(hours=1),
                                   base_id=10)
     acc = out.table.orderBy("seq").collect()
@@ -38,7 +38,8 @@ def test_ingest_resolves_defaults_and_rejects(spark, dims):
     assert sorted(r.id for r in acc) == [11, 12]
     assert acc[1].timestamp == T0 + dt.timedelta(hours=1)
     rej = {r.reason for r in out.report.collect()}
-    assert rej == {"unknown_event_type", "unknown_user"}
+    assert rej == {"unknown_event_type", "unknown_user", "invalid_timestamp"}
+    assert acc[0].timestamp == T0
 
 
 def test_update_missing_and_partial(spark, dims):
@@ -200,13 +201,14 @@ def test_streaming_rollup_equals_batch(spark, tmp_path, dims):
     rows = [(i, i % 3, 1 + i % 2, None, T0 + dt.timedelta(minutes=7 * i)) for i in range(60)]
     src = str(tmp_path / "src")
     ev(spark, rows).repartition(3).write.parquet(src)
+    ev(spark, [(-1, -1, 0, None, T0 + dt.timedelta(days=400))]).write.mode("append").parquet(src)
     out = str(tmp_path / "out")
-    q = streams.hourly_rollup_stream(
-        streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1), out,
-        name=f"t-{uuid.uuid4().hex}", watermark="10 days", available_now=True)
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in streams.latest_rows(spark, out, ["hour_bucket", "event_type_id"])
-                 .select("hour_bucket", "event_type_id", "total_count", "unique_users").collect())
+    counts = streams.windowed_type_counts(
+        streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1), "10 days")
+    streams.append_stream(counts, out, f"t-{uuid.uuid4().hex}", available_now=True
+                          ).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out)
+                 .select("window_start", "event_type_id", "total_count", "unique_users").collect())
     batch = metrics.hourly_summary(ev(spark, rows), types, None, None)
     want = sorted(tuple(r) for r in batch.select("hour_bucket", "event_type_id", "total_count",
                                                  "unique_users").collect())
@@ -273,3 +275,92 @@ def test_retention_in_place_drops_old_days(spark):
     assert days == [f"event_date={T0.date()}", later]
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [4, 5]
     assert sorted(os.listdir(os.path.join(path, later))) == before
+
+
+def test_broken_rewrite_is_carried_to_its_end(spark, monkeypatch):
+    """A failure after the overwrite, before the emptied days are gone."""
+    from evtide.session import scratch_path
+    from evtide.sources import sinks
+    day = dt.timedelta(days=1)
+    path = scratch_path(spark, "t-fault")
+    sinks.append_events(ev(spark, [(1, 1, 1, None, T0), (2, 1, 1, None, T0 + day),
+                                   (3, 2, 1, None, T0 + day)]), path)
+    real, calls = sinks.delete_path, []
+
+    def failing(spark_, p):
+        calls.append(p)
+        raise OSError("store unavailable")
+    monkeypatch.setattr(sinks, "delete_path", failing)
+    with pytest.raises(OSError):
+        mutations.delete_events_in_place(path, spark.createDataFrame([(1,), (3,)], "id long"))
+    assert calls
+    monkeypatch.setattr(sinks, "delete_path", real)
+    assert sinks.finish_rewrite(spark, path)
+    assert not sinks.finish_rewrite(spark, path)
+    assert [r.id for r in sinks.read_events(spark, path).collect()] == [2]
+
+
+def test_failure_before_the_note_changes_nothing(spark, monkeypatch):
+    from evtide.session import scratch_path
+    from evtide.sources import sinks
+    path = scratch_path(spark, "t-fault")
+    sinks.append_events(ev(spark, [(1, 1, 1, None, T0), (2, 1, 1, None, T0)]), path)
+
+    def failing(*_):
+        raise OSError("store unavailable")
+    monkeypatch.setattr(sinks, "_write_note", failing)
+    with pytest.raises(OSError):
+        mutations.delete_events_in_place(path, spark.createDataFrame([(1,)], "id long"))
+    monkeypatch.undo()
+    assert not sinks.finish_rewrite(spark, path)
+    assert sorted(r.id for r in sinks.read_events(spark, path).collect()) == [1, 2]
+
+
+def test_rename_claims_of_invalid_commands_do_not_count(spark, dims):
+    users, _ = dims
+    ren = spark.createDataFrame([(77, "fresh", 0), (1, "fresh", 1), (2, "fresh", 2),
+                                 (1, "fresh", 3), (3, "n" * 101, 4)],
+                                "id long, name string, seq long")
+    out = mutations.rename(users, ren, longest=100)
+    assert {r.seq: r.status for r in out.report.collect()} == {
+        0: "not_found", 1: "ok", 2: "name_exists", 3: "ok", 4: "name_too_long"}
+    assert {r.id: r.name for r in out.table.collect()}[1] == "fresh"
+
+
+def test_names_are_checked_on_creation(spark, dims):
+    users, _ = dims
+    batch = spark.createDataFrame([(0, None), (1, "x" * 300), (2, "new"), (3, None), (4, "new")],
+                                  "seq long, name string")
+    out = mutations.create_named(batch, users, base_id=3, longest=100)
+    assert {r.seq: r.status for r in out.report.collect()} == {
+        0: "missing_name", 1: "name_too_long", 2: "created", 3: "missing_name",
+        4: "duplicate_in_batch"}
+    assert [(r.id, r.name) for r in out.table.collect()] == [(4, "new")]
+
+
+def test_member_moved_twice_goes_to_the_first_target(spark):
+    s = spark.createDataFrame([("a", "m"), ("a", "n")], schemas.KEYED_SET)
+    moves = spark.createDataFrame([("a", "c", "m", 2), ("a", "b", "m", 1)],
+                                  "src string, dst string, member string, seq long")
+    assert sorted(map(tuple, keyed.set_move(s, moves).collect())) == [("a", "n"), ("b", "m")]
+
+
+def test_null_board_and_ends_of_ranges(spark):
+    rows = [(b, f"m{i}", float(i)) for b in (None, "x") for i in range(6)]
+    b = spark.createDataFrame(rows, "board string, member string, score double")
+    assert keyed.with_ranks(b).filter("board is null").count() == 6
+
+    def members(df):
+        return sorted((r.board or "", r.member, r["rank"]) for r in df.collect())
+    for start, stop, reverse in ((0, 2, False), (-2, -1, False), (-3, -2, True), (1, -2, False),
+                                 (1, -2, True), (-4, 3, False), (4, 9, True)):
+        want = []
+        for name in ("", "x"):
+            order = [f"m{i}" for i in range(6)][::-1 if reverse else 1]
+            lo = start if start >= 0 else 6 + start
+            hi = stop if stop >= 0 else 6 + stop
+            want += [(name, m, k) for k, m in enumerate(order) if lo <= k <= hi]
+        assert members(keyed.rank_range(b, start, stop, reverse)) == sorted(want)
+    left = keyed.remove_rank_range(b, 0, 3)
+    assert sorted((r.board or "", r.member) for r in left.collect()) == [
+        (n, m) for n in ("", "x") for m in ("m4", "m5")]

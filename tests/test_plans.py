@@ -41,14 +41,59 @@ def test_retention_prunes_day_partitions(spark):
     assert "PartitionFilters: [isnotnull(event_date), (event_date >= 2024-01-15)]" in p
 
 
-@pytest.mark.parametrize("name", ["leaderboard_rank", "global_rank", "list_range"])
+@pytest.mark.parametrize("name", ["page_analytics", "referrer_analytics", "product_analytics",
+                                  "sessions", "top_pages", "users_with_metrics", "stats_rollup"])
+def test_analytics_parse_no_json(spark, name):
+    p = plan(spark, name)
+    assert "json" not in p.lower() and "variant" not in p.lower()
+
+
+@pytest.mark.parametrize("name,column", [("page_analytics", "m_page"),
+                                         ("sessions", "m_session_id"),
+                                         ("product_analytics", "m_product_id")])
+def test_missing_fields_are_filtered_by_the_scan(spark, name, column):
+    assert f"IsNotNull({column})" in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["timeseries_hour", "realtime_metrics", "report_exact_users"])
+def test_metrics_scan_the_events_once(spark, name):
+    scans = [x for x in plan(spark, name).split("\n") if "FileScan" in x and "user_id" in x]
+    assert len(scans) == 1
+
+
+@pytest.mark.parametrize("name", ["leaderboard_rank", "leaderboard_middle", "list_range",
+                                  "list_last", "list_trim_sizes", "list_pop_rest"])
+def test_ranked_rows_are_not_shuffled_by_their_key(spark, name):
+    for line in plan(spark, name).split("\n"):
+        if "hashpartitioning" in line and "_pid" not in line:
+            # what is left is one row per run of a key, or the final count
+            assert "pos" not in line and "rank" not in line
+
+
+@pytest.mark.parametrize("name", ["leaderboard_range", "leaderboard_tail", "leaderboard_last",
+                                  "score_range"])
+def test_short_ranges_are_cut_before_the_shuffle(spark, name):
+    p = plan(spark, name)
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_retention_counts_only_old_days(spark):
+    from evtide.operators import mutations
+    from evtide.plans.q_mutations import _events_by_day
+    table = spark.read.parquet(_events_by_day(spark, SF))
+    old = table.filter("event_date <= DATE'2024-01-15'")
+    p = mutations.retention_scope(old, "2024-01-15 12:00:00")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in p
+
+
+@pytest.mark.parametrize("name", ["leaderboard_rank", "global_rank", "leaderboard_middle"])
 def test_ranks_use_no_window_over_a_whole_key(spark, name):
     p = plan(spark, name)
     assert "RangePartitioning" in p or "rangepartitioning" in p.lower() or "Scan ExistingRDD" in p
     for line in p.split("\n"):
         if line.strip().startswith(("+- Window ", "Window ")) or " Window [" in line:
             # the only windows allowed run over the per-(partition, key) run table
-            assert "_pid" in line, line
+            assert "_pid" in line or "_n" in line, line
 
 
 def test_rollup_aggregates_before_joining_names(spark):

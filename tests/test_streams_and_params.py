@@ -1,6 +1,7 @@
 """Streaming forms without a registered query, parameter rules, generator."""
 
 import datetime as dt
+import time
 import uuid
 
 import pytest
@@ -13,6 +14,7 @@ from evtide.sources import generate, schemas, sinks
 from evtide.streaming import streams
 
 T0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+RFC = "2024-01-10T15:00:00+03:00"     # T0 as a client may send it
 RUN = uuid.uuid4().hex  # checkpoint names must not collide with earlier runs
 
 
@@ -31,6 +33,11 @@ def test_parameter_rules():
         check_range("2024-01-02", "2024-01-01")
     check_range(None, "2024-01-01")
     assert floor_hour("2024-01-10 06:30:59") == dt.datetime(2024, 1, 10, 6)
+    # RFC 3339 parameters are UTC, with a zone or without
+    assert floor_hour("2024-01-10T06:30:00+05:30") == dt.datetime(2024, 1, 10, 1)
+    check_range("2024-01-10T06:30:00Z", "2024-01-10 06:30:01")
+    with pytest.raises(ValueError):
+        check_range("2024-01-10T06:30:00-01:00", dt.datetime(2024, 1, 10, 7, 0, 0))
     assert clamp_limit(None) == 100 and clamp_limit(5000) == 1000
     assert resolve_offset(None, 3, 10) == 20 and resolve_offset(5, 3, 10) == 5
     assert resolve_offset(None, 0, 10) == 0
@@ -38,17 +45,23 @@ def test_parameter_rules():
     assert to - frm == dt.timedelta(days=30) and tr == dt.datetime(2024, 2, 5, 10)
 
 
+def _end_marker(spark, src):
+    """An event long after all others, so that every window before it closes."""
+    spark.createDataFrame([(-1, -1, 0, '{"page":"end"}', T0 + dt.timedelta(days=400))],
+                          schemas.EVENTS).coalesce(1).write.mode("append").parquet(src)
+
+
 def test_sliding_windows_match_batch(spark, tmp_path):
     e = _events(spark)
     src = str(tmp_path / "src")
     e.repartition(2).write.parquet(src)
+    _end_marker(spark, src)
     stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    agg = streams.windowed_type_counts(stream, "30 days", "1 hour", "30 minutes").select(
-        F.col("w.start").alias("ws"), "event_type_id", "total_count", "unique_users")
+    agg = streams.windowed_type_counts(stream, "30 days", "1 hour", "30 minutes")
     out = str(tmp_path / "out")
-    streams.upsert_stream(agg, out, f"slide-{RUN}", available_now=True).awaitTermination()
-    got = {(r.ws, r.event_type_id): (r.total_count, r.unique_users)
-           for r in streams.latest_rows(spark, out, ["ws", "event_type_id"]).collect()}
+    streams.append_stream(agg, out, f"slide-{RUN}", available_now=True).awaitTermination()
+    got = {(r.window_start, r.event_type_id): (r.total_count, r.unique_users)
+           for r in spark.read.parquet(out).collect()}
     b = (streams.with_event_time(e)
          .groupBy(F.window(streams.EVENT_TIME, "1 hour", "30 minutes").alias("w"), "event_type_id")
          .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("u")))
@@ -56,6 +69,23 @@ def test_sliding_windows_match_batch(spark, tmp_path):
     assert got == want
 
 
+def test_page_rollup_stream_upserts(spark, tmp_path):
+    rows = [(i, 1, 1, ['{"page":"/a"}', '{"page":null}', '{}'][i % 3],
+             T0 + dt.timedelta(minutes=20 * i)) for i in range(30)]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    e = spark.createDataFrame(rows, schemas.EVENTS)
+    e.repartition(3).write.parquet(src)
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+    agg = streams.windowed_page_counts(stream, "30 days")
+    streams.upsert_stream(agg, out, f"pages-{RUN}", available_now=True).awaitTermination()
+    got = {(r.page, r.window_start): r.page_count
+           for r in streams.latest_rows(spark, out, ["page", "window_start"]).collect()}
+    from evtide.operators import rollup
+    want = {(r.page, r.hour_bucket): r.page_count
+            for r in rollup.page_rollup(e, as_of=T0).collect()}
+    assert got == want
+
+
 def test_stream_sessions_emit_closed_sessions(spark, tmp_path):
     rows = [(1, 1, 1, None, T0), (2, 1, 1, None, T0 + dt.timedelta(minutes=10)),
             (3, 1, 1, None, T0 + dt.timedelta(hours=2)),
@@ -96,20 +126,38 @@ def test_consumers_are_independent(spark, tmp_path):
 
 
 def test_scheduled_refresh_writes_versions(spark, tmp_path):
+    """The clock ticks without any new event; only the last versions are kept."""
     e = _events(spark)
-    src = str(tmp_path / "ticks")
-    e.limit(1).write.parquet(src)
     base = str(tmp_path / "rollup")
-    q = streams.scheduled_refresh(streams.parquet_stream(spark, src, schemas.EVENTS),
-                                  lambda: e, _types(spark), base, every="1 second",
-                                  name=f"refresh-{RUN}", as_of=T0 + dt.timedelta(days=1),
-                                  skip_first=False)
-    q.processAllAvailable()
+    q = streams.scheduled_refresh(spark, lambda: e, lambda: _types(spark), base,
+                                  every="1 second", name=f"refresh-{RUN}",
+                                  as_of=T0 + dt.timedelta(days=1))
+    seen = set()
+    for _ in range(240):
+        seen |= set(sinks.versions(spark, base))
+        if len(seen) >= 3:
+            break
+        time.sleep(0.25)
     q.stop()
+    assert len(seen) >= 3 and len(sinks.versions(spark, base)) <= 3
     snap = sinks.read_current(spark, base, schemas.ROLLUP)
     assert snap.filter("stat_type = 'event_type'").agg(F.sum("total_count")).first()[0] == 40
 
 
+def test_incomplete_versions_are_not_read(spark, tmp_path):
+    base = str(tmp_path / "v")
+    with pytest.raises(FileNotFoundError):
+        sinks.current_version(spark, base)
+    first = sinks.write_version(spark.range(3), base)
+    spark.range(9).write.parquet(f"{base}/v=99990101T000000000000-broken")
+    (tmp_path / "v" / "v=99990101T000000000000-broken" / "_SUCCESS").unlink()
+    assert sinks.current_version(spark, base) == first
+    for n in range(4, 8):
+        sinks.write_version(spark.range(n), base, keep=2)
+    assert sinks.read_current(spark, base).count() == 7
+    assert len(sinks.versions(spark, base)) == 2
+
+
 def test_generator_is_deterministic(spark):
     users = generate.users(spark, 5, T0).select((F.col("id") - 1).alias("idx"),
                                                 F.col("id").alias("user_id"))
@@ -137,9 +185,8 @@ def test_bounded_stream_rollup_emits_only_exact_closed_hours(spark, tmp_path):
         spark.createDataFrame(rows[part * 100:(part + 1) * 100], schemas.EVENTS).coalesce(1) \
             .write.mode("append").parquet(src)
     stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
-    agg = streams.windowed_type_counts_bounded(stream, "1 day").select(
-        F.date_trunc("hour", "wt").cast("timestamp_ntz").alias("hour_bucket"),
-        "event_type_id", "total_count", "unique_users")
+    agg = streams.windowed_type_counts(stream, "1 day").withColumnRenamed(
+        "window_start", "hour_bucket")
     out = str(tmp_path / "out")
     streams.append_stream(agg, out, f"bounded-{RUN}", available_now=True).awaitTermination()
     got = {(r.hour_bucket, r.event_type_id): (r.total_count, r.unique_users)
@@ -159,47 +206,119 @@ def test_stream_ingest_ids_continue_across_batches(spark, tmp_path):
     users = spark.createDataFrame([(i, f"u{i}", T0) for i in (1, 2)], schemas.USERS)
     src = str(tmp_path / "rec")
     for part in range(3):
-        spark.createDataFrame([(1, "click", T0, None), (2, "view", None, None), (9, "click", T0, None)],
+        spark.createDataFrame([(1, "click", RFC, None), (2, "view", None, None), (9, "click", RFC, None)],
                               schemas.INGEST_RECORD).coalesce(1).write.mode("append").json(src)
     acc, rej = scratch_path(spark, "acc"), scratch_path(spark, "rej")
-    streams.ingest_stream(streams.json_records(spark, src, max_files=1), users, _types(spark),
-                          acc, rej, name=f"ing-{RUN}", as_of=T0, base_id=100,
-                          available_now=True).awaitTermination()
-    ids = sorted(r.id for r in spark.read.parquet(acc).collect())
-    assert ids == list(range(101, 107))
+
+    def run():
+        streams.ingest_stream(streams.json_records(spark, src, max_files=1), lambda: users,
+                              lambda: _types(spark), acc, rej, name=f"ing-{RUN}", as_of=T0,
+                              base_id=100, available_now=True).awaitTermination()
+    run()
+    rows = streams.read_batches(spark, acc, schemas.EVENTS).collect()
+    assert sorted(r.id for r in rows) == list(range(101, 107))
+    assert {r.timestamp for r in rows} == {T0}
     assert spark.read.parquet(rej).count() == 3
+    # a user added while the stream is down, or up, is known to the next batch
+    users = users.union(spark.createDataFrame([(9, "u9", T0)], schemas.USERS))
+    spark.createDataFrame([(9, "click", RFC, None), (9, "view", "yesterday", None)],
+                          schemas.INGEST_RECORD).coalesce(1).write.mode("append").json(src)
+    run()
+    assert streams.read_batches(spark, acc, schemas.EVENTS).agg(F.max("id")).first()[0] == 107
+    assert sorted(r.reason for r in spark.read.parquet(rej).collect()) == [
+        "invalid_timestamp", "unknown_user", "unknown_user", "unknown_user"]
+    # closed batches move into the day table once, also if a run is repeated
+    table = scratch_path(spark, "days")
+    assert streams.compact_batches(spark, acc, table, 1) == 2
+    assert streams.compact_batches(spark, acc, table, 99) == 2
+    assert streams.compact_batches(spark, acc, table, 99) == 0
+    assert sorted(r.id for r in sinks.read_events(spark, table).collect()) == list(
+        range(101, 108))
+
+
+def test_dedup_puts_late_rows_aside(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    src, out, late = (str(tmp_path / n) for n in ("src", "out", "late"))
+    files = [[(1, 1, 1, None, T0), (2, 1, 1, None, T0), (1, 1, 1, None, T0)],
+             [(2, 1, 1, None, T0), (3, 1, 1, None, T0 + 5 * day)],
+             [(4, 1, 1, None, T0), (1, 1, 1, None, T0), (3, 1, 1, None, T0 + 5 * day)]]
+    for rows in files:
+        spark.createDataFrame(rows, schemas.EVENTS).coalesce(1).write.mode("append").parquet(src)
+        stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=1)
+        streams.dedup_replays(stream, out, late, f"dedup-{RUN}", 86400,
+                              available_now=True).awaitTermination()
+    kept = streams.read_batches(spark, out, schemas.EVENTS)
+    aside = streams.read_batches(spark, late, schemas.EVENTS)
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
+    assert sorted(r.id for r in aside.collect()) == [1, 4]
+    assert sorted(r.id for r in streams.admit_late(kept, aside).collect()) == [1, 2, 3, 4]
 
 
 def test_failed_refresh_keeps_ticking(spark, tmp_path):
-    src = str(tmp_path / "ticks")
-    _events(spark, 2).write.parquet(src)
     calls = []
 
     def broken():
         calls.append(1)
         raise RuntimeError("source unavailable")
 
-    q = streams.scheduled_refresh(streams.parquet_stream(spark, src, schemas.EVENTS), broken,
-                                  _types(spark), str(tmp_path / "rollup"), every="1 second",
+    q = streams.scheduled_refresh(spark, broken, lambda: _types(spark),
+                                  str(tmp_path / "rollup"), every="1 second",
                                   name=f"broken-{RUN}", skip_first=False)
-    q.processAllAvailable()
-    assert q.isActive and calls == [1]
+    for _ in range(240):
+        if len(calls) >= 2:
+            break
+        time.sleep(0.25)
+    assert q.isActive and len(calls) >= 2
     q.stop()
 
 
-def test_deep_pages_and_large_trims_use_positions(spark, monkeypatch):
+def test_deep_pages_and_trims_use_positions(spark):
     from evtide.operators import reads
     e = _events(spark, 60)
     full = [r.id for r in e.orderBy(F.col("timestamp").desc(), F.col("id").desc()).collect()]
     shallow = [r.id for r in reads.events_page(e, limit=7, offset=11).collect()]
-    monkeypatch.setattr(reads, "TOPK_MAX", 5)
-    deep = [r.id for r in reads.events_page(e, limit=7, offset=11).collect()]
+    deep = [r.id for r in reads.events_page(e, limit=7, offset=11, deep=True).collect()]
     tail = [r.id for r in reads.events_page(e, offset=50).collect()]
     assert shallow == deep == full[11:18]
     assert tail == full[50:]
     log = streams.log_from_events(e)
-    monkeypatch.setattr(streams, "TRIM_TOPK_MAX", 3)
     kept = sorted(r.id for r in streams.log_trim(log, 10).collect())
     assert kept == list(range(50, 60))
     approx = streams.log_trim_approx(log, 10).count()
     assert 8 <= approx <= 14
+    twice = spark.createDataFrame([(5, {"f": "a"}), (5, {"f": "b"}), (4, {"f": "c"})],
+                                  schemas.LOG)
+    kept = [(r.id, r.fields["f"]) for r in streams.log_trim(twice, 2).collect()]
+    assert sorted(kept) == [(5, "a"), (5, "b")]
+    assert [(r.id, r.fields["f"]) for r in streams.log_trim(twice, 1).collect()] == [(5, "b")]
+
+
+def test_rfc3339_text(spark):
+    from evtide.functions.timefn import rfc3339, utc_from_rfc3339
+    cases = {"2024-01-10T06:30:00Z": dt.datetime(2024, 1, 10, 6, 30),
+             "2024-01-10t06:30:00.5z": dt.datetime(2024, 1, 10, 6, 30, 0, 500000),
+             "2024-01-10 06:30:00+03:00": dt.datetime(2024, 1, 10, 3, 30),
+             "2024-01-10T06:30:00.123456789-00:30": dt.datetime(2024, 1, 10, 7, 0, 0, 123456),
+             "2024-01-10T06:30:00": None, "garbage": None, "": None, "2024-01-10": None,
+             "2024-13-10T06:30:00Z": None, "2024-01-10T25:30:00Z": None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.u for r in df.select("t", utc_from_rfc3339("t").alias("u")).collect()}
+    assert got == cases
+    out = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 10, 6, 30),), (dt.datetime(2024, 1, 10, 6, 30, 0, 5000),),
+         (dt.datetime(2024, 1, 10, 6, 30, 0, 7),)], "t timestamp_ntz").select(rfc3339("t"))
+    assert [r[0] for r in out.collect()] == [
+        "2024-01-10T06:30:00+00:00", "2024-01-10T06:30:00.005+00:00",
+        "2024-01-10T06:30:00.000007+00:00"]
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from evtide import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = SimpleNamespace(sparkContext=context,
+                           conf=SimpleNamespace(get=lambda name, default=None: default))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(fake)
