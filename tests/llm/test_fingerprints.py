@@ -93,3 +93,15 @@ def test_block_tables_find_all(spark):
 def test_main_path_runs_no_python(spark):
     plan = fi.edited_fingerprints(docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_counts_near_fingerprints(spark):
+    from evtide.llm.queries import QUERIES
+    got = QUERIES["op4_document_fingerprints"](spark, SF).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    assert len(got) == table(spark, SF, "documents").count()
+    for r in got:
+        want = (len({p for p in prints.values() if p != prints[r.doc_id]
+                     and (p ^ prints[r.doc_id]).bit_count() <= 3})
+                if r.doc_id % 50 == 0 else None)
+        assert r.n_near == want
