@@ -264,7 +264,10 @@ def _visits(queries: DataFrame, tree: Tree, dim: int, most: int, held: dict[int,
                          "leaves": leaves} for k, leaves in per.items()])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, there)],
                                           names=["q", "v", "there"])
-    return map_batches(queries.select("q", "v"), run,
+    # walks take long for their few rows: one stretch of queries to each core
+    spread = queries.select("q", "v").repartition(
+        queries.sparkSession.sparkContext.defaultParallelism, "q")
+    return map_batches(spread, run,
                        "q bigint, v array<double>, there array<struct<block:bigint,parts:bigint,"
                        "leaves:array<bigint>>>").select(
         "q", "v", F.explode("there").alias("t")).select("q", "v", "t.*")
