@@ -99,6 +99,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    """A new, unique path under the shared checkpoint folder, in the
+    application's own folder there, which goes when the application ends."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/evtide-{spark.sparkContext.applicationId}"
+    if base not in _OWN_FOLDERS:
+        fs, p = hadoop_path(spark, base)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _OWN_FOLDERS.add(base)
+    return f"{base}/{name}-{os.urandom(6).hex()}"
+
+
+_OWN_FOLDERS: set[str] = set()
