@@ -50,9 +50,11 @@ def append_events(events: DataFrame, path: str, max_records_per_file: int = 5_00
     Parquet min/max statistics then prune user and time predicates, the role
     the reference's user/time indexes play.
     """
-    e = stored_form(events)
+    e = with_event_date(events)
     n = num_partitions or int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (e.repartitionByRange(n, "event_date", "user_id", "timestamp")
+    # the range bounds are sampled from the input, so the JSON is parsed after them
+    ranged = e.repartitionByRange(n, "event_date", "user_id", "timestamp")
+    (with_hot_columns(ranged)
      .sortWithinPartitions("event_date", "user_id", "timestamp")
      .write.mode("append").partitionBy("event_date")
      .option("maxRecordsPerFile", max_records_per_file)
