@@ -55,18 +55,19 @@ def max_id(df: DataFrame, col: str = "id") -> int:
 
 
 # ---------------------------------------------------------------- W2
-def assign_ids(df: DataFrame, base: int, col: str = "id") -> DataFrame:
+def assign_ids(df: DataFrame, base: int, col: str = "id", stable: bool = False) -> DataFrame:
     """Dense new ids ``base+1 .. base+n`` (W2), BIGSERIAL-style.
 
     No global window: the batch is checkpointed (stable partitions even if an
     executor is lost), rows are counted per partition, the small per-partition
     count table (one row per partition) gets a running sum, and each row adds
     its position inside its partition, read from
-    ``monotonically_increasing_id`` (partition index in the upper bits).
+    ``monotonically_increasing_id`` (partition index in the upper bits). Pass
+    ``stable`` for rows filtered from a batch that is checkpointed already.
     """
     checkpoint_dir(df.sparkSession)
-    stable = df.checkpoint(eager=True)
-    tagged = stable.withColumn("_pid", F.spark_partition_id()).withColumn(
+    rows = df if stable else df.checkpoint(eager=True)
+    tagged = rows.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_pos", F.monotonically_increasing_id() - F.shiftleft(
             F.spark_partition_id().cast("long"), 33))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -89,14 +90,17 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
     (JSON text, nullable, kept as given). Type names resolve to ids through
     the dimension; a missing (or JSON null) timestamp becomes ``as_of``. Text
     timestamps are RFC 3339 and stored as UTC; text that isn't is rejected as
-    ``invalid_timestamp``, as are unknown users and types by their reasons. Returns accepted events (canonical
-    schema, new dense ids after ``base_id`` or after ``max(events.id)``) and
-    the rejects (the record plus ``reason``).
+    ``invalid_timestamp``, as are unknown users and types by their reasons.
+    Returns accepted events (canonical schema, new dense ids after ``base_id``
+    or after ``max(events.id)``) and the rejects (the record plus ``reason``).
+    The judged batch is checkpointed once; ids count its accepted rows.
     """
     as_of = parse_ts(as_of) or utcnow()
     if base_id is None:
         base_id = max_id(events) if events is not None else 0
-    recs = with_seq(records)
+    # numbered in the pass that is checkpointed below, so once and for all
+    recs = (records if "seq" in records.columns
+            else records.withColumn("seq", F.monotonically_increasing_id()))
     types = event_types.select(F.col("name").alias("event_type"),
                                F.col("id").alias("_type_id"))
     known_users = users.select(F.col("id").alias("user_id"),
@@ -112,13 +116,14 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
               .when(F.col("_user_ok").isNull(), F.lit("unknown_user"))
               .when(F.col("timestamp").isNotNull() & F.col("_at").isNull(),
                     F.lit("invalid_timestamp")))
-    j = j.withColumn("reason", reason)
+    checkpoint_dir(records.sparkSession)
+    j = j.withColumn("reason", reason).checkpoint(eager=True)
     rejects = j.filter(F.col("reason").isNotNull()).select(
         "seq", "user_id", "event_type", "timestamp", "metadata", "reason")
     ok = j.filter(F.col("reason").isNull()).select(
         "seq", "user_id", F.col("_type_id").alias("event_type_id"), "metadata",
         F.coalesce(F.col("_at"), ts(as_of)).alias("timestamp"))
-    accepted = assign_ids(ok, base_id).select(
+    accepted = assign_ids(ok, base_id, stable=True).select(
         "id", "user_id", "event_type_id", "metadata", "timestamp", "seq")
     return Outcome(accepted, rejects)
 
