@@ -60,6 +60,9 @@ def lost_hashes(docs: DataFrame, min_chars: int = MIN_CHARS,
     shared = (lines.groupBy("key")
               .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
               .where(F.col("n") >= min_docs).select("key", "keeper"))
+    # written, so that the join below shuffles both sides for itself and adaptive
+    # execution can split a line that a large share of all rows holds
+    shared = materialise(shared, "shared-lines")
     return (lines.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
             .groupBy(F.col("doc_id").alias("lost_doc"))
             .agg(F.collect_set("key").alias("lost")))
