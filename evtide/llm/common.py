@@ -36,6 +36,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Largest Arrow batch that a task hands to Python; whole texts count.
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES`` if it is larger:
+    a worker holds a batch's texts several times over."""
+    now = spark.conf.get(_BATCH_CONF).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so that tasks can
     import it wherever the driver was started."""
@@ -57,6 +70,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch per input batch."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
