@@ -127,7 +127,25 @@ def with_hot_columns(df, metadata: str = "metadata"):
     """
     if set(HOT_COLUMNS) <= set(df.columns):
         return df
-    m = with_typed_metadata(df, metadata, out="_m")
-    fields = [F.col(f"_m.{f.name}").alias(f"m_{f.name}") for f in METADATA.fields]
-    return m.select(*df.columns, has_key(metadata, "page").alias("m_has_page"),
-                    json_text(metadata, "page").alias("m_page_text"), *fields)
+    # in steps, so that the parsed value and the keys are computed once a row
+    parsed = df.select(*df.columns, variant(metadata).alias("_v"),
+                       F.json_object_keys(_c(metadata)).alias("_keys"))
+    typed = parsed.select("*", *[_field_type(F.col("_v"), f.name).alias(f"_t_{f.name}")
+                                 for f in METADATA.fields])
+    ok = F.col("_keys").isNotNull() & F.col("_v").isNotNull()   # an object, well formed
+    for f in STRING_FIELDS:
+        t = F.col(f"_t_{f}")
+        ok = ok & (t.isNull() | t.isin("STRING", "VOID"))
+    for f in INT_FIELDS:
+        t = F.col(f"_t_{f}")
+        fits = F.try_variant_get("_v", f"$.{f}", "int").isNotNull()
+        ok = ok & (t.isNull() | (t == "VOID") | ((t == "BIGINT") & fits))
+    fields = [F.when(F.col("_ok"), F.try_variant_get("_v", f"$.{f.name}",
+                                                     f.dataType.simpleString()))
+              .alias(f"m_{f.name}") for f in METADATA.fields]
+    # a text value is its own raw text; anything else is read from the JSON
+    text = (F.when(F.col("_t_page") == "STRING", F.try_variant_get("_v", "$.page", "string"))
+            .otherwise(json_text(metadata, "page")))
+    return typed.select("*", ok.alias("_ok")).select(
+        *df.columns, F.coalesce(F.array_contains("_keys", "page"), F.lit(False))
+        .alias("m_has_page"), text.alias("m_page_text"), *fields)

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from evtide.functions.metadata import has_key, json_text, metadata_issue, with_typed_metadata
+from evtide.functions.metadata import (
+    has_key, json_text, metadata_issue, with_hot_columns, with_typed_metadata,
+)
 
 
 def typed(spark, rows):
@@ -48,3 +50,18 @@ def test_validity_rule(spark):
         ('{"referrer":"https://ok","product_id":7}',), ('{}',)], "metadata string")
     got = (with_typed_metadata(df, out="m").select(metadata_issue("m").alias("r")).collect())
     assert [r.r for r in got] == ["invalid_referrer", "invalid_product_id", None, None]
+
+
+def test_hot_columns_equal_the_strict_view(spark):
+    rows = ['{"page":123}', '{"page":"a","product_id":"x"}', '{"product_id":1.0}', '{}',
+            '{"product_id":3000000000}', '[1]', '{"page":{"a":1}}', 'not json', None, '"text"',
+            '{"page":"a","zzz":1}', '{"page":null}', '{"product_id":5,"session_id":"s"}', 'null',
+            '{"page":"a","page":"b"}', '{"page":"a"} trailing', '{"page":[1, 2]}', '{"page":1.50}',
+            '{"page":"q\\"uo\\u00e9\\n","referrer":null,"product_id":null}', '', ' {"page":"b"} ',
+            '{"page":true,"session_id":"s"}', '{"referrer":"r","session_id":7}', '{"PAGE":"x"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, metadata string")
+    want = with_typed_metadata(df, out="m").select(
+        "id", has_key("metadata", "page"), json_text("metadata", "page"), "m.page", "m.referrer",
+        "m.session_id", "m.product_id").collect()
+    got = with_hot_columns(df).drop("metadata").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
