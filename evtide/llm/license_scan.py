@@ -1,21 +1,22 @@
 r"""License scan by an exact set-similarity join of text blocks and templates.
 
 Every text is lower-cased (A-Z) and cut into words. Exact phrases are found
-where their words stand in a row. For the join, each line of a text is cut into
-blocks of ``BLOCK_WORDS`` words, each starting half a block after the one
-before, so any passage of half a block lies whole in one of them. A block
-matches a template if it holds at least ``ceil(threshold * n)`` of the
-template's n distinct words. All matching pairs are found:
+where their words stand in a row. For the join, a block is any ``BLOCK_WORDS``
+consecutive words of the whole text, whatever lines they stand on, so a wrapped
+notice is no different from one on a single line. A block matches a template if
+it holds at least ``ceil(threshold * n)`` of the template's n distinct words.
+All matching pairs are found, first for the text as a whole:
 
 * the words of the templates are ordered by how many documents hold them,
   counted over the whole table, rarest first;
 * prefix filter: block and template must share a word among the first
   ``n - need + 1`` of the template; an inverted index over those words gives
   the pairs to look at (most texts hold none of them and are done);
-* length filter: a block must have ``need`` template words at all;
+* length filter: a text must have ``need`` template words at all;
 * positional filter: a shared word at place i of the template and j of the
-  block leaves at most ``1 + min(rest of template, rest of block)`` in common;
-* pairs that pass are counted exactly.
+  text leaves at most ``1 + min(rest of template, rest of text)`` in common;
+* for pairs that pass, the block slides over the places of the template's words
+  and its distinct words are counted exactly.
 
 The templates are a parameter of the job, a few hundred words held by every
 task; texts stay where they are read, and only the word counts (one row per
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -141,21 +142,47 @@ class Joiner:
                     out[k] = common / len(t.order)
         return out
 
-    def document(self, text: str, n_words: list[str],
+    def document(self, n_words: list[str],
                  size: int = BLOCK_WORDS) -> list[tuple[int, int, int, float]]:
-        """(first word, words, template, containment) of every matching block."""
+        """(first word, words, template, containment) of every matching passage:
+        overlapping blocks that match a template are one, and the first of
+        those that hold most is given, from its first template word to its last."""
         if self.prefix.isdisjoint(n_words):
             return []
-        out, at = [], 0
-        for line in lower(text).split("\n"):
-            words = _WORD.findall(line)
-            for k in range(0, max(1, len(words) - size // 2), max(1, size // 2)):
-                part = words[k:k + size]
-                if not self.prefix.isdisjoint(part):
-                    out += [(at + k, len(part), t, c)
-                            for t, c in self.block(frozenset(part)).items()]
-            at += len(words)
-        return out
+        near = self.block(frozenset(n_words))
+        if not near:
+            return []
+        wanted = frozenset().union(*(self.templates[k].order for k in near))
+        places = [(i, w) for i, w in enumerate(n_words) if w in wanted]
+        return sorted(m for k in near for m in self.slide(k, places, size))
+
+    def slide(self, k: int, places: list[tuple[int, str]], size: int):
+        """The passages of template ``k``: the block ends at each of its words."""
+        t = self.templates[k]
+        own = frozenset(t.order)
+        held: Counter[str] = Counter()
+        block: deque[tuple[int, str]] = deque()
+        best, until = None, -1
+        for i, w in places:
+            if w not in own:
+                continue
+            block.append((i, w))
+            held[w] += 1
+            while block[0][0] <= i - size:
+                _, old = block.popleft()
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+            if len(held) < t.need:
+                continue
+            if best and block[0][0] > until:
+                yield best
+                best = None
+            until = i
+            if not best or len(held) / len(t.order) > best[3]:
+                best = (block[0][0], i - block[0][0] + 1, k, len(held) / len(t.order))
+        if best:
+            yield best
 
 
 def phrase_places(words: list[str], phrases) -> list[tuple[int, str]]:
@@ -180,7 +207,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels (sorted, comma-joined), score (1 where a
     phrase stands, else the largest containment of a match, else 0) and blocks
-    (first word, words, label, containment of every match)."""
+    (first word, words, label, containment of every matching passage)."""
     joiner = Joiner(templates, threshold, word_counts(docs, templates))
     block = pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("label", pa.string()),
                        ("containment", pa.float64())])
@@ -194,7 +221,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = words_of(text)
             base = phrase_places(words, phrases)
-            found = joiner.document(text or "", words)
+            found = joiner.document(words)
             kinds = {label for _, label in base}
             more = kinds | {joiner.templates[t].label for _, _, t, _ in found}
             rows.append((doc_id, len(words), len(base),

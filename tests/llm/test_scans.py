@@ -141,3 +141,46 @@ def test_positional_and_prefix_filters_lose_nothing():
             want = {k for k, (_, t) in enumerate(templates)
                     if len(block & set(t.split())) >= threshold * len(t.split()) - 1e-9}
             assert set(joiner.block(block)) == want
+
+
+WRAPPED = {
+    "lgpl": "you can redistribute it and/or modify it under the terms of the GNU Lesser\n"
+            "General Public License as published by the Free Software Foundation",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n"
+           " * modification, are permitted provided that the following conditions\n * are met:",
+    "mit": "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of\n"
+           "# this software and associated\n# documentation files",
+    "mpl": "This Source Code Form is subject\r\nto the terms of the\r\nMozilla Public License",
+    "cc-by": "Licensed under a Creative Commons\nAttribution 4.0 International License",
+}
+
+
+def brute_passages(words, templates, size):
+    """Labels of all blocks of ``size`` words, at every word of the text."""
+    return {label for k in range(max(1, len(words) - size + 1)) for label, t in templates
+            if len(set(ls.words_of(t)) & set(words[k:k + size]))
+            >= ls.THRESHOLD * len(set(ls.words_of(t))) - 1e-9}
+
+
+def test_wrapped_notices_are_found(spark):
+    data = list(enumerate(WRAPPED.values()))
+    data += [(100 + i, "some words\n" * 70 + t + "\nmore of them" * 70) for i, t in data]
+    got = {r.doc_id: r for r in ls.scan_licenses(docs(spark, data)).collect()}
+    for i, label in enumerate(WRAPPED):
+        for r in (got[i], got[100 + i]):
+            assert label in r.labels.split(",")
+            assert [b.first_word // 140 for b in r.blocks if b.label == label] == [r.doc_id // 100]
+
+
+def test_blocks_at_every_word():
+    import random
+    rng = random.Random(5)
+    templates = [(str(k), " ".join(f"w{rng.randint(0, 40)}" for _ in range(12))) for k in range(9)]
+    joiner = ls.Joiner(templates, ls.THRESHOLD, {})
+    seen = 0
+    for _ in range(200):
+        words = [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 300))]
+        got = {joiner.templates[k].label for _, _, k, _ in joiner.document(words, 60)}
+        assert got == brute_passages(words, templates, 60)
+        seen += len(got)
+    assert seen > 50
