@@ -18,6 +18,12 @@ All matching pairs are found, first for the text as a whole:
 * for pairs that pass, the block slides over the places of the template's words
   and its distinct words are counted exactly.
 
+Sibling licenses differ in a word or two, so containment alone confuses them. A
+block must also hold the words that tell the template's license from others
+(``KEY_WORDS``), and where licenses of the template's family are named in it, the
+template's own must be among them (``license_names``): "CC BY-SA 4.0" is no
+cc-by, "GNU General Public License" no lgpl.
+
 The templates are a parameter of the job, a few hundred words held by every
 task; texts stay where they are read, and only the word counts (one row per
 template word and batch) are shuffled.
@@ -66,6 +72,35 @@ TEMPLATES = (
     ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
 )
+_CC = "Licensed under a Creative Commons Attribution-{} 4.0 International License"
+# Siblings of the above, in their short and long forms.
+SIBLINGS = (
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-nc", _CC.format("NonCommercial")),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", _CC.format("ShareAlike")),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nd", _CC.format("NoDerivatives")),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa", _CC.format("NonCommercial-ShareAlike")),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-nc-nd", _CC.format("NonCommercial-NoDerivatives")),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero "
+             "General Public License as published by the Free Software Foundation"),
+)
+# Words without which a passage is not the license whose template holds them.
+KEY_WORDS = frozenset(("mit", "apache", "mozilla"))
+# Words that make a Creative Commons or GNU license another one.
+_CC_MARKS = {("nc",): "nc", ("noncommercial",): "nc", ("non", "commercial"): "nc",
+             ("sa",): "sa", ("sharealike",): "sa", ("share", "alike"): "sa",
+             ("nd",): "nd", ("noderivatives",): "nd", ("noderivs",): "nd",
+             ("no", "derivatives"): "nd", ("no", "derivs"): "nd",
+             ("no", "derivative", "works"): "nd"}
+_GNU_MARKS = {"lesser": "lesser", "library": "lesser", "affero": "affero"}
+_GNU_SHORT = {"lgpl": "lesser", "agpl": "affero"}
+_NAMED = frozenset(("cc", "commons", "by", "attribution", "general", "gpl", *_GNU_SHORT))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -77,6 +112,37 @@ def lower(text: str) -> str:
     return text.encode().lower().decode()
 
 
+def license_names(words: list[str]) -> list[tuple[int, int, str, frozenset[str]]]:
+    """(first word, end, family, marks) of the Creative Commons and GNU licenses
+    named in a text: "CC BY-NC 4.0" is a cc with the mark nc."""
+    out, n = [], len(words)
+    if _NAMED.isdisjoint(words):
+        return out
+    i = 0
+    while i < n:
+        start, w = i, words[i]
+        i += 1
+        if w not in _NAMED:
+            continue
+        if w == "gpl" or (w == "general" and i < n and words[i] == "public"):
+            mark = _GNU_MARKS.get(words[start - 1]) if start else None
+            i += w == "general"
+            out.append((start - bool(mark), i, "gnu", frozenset([mark] if mark else [])))
+        elif w in _GNU_SHORT:
+            out.append((start, i, "gnu", frozenset([_GNU_SHORT[w]])))
+        elif w != "general":
+            plain = False
+            if w in ("cc", "commons") and i < n and words[i] in ("by", "attribution"):
+                plain, i = True, i + 1
+            marks = set()
+            while size := next((m for m in (1, 2, 3) if tuple(words[i:i + m]) in _CC_MARKS), 0):
+                marks.add(_CC_MARKS[tuple(words[i:i + size])])
+                i += size
+            if plain or marks:
+                out.append((start, i, "cc", frozenset(marks)))
+    return out
+
+
 def vocabulary(templates) -> frozenset[str]:
     return frozenset(w for _, t in templates for w in words_of(t))
 
@@ -105,6 +171,35 @@ class _Template:
     label: str
     order: tuple[str, ...]      # distinct words, rarest first
     need: int
+    keys: frozenset[str]        # words that a passage must hold
+    names: frozenset[tuple[str, frozenset[str]]]    # family and marks it names
+
+
+class Named:
+    """Whether blocks, in text order, name what a template names."""
+
+    def __init__(self, wanted, names):
+        families = {f for f, _ in wanted}
+        self.wanted = wanted
+        self.names = [n for n in names if n[2] in families]
+        self.first = self.end = 0
+        self.inside: Counter = Counter()
+
+    def fit(self, start: int, end: int) -> bool:
+        """Each license that the template names is named in the block, or it
+        has no marks and the block, from start to end, names none of its family.
+        A name that adjoins the block counts: "GNU" may end it before "Lesser GPL"."""
+        while self.end < len(self.names) and self.names[self.end][0] <= end:
+            self.inside[self.names[self.end][2:]] += 1
+            self.end += 1
+        while self.first < self.end and self.names[self.first][1] < start:
+            self.inside[self.names[self.first][2:]] -= 1
+            self.first += 1
+        for family, marks in self.wanted:
+            if not self.inside[family, marks] and (
+                    marks or any(n and f == family for (f, _), n in self.inside.items())):
+                return False
+        return True
 
 
 class Joiner:
@@ -120,7 +215,9 @@ class Joiner:
             need = max(1, math.ceil(threshold * len(order) - 1e-9))
             for i, w in enumerate(order[:len(order) - need + 1]):
                 self.index.setdefault(w, []).append((len(self.templates), i))
-            self.templates.append(_Template(label, order, need))
+            self.templates.append(_Template(
+                label, order, need, KEY_WORDS.intersection(order),
+                frozenset(n[2:] for n in license_names(words_of(text)))))
         self.prefix = frozenset(self.index)
         self.least = min(t.need for t in self.templates) if self.templates else 0
 
@@ -154,12 +251,14 @@ class Joiner:
             return []
         wanted = frozenset().union(*(self.templates[k].order for k in near))
         places = [(i, w) for i, w in enumerate(n_words) if w in wanted]
-        return sorted(m for k in near for m in self.slide(k, places, size))
+        names = (license_names(n_words) if any(self.templates[k].names for k in near) else [])
+        return sorted(m for k in near for m in self.slide(k, places, size, names))
 
-    def slide(self, k: int, places: list[tuple[int, str]], size: int):
+    def slide(self, k: int, places: list[tuple[int, str]], size: int, names):
         """The passages of template ``k``: the block ends at each of its words."""
         t = self.templates[k]
         own = frozenset(t.order)
+        named = Named(t.names, names)
         held: Counter[str] = Counter()
         block: deque[tuple[int, str]] = deque()
         best, until = None, -1
@@ -173,7 +272,9 @@ class Joiner:
                 held[old] -= 1
                 if not held[old]:
                     del held[old]
-            if len(held) < t.need:
+            if len(held) < t.need or not all(w in held for w in t.keys):
+                continue
+            if not named.fit(i - size + 1, i + 1):
                 continue
             if best and block[0][0] > until:
                 yield best
@@ -202,7 +303,7 @@ def phrase_places(words: list[str], phrases) -> list[tuple[int, str]]:
     return out
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES,
+def scan_licenses(docs: DataFrame, templates=TEMPLATES + SIBLINGS, phrases=PHRASES,
                   threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels (sorted, comma-joined), score (1 where a

@@ -184,3 +184,33 @@ def test_blocks_at_every_word():
         assert got == brute_passages(words, templates, 60)
         seen += len(got)
     assert seen > 50
+
+
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU {}General Public License as published by the Free Software Foundation")
+_CC = "licensed under a Creative Commons Attribution{} 4.0 International License"
+SIBLINGS = [
+    ("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+    ("Work by A. Uthor, licensed under CC BY-SA 4.0 by its owner. " * 2, "cc-by-sa"),
+    ("Licensed under CC BY 4.0, the data licensed under CC BY-ND 4.0", "cc-by,cc-by-nd"),
+    (_CC.format(""), "cc-by"), (_CC.format("-NonCommercial"), "cc-by-nc"),
+    (_CC.format("-Noncommercial-Share\nAlike"), "cc-by-nc-sa"),
+    (_CC.format("-ShareAlike"), "cc-by-sa"), (_CC.format("-NonCommercial-NoDerivatives"),
+                                              "cc-by-nc-nd"),
+    (_GNU.format(""), "gpl"), (_GNU.format("Lesser "), "gpl,lgpl"),
+    (_GNU.format("Affero "), "agpl,gpl"),
+    (_GNU.replace("General Public License", "GPL").format(""), "gpl"),
+    (_GNU.replace("General Public License", "GPL").format("Lesser "), "lgpl"),
+    ("Licensed under the Mozilla Public License, Version 2.0", ""),
+    ("Licensed under the Educational Community License, Version 2.0", ""),
+    ("Licensed under the Apache Software License, Version 2.0", "apache"),
+    ("This Source Code Form is subject to the terms of the Eclipse Public License", ""),
+]
+
+
+def test_sibling_licenses_keep_their_own_labels(spark):
+    data = [(i, t) for i, (t, _) in enumerate(SIBLINGS)]
+    got = {r.doc_id: r.labels for r in ls.scan_licenses(docs(spark, data)).collect()}
+    assert [(t, got[i]) for i, t in data] == SIBLINGS
