@@ -20,6 +20,7 @@ empty table gives no rows; columns other than doc_id and text aren't read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +41,16 @@ def key_hash(key: str) -> bytes:
     return hashlib.md5(key.encode(), usedforsecurity=False).digest()
 
 
-def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, doc_id): the distinct long line keys of every row, hashed."""
+def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS,
+                spare: Callable[[str], bool] | None = None) -> DataFrame:
+    """(key, doc_id): the distinct long line keys of every row, hashed, without
+    those that ``spare`` is true for."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys = [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found = {k for k in map(line_key, (text or "").split("\n")) if len(k) >= min_chars}
+            if spare:
+                found = {k for k in found if not spare(k)}
             keys += map(key_hash, found)
             ids += [doc_id] * len(found)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())],
@@ -53,10 +58,10 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "key binary, doc_id bigint")
 
 
-def lost_hashes(docs: DataFrame, min_chars: int = MIN_CHARS,
-                min_docs: int = MIN_DOCS) -> DataFrame:
+def lost_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+                spare: Callable[[str], bool] | None = None) -> DataFrame:
     """(lost_doc, lost): the key hashes whose lines each document loses."""
-    lines = materialise(line_hashes(docs, min_chars), "line-hashes")
+    lines = materialise(line_hashes(docs, min_chars, spare), "line-hashes")
     shared = (lines.groupBy("key")
               .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
               .where(F.col("n") >= min_docs).select("key", "keeper"))
@@ -81,9 +86,10 @@ def drop_lines(text: str | None, lost: set[bytes], min_chars: int) -> tuple[str,
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def with_lost(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def with_lost(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+              spare: Callable[[str], bool] | None = None) -> DataFrame:
     """``docs`` with the column ``__lost`` of hashes its lines lose (null: none)."""
-    lost = lost_hashes(docs, min_chars, min_docs)
+    lost = lost_hashes(docs, min_chars, min_docs, spare)
     return docs.join(lost.withColumnRenamed("lost", "__lost")
                      .withColumnRenamed("lost_doc", "__lost_doc"),
                      docs["doc_id"].eqNullSafe(F.col("__lost_doc")), "left").drop("__lost_doc")
@@ -104,9 +110,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
                        "doc_id bigint, n_lines bigint, n_dropped bigint, kept string")
 
 
-def rewrite_documents(docs: DataFrame, min_chars: int = MIN_CHARS,
-                      min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs``, every column, with the shared lines gone from the texts."""
+def rewrite_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+                      spare: Callable[[str], bool] | None = None) -> DataFrame:
+    """``docs``, every column, with the shared lines gone from the texts; lines
+    whose key ``spare`` is true for stay everywhere."""
     names = docs.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,4 +122,4 @@ def rewrite_documents(docs: DataFrame, min_chars: int = MIN_CHARS,
         changed = {i: drop_lines(text[i].as_py(), set(h), min_chars)[0]
                    for i, h in enumerate(lost) if h}
         return replace_text(b, names, changed)
-    return map_batches(with_lost(docs, min_chars, min_docs), run, docs.schema)
+    return map_batches(with_lost(docs, min_chars, min_docs, spare), run, docs.schema)

@@ -11,7 +11,9 @@ shuffled and a lost executor costs its tasks only.
 
 Defined results: a null or empty text has no spans. Rows are scanned whole and
 one by one, so repeated ids are no matter; an empty table gives no rows.
-Spans are in code points, the end exclusive, of the whole match.
+Spans are in code points, the end exclusive, of the whole match. A private key
+is its BEGIN banner and all up to the END banner; without an END, the base64
+lines that follow.
 """
 
 from __future__ import annotations
@@ -46,9 +48,23 @@ BASE_RULES = (
     # runs of 16 or more are the long ones among the leftmost [0-9a-f]+
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+_KEY = r"(?:[A-Z0-9]+\x20){0,3}PRIVATE\x20KEY(?:\x20BLOCK)?\x20?-{4,5}"
+# what stands between base64 lines: line ends, also escaped ones, quotes, comment signs
+_GAP = r"""(?:[\s>#*"',;|]|\\[nrt]?|\+(?=\s))++"""
+_PRIVATE_KEY = (
+    r"-{4,5}\x20?BEGIN\x20" + _KEY + "(?:"
+    # anything without banners, then END
+    r"[^-]*+(?:-(?!---[-\x20])[^-]*+)*+-{4,5}\x20?END\x20" + _KEY
+    # no END: header lines, full base64 lines, a last short one, a checksum
+    + r"|(?:(?:\r?\n|\\n)[\x20\t>#*|]*[A-Za-z][A-Za-z0-9-]*:(?:[^\r\n\\]|\\(?![nr]))*+){0,20}"
+    r"(?:" + _GAP + r"[A-Za-z0-9+/]{16,}+)+"
+    r"(?:={1,2}|" + _GAP + r"""[A-Za-z0-9+/]{1,15}={0,2}(?![^\s\\"',;]))?"""
+    r"(?:" + _GAP + r"""=[A-Za-z0-9+/]{4}(?![^\s\\"',;]))?"""
+    ")?")
+_BANNER = re.compile(r"-{4,5}\x20?(BEGIN|END)\x20" + _KEY, re.ASCII | re.IGNORECASE)
 # Public formats of well-known credentials.
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
@@ -59,6 +75,15 @@ RULES = BASE_RULES + EXTRA_RULES
 Span = tuple[str, int, int]
 
 
+def opens_or_ends_key(line: str) -> bool:
+    """Whether a private key begins in the line and ends in another, or the
+    other way round: without such a line the rest of the key can't be told."""
+    if "----" not in line or "private key" not in line.lower():
+        return False
+    banners = [m[1].lower() for m in _BANNER.finditer(line)]
+    return banners.count("begin") != banners.count("end")
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern, re.ASCII), query(r.pattern)) for r in rules]

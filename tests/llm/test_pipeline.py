@@ -60,3 +60,17 @@ def test_odd_and_empty_documents(spark):
             out = stage(spark, df, SF)
             n = out.count()
             assert n > 0 or not df.count()
+
+
+def test_private_keys_leave_no_trace(spark):
+    # with keys in many documents, their banners are shared lines
+    body = ["\n".join(f"MIIEpAIBAAKCAQEA{i}x{k}{'bQ+/zX9kLmN4' * 3}" for k in range(3))
+            for i in range(5)]
+    df = docs(spark, [(i, f"words of {i}\n-----BEGIN RSA PRIVATE KEY-----\n{b}\n"
+                          f"-----END RSA PRIVATE KEY-----\nend of {i}")
+                      for i, b in enumerate(body)])
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line_dedup", "secret_scan"):
+        df = materialise(stages[name](spark, df, SF), "test-keys")
+    assert {r.doc_id: r.text for r in df.collect()} == {
+        i: f"words of {i}\n<SECRET>\nend of {i}" for i in range(5)}

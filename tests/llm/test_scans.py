@@ -214,3 +214,46 @@ def test_sibling_licenses_keep_their_own_labels(spark):
     data = [(i, t) for i, (t, _) in enumerate(SIBLINGS)]
     got = {r.doc_id: r.labels for r in ls.scan_licenses(docs(spark, data)).collect()}
     assert [(t, got[i]) for i, t in data] == SIBLINGS
+
+
+_B64 = ["MIIEpAIBAAKCAQEA7" + "bQ+/zX9kLmN4" * 3 + f"{k}aZ" for k in range(4)] + ["Qw3rTy=="]
+_PEM = "-----BEGIN {0}-----\n{1}\n-----END {0}-----"
+KEYS = [
+    _PEM.format("RSA PRIVATE KEY", "\n".join(_B64)), _PEM.format("PRIVATE KEY", "\r\n".join(_B64)),
+    _PEM.format("ENCRYPTED PRIVATE KEY", "\n".join(_B64)),
+    _PEM.format("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n"
+                + "\n".join(_B64)),
+    _PEM.format("PGP PRIVATE KEY BLOCK", "Version: a-b -- c\n\n" + "\n".join(_B64) + "\n=aB3d"),
+    _PEM.format("EC PRIVATE KEY", "\n".join(_B64)).replace("\n", "\\n"),
+    _PEM.format("OPENSSH PRIVATE KEY", "\n".join(_B64)).replace("\n", " "),
+    "---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----\n" + "\n".join(_B64)
+    + "\n---- END SSH2 ENCRYPTED PRIVATE KEY ----",
+    # no END
+    "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(_B64),
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join(_B64),
+    "-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n" + "\n".join(_B64) + "\n=aB3d",
+    "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(_B64),
+]
+
+
+def test_private_keys_are_covered_whole(spark):
+    data = [(i, f"before it\n{k}\nAfter this, more.") for i, k in enumerate(KEYS)]
+    data += [(50, KEYS[8] + "\n" + KEYS[0] + " and " + KEYS[3] + "\nlast words here")]
+    data += [(51, "the banner -----BEGIN RSA PRIVATE KEY----- alone, no key")]
+    got = {r.doc_id: r for r in ss.scan_secrets(docs(spark, data)).collect()}
+    for i, k in enumerate(KEYS):
+        assert ("private_key", 10, 10 + len(k)) in [tuple(s) for s in got[i].spans]
+    text = {r.doc_id: r.text for r in ss.redact_documents(docs(spark, data)).collect()}
+    for i in range(len(KEYS)):
+        assert text[i] == "before it\n<SECRET>\nAfter this, more."
+    assert text[50] == "<SECRET>\n<SECRET> and <SECRET>\nlast words here"
+    assert text[51] == "the banner <SECRET> alone, no key"
+
+
+def test_many_unfinished_keys_take_linear_time():
+    import time
+    at = time.perf_counter()
+    for part in ("-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\nA: b\n" + "x" * 15,
+                 "-----BEGIN PRIVATE KEY-----" + "- a" * 50):
+        assert len(ss.Scanner(ss.EXTRA_RULES).scan([part * 20_000])[0]) == 20_000
+    assert time.perf_counter() - at < 20
