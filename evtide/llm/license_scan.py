@@ -3,7 +3,8 @@ r"""License scan by an exact set-similarity join of text blocks and templates.
 Every text is lower-cased (A-Z) and cut into words. Exact phrases are found
 where their words stand in a row. For the join, a block is any ``BLOCK_WORDS``
 consecutive words of the whole text, whatever lines they stand on, so a wrapped
-notice is no different from one on a single line. A block matches a template if
+notice is no different from one on a single line; for a template of more than
+half as many words, blocks are twice the template's length. A block matches a template if
 it holds at least ``ceil(threshold * n)`` of the template's n distinct words.
 All matching pairs are found, first for the text as a whole:
 
@@ -171,6 +172,7 @@ class _Template:
     label: str
     order: tuple[str, ...]      # distinct words, rarest first
     need: int
+    words: int                  # with repeats
     keys: frozenset[str]        # words that a passage must hold
     names: frozenset[tuple[str, frozenset[str]]]    # family and marks it names
 
@@ -216,7 +218,7 @@ class Joiner:
             for i, w in enumerate(order[:len(order) - need + 1]):
                 self.index.setdefault(w, []).append((len(self.templates), i))
             self.templates.append(_Template(
-                label, order, need, KEY_WORDS.intersection(order),
+                label, order, need, len(words_of(text)), KEY_WORDS.intersection(order),
                 frozenset(n[2:] for n in license_names(words_of(text)))))
         self.prefix = frozenset(self.index)
         self.least = min(t.need for t in self.templates) if self.templates else 0
@@ -257,6 +259,7 @@ class Joiner:
     def slide(self, k: int, places: list[tuple[int, str]], size: int, names):
         """The passages of template ``k``: the block ends at each of its words."""
         t = self.templates[k]
+        size = max(size, 2 * t.words)
         own = frozenset(t.order)
         named = Named(t.names, names)
         held: Counter[str] = Counter()

@@ -257,3 +257,15 @@ def test_many_unfinished_keys_take_linear_time():
                  "-----BEGIN PRIVATE KEY-----" + "- a" * 50):
         assert len(ss.Scanner(ss.EXTRA_RULES).scan([part * 20_000])[0]) == 20_000
     assert time.perf_counter() - at < 20
+
+
+def test_long_templates_match_at_any_place(spark):
+    long = " ".join(f"term{i}" for i in range(300))
+    eighty = " ".join(f"word{i}" for i in range(80))
+    templates = (("long", long), ("eighty", eighty))
+    data = [(i, "x " * i + long.replace(" ", "\n" if i % 2 else " ") + " y" * i)
+            for i in range(0, 200, 35)]
+    data += [(1000 + i, "x " * i + eighty + " y" * 50) for i in range(0, 200, 35)]
+    got = ls.scan_licenses(docs(spark, data), templates).collect()
+    assert {(r.doc_id, r.labels, r.score) for r in got} == {
+        (i, "long" if i < 1000 else "eighty", 1.0) for i, _ in data}
