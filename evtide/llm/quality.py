@@ -7,9 +7,9 @@ counts as the feature "repeated". A document is the average of its features'
 learned vectors (with ``REST`` null vectors, so a few words decide little), a
 softmax layer turns it into the probability of
 label 1. Vectors and layer are learned by plain stochastic gradient descent in
-numpy on a bounded sample of the labelled rows (``TRAIN_DOCS`` documents of at
-most ``TRAIN_BYTES`` bytes each, chosen by the hash of their id), whole texts,
-on the driver. Scoring runs where the texts are: averaging the vectors and
+numpy on a bounded sample of the labelled rows (whole texts in the order of a
+hash of their id, up to ``TRAIN_DOCS`` documents or until ``TRAIN_BYTES`` bytes
+are used, so long texts are in it in their share), on the driver. Scoring runs where the texts are: averaging the vectors and
 applying the layer equals averaging each bucket's share of the score margin,
 so a task holds one float a bucket.
 
@@ -22,6 +22,8 @@ from. Without a labelled row of both kinds, the score is the share of label 1
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,7 @@ WIDTH = 8
 GRAMS = (3, 4, 5)
 #: Bounds of the training sample.
 TRAIN_DOCS = 3000
-TRAIN_BYTES = 16_000
+TRAIN_BYTES = 48_000_000
 #: Gradient steps, one document each, in passes over the sample.
 STEPS = 10_000
 RATE = 0.5
@@ -72,17 +74,31 @@ _DOWN = _powers(_PIECE + 64, pow(int(_BASE), -1, 1 << 64))
 
 def features(raw: bytes) -> np.ndarray:
     """Bucket of every feature of a text's UTF-8 bytes, repeats included."""
+    return np.concatenate(list(_parts(raw)))
+
+
+def counted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's features and how often each occurs, without
+    holding all features of a long text at once."""
+    n = np.zeros(BUCKETS, np.int64)
+    for part in _parts(raw):
+        n += np.bincount(part, minlength=BUCKETS)
+    f = np.flatnonzero(n)
+    return f, n[f]
+
+
+def _parts(raw: bytes) -> Iterator[np.ndarray]:
     if len(raw) <= _PIECE - 2:
-        return _features(raw)
-    out, at = [], 0
+        yield _features(raw)
+        return
+    at = 0
     while at < len(raw):            # cut at white space where a piece has any
         end = min(at + _PIECE - 2, len(raw))
         if end < len(raw):
             k = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
             end = k if k > at else end
-        out.append(_features(raw[at:end]))
+        yield _features(raw[at:end])
         at = end
-    return np.concatenate(out)
 
 
 def _features(raw: bytes) -> np.ndarray:
@@ -146,7 +162,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS,
     bias = np.zeros(2, np.float32)
     seen = []
     for t in texts:
-        f, n = np.unique(features(t.encode()), return_counts=True)
+        f, n = counted(t.encode())
         seen.append((f.astype(np.int32), (n / (REST + n.sum())).astype(np.float32)))
     done = 0
     while done < steps:
@@ -178,21 +194,33 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame,
-                  limit: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """At most ``limit`` labelled texts outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS,
+                  budget: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+    """Labelled texts outside the held-out fold, at most ``limit``; the last is
+    the one that uses up the ``budget`` of bytes.
 
-    The labels are ordered by a hash of the id and cut before the texts are
-    joined to them, so what is broadcast and collected is bounded.
+    Labels meet the ids and lengths of the texts first, and the sample is taken
+    from what there is, by a hash of the id; only its texts are collected.
     """
-    some = (labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
-            .where(remainder() != 0)
-            .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    rows = (docs.select("doc_id", "text").where("text is not null")
-            .where(F.octet_length("text") <= TRAIN_BYTES)
-            .join(F.broadcast(some), "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit)
+    kinds = (labels.select("doc_id", "quality")
+             .where("doc_id is not null and quality is not null")
+             .where(remainder() != 0)
+             .groupBy("doc_id").agg(F.max("quality").alias("quality")))
+    sized = docs.select("doc_id", "text", F.octet_length("text").alias("bytes")).where(
+        "text is not null")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("bytes"))
+    found = (sized.drop("text").join(kinds, "doc_id").orderBy(*order).limit(limit)
+             .select("doc_id", "bytes", "quality"))
+    some, total = [], 0
+    for r in found.collect():
+        if total >= budget:
+            break
+        some.append(r)
+        total += r.bytes
+    chosen = docs.sparkSession.createDataFrame(list(dict.fromkeys(some)), found.schema)
+    # rows alike in id and length are as many as were chosen, so the bounds hold
+    rows = (sized.join(F.broadcast(chosen), ["doc_id", "bytes"])
+            .orderBy(*order, "text").limit(len(some))
             .select("text", "quality").toArrow())
     return rows.column(0).to_pylist(), [int(q) for q in rows.column(1).to_pylist()]
 

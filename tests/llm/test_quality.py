@@ -86,3 +86,41 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     texts, y = q.training_rows(df, labels, 20)
     assert len(texts) == len(y) == 20
     assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in texts)
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)],
+                                   "doc_id long, quality int, toxic int")
+    df = docs(spark, [(i, ("calm even prose " if i % 2 else "CLICK buy!! now ") * (1100 + i))
+                      for i in range(60)])
+    texts, y = q.training_rows(df, labels)
+    assert len(texts) == len(y) > 40 and min(map(len, texts)) > 16_000
+    got = {r.doc_id: r.score for r in q.classify(df, labels).collect()}
+    assert all((s > 0.5) == bool(i % 2) and s != 0.5 for i, s in got.items())
+
+
+def test_sample_is_taken_from_labelled_texts_in_order_of_a_hash(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4000)],
+                                   "doc_id long, quality int, toxic int")
+    data = [(i, f"text {i} " + "x" * (1000 if i % 3 else 30_000)) for i in range(0, 4000, 100)]
+    df = docs(spark, data + [(100, "text 100 again"), (None, "no id"), (200, None)])
+    # ids that are not in docs use nothing up
+    texts, y = q.training_rows(df, labels, 10)
+    assert len(texts) == len(y) == 10
+    every, _ = q.training_rows(df, labels, 100)
+    known = [t for i, t in data if zlib.crc32(str(i).encode()) % 5]
+    again = ["text 100 again"] if zlib.crc32(b"100") % 5 else []
+    assert sorted(every) == sorted(known + again)
+    for budget in (1, 20_000, 200_000):
+        part, y = q.training_rows(df, labels, 100, budget)
+        assert part == every[:len(part)] and len(y) == len(part)
+        assert sum(map(len, part[:-1])) < budget <= sum(map(len, part))
+
+
+def test_counts_of_a_long_text(monkeypatch):
+    text = LONG.encode()
+    for size in (q._PIECE, 5000):
+        monkeypatch.setattr(q, "_PIECE", size)
+        f, n = np.unique(q.features(text), return_counts=True)
+        assert (f == q.counted(text)[0]).all() and (n == q.counted(text)[1]).all()
+    assert not len(q.counted(b"")[0])
