@@ -5,11 +5,13 @@ space at both ends, with A-Z lower-cased. Keys of at least ``min_chars`` code
 points are exploded as (128-bit hash, document), the distinct documents of
 each hash are counted, and a key found in ``min_docs`` documents or more loses
 its lines everywhere but in the largest doc_id that holds it. The hashes each
-document loses go back to it and the other lines are joined by position.
+row loses go back to it and the other lines are joined by position.
 
 Scale: only hashes are shuffled for counting (pre-aggregated by (hash,
 document) and then by hash, so a line that every document holds is no hot
-group); the text moves once, to meet its document's hashes.
+group); the text moves once, to meet its row's hashes. Rows are written with a
+number first and hashes go back by that number, so a group holds no more than
+the lines of one row, however many rows have the same doc_id or none.
 
 Defined results: a null or empty text is one empty line. Rows with the same
 doc_id are one document for counting, each row is rewritten by itself. A null
@@ -30,6 +32,7 @@ from evtide.llm.common import ASCII_LOWER, ASCII_SPACE, map_batches, materialise
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+_ROW = "__row"
 
 
 def line_key(line: str) -> str:
@@ -41,26 +44,34 @@ def key_hash(key: str) -> bytes:
     return hashlib.md5(key.encode(), usedforsecurity=False).digest()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written, with a unique number of each row in ``__row``."""
+    return materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered-rows")
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS,
                 spare: Callable[[str], bool] | None = None) -> DataFrame:
-    """(key, doc_id): the distinct long line keys of every row, hashed, without
-    those that ``spare`` is true for."""
+    """(key, doc_id, __row): the distinct long line keys of every numbered row,
+    hashed, without those that ``spare`` is true for."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        ids, keys, rows = [], [], []
+        for doc_id, text, row in zip(*(c.to_pylist() for c in b.columns)):
             found = {k for k in map(line_key, (text or "").split("\n")) if len(k) >= min_chars}
             if spare:
                 found = {k for k in found if not spare(k)}
             keys += map(key_hash, found)
             ids += [doc_id] * len(found)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())],
-                                          names=["key", "doc_id"])
-    return map_batches(docs.select("doc_id", "text"), run, "key binary, doc_id bigint")
+            rows += [row] * len(found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())],
+            names=["key", "doc_id", _ROW])
+    return map_batches(docs.select("doc_id", "text", _ROW), run,
+                       f"key binary, doc_id bigint, {_ROW} bigint")
 
 
 def lost_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                 spare: Callable[[str], bool] | None = None) -> DataFrame:
-    """(lost_doc, lost): the key hashes whose lines each document loses."""
+    """(lost_row, lost): the key hashes whose lines each numbered row loses."""
     lines = materialise(line_hashes(docs, min_chars, spare), "line-hashes")
     shared = (lines.groupBy("key")
               .agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
@@ -69,7 +80,7 @@ def lost_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # execution can split a line that a large share of all rows holds
     shared = materialise(shared, "shared-lines")
     return (lines.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-            .groupBy(F.col("doc_id").alias("lost_doc"))
+            .groupBy(F.col(_ROW).alias("lost_row"))
             .agg(F.collect_set("key").alias("lost")))
 
 
@@ -89,10 +100,10 @@ def drop_lines(text: str | None, lost: set[bytes], min_chars: int) -> tuple[str,
 def with_lost(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
               spare: Callable[[str], bool] | None = None) -> DataFrame:
     """``docs`` with the column ``__lost`` of hashes its lines lose (null: none)."""
-    lost = lost_hashes(docs, min_chars, min_docs, spare)
-    return docs.join(lost.withColumnRenamed("lost", "__lost")
-                     .withColumnRenamed("lost_doc", "__lost_doc"),
-                     docs["doc_id"].eqNullSafe(F.col("__lost_doc")), "left").drop("__lost_doc")
+    rows = numbered(docs)
+    lost = lost_hashes(rows, min_chars, min_docs, spare)
+    return rows.join(lost.withColumnRenamed("lost", "__lost").withColumnRenamed("lost_row", _ROW),
+                     _ROW, "left").drop(_ROW)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS,

@@ -61,3 +61,16 @@ def test_hot_line(spark):
     data = [(i, f"this very common line is everywhere\nown line {i}") for i in range(500)]
     got = rows(ld.dedup_lines(docs(spark, data)))
     assert sum(r[2] for r in got) == 499 and LONG
+
+
+def test_rows_without_an_own_id_get_only_their_own_hashes(spark):
+    line = "line {} that some of the documents share".format
+    data = [(i, "\n".join(map(line, range(100)))) for i in range(3)]
+    data += [(i, f"{line(k)}\nown words of row {k}") for k in range(100) for i in (None, 7)]
+    got = ld.with_lost(docs(spark, data)).where("doc_id is null or doc_id = 7").collect()
+    assert len(got) == 200 and all(r.doc_id == 7 or len(r["__lost"]) == 1 for r in got)
+    assert all(not r["__lost"] for r in got if r.doc_id == 7)       # 7 keeps them
+    data += [(8, line(k)) for k in range(100)]
+    got = ld.with_lost(docs(spark, data)).where("doc_id is null or doc_id = 7").collect()
+    assert len(got) == 200 and all(len(r["__lost"]) == 1 for r in got)
+    assert norm(rows(ld.dedup_lines(docs(spark, data)))) == norm(brute(data))
