@@ -123,7 +123,7 @@ def _number(batches: Iterator[pa.RecordBatch], group: list[str], added: list[str
         begin = np.maximum.accumulate(np.where(new, row, -1))
         at = np.where(begin < 0, n + row, row - begin)
         total = values.cumsum(1)
-        less = np.where(begin > 0, total[:, begin - 1], 0)
+        less = np.where(begin > 0, total[:, np.maximum(begin - 1, 0)], 0)
         run = np.where(begin < 0, total + sums[:, None], total - less)
         out = [pa.array(at)] if position else []
         out += [pa.array(r) for r in run]
