@@ -109,8 +109,9 @@ def _carried(notes: list[tuple], backward: bool) -> dict[int, tuple]:
 
 def _number(batches: Iterator[pa.RecordBatch], group: list[str], added: list[str],
             carried: dict[int, tuple], position: str | None,
-            names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows with their index in the group and running sums."""
+            names: list[str], inclusive: int) -> Iterator[pa.RecordBatch]:
+    """The rows with their index in the group and running sums, the first
+    ``inclusive`` of them up to the row itself, the others up to the row before."""
     last, n, sums = carried.get(TaskContext.get().partitionId(),
                                 (None, 0, np.zeros(len(added), np.int64)))
     for b in batches:
@@ -126,7 +127,7 @@ def _number(batches: Iterator[pa.RecordBatch], group: list[str], added: list[str
         less = np.where(begin > 0, total[:, np.maximum(begin - 1, 0)], 0)
         run = np.where(begin < 0, total + sums[:, None], total - less)
         out = [pa.array(at)] if position else []
-        out += [pa.array(r) for r in run]
+        out += [pa.array(r if i < inclusive else r - values[i]) for i, r in enumerate(run)]
         yield pa.RecordBatch.from_arrays(b.columns + out, names=b.schema.names + (
             [position] if position else []) + names)
         last, n, sums = _key(cols, size - 1), int(at[-1]) + 1, run[:, -1]
@@ -134,10 +135,11 @@ def _number(batches: Iterator[pa.RecordBatch], group: list[str], added: list[str
 
 def running(df: DataFrame, group: list[str], order: list[Column], position: str | None = None,
             sums: dict[str, str] | None = None, size: str | None = None,
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, before: dict[str, str] | None = None) -> DataFrame:
     """``df`` with ``position`` (0-based index of a row in its group by ``order``),
     ``sums`` (new column -> long column summed from the group's first row to this
-    one, wrapping at 64 bits, a null as 0) and ``size`` (rows of the group).
+    one, wrapping at 64 bits, a null as 0), ``before`` (the same up to the row
+    before) and ``size`` (rows of the group).
 
     A null group is a group. Rows that are equal in ``order`` come in any order,
     fixed by the checkpoint, and in one partition: give the order a last key
@@ -146,8 +148,8 @@ def running(df: DataFrame, group: list[str], order: list[Column], position: str
     spark = df.sparkSession
     checkpoint_dir(spark)
     ship_package(spark)
-    sums = sums or {}
-    names, added = list(sums), list(sums.values())
+    sums, before = sums or {}, before or {}
+    names, added = [*sums, *before], [*sums.values(), *before.values()]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(g).asc() for g in group] + list(order)
     if not by:
@@ -158,26 +160,26 @@ def running(df: DataFrame, group: list[str], order: list[Column], position: str
         ranged.select(F.lit(0).alias("_"))
     notes = sorted((r.pid, pickle.loads(r.note)) for r in slim.mapInArrow(
         lambda it: _summarise(it, group, added), "pid int, note binary").collect())
-    out = _pass(ranged, group, added, _carried(notes, False), position, names)
+    out = _pass(ranged, group, added, _carried(notes, False), position, names, len(sums))
     if size:
         # the index from the end, over the same partitions sorted the other way
         back = [F.col(g).desc_nulls_last() for g in group]
         place = position or "_at"
         if not position:
-            out = _pass(ranged, group, added, _carried(notes, False), place, names)
+            out = _pass(ranged, group, added, _carried(notes, False), place, names, len(sums))
         flipped = out.sortWithinPartitions(*back, F.col(place).desc())
         out = _pass(flipped, group, [], {p: (k, m, np.zeros(0, np.int64)) for p, (k, m, _) in
-                                         _carried(notes, True).items()}, "_left", [])
+                                         _carried(notes, True).items()}, "_left", [], 0)
         out = out.withColumn(size, F.col(place) + F.col("_left") + 1).drop("_left")
         out = out if position else out.drop(place)
     return out
 
 
 def _pass(df: DataFrame, group: list[str], added: list[str], carried: dict[int, tuple],
-          position: str | None, names: list[str]) -> DataFrame:
+          position: str | None, names: list[str], inclusive: int) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(carried)
     fields = list(df.schema.fields)
     fields += [T.StructField(c, T.LongType(), False)
                for c in ([position] if position else []) + names]
-    return df.mapInArrow(lambda it: _number(it, group, added, held.value, position, names),
-                         T.StructType(fields))
+    return df.mapInArrow(lambda it: _number(it, group, added, held.value, position, names,
+                                            inclusive), T.StructType(fields))

@@ -42,10 +42,11 @@ def test_running_equals_a_loop(spark, table, group, batch):
     before = spark.conf.get(conf)
     spark.conf.set(conf, str(batch))
     try:
-        got = running(df, group, [F.col("o"), F.col("i")], "p", {"s": "v"}, "n").collect()
+        got = running(df, group, [F.col("o"), F.col("i")], "p", {"s": "v"}, "n", before={"b": "v"}).collect()
     finally:
         spark.conf.set(conf, before)
     assert {r.i: (r.p, r.s, r.n) for r in got} == expected(table, key)
+    assert all(r.b == r.s - (r.v or 0) for r in got)
     assert len(got) == len(table)
 
 
