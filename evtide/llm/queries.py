@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evtide.llm import (fingerprints, license_scan, line_dedup, nearest, packing, pieces, quality,
-                        secret_scan, simhash_dedup, url_filter)
+from evtide.llm import (fingerprints, license_scan, line_dedup, nearest, packing, pieces,
+                        prefix_trie, quality, secret_scan, simhash_dedup, url_filter)
 from evtide.llm.common import sha256_of, table
 
 # The rules of the contract (host, path, verdict).
@@ -102,10 +102,15 @@ def op10_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", sha256_of("kept").alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_hilbert_packing, op3_license_scan, op4_document_fingerprints,
     op5_quality_classifier, op6_secret_scan, op7_simhash_near_dedup, op8_sentencepiece,
-    op9_nearest_neighbours, op10_line_dedup)}
+    op9_nearest_neighbours, op10_line_dedup, op11_prefix_trie)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,6 +151,53 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), ''))
          AS kept_sha256
 FROM judged GROUP BY doc_id, n""",
+    # crc32 of the decimal id, bit by bit, then every member of every node
+    "op11_prefix_trie": r"""
+WITH ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+           [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''),
+                                                  lambda x: ascii(x)::BIGINT),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT i.conv_id, role, text, 0 AS part, pos FROM ids i JOIN turns t ON t.conv_id = i.base
+  WHERE pos <= h
+  UNION ALL SELECT i.conv_id, role, text, 1, pos FROM ids i JOIN turns t USING (conv_id)
+  WHERE pos > h),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, text, count(*) OVER (PARTITION BY conv_id) AS n,
+         sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+                OVER (w ROWS UNBOUNDED PRECEDING)) AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+members AS (
+  SELECT s.conv_id, s.depth, s.node, coalesce(p.node, 'root') AS parent,
+         len(regexp_extract_all(s.text, '[^\x20\x09-\x0D]+')) AS words, s.n = s.depth AS ends
+  FROM steps s LEFT JOIN steps p ON p.conv_id = s.conv_id AND p.depth = s.depth - 1
+  UNION ALL SELECT conv_id, 0, 'root', NULL, 0, conv_id NOT IN (SELECT conv_id FROM rebuilt)
+  FROM ids),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent,
+         any_value(words) AS words, count(*) AS n_convs, sha256(coalesce(
+           string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY node),
+kids AS (SELECT parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+subtrees AS (
+  SELECT DISTINCT top.node AS top, sub.node AS sub
+  FROM members top JOIN members sub ON top.conv_id = sub.conv_id AND top.depth <= sub.depth),
+sums AS (
+  SELECT top, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+         sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+  FROM subtrees s JOIN nodes x ON x.node = s.sub LEFT JOIN kids k ON k.parent = x.node
+  GROUP BY top)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children,
+       n_leaves, saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums ON top = x.node LEFT JOIN nodes p ON p.node = x.parent
+LEFT JOIN kids k ON k.parent = x.node""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
