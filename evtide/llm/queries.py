@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evtide.llm import (fingerprints, license_scan, line_dedup, nearest, packing, pieces,
-                        prefix_trie, quality, secret_scan, simhash_dedup, url_filter)
+                        prefix_trie, quality, secret_scan, simhash_dedup, url_filter, warc)
 from evtide.llm.common import sha256_of, table
 
 # The rules of the contract (host, path, verdict).
@@ -107,10 +107,16 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark, sf_dir):
+    """Every page, written to WARC archives and read back."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.round_trip(pages, warc.stored_place(pages))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_hilbert_packing, op3_license_scan, op4_document_fingerprints,
     op5_quality_classifier, op6_secret_scan, op7_simhash_near_dedup, op8_sentencepiece,
-    op9_nearest_neighbours, op10_line_dedup, op11_prefix_trie)}
+    op9_nearest_neighbours, op10_line_dedup, op11_prefix_trie, op13_warc)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -198,6 +204,21 @@ SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n,
        n_leaves, saved_tokens, x.ends_sha256
 FROM nodes x JOIN sums ON top = x.node LEFT JOIN nodes p ON p.node = x.parent
 LEFT JOIN kids k ON k.parent = x.node""",
+    # base32: every five hexadecimal digits are four letters
+    "op13_warc": r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS k,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN first_id END AS refers_to
+FROM payloads""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
