@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evtide.llm import (fingerprints, license_scan, line_dedup, nearest, packing, pieces,
-                        prefix_trie, quality, secret_scan, simhash_dedup, url_filter, warc)
+from evtide.llm import (alignment, fingerprints, license_scan, line_dedup, nearest, packing,
+                        pieces, prefix_trie, quality, secret_scan, simhash_dedup, url_filter, warc)
 from evtide.llm.common import sha256_of, table
 
 # The rules of the contract (host, path, verdict).
@@ -20,6 +20,7 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"),
              ("com", "/de/", "block"))
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 END_ID = 1
 
 
@@ -107,6 +108,13 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    """Groups and links between the two tokenizers' tokens in every document."""
+    return alignment.align(table(spark, sf_dir, "documents"),
+                           public_tokenizers.path(BYTE_VOCABULARY),
+                           public_tokenizers.path(PIECE_MODEL))
+
+
 def op13_warc(spark, sf_dir):
     """Every page, written to WARC archives and read back."""
     pages = table(spark, sf_dir, "pages")
@@ -116,7 +124,8 @@ def op13_warc(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_hilbert_packing, op3_license_scan, op4_document_fingerprints,
     op5_quality_classifier, op6_secret_scan, op7_simhash_near_dedup, op8_sentencepiece,
-    op9_nearest_neighbours, op10_line_dedup, op11_prefix_trie, op13_warc)}
+    op9_nearest_neighbours, op10_line_dedup, op11_prefix_trie,
+    op12_token_alignment, op13_warc)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
