@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evtide.llm.common import map_batches
+from evtide.llm.common import map_batches, plain_names
 
 BUCKETS = 1 << 16
 WIDTH = 8
@@ -47,8 +47,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Null vectors that every average holds.
 REST = 24
-#: Bytes hashed at a time; a longer text is worked through in overlapping pieces.
+#: Bytes hashed at a time. What a word and an n-gram need of the bytes before is
+#: carried along, so the features don't depend on it.
 _PIECE = 1 << 20
+#: Scores are sums of whole multiples of 2**-30, so no order of adding changes them.
+_UNIT = 1 << 30
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
@@ -88,49 +91,71 @@ def counted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(raw: bytes) -> Iterator[np.ndarray]:
-    if len(raw) <= _PIECE - 2:
-        yield _features(raw)
-        return
-    at = 0
-    while at < len(raw):            # cut at white space where a piece has any
-        end = min(at + _PIECE - 2, len(raw))
-        if end < len(raw):
-            k = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
-            end = k if k > at else end
-        yield _features(raw[at:end])
-        at = end
-
-
-def _features(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(b" " + raw + b" ", np.uint8)
+    """Features of a text, some for each piece of it, wherever pieces end."""
+    state = _Seam()
+    for at in range(0, max(len(raw), 1), _PIECE):
+        part = raw[at:at + _PIECE]
+        part = (b" " if at == 0 else b"") + part + (b" " if at + _PIECE >= len(raw) else b"")
+        yield _features(np.frombuffer(part, np.uint8), state)
+
+
+class _Seam:
+    """What goes over from one piece to the next: the open word's hash and
+    length, the hash of the word before it, and the last bytes."""
+
+    def __init__(self):
+        self.open, self.length = np.uint64(0), 0
+        self.before: np.uint64 | None = None
+        self.bytes = np.zeros(0, np.uint8)
+
+
+def _features(b: np.ndarray, state: _Seam) -> np.ndarray:
     space = _SPACE[b]
     b = np.where(space, np.uint8(32), b)
     v = b.astype(np.uint64) + np.uint64(1)
     out = []
     # words: prefix sums of v * base**i, shifted back by the word's start
     edge = np.flatnonzero(space)
+    sums = np.cumsum(v * _UP[:len(v)], dtype=np.uint64)
+    first, last = (int(edge[0]), int(edge[-1])) if len(edge) else (len(b), -1)
+    ahead = np.uint64(pow(int(_BASE), state.length, 1 << 64))
+    with np.errstate(over="ignore"):
+        opened = state.open + (ahead * sums[first - 1] if first else np.uint64(0))
+    length = state.length + first
     starts, ends = edge[:-1] + 1, edge[1:]
     real = ends > starts
     starts, ends = starts[real], ends[real]
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    sums = np.cumsum(v * _UP[:len(v)], dtype=np.uint64)
     words = (sums[ends - 1] - sums[starts - 1]) * _DOWN[starts]
-    out.append(_bucket(words, 1))
-    again = np.count_nonzero(words[1:] == words[:-1])
-    out.append(np.full(again, _REPEATED, np.int64))
-    # n-grams whose inner bytes hold no white space
-    inner = np.concatenate([[0], np.cumsum(space)])
+    if len(edge):
+        if length:
+            words = np.concatenate([[opened], words])
+        tail = len(b) - last - 1
+        state.open = ((sums[-1:] - sums[last]) * _DOWN[last + 1])[0] if tail else np.uint64(0)
+        state.length = tail
+    else:
+        state.open, state.length = opened, length
+    if len(words):
+        out.append(_bucket(words, 1))
+        again = np.count_nonzero(words[1:] == words[:-1]) + (state.before == words[0])
+        out.append(np.full(again, _REPEATED, np.int64))
+        state.before = words[-1]
+    # n-grams whose inner bytes hold no white space, those that end in this piece
+    held = len(state.bytes)
+    b = np.concatenate([state.bytes, b])
+    v = b.astype(np.uint64) + np.uint64(1)
+    inner = np.concatenate([[0], np.cumsum(b == 32)])
     for n in GRAMS:
-        m = len(b) - n + 1
+        at = max(held - n + 1, 0)
+        m = len(b) - n + 1 - at
         if m <= 0:
             continue
-        h = v[:m].copy()
+        h = v[at:at + m].copy()
         for k in range(1, n):
-            h = h * _BASE + v[k:k + m]
-        whole = inner[n - 1:n - 1 + m] == inner[1:1 + m]
+            h = h * _BASE + v[at + k:at + k + m]
+        whole = inner[at + n - 1:at + n - 1 + m] == inner[at + 1:at + 1 + m]
         out.append(_bucket(h, n)[whole])
-    return np.concatenate(out)
+    state.bytes = b[max(len(b) - max(GRAMS) + 1, 0):]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 _REPEATED = int(_bucket(np.zeros(1, np.uint64), 2)[0])
@@ -141,10 +166,14 @@ class Model:
 
     def __init__(self, margin: np.ndarray, bias: float):
         self.margin, self.bias = margin, bias
+        self.units = np.rint(margin.astype(np.float64) * _UNIT).astype(np.int64)
 
     def score(self, text: str | None) -> float:
-        f = features((text or "").encode())
-        z = self.bias + (float(self.margin[f].sum(dtype=np.float64)) / (len(f) + REST))
+        total, n = 0, 0
+        for f in _parts((text or "").encode()):
+            total += int(self.units[f].sum())
+            n += len(f)
+        z = self.bias + total / _UNIT / (n + REST)
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -253,5 +282,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, every column, without the rows the classifier rejects."""
-    scored = with_score(docs, fit(docs, labels), "__score")
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    scored = with_score(plain_names(docs), fit(docs, labels), "score")
+    return scored.where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -35,13 +36,33 @@ def test_features_match_definition():
         assert sorted(q.features(t.encode()).tolist()) == brute_features(t)
 
 
+def test_features_do_not_depend_on_where_pieces_end(monkeypatch):
+    rng = random.Random(5)
+    parts = ["a", "ab", "word word", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "é", "日本", "x" * 9]
+    texts = ["", " ", "same same same", "nowhitespaceatall" * 3, "one\tone\ttwo"] + [
+        "".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(60)]
+    for t in texts:
+        raw = t.encode()
+        monkeypatch.setattr(q, "_PIECE", 1 << 20)
+        whole, score = brute_features(t), q.Model(MARGIN, 0.1).score(t)
+        assert sorted(q.features(raw).tolist()) == whole
+        for size in range(1, len(raw) + 2):
+            monkeypatch.setattr(q, "_PIECE", size)
+            assert sorted(q.features(raw).tolist()) == whole
+            assert q.Model(MARGIN, 0.1).score(t) == score
+
+
+MARGIN = np.random.default_rng(2).normal(size=q.BUCKETS).astype(np.float32)
+
+
 def test_long_texts_are_read_whole(monkeypatch):
-    text = (LONG + "!! end").encode()
-    whole = np.sort(q.features(text))
-    monkeypatch.setattr(q, "_PIECE", 5000)
-    cut = q.features(text)
-    assert abs(len(cut) - len(whole)) <= len(text) // 4000
-    assert np.bincount(whole, minlength=q.BUCKETS)[cut].all()
+    for text in (LONG + "!! end", LONG.replace(" ", "\t"), LONG.replace(" ", ""), "word " * 50_000):
+        whole, score = np.sort(q.features(text.encode())), q.Model(MARGIN, 0.0).score(text)
+        for size in (5000, 4999, 77_777):
+            monkeypatch.setattr(q, "_PIECE", size)
+            assert (np.sort(q.features(text.encode())) == whole).all()
+            assert q.Model(MARGIN, 0.0).score(text) == score
+        monkeypatch.setattr(q, "_PIECE", 1 << 20)
 
 
 def test_held_out_accuracy(spark):
