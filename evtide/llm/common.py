@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import evtide
-from evtide.session import scratch_path
+from evtide.session import delete_path, scratch_path
+from evtide.shipping import ship_package
 
 #: A-Z to a-z, everything else untouched (``str.translate`` table).
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -33,7 +31,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    for made in _RECORDING:
+        made.append(out)
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again."""
+    for df in written:
+        delete_path(df.sparkSession, df.scratch)
+
+
+_RECORDING: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialise`` writes meanwhile, in order."""
+    made: list[DataFrame] = []
+    _RECORDING.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDING.remove(made)
 
 
 #: Largest Arrow batch that a task hands to Python; whole texts count.
@@ -49,23 +71,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that tasks can
-    import it wherever the driver was started."""
-    sc = spark.sparkContext
-    name = f"evtide-{sc.applicationId}.zip"
-    if any(f.endswith(name) for f in sc.listFiles):
-        return
-    root = Path(evtide.__file__).parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    path = f"{scratch_path(spark, 'package')}/{name}"
-    write_bytes(spark, path, data.getvalue())
-    sc.addPyFile(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch per input batch."""
@@ -86,17 +91,6 @@ def sha256_of(col):
     return F.sha2(col, 256)
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write one small file through Hadoop, whatever store ``path`` is in."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        for i in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[i:i + (1 << 20)]))
-    finally:
-        out.close()
-
-
 class WordCache:
     """Words and their ids in two generations: when the young one is full it
     becomes the old one, and words still in use move back as they are asked for."""
@@ -126,6 +120,13 @@ class WordCache:
         return gone
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that stages pass through named by their place, so
+    that none has a name an operator uses; ``toDF(*docs.columns)`` turns back."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"column_{i}"
+                       for i, c in enumerate(docs.columns)))
+
+
 def replace_text(b: pa.RecordBatch, names: list[str], changed: dict[int, str]) -> pa.RecordBatch:
     """The batch's columns ``names`` with the texts of some rows replaced, and
     their ``n_chars``, where there is such a column, counted anew."""

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evtide.llm.common import ASCII_LOWER, ASCII_SPACE, map_batches, materialise, replace_text
+from evtide.llm.common import (ASCII_LOWER, ASCII_SPACE, map_batches, materialise, plain_names,
+                               replace_text)
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -125,7 +126,8 @@ def rewrite_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                       spare: Callable[[str], bool] | None = None) -> DataFrame:
     """``docs``, every column, with the shared lines gone from the texts; lines
     whose key ``spare`` is true for stay everywhere."""
-    names = docs.columns
+    work = plain_names(docs)
+    names = work.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lost = b.column(b.schema.get_field_index("__lost")).to_pylist()
@@ -133,4 +135,5 @@ def rewrite_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         changed = {i: drop_lines(text[i].as_py(), set(h), min_chars)[0]
                    for i, h in enumerate(lost) if h}
         return replace_text(b, names, changed)
-    return map_batches(with_lost(docs, min_chars, min_docs, spare), run, docs.schema)
+    return map_batches(with_lost(work, min_chars, min_docs, spare), run, work.schema).toDF(
+        *docs.columns)

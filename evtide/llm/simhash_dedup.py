@@ -7,13 +7,16 @@ of the XXH64 hashes (seed 42) of the shingles, repeats included.
 
 Linking: two 64-bit fingerprints that differ in at most d bits differ in at
 most d of their eight bytes, so they share at least m = 8 - d bytes at the same
-positions. That guaranteed count prunes the index of positional bytes twice:
+positions. That guaranteed count prunes the index of positional bytes:
 
 * postings hold k bytes at once: any pair that shares m bytes shares a posting
   of its k-byte combinations over the first 8 - (m - k) positions, so lists are
-  256**k times shorter than lists of one byte;
-* every pair that meets in a posting has its shared positional bytes tallied;
-  pairs below m are dropped, and the rest are verified by counting bits.
+  256**k times shorter than lists of one byte. This is the count filter with a
+  prefix of one shared posting: all m positions are in play, and a pair that
+  can reach m meets at least once;
+* every pair that meets has its shared positional bytes tallied, pairs below m
+  are dropped, and the rest are verified by counting bits. (A pair within d bits
+  always reaches m, so the tally spares the bit count and decides nothing more.)
 
 Equal fingerprints are one node (a group of copies costs one row). Dense
 groups are contracted first on pairs that share seven bytes -- a posting of
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evtide.llm.common import map_batches, materialise
+from evtide.llm.common import map_batches, materialise, plain_names
 from evtide.llm.components import components
 
 SHINGLE = 3
@@ -97,7 +100,10 @@ def _postings(nodes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
         for i in chosen:
             key = F.shiftleft(key, 8).bitwiseOR(_byte("fp", i))
         keys.append(key)
-    return nodes.select(F.explode(F.array(*keys)).alias("posting"), "fp", "comp")
+    # a table of few bytes lies in few files; each row makes dozens of postings
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(n, "fp").select(
+        F.explode(F.array(*keys)).alias("posting"), "fp", "comp")
 
 
 def _pairs(nodes: DataFrame, choices: list[tuple[int, ...]], least: int,
@@ -161,17 +167,16 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
 
     Copies are pruned in their own tasks before the texts are shuffled.
     """
-    prints = materialise(with_fingerprint(docs.select("doc_id", "text"), "fp", shingle)
-                         .select("doc_id", "fp"), "prints")
-    nodes = link_fingerprints(prints, max_bits)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rows = materialise(with_fingerprint(plain_names(docs), "fp", shingle), "prints")
+    nodes = link_fingerprints(rows, max_bits)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     kept = (least.join(nodes, "fp").groupBy("comp")
-            .agg(F.min_by("fp", F.struct(F.isnull("first"), "first", "fp")).alias("__kept"))
-            .select("__kept"))
-    order = Window.partitionBy("__fp").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    one = (with_fingerprint(docs, "__fp", shingle)
-           .withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n"))
-    return one.join(kept, F.col("__fp") == F.col("__kept"), "left_semi").drop("__fp")
+            .agg(F.min_by("fp", F.struct(F.isnull("first"), "first", "fp")).alias("kept"))
+            .select("kept"))
+    order = Window.partitionBy("fp").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    one = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return one.join(kept, F.col("fp") == F.col("kept"), "left_semi").drop("fp").toDF(
+        *docs.columns)
 
 
 def hex_digits(col):

@@ -33,7 +33,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtide.llm.common import ASCII_LOWER, map_batches, write_bytes
+from evtide.llm.common import ASCII_LOWER, map_batches
+from evtide.shipping import write_bytes
 from evtide.session import scratch_path
 
 #: Rules a list may have: the file is built on the driver, about 100 bytes a rule.

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from oracle_harness import compare, duck, type_diffs
 from test_line_dedup import brute as brute_lines
 from test_scans import brute_spans
@@ -8,6 +9,7 @@ import corpus_pipeline
 from evtide.llm import quality, secret_scan
 from evtide.llm.common import materialise, table
 from evtide.llm.queries import ORACLES, QUERIES
+from evtide.session import delete_path, hadoop_path, scratch_path
 from fixtures import SF, docs, empty
 
 
@@ -62,6 +64,39 @@ def test_odd_and_empty_documents(spark):
             assert n > 0 or not df.count()
 
 
+CLASHES = ("__score", "score", "SCORE2", "__row", "__lost", "lost", "lost_row", "row", "__fp", "fp",
+           "__kept", "kept", "__n", "n", "comp", "first", "key", "keeper", "spans", "column_2",
+           "column_7", "label", "quality", "bytes", "hash", "u", "v", "m", "salt", "posting")
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_every_inner_name_may_be_a_column(spark, upper):
+    df = docs(spark, extra=False)
+    for c in CLASHES:
+        df = df.withColumn(c.upper() if upper else c, F.concat(F.lit(c), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        for r in out.collect():
+            for c in CLASHES:
+                value = r[c.upper() if upper else c]
+                assert value == (None if r.doc_id is None else f"{c}{r.doc_id}"), (name, c)
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() > 0
+
+
+def test_finished_stages_leave_nothing(spark):
+    folder = scratch_path(spark, "x").rsplit("/", 1)[0]
+
+    def held():
+        fs, p = hadoop_path(spark, folder)
+        return {str(f.getPath().getName()).rsplit("-", 1)[0] for f in fs.listStatus(p)}
+    for f in hadoop_path(spark, folder)[0].listStatus(hadoop_path(spark, folder)[1]):
+        if not f.getPath().getName().startswith("package"):
+            delete_path(spark, f.getPath().toString())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert held() - {"package"} == {"stage-secret_scan", "tokens"}
+
+
 def test_private_keys_leave_no_trace(spark):
     # with keys in many documents, their banners are shared lines
     body = ["\n".join(f"MIIEpAIBAAKCAQEA{i}x{k}{'bQ+/zX9kLmN4' * 3}" for k in range(3))
