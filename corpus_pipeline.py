@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evtide.llm import line_dedup, packing, quality, secret_scan, simhash_dedup
-from evtide.llm.common import materialise, table
+from evtide.llm.common import materialise, recorded, release, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of ``documents``. What a stage wrote for itself, and the
+    documents it read, are deleted once its own documents are written."""
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with recorded() as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(*spent, *made[:-1])
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
