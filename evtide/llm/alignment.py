@@ -23,6 +23,7 @@ Rows may repeat a doc_id or have none; every row is a document.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -32,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evtide.llm.common import map_batches, materialise
+from evtide.llm.common import WordCache, map_batches, materialise
 
 #: Text bytes of a block, at least one document.
 BLOCK_BYTES = 4 << 20
 #: A tokens of a stretch.
 STRETCH = 512
-#: Text bytes handed to a tokenizer at once, and characters after which a long
-#: text is cut at the next plain space.
-ENCODE_BYTES, PIECE_CHARS = 1 << 20, 50_000
+#: Characters handed to the tokenizers at once.
+ENCODE_CHARS = 1 << 20
+#: Words a worker keeps in each of two generations, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 #: A space alone between two characters that are neither white space nor B's
-#: mark of a space: no token of A or B reaches over its left edge.
+#: mark of a space: no token of A or B reaches over its left edge, so the words
+#: between such spaces are encoded one by one, and once.
 _CUT = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
 
 BLOCK = ("doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
@@ -84,24 +87,46 @@ class Pair:
         # an id as text with what follows it: A's in a group and last in it, then B's
         n = max(len(self.bytes_a), len(self.bytes_b))
         self.text = [f"{i}{after}".encode() for i in range(n) for after in (",", "|", ";")]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """(A ids, B ids) of every text; None where it has no tokens."""
-        out: list[tuple[list[int], list[int]] | None] = []
-        for lo, hi in _portions([len(t) for t in texts], ENCODE_BYTES):
-            parts = [pieces(t) for t in texts[lo:hi]]
-            flat = [p for ps in parts for p in ps]
-            a = iter([e.ids for e in self.a.encode_batch_fast(
-                [" " + p for p in flat], add_special_tokens=False)])
-            b = iter(self.b.encode(flat, num_threads=1))
-            for t, ps in zip(texts[lo:hi], parts):
-                ids_a = [i for _ in ps for i in next(a)]
-                ids_b = [i for _ in ps for i in next(b)]
-                raw = (" " + t).encode()
-                same = (b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw
-                        and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw)
-                out.append((ids_a, ids_b) if t and same else None)
-        return out
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.words = WordCache(CACHE_WORDS)
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the A ids of space + word and the B ids of the word, and whether
+        the bytes of both are just these, in the young generation."""
+        known = self.words.young
+        for lo, hi in _portions([len(w) for w in new], ENCODE_CHARS):
+            part = new[lo:hi]
+            coded_a = self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
+            coded_b = self.b.encode(part, num_threads=1)
+            for w, a, b in zip(part, coded_a, coded_b):
+                raw, a = (" " + w).encode(), a.ids
+                same = (b"".join(map(self.bytes_a.__getitem__, a)) == raw
+                        and b"".join(map(self.bytes_b.__getitem__, b)) == raw)
+                known[w] = (np.array(a, self.dtype).tobytes(), np.array(b, self.dtype).tobytes(),
+                            same)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """(A ids, B ids) of every text in ``dtype``; None where it has no tokens."""
+        collecting = gc.isenabled()
+        gc.disable()            # no cycles are made here, but millions of objects
+        try:
+            self.words.turn()
+            known = self.words.young
+            cut = [pieces(t) for t in texts]
+            new = self.words.missing(set().union(*cut) - known.keys())
+            self._learn(list(new))
+            out: list[tuple[bytes, bytes] | None] = []
+            for t, words in zip(texts, cut):
+                found = [known[w] for w in words]
+                out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+                           if t and all([f[2] for f in found]) else None)
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del known[w]
+            return out
+        finally:
+            if collecting:
+                gc.enable()
 
 
 def _portions(sizes: list[int], limit: int) -> list[tuple[int, int]]:
@@ -116,16 +141,9 @@ def _portions(sizes: list[int], limit: int) -> list[tuple[int, int]]:
 
 
 def pieces(text: str) -> list[str]:
-    """A long text cut at plain spaces, without these: A's tokens of space +
-    piece and B's of a piece, one piece after another, are those of the whole."""
-    out, at = [], 0
-    while len(text) - at > PIECE_CHARS:
-        m = _CUT.search(text, at + PIECE_CHARS)
-        if m is None:
-            break
-        out.append(text[at:m.start()])
-        at = m.end()
-    return [*out, text[at:]]
+    """A text cut at plain spaces, without these: A's tokens of space + piece and
+    B's of a piece, one piece after another, are those of the whole."""
+    return _CUT.split(text)
 
 
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray
@@ -162,10 +180,10 @@ def align_block(pair: Pair, texts: list[str]) -> dict:
     """Per document: tokens, groups, digest of the groups, and its distinct
     linked pairs as places in the block's sorted ``pairs``, with their times."""
     coded = pair.encode(texts)
-    n_a = np.array([len(c[0]) if c else 0 for c in coded], np.int64)
-    n_b = np.array([len(c[1]) if c else 0 for c in coded], np.int64)
-    ids_a = np.array([i for c in coded if c for i in c[0]], np.int64)
-    ids_b = np.array([i for c in coded if c for i in c[1]], np.int64)
+    ids_a, ids_b = (np.frombuffer(b"".join([c[k] for c in coded if c]), pair.dtype)
+                    .astype(np.int64) for k in (0, 1))
+    n_a, n_b = (np.array([len(c[k]) // pair.dtype.itemsize if c else 0 for c in coded], np.int64)
+                for k in (0, 1))
     first = np.concatenate([[0], np.cumsum(n_a)])
     la, lb = lockstep(np.cumsum(pair.size_a[ids_a]), np.cumsum(pair.size_b[ids_b]), first)
     doc = np.searchsorted(first, la, "right") - 1

@@ -82,8 +82,7 @@ def test_equals_brute_force(spark, pair, monkeypatch, block):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows, pair)
 
 
-def test_pieces_of_long_texts_encode_as_the_whole(pair, monkeypatch):
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 12)
+def test_pieces_encode_as_the_whole(pair):
     cut = 0
     for _, text in odd_rows(2, 600):
         if text:
@@ -114,6 +113,20 @@ def test_lockstep_finds_all_common_ends(monkeypatch, stretch):
     assert [end_a[i] for i in a] == want == [end_b[j] for j in b]
 
 
+def test_long_words_are_not_kept_and_generations_turn(monkeypatch):
+    pair = alignment.Pair(A, B)
+    pair.words.size = 40
+    for k in range(6):
+        texts = [" ".join(f"w{k}x{i}" for i in range(30)), "y" * 500 + f" {k}", "same old words"]
+        got = pair.encode(texts)
+        for t, (a, b) in zip(texts, got):
+            assert np.frombuffer(a, pair.dtype).tolist() == pair.a.encode(
+                " " + t, add_special_tokens=False).ids
+            assert np.frombuffer(b, pair.dtype).tolist() == pair.b.encode(t)
+        assert all(len(w) <= alignment.CACHE_CHARS for w in pair.words.young)
+    assert len(pair.words.young) + len(pair.words.old) < 150
+
+
 def test_empty_table_and_no_tokens(spark):
     assert alignment.align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
     got = alignment.align(spark.createDataFrame([(1, None), (None, "▁")], SCHEMA), A, B)
