@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evtide.functions.metadata import with_hot_columns
 from evtide.functions.timefn import parse_ts, ts, utcnow
-from evtide.operators import mutations, rollup
+from evtide.operators import deltas, mutations, rollup
 from evtide.operators.keyed import ordered_positions
 from evtide.session import checkpoint_dir, delete_path, hadoop_path, path_exists
 from evtide.sources import schemas, sinks
@@ -185,6 +185,24 @@ def scheduled_refresh(spark: SparkSession, load_events, load_types, base: str,
             .trigger(processingTime=every).start())
 
 
+def delta_rollup(events: DataFrame, base: str, name: str, available_now: bool = False,
+                 every: str | None = None) -> StreamingQuery:
+    """The rollup kept current from a stream of events (T4), by signed changes
+    (``operators.deltas``): each micro-batch rewrites the hours it touches, however
+    late its events are, and no state is held between batches. A replayed batch
+    records its changes under its own number again, and no hour counts it twice.
+    Batch jobs may record deletes and updates beside it."""
+    spark = events.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        deltas.record(deltas.changes(batch), base, seq=batch_id + 1, writer=name)
+        deltas.apply(spark, base)
+
+    w = (events.writeStream.foreachBatch(run)
+         .option("checkpointLocation", query_checkpoint(spark, name)))
+    return _trigger(w, available_now, every).start()
+
+
 # ---------------------------------------------------------------- T4, T5
 EVENT_TIME = "_event_time"
 
