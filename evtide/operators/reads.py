@@ -8,13 +8,14 @@ column so pages are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evtide.functions.params import clamp_limit, resolve_offset
 from evtide.functions.timefn import parse_ts, ts
 from evtide.functions.text import type_label
 from evtide.operators.joins import with_type_name
+from evtide.sources import ranges
 
 def newest_first():
     """Sort keys of every event listing: time, then id, both descending."""
@@ -136,22 +137,35 @@ def _page(df: DataFrame, cols: list[str], descending: bool, limit: int | None,
 
 
 def _named_page(events: DataFrame, event_types: DataFrame, limit: int | None,
-                offset: int) -> DataFrame:
+                offset: int, deep: bool = False) -> DataFrame:
     # Top-k on the bare events first, then attach names to the <= limit rows.
     # Equivalent to join-then-top-k because every event's type exists (the
     # foreign key is enforced on ingest and deletes cascade).
-    top = _page(bare_event(events), ["timestamp", "id"], True, limit, offset)
+    top = _page(bare_event(events), ["timestamp", "id"], True, limit, offset, deep)
     return event_response(with_type_name(top, event_types)).orderBy(*newest_first())
 
 
 def list_events(events: DataFrame, event_types: DataFrame, user_id: int | None = None,
                 event_type_id: int | None = None, limit: int | None = None,
-                offset: int | None = None, page: int | None = None) -> DataFrame:
+                offset: int | None = None, page: int | None = None,
+                deep: bool = False) -> DataFrame:
     """Event listing (K1): filters, newest first, limit default 100 capped at
-    1000, offset wins over a 1-based page."""
+    1000, offset wins over a 1-based page. ``deep`` for pages far into the
+    table, where no task should hold ``offset`` rows; without filters
+    ``list_events_at`` is cheaper still."""
     n = clamp_limit(limit)
     off = resolve_offset(offset, page, n)
-    return _named_page(filter_events(events, user_id, event_type_id), event_types, n, off)
+    return _named_page(filter_events(events, user_id, event_type_id), event_types, n, off, deep)
+
+
+def list_events_at(spark: SparkSession, base: str, event_types: DataFrame,
+                   limit: int | None = None, offset: int | None = None,
+                   page: int | None = None) -> DataFrame:
+    """The unfiltered listing (K1) of events stored by ``ranges.write`` in
+    (timestamp, id) order: only the ranges that hold the page are read."""
+    n = clamp_limit(limit)
+    top = ranges.page(spark, base, n, resolve_offset(offset, page, n), descending=True)
+    return event_response(with_type_name(bare_event(top), event_types)).orderBy(*newest_first())
 
 
 def user_events(events: DataFrame, event_types: DataFrame, user_id: int,

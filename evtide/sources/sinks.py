@@ -170,7 +170,7 @@ def replace_partitions(new_rows: DataFrame, path: str, part_col: str, values: li
     names = [f.getPath().getName() for f in fs.listStatus(p)]
     present = sorted(n for n in names if n.startswith(f"{part_col}="))
     emptied = sorted({f"{part_col}={v}" for v in values} - set(present))
-    _write_note(spark, f"{path}/{PENDING}",
+    write_note(spark, f"{path}/{PENDING}",
                 {"staged": staged, "part_col": part_col, "present": present, "emptied": emptied,
                  "schema": new_rows.schema.json()})
     finish_rewrite(spark, path)
@@ -186,7 +186,7 @@ def finish_rewrite(spark: SparkSession, path: str) -> bool:
     note_path = f"{path}/{PENDING}"
     if not path_exists(spark, note_path):
         return False
-    note = json.loads(_read_note(spark, note_path))
+    note = json.loads(read_note(spark, note_path))
     if note["present"]:
         from pyspark.sql.types import StructType
         rows = (spark.read.schema(StructType.fromJson(json.loads(note["schema"])))
@@ -200,7 +200,8 @@ def finish_rewrite(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _read_note(spark: SparkSession, path: str) -> str:
+def read_note(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
     fs, p = hadoop_path(spark, path)
     f = fs.open(p)
     try:
@@ -209,7 +210,7 @@ def _read_note(spark: SparkSession, path: str) -> str:
         f.close()
 
 
-def _write_note(spark: SparkSession, path: str, note: dict) -> None:
+def write_note(spark: SparkSession, path: str, note: dict) -> None:
     """Write the note beside its place and rename it there, in one step."""
     fs, tmp = hadoop_path(spark, f"{path}.{uuid.uuid4().hex[:8]}")
     out = fs.create(tmp, True)
