@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtide.functions.timefn import parse_ts, ts
-from evtide.session import checkpoint_dir
+from evtide.operators.running import running
 
 
 def _asc():
@@ -158,47 +158,14 @@ def ordered_positions(df: DataFrame, order: list[str], num_partitions: int | Non
     """0-based position of every row in ``order`` -- globally, or inside each
     ``group`` -- without a window over a whole group (N7).
 
-    A window partitioned by group puts a hot group (say a board holding a
-    third of all rows) into one task. Instead: range-partition on
-    (group, order keys) -- Spark samples the bounds, so a big group is cut
-    into many partitions -- sort inside each partition and checkpoint
-    (positions must come from the very same partitioning on every use, also
-    after an executor loss). Each row's index inside its partition, minus the
-    index of its group's first row there, is its position within the
-    partition; adding the row counts of the same group in all earlier
-    partitions gives the position in the group. Those counts live in a table
-    of one row per (partition, group) run, never in a buffer per group, and
-    give the group's size (``size_col``) on the way. A null group is a group.
+    One range exchange on (group, order) cuts a big group into many partitions;
+    the first group of a partition goes on where the partitions before left it
+    (``operators.running``). ``size_col`` is the group's size. A null group is a
+    group.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    gkeys = [F.col(group).asc()] if group else []
-    checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *gkeys, *keys).sortWithinPartitions(*gkeys, *keys)
-              .checkpoint(eager=True))
-    pid = F.spark_partition_id()
-    tagged = ranged.withColumn("_pid", pid).withColumn(
-        "_idx", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
-    g = [group] if group else []
-    runs = tagged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"),
-                                          F.min("_idx").alias("_first"))
-    per = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
-    w = per.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = runs.select(F.col("_pid").alias("_run"), *[F.col(c).alias("_of") for c in g], "_first",
-                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
-                       F.sum("_n").over(per).alias("_all"))
-    same = F.col("_pid") == F.col("_run")
-    if g:
-        # (partition, group) runs: Spark sizes the join itself
-        same = same & F.col(group).eqNullSafe(F.col("_of"))
-    else:
-        offs = F.broadcast(offs)    # one row per partition
-    out = tagged.join(offs, same).withColumn(
-        col, F.col("_off") + F.col("_idx") - F.col("_first"))
-    if size_col:
-        out = out.withColumn(size_col, F.col("_all"))
-    return out.drop("_pid", "_idx", "_off", "_first", "_run", "_of", "_all")
+    return running(df, [group] if group else [], keys, position=col, size=size_col,
+                   num_partitions=num_partitions)
 
 
 def board_ranks(board: DataFrame, reverse: bool = False, col: str = "rank",
