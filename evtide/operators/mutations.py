@@ -82,8 +82,8 @@ def assign_ids(df: DataFrame, base: int, col: str = "id", stable: bool = False)
 
 # ---------------------------------------------------------------- W1, W3
 def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
-                  as_of=None, base_id: int | None = None,
-                  events: DataFrame | None = None) -> Outcome:
+                  as_of=None, base_id: int | None = None, events: DataFrame | None = None,
+                  id_blocks: str | None = None, owner: str | None = None) -> Outcome:
     """Resolve, validate and number ingest records.
 
     ``records``: user_id, event_type (name), timestamp (nullable), metadata
@@ -91,12 +91,15 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
     the dimension; a missing (or JSON null) timestamp becomes ``as_of``. Text
     timestamps are RFC 3339 and stored as UTC; text that isn't is rejected as
     ``invalid_timestamp``, as are unknown users and types by their reasons.
-    Returns accepted events (canonical schema, new dense ids after ``base_id``
-    or after ``max(events.id)``) and the rejects (the record plus ``reason``).
+    Returns accepted events (canonical schema, new dense ids) and the rejects
+    (the record plus ``reason``). Ids are reserved in ``id_blocks``
+    (``sources.idblocks``; the first ever follows ``base_id``, an ``owner`` that
+    repeats its batch gets its ids again); without it they follow ``base_id``,
+    or ``max(events.id)``, which scans that column.
     The judged batch is checkpointed once; ids count its accepted rows.
     """
     as_of = parse_ts(as_of) or utcnow()
-    if base_id is None:
+    if base_id is None and id_blocks is None:
         base_id = max_id(events) if events is not None else 0
     # numbered in the pass that is checkpointed below, so once and for all
     recs = (records if "seq" in records.columns
@@ -123,6 +126,10 @@ def ingest_events(records: DataFrame, users: DataFrame, event_types: DataFrame,
     ok = j.filter(F.col("reason").isNull()).select(
         "seq", "user_id", F.col("_type_id").alias("event_type_id"), "metadata",
         F.coalesce(F.col("_at"), ts(as_of)).alias("timestamp"))
+    if id_blocks is not None:
+        from evtide.sources import idblocks
+        base_id = idblocks.reserve(records.sparkSession, id_blocks, ok.count(), owner,
+                                   base_id or 0)
     accepted = assign_ids(ok, base_id, stable=True).select(
         "id", "user_id", "event_type_id", "metadata", "timestamp", "seq")
     return Outcome(accepted, rejects)

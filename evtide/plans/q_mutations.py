@@ -72,6 +72,26 @@ def q_ingest_ids(spark, sf_dir):
         F.max("id").alias("max_id"), F.countDistinct("id").alias("distinct_ids"))
 
 
+@register("ingest_ids_reserved", sql("""
+SELECT part, CAST(count(*) AS BIGINT) AS n, 1000000001 + part * count(*) AS min_id,
+       1000000000 + (part + 1) * count(*) AS max_id, CAST(count(*) AS BIGINT) AS distinct_ids
+FROM chk, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) p(part)
+WHERE reason IS NULL GROUP BY part""", INGEST_SQL))
+def q_ingest_ids_reserved(spark, sf_dir):
+    """Two ingests with ids from one folder of reserved blocks, the second one
+    run twice under its owner's name (W2); the events aren't asked for theirs."""
+    t, blocks = _t(spark, sf_dir), scratch_path(spark, "id-blocks")
+    out = None
+    for part, owner in ((0, None), (1, "job-2"), (1, "job-2")):
+        got = mutations.ingest_events(ingest_records(spark, sf_dir), t.users, t.event_types,
+                                      as_of=AS_OF, base_id=10 ** 9, id_blocks=blocks, owner=owner)
+        ids = got.table.select(F.lit(part).cast("bigint").alias("part"), "id")
+        out = ids if out is None else out.unionByName(ids)
+    return out.distinct().groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"), F.max("id").alias("max_id"),
+        F.countDistinct("id").alias("distinct_ids"))
+
+
 @register("ingest_rejects", sql(
     'SELECT user_id, event_type, "timestamp", metadata, reason FROM chk '
     'WHERE reason IS NOT NULL', INGEST_SQL))

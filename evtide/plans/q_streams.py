@@ -34,13 +34,14 @@ def _events_as_files(spark, sf_dir, copies: int = 1, files: int = 4) -> str:
 
 @register("stream_dedup", sql("SELECT * FROM c_events"))
 def q_stream_dedup(spark, sf_dir):
-    """Every event delivered twice, in no order; the stream keeps one copy per
-    id, events later than a day are put aside and admitted afterwards (T7)."""
+    """Every event delivered twice, in no order; the state store keeps one copy
+    per id, events a day late are put aside and admitted afterwards (T7)."""
     src = _events_as_files(spark, sf_dir, copies=2)
     out, late = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-late")
     stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=2)
-    streams.dedup_replays(stream, out, late, _named(out), 86_400,
-                          available_now=True).awaitTermination()
+    for query in streams.dedup_replays(stream, out, late, _named(out), 86_400,
+                                       available_now=True):
+        query.awaitTermination()
     return streams.admit_late(streams.read_batches(spark, out, schemas.EVENTS),
                               streams.read_batches(spark, late, schemas.EVENTS))
 

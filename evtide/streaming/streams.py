@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,37 +78,30 @@ def _batch_row(spark: SparkSession, path: str, batch_id: int, schema: str, make)
 def ingest_stream(records: DataFrame, load_users, load_types,
                   accepted_path: str, rejects_path: str, name: str = "ingest",
                   as_of=None, base_id: int = 0, available_now: bool = False,
-                  every: str | None = None) -> StreamingQuery:
+                  every: str | None = None, id_blocks: str | None = None) -> StreamingQuery:
     """Continuous ingest (T1): each micro-batch runs the batch ingest (W1) as
     a stream-static join, then appends accepted events and rejects.
 
     ``load_users()`` and ``load_types()`` are called for every batch, so users
-    and types added while the stream runs are known to the next batch. Ids
-    continue after the largest id handed out by the batch before (or
-    ``base_id``), kept in a one-row-per-batch log under
-    ``<accepted_path>/_id_log``; the time given to events without one is the
-    batch's own, noted before the batch is written. A replayed batch finds both
-    notes and rewrites its own rows, so ids and times stay as they were.
+    and types added while the stream runs are known to the next batch. Ids are
+    reserved in ``id_blocks`` (``<accepted_path>/_ids`` unless batch jobs share
+    another folder), the first after ``base_id``, by the batch's name and number;
+    the time given to events without one is the batch's own, noted before the
+    batch is written. A replayed batch finds both and rewrites its own rows, so
+    ids and times stay as they were; no batch reads what others left.
     Accepted events are partitioned by day inside each batch's folder;
     ``compact_batches`` moves closed batches into the events table.
     """
     spark = records.sparkSession
-    id_log, times = f"{accepted_path}/_id_log", f"{accepted_path}/_times"
+    ids, times = id_blocks or f"{accepted_path}/_ids", f"{accepted_path}/_times"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        base = base_id
-        if path_exists(spark, id_log):
-            row = (spark.read.schema("max_id long, batch_id int").parquet(id_log)
-                   .filter(F.col("batch_id") < batch_id).agg(F.max("max_id")).first()[0])
-            base = max(row or 0, base_id)
         at = _batch_row(spark, times, batch_id, "at timestamp_ntz",
                         lambda: (parse_ts(as_of) or utcnow(),)).at
-        out = mutations.ingest_events(batch, load_users(), load_types(), as_of=at, base_id=base)
-        n = out.table.count()  # the accepted rows are checkpointed by id assignment
+        out = mutations.ingest_events(batch, load_users(), load_types(), as_of=at,
+                                      base_id=base_id, id_blocks=ids, owner=f"{name}-{batch_id}")
         _write_batch(sinks.with_event_date(out.table), accepted_path, batch_id, "event_date")
         _write_batch(out.report, rejects_path, batch_id)
-        (spark.createDataFrame([(base + n,)], "max_id long").write.mode("overwrite")
-         .parquet(f"{id_log}/batch_id={batch_id}"))
 
     w = (records.writeStream.foreachBatch(run)
          .option("checkpointLocation", query_checkpoint(spark, name)))
@@ -147,6 +141,7 @@ def compact_batches(spark: SparkSession, accepted_path: str, table_path: str,
     sinks.append_events(rows, table_path)
     for n in found:
         delete_path(spark, f"{accepted_path}/{n}")
+        delete_path(spark, f"{accepted_path}/_times/{n}")
     return len(found)
 
 
@@ -307,46 +302,62 @@ def inactivity_sessions(events: DataFrame, gap: str = "30 minutes",
 # ---------------------------------------------------------------- T7
 def dedup_replays(stream: DataFrame, path: str, late_path: str, name: str,
                   delay_s: int, available_now: bool = False,
-                  every: str | None = None) -> StreamingQuery:
+                  every: str | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """Keep one event per id of a stream that delivers some twice.
 
-    Accepted events go to ``path`` by day. A batch's ids are compared with the
-    accepted events of the days that can still receive events: none older than
-    the newest time seen in earlier batches less ``delay_s``. Rows older than
-    that are neither accepted nor dropped but put aside in ``late_path``;
-    ``admit_late`` compares those with the whole table. A replayed batch
-    rewrites its own rows.
+    Two queries over the stream, neither of which reads what earlier batches wrote.
+    The first keeps the ids of the last ``delay_s`` seconds of event time in the state
+    store (RocksDB: on the executors' disks, with a changelog in the checkpoint) and
+    appends events with new ids to ``path`` by day. What its watermark passes over is
+    not lost: the second, stateless, puts rows that are not newer than the newest time
+    seen less ``delay_s``, its own batch included, aside in ``late_path``. That is a
+    superset of what the first can have dropped, however either stream is cut into
+    batches; ``admit_late`` compares it with the whole table. A replayed batch rewrites
+    its own rows.
     """
     spark = stream.sparkSession
-    marks = f"{path}/_marks"
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        newest = None
-        if path_exists(spark, marks):
-            newest = (spark.read.schema("newest timestamp_ntz, batch_id int").parquet(marks)
-                      .filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0])
-        cut = None if newest is None else newest - dt.timedelta(seconds=delay_s)
-        mark = _batch_row(spark, marks, batch_id, "newest timestamp_ntz",
-                          lambda: (batch.agg(F.max("timestamp")).first()[0],))
-        late = batch.filter(F.col("timestamp") < ts(cut)) if cut else batch.limit(0)
-        fresh = (batch.filter(F.col("timestamp") >= ts(cut)) if cut else batch
-                 ).dropDuplicates(["id"])
-        if cut is not None:
-            seen = (spark.read.schema(_ACCEPTED).parquet(path)
-                    .filter((F.col("batch_id") < batch_id)
-                            & (F.col("event_date") >= F.lit(cut.date()))))
-            fresh = fresh.join(seen.select("id"), "id", "left_anti")
-        log.debug("batch %s: newest %s", batch_id, mark.newest)
-        _write_batch(sinks.with_event_date(fresh), path, batch_id, "event_date")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(sinks.with_event_date(batch.drop(EVENT_TIME)), path, batch_id, "event_date")
+
+    def aside(batch: DataFrame, batch_id: int) -> None:
+        # the note of the batch before is a folder of its own: one row is read
+        before = (spark.read.schema("newest timestamp_ntz")
+                  .parquet(f"{late_path}/_marks/batch_id={batch_id - 1}").first().newest
+                  if batch_id else None)
+        mark = _batch_row(spark, f"{late_path}/_marks", batch_id, "newest timestamp_ntz",
+                          lambda: (max(filter(None, [
+                              before, batch.agg(F.max("timestamp")).first()[0]]), default=None),))
+        late = (batch.limit(0) if mark.newest is None else batch.filter(
+            F.col("timestamp") <= ts(mark.newest - dt.timedelta(seconds=delay_s))))
         _write_batch(late, late_path, batch_id)
-
-    w = (stream.writeStream.foreachBatch(run)
-         .option("checkpointLocation", query_checkpoint(spark, name)))
-    return _trigger(w, available_now, every).start()
-
-
-_ACCEPTED = T.StructType([*schemas.EVENTS.fields, T.StructField("batch_id", T.IntegerType()),
-                          T.StructField("event_date", T.DateType())])
+        if batch_id > 1:
+            delete_path(spark, f"{late_path}/_marks/batch_id={batch_id - 2}")
+
+    fresh = (with_event_time(stream).withWatermark(EVENT_TIME, f"{delay_s} seconds")
+             .dropDuplicatesWithinWatermark(["id"]))
+    queries = []
+    for df, run, part in ((fresh, keep, name), (stream, aside, f"{name}-late")):
+        w = (df.writeStream.foreachBatch(run)
+             .option("checkpointLocation", query_checkpoint(spark, part)))
+        with _rocksdb(spark):
+            queries.append(_trigger(w, available_now, every).start())
+    return queries[0], queries[1]
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """A query started meanwhile keeps its state in RocksDB, not on the heap."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state."
+                              "RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def admit_late(accepted: DataFrame, late: DataFrame) -> DataFrame:
