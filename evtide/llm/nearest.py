@@ -17,10 +17,12 @@ in blocks of queries of bounded size, and each pair of blocks is one matrix
 product that returns the best of the visited leaves.
 
 Nearness is the largest inner product in double precision, ties to the smaller
-id. Defined results: rows with a null id or a vector that is null, zero, of
-another length than most, or holds a null or non-finite component take no part;
-of rows that repeat an id, the smallest vector counts. An empty table, or one
-without queries, gives no rows.
+id. Rows are numbered in the order of their ids and known by that number, so
+rows that share an id are queries and candidates of their own (each query row
+has its ranks; a row isn't its own neighbour, another with its id may be).
+Defined results: rows with a null id or a vector that is null, zero, of
+another length than most, or holds a null or non-finite component take no part.
+An empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtide.llm.common import map_batches, materialise
+from evtide.operators.running import running
 
 SAMPLE = 10_000
 BRANCH = 8
@@ -150,25 +153,28 @@ def _top(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, keep: int,
 
 
 def valid_vectors(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v): one usable double vector per id, and the vectors' length."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
+    """(vec_id, v, row): the usable double vectors, numbered in the order of their
+    ids, and the vectors' length."""
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
+                       F.col("embedding").cast("array<double>").alias("v")).where(
         "vec_id is not null and v is not null and size(v) > 0")
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)
                          & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     most = (v.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "dim").first())
     dim = most.dim if most else 1
-    one = Window.partitionBy("vec_id").orderBy("v")
-    return (v.where(F.size("v") == dim).withColumn("__n", F.row_number().over(one))
-            .where("__n = 1").drop("__n")), dim
+    # rows that share an id may take any order, so a number of their own spreads them
+    return running(v.where(F.size("v") == dim).withColumn("tie", F.monotonically_increasing_id()),
+                   [], [F.col("vec_id").asc(), F.col("tie").asc()], "row").drop("tie"), dim
 
 
 def distinct_vectors(v: DataFrame, keep: int) -> DataFrame:
-    """(rep, members, v): distinct vectors with their ``keep`` smallest ids."""
-    first = Window.partitionBy("v").orderBy("vec_id")
+    """(rep, members, v): distinct vectors with their ``keep`` first rows (row, vec_id)."""
+    first = Window.partitionBy("v").orderBy("row")
     return (v.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= keep)
-            .groupBy("v").agg(F.min("vec_id").alias("rep"),
-                              F.array_sort(F.collect_list("vec_id")).alias("members")))
+            .groupBy("v").agg(F.min("row").alias("rep"),
+                              F.array_sort(F.collect_list(F.struct("row", "vec_id")))
+                              .alias("members")))
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
@@ -284,7 +290,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE,
     keep = k + 1
     base = materialise(distinct_vectors(v, keep), "distinct-vectors")
     asked = v.where(is_query)
-    q_of = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
+    q_of = asked.groupBy("v").agg(F.min("row").alias("q"))
     q_of = materialise(q_of, "query-vectors")
     picked = (base.select("rep", "v").orderBy(F.xxhash64("v"), "rep").limit(sample)
               .select("v").toArrow())
@@ -329,10 +335,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE,
     found = (data.groupBy(*key).cogroup(queries.groupBy(*key))
              .applyInArrow(score, "q bigint, rep bigint, score double"))
     best = _best(found, keep).join(base.select("rep", "members"), "rep").select(
-        "q", "score", F.explode("members").alias("rep"))
-    best = _best(best, keep).withColumnRenamed("rep", "vec_id")
-    members = asked.join(q_of, "v").select(F.col("vec_id").alias("query_id"), "q")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (members.join(best, "q").where(F.col("query_id") != F.col("vec_id"))
+        "q", "score", F.explode("members").alias("m"))
+    best = _best(best.select("q", "score", F.col("m.row").alias("rep"),
+                             F.col("m.vec_id").alias("vec_id")), keep)
+    members = asked.join(q_of, "v").select(F.col("vec_id").alias("query_id"), "row", "q")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "rep")
+    return (members.join(best, "q").where(F.col("row") != F.col("rep"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

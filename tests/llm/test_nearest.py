@@ -67,12 +67,30 @@ def test_odd_rows(spark):
             (None, [1.0, 1.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (9, [-1.0, 0.0]), (40, None)]
     df = spark.createDataFrame([(i, v, "clash") for i, v in data],
                                "vec_id long, embedding array<float>, score string")
-    got = result(ne.nearest(df, F.col("vec_id") % 20 == 0))
-    assert got == {0: [(1, 1.0), (20, 0.5), (9, -1.0)], 20: [(0, 0.5), (1, 0.5), (9, -0.5)]}
+    got = sorted(rows(ne.nearest(df, F.col("vec_id") % 20 == 0)))
+    # both rows of id 20 are asked for, and each is a neighbour of the other
+    twice = [(20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 20, 0.5), (20, 4, 9, -0.5)]
+    assert got == sorted([(0, 1, 1, 1.0), (0, 2, 20, 0.5), (0, 3, 20, 0.5), (0, 4, 9, -1.0)]
+                         + twice + twice)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert rows(ne.nearest(none, F.col("vec_id") % 20 == 0)) == []
 
 
+def test_one_id_with_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(rng.integers(0, 60)), rng.integers(-3, 4, 2).astype(float).tolist())
+            for _ in range(200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    valid = [(i, v) for i, v in data if any(v)]
+    for k, (q, v) in enumerate(valid):
+        if q % 20 == 0:
+            found = sorted((-float(np.dot(v, w)), i) for j, (i, w) in enumerate(valid) if j != k)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:300])]
+    got = rows(ne.nearest(df, F.col("vec_id") % 20 == 0, k=300))
+    assert sorted(got) == sorted(want)
+
+
 def test_calibration_widens_visits():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8))
