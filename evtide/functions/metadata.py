@@ -149,3 +149,31 @@ def with_hot_columns(df, metadata: str = "metadata"):
     return typed.select("*", ok.alias("_ok")).select(
         *df.columns, F.coalesce(F.array_contains("_keys", "page"), F.lit(False))
         .alias("m_has_page"), text.alias("m_page_text"), *fields)
+
+
+def metadata_text(**fields) -> Column:
+    """JSON text of the given fields, in their order; null fields are left out
+    (F16, F17: which keys there are may differ from row to row)."""
+    return F.to_json(F.struct(*[_c(v).alias(k) for k, v in fields.items()]))
+
+
+#: Column that keeps the parsed metadata beside its text.
+VARIANT_COLUMN = "m_variant"
+
+
+def with_variant(df, metadata: str = "metadata"):
+    """``df`` with the metadata as a VARIANT, null where it isn't JSON. Stored once,
+    it answers any path, hot or not, without a parse (P5, P9, F5)."""
+    return df if VARIANT_COLUMN in df.columns else df.withColumn(
+        VARIANT_COLUMN, variant(metadata))
+
+
+def at_path(path: str, kind: str = "string") -> Column:
+    """The value at a JSON path of the stored VARIANT, null if it isn't of ``kind``."""
+    return F.try_variant_get(VARIANT_COLUMN, path, kind)
+
+
+def kind_at(path: str) -> Column:
+    """The JSON kind at a path of the stored VARIANT: STRING, BIGINT, VOID (JSON
+    null), OBJECT<...>, ...; null where there is nothing."""
+    return F.schema_of_variant(F.try_variant_get(VARIANT_COLUMN, path, "variant"))

@@ -69,6 +69,12 @@ def lookback_start(as_of, days: int = 30) -> dt.datetime:
     return parse_ts(as_of) - dt.timedelta(days=days)
 
 
+def range_issue(frm, to) -> Column:
+    """The same rule for a table of ranges: ``from_not_before_to`` or null."""
+    f, t = (F.col(c) if isinstance(c, str) else c for c in (frm, to))
+    return F.when(f >= t, F.lit("from_not_before_to"))
+
+
 def check_range(frm, to) -> None:
     """Range validation (P13): from must be before to when both are given."""
     f, t = parse_ts(frm), parse_ts(to)

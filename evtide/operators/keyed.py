@@ -9,6 +9,9 @@ over *all* keys at once:
 * set:    (key, member)
 * writes: (key, value, ts, seq)    -- register history; last write wins
 
+A null key, member or score is a value like any other: nulls are equal, sort first
+and lie in no range.
+
 Ranks follow sorted-set order: ascending by (score, member); reverse order is
 descending on both. Ranks and positions are 0-based; negative indexes count
 from the end (-1 is the last).
@@ -44,10 +47,18 @@ def add_scores(board: DataFrame | None, increments: DataFrame) -> DataFrame:
     inc = increments.groupBy("board", "member").agg(F.sum("delta").alias("_inc"))
     if board is None:
         return inc.select("board", "member", F.col("_inc").cast("double").alias("score"))
-    j = board.join(inc, ["board", "member"], "full_outer")
-    return j.select("board", "member",
-                    (F.coalesce("score", F.lit(0.0)) + F.coalesce("_inc", F.lit(0.0)))
-                    .cast("double").alias("score"))
+    # one row per member on either side, so both are added up by a union, which
+    # treats nulls as equal; a score without increments stays what it is
+    rows = board.select("board", "member", F.col("score").cast("double").alias("_s"),
+                        F.lit(None).cast("double").alias("_i"), F.lit(1).alias("_there"))
+    more = inc.select("board", "member", F.lit(None).cast("double").alias("_s"),
+                      F.col("_inc").cast("double").alias("_i"), F.lit(0).alias("_there"))
+    j = rows.unionByName(more).groupBy("board", "member").agg(
+        F.max("_s").alias("_s"), F.max("_i").alias("_i"), F.max("_there").alias("_there"))
+    return j.select("board", "member", F.when(F.col("_i").isNull() & (F.col("_there") == 1),
+                                              F.col("_s"))
+                    .otherwise(F.coalesce("_s", F.lit(0.0)) + F.coalesce("_i", F.lit(0.0)))
+                    .alias("score"))
 
 
 # ---------------------------------------------------------------- N1-N4, K8-K10
@@ -119,7 +130,7 @@ def top(board: DataFrame, n: int, bottom: bool = False) -> DataFrame:
     (WindowGroupLimit) before the shuffle.
     """
     if n <= 0:
-        return board.limit(0).withColumn("rank", F.lit(0))
+        return board.limit(0).withColumn("rank", F.lit(0).cast("long"))
     return _first_rows(board, n, bottom).withColumn(
         "rank", (F.col("_rn") - 1).cast("long")).drop("_rn")
 
@@ -148,8 +159,9 @@ def count_by_score(board: DataFrame, lo: float, hi: float) -> DataFrame:
 
 
 def remove_by_score(board: DataFrame, lo: float, hi: float) -> DataFrame:
-    """The board without members scored in [lo, hi]."""
-    return board.filter(~F.col("score").between(lo, hi))
+    """The board without members scored in [lo, hi] (K10); a null score is in no
+    range and stays."""
+    return board.filter(~F.coalesce(F.col("score").between(lo, hi), F.lit(False)))
 
 
 def ordered_positions(df: DataFrame, order: list[str], num_partitions: int | None = None,
@@ -276,8 +288,8 @@ def set_intersect(sets: DataFrame, keys: list[str]) -> DataFrame:
 def set_diff(sets: DataFrame, first: str, others: list[str]) -> DataFrame:
     """Members of ``first`` in none of ``others``."""
     a = sets.filter(F.col("key") == first).select("member").distinct()
-    b = sets.filter(F.col("key").isin(others)).select("member")
-    return a.join(b, "member", "left_anti")
+    b = sets.filter(F.col("key").isin(others)).select(F.col("member").alias("_m"))
+    return a.join(b, F.col("member").eqNullSafe(F.col("_m")), "left_anti")
 
 
 def set_add(sets: DataFrame, adds: DataFrame) -> DataFrame:
@@ -287,17 +299,22 @@ def set_add(sets: DataFrame, adds: DataFrame) -> DataFrame:
 
 def set_remove(sets: DataFrame, removes: DataFrame) -> DataFrame:
     """Remove members."""
-    return sets.join(removes.select("key", "member"), ["key", "member"], "left_anti")
+    r = removes.select(F.col("key").alias("_k"), F.col("member").alias("_m"))
+    return sets.join(r, F.col("key").eqNullSafe(F.col("_k"))
+                     & F.col("member").eqNullSafe(F.col("_m")), "left_anti")
 
 
 def set_move(sets: DataFrame, moves: DataFrame) -> DataFrame:
     """Move (src, dst, member) where the member is in src (U7). Of several
     moves of one member from one set, the lowest ``seq`` (input order) wins."""
     from evtide.operators.mutations import with_seq
-    m = (with_seq(moves).groupBy(F.col("src").alias("key"), "member")
-         .agg(F.min_by("dst", "seq").alias("dst")))
-    j = sets.join(m, ["key", "member"], "left")
-    return j.select(F.coalesce("dst", "key").alias("key"), "member").distinct()
+    m = (with_seq(moves).groupBy(F.col("src").alias("_k"), F.col("member").alias("_m"))
+         .agg(F.min_by(F.struct("dst"), "seq").alias("_to")))
+    j = sets.join(m, F.col("key").eqNullSafe(F.col("_k"))
+                  & F.col("member").eqNullSafe(F.col("_m")), "left")
+    # the move in a struct, so that one to the null key is told from none
+    return j.select(F.when(F.col("_to").isNull(), F.col("key")).otherwise(F.col("_to.dst"))
+                    .alias("key"), "member").distinct()
 
 
 def set_sizes(sets: DataFrame) -> DataFrame:

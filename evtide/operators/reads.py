@@ -100,10 +100,34 @@ def lookup(df: DataFrame, keys: DataFrame, key: str = "id",
     return df.join(k, key, "left_semi")
 
 
+#: Keys that are pushed to the scan; more of them are a semi-join.
+PUSHED_KEYS = 200
+
+
+def lookup_few(df: DataFrame, keys: DataFrame, key: str = "id",
+               keys_col: str | None = None) -> DataFrame:
+    """``lookup`` for a short list of keys: they become literals of the scan, which
+    skips the row groups whose statistics or bloom filter (``sinks.with_id_filters``)
+    rule them all out. A list longer than ``PUSHED_KEYS`` is a semi-join.
+
+    Each key is an equality of its own: of a long IN list Spark pushes only the
+    least and greatest value.
+    """
+    k = keys.select(F.col(keys_col or key).alias(key)).where(F.col(key).isNotNull()).distinct()
+    found = [r[0] for r in k.limit(PUSHED_KEYS + 1).collect()]
+    if len(found) > PUSHED_KEYS:
+        return lookup(df, keys, key, keys_col)
+    cond = F.lit(False)
+    for v in found:
+        one = F.col(key) == F.lit(v).cast(df.schema[key].dataType)
+        cond = one if v == found[0] else cond | one
+    return df.filter(cond)
+
+
 def event_by_id(events: DataFrame, event_types: DataFrame, keys: DataFrame,
                 keys_col: str = "id") -> DataFrame:
-    """Events by id with type name."""
-    return event_response(with_type_name(lookup(events, keys, "id", keys_col), event_types))
+    """Events by id with type name."""
+    return event_response(with_type_name(lookup_few(events, keys, "id", keys_col), event_types))
 
 
 def find_by_name(df: DataFrame, name: str) -> DataFrame:
@@ -181,10 +205,15 @@ def events_page(events: DataFrame, limit: int | None = None,
     return _page(bare_event(events), ["timestamp", "id"], True, limit, offset or 0, deep)
 
 
-def users_page(users: DataFrame, limit: int | None = None,
-               offset: int | None = None, deep: bool = False) -> DataFrame:
-    """Users by name with optional limit/offset (K4), ``deep`` as in K3."""
-    return _page(user_response(users), ["name", "id"], False, limit, offset or 0, deep)
+def users_page(users: DataFrame, limit: int | None = None, offset: int | None = None,
+               deep: bool = False, collation: str | None = None) -> DataFrame:
+    """Users by name with optional limit/offset (K4), ``deep`` as in K3; names in
+    the order of ``collation`` as in S2."""
+    u = user_response(users)
+    if collation is None:
+        return _page(u, ["name", "id"], False, limit, offset or 0, deep)
+    keyed = u.withColumn("_name", F.collate(F.col("name"), collation))
+    return _page(keyed, ["_name", "id"], False, limit, offset or 0, deep).drop("_name")
 
 
 def _cursor_page(df: DataFrame, order, limit: int, key_cols: list[str]) -> DataFrame:
@@ -228,14 +257,17 @@ def events_cursor(events: DataFrame, cursor_ts=None, cursor_id: int | None = Non
     return _cursor_page(ev, newest_first(), n, ["timestamp", "id"])
 
 
-def users_cursor(users: DataFrame, cursor_name: str | None = None,
-                 limit: int = 100) -> DataFrame:
-    """Keyset page of users by name ascending (K7): ``name > cursor``."""
+def users_cursor(users: DataFrame, cursor_name: str | None = None, limit: int = 100,
+                 collation: str | None = None) -> DataFrame:
+    """Keyset page of users by name ascending (K7): ``name > cursor``, both in the
+    order of ``collation`` if one is given (names that it takes for equal to the
+    cursor are behind the page's end, as the cursor is)."""
     n = clamp_limit(limit)
     u = user_response(users)
+    name = F.col("name") if collation is None else F.collate(F.col("name"), collation)
     if cursor_name is not None:
-        u = u.filter(F.col("name") > F.lit(cursor_name))
-    return _cursor_page(u, (F.col("name"), F.col("id")), n, ["name"])
+        u = u.filter(name > F.lit(cursor_name))
+    return _cursor_page(u, (name, F.col("id")), n, ["name"])
 
 
 def latest_per_user(events: DataFrame, n: int, event_types: DataFrame | None = None
@@ -247,7 +279,7 @@ def latest_per_user(events: DataFrame, n: int, event_types: DataFrame | None = N
     rows ships at most ``n`` rows per map task.
     """
     if n <= 0:
-        return events.limit(0).withColumn("rank", F.lit(0))
+        return events.limit(0).withColumn("rank", F.lit(0).cast("long"))
     w = Window.partitionBy("user_id").orderBy(*newest_first())
     out = (events.withColumn("rank", F.row_number().over(w).cast("long"))
            .filter(F.col("rank") <= n))

@@ -366,3 +366,75 @@ def q_set_move_twice(spark, sf_dir):
     moves = day.withColumn("dst", F.lit("second")).withColumn("seq", F.lit(2)).unionByName(
         day.withColumn("dst", F.lit("first")).withColumn("seq", F.lit(1)))
     return keyed.set_move(a, moves)
+
+
+def _null_board(spark, sf_dir) -> DataFrame:
+    """A board with null boards, members and scores."""
+    e = _t(spark, sf_dir).events.groupBy(
+        F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")))
+        .alias("board"),
+        F.when(F.col("event_type_id") != 2, F.col("user_id").cast("string")).alias("member")).agg(
+        F.count(F.lit(1)).cast("double").alias("score"))
+    return e.withColumn("score", F.when(F.coalesce(F.col("member"), F.lit("3")) != "3",
+                                        F.col("score")))
+
+
+NULL_BOARD_SQL = """
+nb AS (
+  SELECT board, member, CASE WHEN coalesce(member, '3') <> '3' THEN score END AS score FROM (
+    SELECT CASE WHEN user_id % 4 <> 0 THEN 'b' || CAST(user_id % 3 AS VARCHAR) END AS board,
+           CASE WHEN event_type_id <> 2 THEN CAST(user_id AS VARCHAR) END AS member,
+           CAST(count(*) AS DOUBLE) AS score FROM c_events GROUP BY 1, 2) x)"""
+
+
+@register("null_board_scores", sql("""
+SELECT n.board, n.member, CASE WHEN i.delta IS NULL THEN n.score
+                               ELSE coalesce(n.score, 0) + i.delta END AS score
+FROM nb n LEFT JOIN (
+  SELECT board, member, 2.5 AS delta FROM nb WHERE board IS NULL OR member IS NULL) i
+  ON n.board IS NOT DISTINCT FROM i.board AND n.member IS NOT DISTINCT FROM i.member
+UNION ALL SELECT NULL, 'new', 1.0""", NULL_BOARD_SQL))
+def q_null_board_scores(spark, sf_dir):
+    """Increments of null boards and members, which are members like others."""
+    board = _null_board(spark, sf_dir)
+    inc = board.where("board IS NULL OR member IS NULL").select(
+        "board", "member", F.lit(2.5).alias("delta"))
+    one = spark.createDataFrame([(None, "new", 1.0)], "board string, member string, delta double")
+    return keyed.add_scores(board, inc.unionByName(one))
+
+
+@register("null_board_remove", sql(
+    "SELECT board, member, score FROM nb WHERE score IS NULL OR score NOT BETWEEN 1 AND 3",
+    NULL_BOARD_SQL))
+def q_null_board_remove(spark, sf_dir):
+    """A null score lies in no range and stays."""
+    return keyed.remove_by_score(_null_board(spark, sf_dir), 1, 3)
+
+
+def _null_sets(spark, sf_dir) -> DataFrame:
+    return _null_board(spark, sf_dir).select(F.col("board").alias("key"), "member").distinct()
+
+
+@register("null_set_edits", sql("""
+SELECT DISTINCT 'kept' AS part, board AS key, member FROM nb
+WHERE board IS NOT NULL AND member IS NOT NULL
+UNION ALL SELECT DISTINCT 'moved', CASE WHEN board IS NULL THEN 'b9' WHEN board = 'b1' THEN NULL
+                                        ELSE board END, member FROM nb
+UNION ALL SELECT DISTINCT 'diff', NULL, member FROM nb a WHERE board = 'b0' AND NOT EXISTS (
+  SELECT 1 FROM nb b WHERE b.board = 'b1' AND b.member IS NOT DISTINCT FROM a.member)""",
+    NULL_BOARD_SQL))
+def q_null_set_edits(spark, sf_dir):
+    """Null keys and members removed, moved and taken off."""
+    sets = _null_sets(spark, sf_dir)
+    gone = sets.where("key IS NULL OR member IS NULL")
+    moves = sets.select(F.col("key").alias("src"), "member").where(
+        "src IS NULL OR src = 'b1'").withColumn(
+        "dst", F.when(F.col("src").isNull(), F.lit("b9")))
+    parts = (("kept", keyed.set_remove(sets, gone)), ("moved", keyed.set_move(sets, moves)),
+             ("diff", keyed.set_diff(sets, "b0", ["b1"]).withColumn(
+                 "key", F.lit(None).cast("string"))))
+    out = None
+    for name, df in parts:
+        rows = df.select(F.lit(name).alias("part"), "key", "member")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evtide.functions.metadata import metadata_issue, with_typed_metadata
+from evtide.functions.metadata import (
+    METADATA, at_path, kind_at, metadata_issue, metadata_text, with_typed_metadata,
+)
+from evtide.functions.text import category
+from evtide.functions.timefn import range_issue
 from evtide.operators import metrics, reads
 from evtide.operators.keyed import ordered_positions
 from evtide.plans.oracle import sql, tsl
+from evtide.sources import sinks
+from evtide.sources.driver_tables import read_driver, stored_snapshot
 from evtide.plans.registry import (
     _BARE,
     LOOKUP_IDS,
@@ -188,7 +194,7 @@ def q_type_by_name(spark, sf_dir):
 def q_user_by_id(spark, sf_dir):
     """Lookup of users by a key list."""
     keys = spark.createDataFrame([(3,), (77,), (123456789,)], "id long")
-    return reads.user_response(reads.lookup(_t(spark, sf_dir).users, keys))
+    return reads.user_response(reads.lookup_few(_t(spark, sf_dir).users, keys))
 
 
 @register("count_tables", sql("""
@@ -260,3 +266,75 @@ def ordered_rows(listing):
     at = F.monotonically_increasing_id()
     rows = listing.select("id", at.alias("_at"))
     return ordered_positions(rows, ["_at"], col="pos").drop("_at")
+
+
+@register("range_checks", sql("""
+SELECT l_orderkey, l_linenumber, CASE WHEN o_orderdate >= l_shipdate
+       THEN 'from_not_before_to' END AS issue
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""))
+def q_range_checks(spark, sf_dir):
+    """The rule of report ranges (P13) on a table of them: order to shipping."""
+    lines = read_driver(spark, sf_dir, "lineitem").join(
+        read_driver(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return lines.select("l_orderkey", "l_linenumber",
+                        range_issue("o_orderdate", "l_shipdate").alias("issue"))
+
+
+@register("name_categories", sql("""
+SELECT split_part(lower(c_mktsegment) || '.' || c_name || '.x', '.', 1) AS category, count(*) AS n
+FROM customer GROUP BY 1"""))
+def q_name_categories(spark, sf_dir):
+    """Names counted by what is before their first dot."""
+    c = read_driver(spark, sf_dir, "customer").select(F.concat_ws(
+        ".", F.lower("c_mktsegment"), "c_name", F.lit("x")).alias("name"))
+    return c.groupBy(category("name").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TEXT_SQL = """'{' || concat_ws(',',
+  '"page":"' || page || '"', '"referrer":"' || referrer || '"',
+  '"session_id":"' || session_id || '"', '"product_id":' || CAST(product_id AS VARCHAR)) || '}'"""
+
+
+@register("metadata_roundtrip", sql(f"""
+SELECT id, {_TEXT_SQL} AS text, page, referrer, session_id, product_id
+FROM c_typed WHERE meta_ok"""))
+def q_metadata_roundtrip(spark, sf_dir):
+    """The typed metadata written as JSON text and read back (F16)."""
+    e = with_typed_metadata(_t(spark, sf_dir).events).where("meta IS NOT NULL")
+    fields = [f.name for f in METADATA.fields]
+    e = e.select("id", metadata_text(**{f: F.col(f"meta.{f}") for f in fields}).alias("text"))
+    back = F.from_json("text", METADATA.simpleString())
+    return e.select("id", "text", back.alias("b")).select("id", "text", "b.*")
+
+
+@register("metadata_by_category", sql("""
+SELECT e.id, CASE t.name WHEN 'purchase' THEN '{"product_id":' || CAST(e.user_id AS VARCHAR)
+                  || ',"amount":' || CAST(e.id % 7 AS VARCHAR) || '}'
+             WHEN 'error' THEN '{"code":"e' || CAST(e.id % 5 AS VARCHAR) || '"}'
+             ELSE '{"page":"/' || t.name || '"}' END AS text
+FROM c_events e JOIN c_event_types t ON t.id = e.event_type_id"""))
+def q_metadata_by_category(spark, sf_dir):
+    """JSON whose keys differ by the type of the event."""
+    t = _t(spark, sf_dir)
+    e = reads.with_type_name(t.events, t.event_types)
+    kind = F.col("event_type")
+    bought, failed = kind == "purchase", kind == "error"
+    return e.select("id", metadata_text(
+        product_id=F.when(bought, F.col("user_id")), amount=F.when(bought, F.col("id") % 7),
+        code=F.when(failed, F.concat(F.lit("e"), (F.col("id") % 5).cast("string"))),
+        page=F.when(~bought & ~failed, F.concat(F.lit("/"), kind))).alias("text"))
+
+
+@register("numeric_sessions", sql("""
+SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, count(*) AS events,
+       count(DISTINCT CAST(metadata ->> '$.session_id' AS BIGINT)) AS sessions
+FROM c_events WHERE json_type(metadata, '$.session_id') IN ('BIGINT', 'UBIGINT') GROUP BY 1"""))
+def q_numeric_sessions(spark, sf_dir):
+    """Sessions whose id is a number, which no hot column keeps: read from the
+    stored VARIANT (P5, P9), no JSON is parsed."""
+    path = stored_snapshot(spark, sf_dir, "events-variant", lambda t, base: sinks.append_events(
+        t.events, f"{base}/events", variant=True))
+    e = spark.read.parquet(f"{path}/events").where(kind_at("$.session_id") == "BIGINT")
+    return e.groupBy(F.col("event_date").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.countDistinct(at_path("$.session_id", "bigint")).alias("sessions"))

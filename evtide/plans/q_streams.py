@@ -14,7 +14,7 @@ from evtide.plans.q_mutations import (
 from evtide.plans.q_report import ROLLUP_SQL
 from evtide.plans.registry import AS_OF, ORACLES, register, _t
 from evtide.session import scratch_path
-from evtide.sources import schemas, sinks
+from evtide.sources import ranges, schemas, sinks
 from evtide.sources.driver_tables import read_driver
 from evtide.streaming import streams
 
@@ -195,6 +195,61 @@ def q_log_trim_repeats(spark, sf_dir):
         "id", F.col("fields")["order"].cast("long").alias("user_id"))
 
 
+@register("log_trim_in_place", sql("""
+SELECT id, user_id FROM (
+  SELECT o_custkey AS id, o_orderkey AS user_id, row_number() OVER (
+    ORDER BY o_custkey DESC, '{"order":"' || CAST(o_orderkey AS VARCHAR) || '"}' DESC) AS k
+  FROM orders) x WHERE k <= 555"""))
+def q_log_trim_in_place(spark, sf_dir):
+    """A stored log trimmed twice where it lies (T11), its ids repeat."""
+    base = scratch_path(spark, "log")
+    log = read_driver(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"),
+        F.create_map(F.lit("order"), F.col("o_orderkey").cast("string")).alias("fields"))
+    streams.store_log(log, base)
+    for n in (777, 555):
+        streams.log_trim_in_place(spark, base, n)
+    return ranges.data(spark, base).select(
+        "id", F.col("fields")["order"].cast("long").alias("user_id"))
+
+
+@register("log_stream_read", sql("""
+SELECT (k - 1) // 4000 AS call, min(id) AS first_id, max(id) AS last_id, count(*) AS n,
+       CAST(sum(user_id) AS BIGINT) AS users
+FROM (SELECT id, user_id, row_number() OVER (ORDER BY id) AS k FROM c_events) x GROUP BY 1"""))
+def q_log_stream_read(spark, sf_dir):
+    """A consumer that reads a stored log by position (T9), 4000 entries a call, is
+    stopped after the first ones and goes on."""
+    base, out = scratch_path(spark, "log"), scratch_path(spark, "log-calls")
+    streams.store_log(streams.log_from_events(_t(spark, sf_dir).events), base)
+    size = ranges.index(spark, base).agg(F.max("total")).first()[0]
+    calls = []
+
+    def handle(entries, batch_id):
+        entries.select("id", F.col("fields")["user_id"].cast("long").alias("user_id")) \
+            .write.mode("overwrite").parquet(f"{out}/call={batch_id}")
+        calls.append(batch_id)
+
+    for wanted in (1, -(-size // 4000)):
+        query = streams.follow_log(spark, base, _named(out), handle, count=4000)
+        try:
+            for _ in range(1200):
+                if len(set(calls)) >= wanted or not query.isActive:
+                    break
+                time.sleep(0.25)
+        finally:
+            query.stop()
+    # batches that found nothing have no folder: calls are numbered as they came
+    order = {b: k for k, b in enumerate(sorted(set(calls)))}
+    numbers = spark.createDataFrame(list(order.items()), "batch long, k long")
+    return (spark.read.schema("id long, user_id long, call long").parquet(out)
+            .groupBy(F.col("call").alias("batch")).agg(
+                F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+                F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+            .join(numbers, "batch").select(F.col("k").alias("call"), "first_id", "last_id", "n",
+                                           "users"))
+
+
 @register("log_info", sql("""
 SELECT count(*) AS length, min(id) AS first_id, max(id) AS last_id,
        CAST(arg_min(user_id, id) AS VARCHAR) AS first_user,

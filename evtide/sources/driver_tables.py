@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from evtide.functions.metadata import with_hot_columns
 from evtide.session import file_state, path_exists, scratch_path
 from evtide.sources import schemas
-from evtide.sources.sinks import write_table
+from evtide.sources.sinks import with_id_filters, write_table
 
 # Referrer list of the adapter, indexed by k % 5.
 REFERRERS = (
@@ -142,8 +142,8 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
         write_table(t.event_types, f"{base}/event_types")
         write_table(t.users, f"{base}/users")
         ordered = t.events.repartitionByRange(parts, "timestamp", "id")
-        (with_hot_columns(ordered).sortWithinPartitions("timestamp", "id")
-         .write.parquet(f"{base}/events"))
+        rows = with_hot_columns(ordered).sortWithinPartitions("timestamp", "id")
+        with_id_filters(rows.write).parquet(f"{base}/events")
         hot = spark.read.parquet(f"{base}/events")
         _STORED[key] = Tables(
             users=spark.read.parquet(f"{base}/users"),

@@ -109,7 +109,49 @@ def page(spark: SparkSession, base: str, limit: int, offset: int = 0,
     return rows.orderBy(*keys).limit(skip + hi - lo).offset(skip)
 
 
+def after(spark: SparkSession, base: str, key: tuple | None, count: int) -> DataFrame:
+    """The first ``count`` rows behind ``key`` (a value per order column; None: from
+    the start) of a table stored without groups, in order. The index tells where they
+    begin and how many ranges they take; no others are read."""
+    schema, order, _ = layout(spark, base)
+    w = Window.orderBy(RANGE)                   # over a row per range
+    idx = index(spark, base).withColumn("_next", F.lead("first").over(w))
+    behind = F.lit(True)
+    if key is not None:
+        at = F.struct(*[F.lit(v).cast(schema[c].dataType).alias(c) for c, v in zip(order, key)])
+        idx = idx.where(F.col("_next").isNull() | (F.col("_next") > at))
+        behind = F.struct(*order) > at
+    # the first range may hold few rows behind the key, the others hold them all
+    least = idx.agg(F.min_by("n", RANGE).alias("n"), F.min("before").alias("b")).first()
+    hit = [] if least.b is None else [r[0] for r in idx.where(
+        F.col("before") < least.b + least.n + count).select(RANGE).collect()]
+    return data(spark, base, hit).drop(RANGE).where(behind).orderBy(*order).limit(count)
+
+
 # ---------------------------------------------------------------- changes
+def trim(spark: SparkSession, base: str, keep: int) -> int:
+    """Keep the last ``keep`` rows of a table stored without groups: ranges before
+    the cut go unread, the one at the cut is rewritten, later ones stay as they are.
+    Returns how many rows went."""
+    sinks.finish_rewrite(spark, f"{base}/data")
+    _, order, group = layout(spark, base)
+    idx = index(spark, base)
+    cut = max((idx.agg(F.max("total")).first()[0] or 0) - max(keep, 0), 0)
+    if not cut:
+        return 0
+    gone = [r[0] for r in idx.where(F.col("before") < cut).select(RANGE).collect()]
+    edge = idx.where((F.col("before") < cut) & (F.col("before") + F.col("n") > cut)).first()
+    rows = data(spark, base, [edge[RANGE]] if edge else [])
+    if edge:        # the rows of one range
+        place = F.row_number().over(Window.partitionBy(RANGE).orderBy(*order))
+        rows = rows.withColumn("_k", place).where(F.col("_k") > cut - edge.before).drop("_k") \
+            .sortWithinPartitions(RANGE, *order)
+    sinks.replace_partitions(rows, f"{base}/data", RANGE, gone)
+    kept = idx.where(~F.col(RANGE).isin(gone)).select(RANGE, "board", "n", "first")
+    _write_index(kept.unionByName(_counted(data(spark, base, gone), order, group)), base)
+    return cut
+
+
 def locate(spark: SparkSession, base: str, rows: DataFrame) -> DataFrame:
     """``rows`` with the range they belong to: that of the last range whose first
     row is not after them (the first range for rows before all).

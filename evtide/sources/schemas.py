@@ -76,15 +76,16 @@ REPORT = T.StructType([
     T.StructField("page", T.StringType(), True),
 ])
 
-# Keyed structures: sets, sorted sets (boards), lists, logs.
+# Keyed structures: sets, sorted sets (boards), lists, logs. A null key, member
+# or score is a value of its own.
 KEYED_SET = T.StructType([
-    T.StructField("key", T.StringType(), False),
-    T.StructField("member", T.StringType(), False),
+    T.StructField("key", T.StringType(), True),
+    T.StructField("member", T.StringType(), True),
 ])
 BOARD = T.StructType([
-    T.StructField("board", T.StringType(), False),
-    T.StructField("member", T.StringType(), False),
-    T.StructField("score", T.DoubleType(), False),
+    T.StructField("board", T.StringType(), True),
+    T.StructField("member", T.StringType(), True),
+    T.StructField("score", T.DoubleType(), True),
 ])
 LOG = T.StructType([
     T.StructField("id", T.LongType(), False),

@@ -10,6 +10,7 @@ instead of duplicating it.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import logging
 from contextlib import contextmanager
 
@@ -23,7 +24,7 @@ from evtide.functions.timefn import parse_ts, ts, utcnow
 from evtide.operators import deltas, mutations, rollup
 from evtide.operators.keyed import ordered_positions
 from evtide.session import checkpoint_dir, delete_path, hadoop_path, path_exists
-from evtide.sources import schemas, sinks
+from evtide.sources import ranges, schemas, sinks
 
 log = logging.getLogger("evtide.streams")
 
@@ -401,6 +402,57 @@ def log_read_after(log: DataFrame, position: int, count: int = 10) -> DataFrame:
     return log_range(log, start=position + 1, count=count)
 
 
+LOG_ORDER = ["id", "tie"]
+
+
+def store_log(log: DataFrame, base: str, num_ranges: int | None = None) -> None:
+    """Keep a log (id, fields) in ranges of ids with a position index
+    (``sources.ranges``); entries of one id are in the order of their fields."""
+    ranges.write(log.withColumn("tie", F.to_json("fields")), base, LOG_ORDER,
+                 ranges=num_ranges)
+
+
+def log_trim_in_place(spark: SparkSession, base: str, maxlen: int) -> int:
+    """Bound a stored log to its newest ``maxlen`` entries (T11): whole ranges of
+    ids go, the one at the cut is rewritten. Returns how many entries went."""
+    return ranges.trim(spark, base, maxlen)
+
+
+def _position(spark: SparkSession, name: str, batch_id: int) -> dict | None:
+    path = f"{query_checkpoint(spark, name)}-positions/{batch_id}"
+    return json.loads(sinks.read_note(spark, path)) if path_exists(spark, path) else None
+
+
+def follow_log(spark: SparkSession, base: str, name: str, handler, count: int = 10,
+               every: str = "0 seconds") -> StreamingQuery:
+    """Read a stored log on from the last position (T9), ``count`` entries a
+    call, in order: a clock stream ticks, each tick hands the next entries to
+    ``handler(entries, batch_id)`` if there are any. The position, the key of the last
+    entry, is noted per batch before the handler is called, so a batch that is replayed
+    gets the very same entries, and a consumer that was stopped goes on where it was.
+    A call reads the index and the ranges that hold its entries. Trimming the log
+    or adding to it moves no position."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def run(_tick: DataFrame, batch_id: int) -> None:
+        note = _position(spark, name, batch_id)
+        if note is None:
+            before = _position(spark, name, batch_id - 1) if batch_id else None
+            start = before["upto"] if before else None
+            ends = ranges.after(spark, base, start, count).agg(
+                F.max(F.struct(*LOG_ORDER)).alias("last"), F.count(F.lit(1)).alias("n")).first()
+            note = {"after": start, "upto": list(ends.last) if ends.n else start, "n": ends.n}
+            sinks.write_note(spark, f"{query_checkpoint(spark, name)}-positions/{batch_id}", note)
+            if batch_id > 1:
+                delete_path(spark, f"{query_checkpoint(spark, name)}-positions/{batch_id - 2}")
+        if note["n"]:
+            handler(ranges.after(spark, base, note["after"], note["n"]).drop("tie"), batch_id)
+
+    return (clock.writeStream.foreachBatch(run)
+            .option("checkpointLocation", query_checkpoint(spark, name))
+            .trigger(processingTime=every).start())
+
+
 def consume(source: DataFrame, name: str, handler, available_now: bool = False,
             every: str | None = None) -> StreamingQuery:
     """An independent consumer of a log (T10): its own checkpoint is its

@@ -94,3 +94,74 @@ def test_rollup_aggregates_before_joining_names(spark):
     assert "partial_count(distinct user_id" in p
     join = p.index("BroadcastHashJoin")
     assert "HashAggregate" in p[join:]
+
+
+def scanned_rows(df) -> int:
+    """Rows that the scans of an executed plan gave out."""
+    df.collect()
+
+    def walk(node):
+        if "AdaptiveSparkPlan" in node.nodeName():
+            return walk(node.executedPlan())
+        own = (node.metrics().apply("numOutputRows").value()
+               if node.nodeName().startswith("Scan parquet") else 0)
+        kids = node.children()
+        return own + sum(walk(kids.apply(i)) for i in range(kids.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    from evtide.operators import reads
+    from evtide.sources import sinks
+    rows = spark.range(0, 40_000).selectExpr("id * 7919 % 40000 AS id", "'x' AS v")
+    path = str(tmp_path / "t")
+    # every file spans nearly all ids, so only the bloom filters can tell
+    sinks.with_id_filters(rows.repartition(16).write).parquet(path)
+    table = spark.read.parquet(path)
+    keys = spark.createDataFrame([(5,), (77,), (10 ** 9,), (5,), (None,)], "id long")
+    found = reads.lookup_few(table, keys)
+    assert sorted(r.id for r in found.collect()) == [5, 77]
+    assert scanned_rows(found) <= 40_000 * 5 // 16
+    assert scanned_rows(table.where("id >= 0")) == 40_000
+    many = spark.range(0, 1000)
+    assert reads.lookup_few(table, many).count() == 1000
+    assert reads.lookup_few(table, keys.limit(0)).collect() == []
+
+
+def test_a_stored_variant_is_not_parsed_again(spark):
+    p = plan(spark, "numeric_sessions")
+    assert "parse_json" not in p.lower() and "variant_get" in p.lower()
+
+
+def test_names_in_the_order_of_a_collation(spark):
+    from evtide.operators import reads
+    names = ["b", "A", "a", "C", "B", "ä"]
+    users = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)],
+                                  "id long, name string, created_at timestamp_ntz")
+    order = [r.name for r in reads.users_by_name(users, "UNICODE").collect()]
+    assert order == ["a", "A", "ä", "b", "B", "C"]
+    for deep in (False, True):
+        got = reads.users_page(users, 3, 1, deep, collation="UNICODE").collect()
+        assert [r.name for r in got] == order[1:4] and got[0].asDict().keys() == {
+            "id", "name", "created_at"}
+    page, cursor = [], None
+    while True:
+        got = reads.users_cursor(users, cursor, 2, collation="UNICODE").collect()
+        page += [r.name for r in got]
+        cursor = got[-1].next_name if got else None
+        if cursor is None:
+            break
+    assert page == order
+
+
+@pytest.mark.parametrize("name", ["leaderboard_top", "recent_activity"])
+def test_no_rows_have_the_same_types(spark, name):
+    from evtide.operators import keyed, reads
+    from evtide.plans.q_keyed import type_boards
+    from evtide.plans.registry import _t
+    if name == "leaderboard_top":
+        b = type_boards(spark, SF)
+        assert keyed.top(b, 0).dtypes == keyed.top(b, 1).dtypes
+    else:
+        e = _t(spark, SF).events
+        assert reads.latest_per_user(e, 0).dtypes == reads.latest_per_user(e, 1).dtypes

@@ -118,3 +118,44 @@ def test_a_broken_off_change_is_mended_by_counting_anew(spark, monkeypatch):
     total = ranges.index(spark, base).agg(F.sum("n")).first()[0]
     assert total == ranges.data(spark, base).count() == df.where(
         "member is null or member <> 'm1'").count()
+
+
+def test_trim_drops_whole_ranges_and_rewrites_one(spark):
+    import os
+    rows = [(i // 3, f"t{i:03d}", i) for i in range(100)]           # ids repeat
+    base = scratch_path(spark, "log")
+    df = spark.createDataFrame(rows, "id long, tie string, v int")
+    ranges.write(df, base, ["id", "tie"], ranges=8)
+    root = f"{base}/data".removeprefix("file:")
+
+    def files():
+        return {d: sorted(os.listdir(f"{root}/{d}")) for d in os.listdir(root)
+                if d.startswith("range=")}
+    for keep in (200, 100, 61, 60, 7, 0):
+        old = files()
+        size = ranges.data(spark, base).count()
+        assert ranges.trim(spark, base, keep) == max(size - keep, 0)
+        assert sorted(r.v for r in ranges.data(spark, base).collect()) == list(
+            range(100 - min(keep, 100), 100))
+        new = files()
+        assert sum(old[d] != new[d] for d in new) <= 1
+        total = ranges.index(spark, base).agg(F.sum("n"), F.max("total")).first()
+        assert total[0] == total[1] == (keep if keep < 100 else 100) or keep == 0
+    assert ranges.after(spark, base, None, 5).collect() == []
+
+
+def test_rows_behind_a_key(spark):
+    rows = [(i // 3, None if i % 5 == 0 else f"t{i:03d}", i) for i in range(60)]
+    base = scratch_path(spark, "log")
+    ranges.write(spark.createDataFrame(rows, "id long, tie string, v int"), base, ["id", "tie"],
+                 ranges=6)
+    rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    at = None
+    for count in (1, 4, 4, 30, 10, 10, 10):
+        want = rows[:count]
+        df = ranges.after(spark, base, at, count)
+        assert [tuple(r) for r in df.collect()] == want
+        at = want[-1][:2] if want else at
+        rows = rows[count:]
+    few = ranges.after(spark, base, (3, "t010"), 2)
+    assert len([f for f in few.inputFiles() if "/range=" in f]) <= 2

@@ -278,6 +278,40 @@ def test_dedup_reads_a_constant_number_of_rows_a_batch(spark, tmp_path):
     assert sorted(r.id for r in kept.collect()) == list(range(10 * (n - 1) + 20))
 
 
+def test_a_log_is_followed_by_position(spark):
+    import time
+    from evtide.session import scratch_path
+    log = spark.createDataFrame([(i // 2, {"k": str(i)}) for i in range(25)],
+                                "id long, fields map<string,string>")
+    base, name = scratch_path(spark, "log"), f"follow-{RUN}"
+    streams.store_log(log, base, 4)
+    calls = {}
+
+    def handle(entries, batch_id):
+        got = [int(r.fields["k"]) for r in entries.collect()]
+        if batch_id == 1 and 1 not in calls:
+            calls[1] = got
+            raise RuntimeError("the handler fails after it was called")
+        assert calls.get(batch_id, got) == got          # a replay gets the same entries
+        calls[batch_id] = got
+
+    def until(n):
+        query = streams.follow_log(spark, base, name, handle, count=7)
+        for _ in range(240):
+            if sum(map(len, calls.values())) >= n or not query.isActive:
+                break
+            time.sleep(0.25)
+        query.stop()
+    until(25)                                           # ends with the failure
+    until(14)
+    streams.log_trim_in_place(spark, base, 20)          # of entries that are read already
+    until(25)
+    order = [k for b in sorted(calls) for k in calls[b]]
+    assert sorted(order) == list(range(25))
+    assert [k // 2 for k in order] == sorted(k // 2 for k in order)
+    assert max(map(len, calls.values())) == 7
+
+
 def test_failed_refresh_keeps_ticking(spark, tmp_path):
     calls = []
 
