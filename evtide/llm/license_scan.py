@@ -26,12 +26,14 @@ template's own must be among them (``license_names``): "CC BY-SA 4.0" is no
 cc-by, "GNU General Public License" no lgpl.
 
 The templates are a parameter of the job, a few hundred words held by every
-task; texts stay where they are read, and only the word counts (one row per
-template word and batch) are shuffled.
+task (or a table of whole texts, ``templates_of``); texts stay where they are read,
+and only the word counts (one row per template word and batch) are shuffled. Tags
+that name a license outright (``TAGS``: SPDX identifiers, addresses) take part in the
+join with all their words, and must stand word by word to count.
 
 Defined results: a null or empty text has no words and no label. Rows are
-judged one by one; an empty table gives no rows. Overlapping blocks of a very
-long line bound the work per block, not the text.
+judged one by one; an empty table gives no rows. A text of any length is one row of
+words, over which blocks slide word by word.
 """
 
 from __future__ import annotations
@@ -91,8 +93,54 @@ SIBLINGS = (
     ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero "
              "General Public License as published by the Free Software Foundation"),
 )
+# More public notices and clauses.
+NOTICES = (
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of "
+            "conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list "
+            "of conditions and the following disclaimer in the documentation and/or other "
+            "materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be "
+            "used to endorse or promote products derived from this software without specific "
+            "prior written permission"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY "
+            "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+            "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose "
+            "with or without fee is hereby granted, provided that the above copyright notice and "
+            "this permission notice appear in all copies"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the Software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("epl", "This program and the accompanying materials are made available under the terms of "
+            "the Eclipse Public License"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no "
+             "event will the authors be held liable for any damages arising from the use of "
+             "this software"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related "
+            "or neighboring rights to this work"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the "
+             "terms of the GNU Lesser General Public License"),
+)
+# License identifiers of SPDX and their labels, and the Creative Commons licenses by
+# the path of their address.
+SPDX = {"mit": ("MIT",), "apache": ("Apache-2.0",), "gpl": ("GPL-2.0", "GPL-3.0"),
+        "lgpl": ("LGPL-2.1", "LGPL-3.0"), "agpl": ("AGPL-3.0",),
+        "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "mpl": ("MPL-2.0",), "isc": ("ISC",),
+        "epl": ("EPL-1.0", "EPL-2.0"), "unlicense": ("Unlicense",), "zlib": ("Zlib",),
+        "cc0": ("CC0-1.0",)}
+_CC_PATHS = ("by", "by-nc", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd")
+_CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+# Marks that name a license outright: their words must stand in a row.
+TAGS = (
+    *((label, f"SPDX-License-Identifier: {i}") for label, ids in SPDX.items() for i in ids),
+    *((f"cc-{p}", f"SPDX-License-Identifier: CC-{p}-{v}") for p in _CC_PATHS for v in _CC_VERSIONS),
+    *((f"cc-{p}", f"creativecommons.org/licenses/{p}/{v}")
+      for p in _CC_PATHS for v in _CC_VERSIONS),
+    ("cc0", "creativecommons.org/publicdomain/zero/1.0"),
+)
 # Words without which a passage is not the license whose template holds them.
-KEY_WORDS = frozenset(("mit", "apache", "mozilla"))
+KEY_WORDS = frozenset(("mit", "apache", "mozilla", "eclipse", "unencumbered"))
 # Words that make a Creative Commons or GNU license another one.
 _CC_MARKS = {("nc",): "nc", ("noncommercial",): "nc", ("non", "commercial"): "nc",
              ("sa",): "sa", ("sharealike",): "sa", ("share", "alike"): "sa",
@@ -173,6 +221,7 @@ class _Template:
     order: tuple[str, ...]      # distinct words, rarest first
     need: int
     words: int                  # with repeats
+    exact: tuple[str, ...]      # a tag's words, which must stand in a row
     keys: frozenset[str]        # words that a passage must hold
     names: frozenset[tuple[str, frozenset[str]]]    # family and marks it names
 
@@ -207,18 +256,19 @@ class Named:
 class Joiner:
     """The template side of the join: prefix index over globally ordered words."""
 
-    def __init__(self, templates, threshold: float, counts: dict[str, int]):
+    def __init__(self, templates, threshold: float, counts: dict[str, int], tags=()):
         self.rank = {w: k for k, w in enumerate(
-            sorted(vocabulary(templates), key=lambda w: (counts.get(w, 0), w)))}
+            sorted(vocabulary([*templates, *tags]), key=lambda w: (counts.get(w, 0), w)))}
         self.templates = []
         self.index: dict[str, list[tuple[int, int]]] = {}
-        for label, text in templates:
+        for k, (label, text) in enumerate([*templates, *tags]):
             order = tuple(sorted(set(words_of(text)), key=self.rank.__getitem__))
-            need = max(1, math.ceil(threshold * len(order) - 1e-9))
+            exact = tuple(words_of(text)) if k >= len(templates) else ()
+            need = len(order) if exact else max(1, math.ceil(threshold * len(order) - 1e-9))
             for i, w in enumerate(order[:len(order) - need + 1]):
                 self.index.setdefault(w, []).append((len(self.templates), i))
             self.templates.append(_Template(
-                label, order, need, len(words_of(text)), KEY_WORDS.intersection(order),
+                label, order, need, len(words_of(text)), exact, KEY_WORDS.intersection(order),
                 frozenset(n[2:] for n in license_names(words_of(text)))))
         self.prefix = frozenset(self.index)
         self.least = min(t.need for t in self.templates) if self.templates else 0
@@ -251,10 +301,14 @@ class Joiner:
         near = self.block(frozenset(n_words))
         if not near:
             return []
+        tags = [k for k in near if self.templates[k].exact]
+        found = [(at, len(self.templates[k].exact), k, 1.0) for k in tags
+                 for at, _ in phrase_places(n_words, [(" ".join(self.templates[k].exact), k)])]
+        near = [k for k in near if not self.templates[k].exact]
         wanted = frozenset().union(*(self.templates[k].order for k in near))
         places = [(i, w) for i, w in enumerate(n_words) if w in wanted]
         names = (license_names(n_words) if any(self.templates[k].names for k in near) else [])
-        return sorted(m for k in near for m in self.slide(k, places, size, names))
+        return sorted(found + [m for k in near for m in self.slide(k, places, size, names)])
 
     def slide(self, k: int, places: list[tuple[int, str]], size: int, names):
         """The passages of template ``k``: the block ends at each of its words."""
@@ -289,6 +343,24 @@ class Joiner:
             yield best
 
 
+    def passages(self, n_words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, words, label, containment): of passages of one label that
+        overlap, the one with the greatest containment, then the first."""
+        out: list[tuple[int, int, str, float]] = []
+        last: dict[str, tuple[int, int]] = {}       # label: its place in out, the end so far
+        for start, size, k, share in self.document(n_words):
+            label = self.templates[k].label
+            at, end = last.get(label, (-1, -1))
+            if start < end:
+                if share > out[at][3]:
+                    out[at] = (start, size, label, share)
+                last[label] = (at, max(end, start + size))
+            else:
+                last[label] = (len(out), start + size)
+                out.append((start, size, label, share))
+        return sorted(out)
+
+
 def phrase_places(words: list[str], phrases) -> list[tuple[int, str]]:
     """(first word, label) wherever a phrase's words stand in a row."""
     out = []
@@ -306,13 +378,23 @@ def phrase_places(words: list[str], phrases) -> list[tuple[int, str]]:
     return out
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES + SIBLINGS, phrases=PHRASES,
-                  threshold: float = THRESHOLD) -> DataFrame:
+def templates_of(table: DataFrame, most: int = 5_000) -> tuple[tuple[str, str], ...]:
+    """Templates of a table (label, text), whole license texts say; every task
+    holds them, so a table of more than ``most`` rows is refused. Rows without
+    a label or a word are passed over."""
+    rows = table.select("label", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    return tuple((r.label, r.text) for r in rows if r.label is not None and words_of(r.text))
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES + SIBLINGS + NOTICES, phrases=PHRASES,
+                  threshold: float = THRESHOLD, tags=TAGS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels (sorted, comma-joined), score (1 where a
     phrase stands, else the largest containment of a match, else 0) and blocks
     (first word, words, label, containment of every matching passage)."""
-    joiner = Joiner(templates, threshold, word_counts(docs, templates))
+    joiner = Joiner(templates, threshold, word_counts(docs, [*templates, *tags]), tags)
     block = pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("label", pa.string()),
                        ("containment", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()),
@@ -325,16 +407,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES + SIBLINGS, phrases=PHRAS
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = words_of(text)
             base = phrase_places(words, phrases)
-            found = joiner.document(words)
+            found = joiner.passages(words)
             kinds = {label for _, label in base}
-            more = kinds | {joiner.templates[t].label for _, _, t, _ in found}
+            more = kinds | {label for _, _, label, _ in found}
             rows.append((doc_id, len(words), len(base),
                          min((s for s, _ in base), default=None),
                          max((s for s, _ in base), default=None),
                          ",".join(sorted(kinds)), ",".join(sorted(more)),
                          1.0 if base else max((c for *_, c in found), default=0.0),
-                         [{"first_word": s, "words": n, "label": joiner.templates[t].label,
-                           "containment": c} for s, n, t, c in found]))
+                         [{"first_word": s, "words": n, "label": label, "containment": c}
+                          for s, n, label, c in found]))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     return map_batches(

@@ -1,4 +1,8 @@
+import random
 import re
+import textwrap
+
+import pytest
 
 from fixtures import ODD_TEXTS, SF, docs, empty, rows
 
@@ -269,3 +273,58 @@ def test_long_templates_match_at_any_place(spark):
     got = ls.scan_licenses(docs(spark, data), templates).collect()
     assert {(r.doc_id, r.labels, r.score) for r in got} == {
         (i, "long" if i < 1000 else "eighty", 1.0) for i, _ in data}
+
+
+NOTICED = {**{text: label for label, text in ls.NOTICES},
+           **{text: label for label, text in ls.TEMPLATES}}
+
+
+@pytest.mark.parametrize("width", [30, 60, 76])
+def test_every_notice_is_found_however_it_is_wrapped(spark, width):
+    data = []
+    for k, text in enumerate(NOTICED):
+        wrapped = "\n * ".join(textwrap.wrap(text, width))
+        data.append((k, f"/* some file\n * {wrapped}\n */ int main() {{ return {k}; }}"))
+    got = {r.doc_id: r for r in ls.scan_licenses(docs(spark, data)).collect()}
+    for k, label in enumerate(NOTICED.values()):
+        # beside the phrases of the contract, which a lgpl notice holds too
+        own = set(got[k].labels.split(",")) - (set(got[k].base_labels.split(",")) - {label})
+        assert own == {label}, (label, got[k])
+
+
+def test_identifiers_and_addresses(spark):
+    cases = [("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: ISC\n", "isc"),
+             ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl"),
+             ("# spdx-license-identifier: LGPL-2.1-only", "lgpl"),
+             ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc-sa"),
+             ("see https://creativecommons.org/licenses/by-sa/3.0/ for it", "cc-by-sa"),
+             ("http://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+             ("SPDX-License-Identifier: EPL-2.0 OR Apache-2.0", "epl"),
+             ("identifier of the license: SPDX is not MIT", ""),
+             ("creativecommons org licenses are by nc and 4 0 in no order", "")]
+    got = {r.doc_id: r for r in ls.scan_licenses(docs(spark, [
+        (i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [want for _, want in cases]
+    assert got[0].blocks[0].words == 4 and got[0].score == 1.0 and got[0].n_base == 0
+
+
+def test_templates_from_a_table(spark):
+    # whole texts, far longer than a block, with their labels
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    texts = {f"license-{k}": " ".join(rng.sample(words, 400)) for k in range(10)}
+    table_ = spark.createDataFrame([*texts.items(), (None, "x"), ("none", None), ("empty", " ")],
+                                   "label string, text string")
+    templates = ls.templates_of(table_)
+    assert dict(templates) == texts
+    with pytest.raises(ValueError):
+        ls.templates_of(table_, most=5)
+    data = []
+    for k, text in enumerate(texts.values()):
+        w = text.split()
+        for i in rng.sample(range(400), 40):        # a tenth of the words are others
+            w[i] = "other"
+        data.append((k, "before it\n" + "\n".join(textwrap.wrap(" ".join(w), 70)) + "\nafter"))
+    data.append((99, " ".join(words[:300])))
+    got = {r.doc_id: r.labels for r in ls.scan_licenses(docs(spark, data), templates).collect()}
+    assert got == {**{k: f"license-{k}" for k in range(10)}, 99: ""}
