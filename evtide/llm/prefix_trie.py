@@ -19,8 +19,9 @@ sequence is then aggregated by prefix:
   from some depth on, so its part is a difference of two running word counts.
 
 Rows without a conv_id belong to no conversation. A null turn comes first, rows
-of one turn go by their hash; null role or text is empty. Repeated rows are
-turns of their own. No conversation, no node, not even the root.
+of one turn go by the SHA-256 of their role's length, role and text; null role or
+text is empty. Repeated rows are turns of their own. No conversation, no node,
+not even the root.
 """
 
 from __future__ import annotations
@@ -76,8 +77,8 @@ def rebuild(turns: DataFrame) -> DataFrame:
     # equal rows may take any order, so a number of their own may spread them
     numbered = materialise(running(
         turns.withColumn("tie", F.monotonically_increasing_id()), ["conv_id"],
-        [F.col("turn").asc_nulls_first(), F.col("a").asc(), F.col("b").asc(),
-         F.col("tie").asc()], "pos").select("conv_id", "pos", "a", "b", "words"), "turns")
+        [F.col("turn").asc_nulls_first(), (F.col("a") < 0).asc(), F.col("a").asc(),
+         (F.col("b") < 0).asc(), F.col("b").asc(), F.col("tie").asc()], "pos").select("conv_id", "pos", "a", "b", "words"), "turns")
     convs = numbered.where("pos = 0").select("conv_id")
     is_base = F.col("conv_id") % BASE_EVERY == 0
     heads = numbered.where(is_base & (F.col("pos") < HEADS - 1)).withColumnRenamed(

@@ -177,7 +177,8 @@ WITH ids AS (
   FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
 turns AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+           length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 rebuilt AS (
   SELECT i.conv_id, role, text, 0 AS part, pos FROM ids i JOIN turns t ON t.conv_id = i.base
