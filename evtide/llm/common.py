@@ -59,7 +59,7 @@ def recorded() -> Iterator[list[DataFrame]]:
 
 
 #: Largest Arrow batch that a task hands to Python; whole texts count.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
