@@ -338,3 +338,14 @@ def q_numeric_sessions(spark, sf_dir):
     return e.groupBy(F.col("event_date").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("events"),
         F.countDistinct(at_path("$.session_id", "bigint")).alias("sessions"))
+
+
+@register("users_page_collated", sql("""
+SELECT id, name, created_at FROM (
+  SELECT id, CASE WHEN id % 2 = 0 THEN upper(name) ELSE name END AS name, created_at FROM c_users)
+ORDER BY lower(name), id LIMIT 60 OFFSET 20"""))
+def q_users_page_collated(spark, sf_dir):
+    """Users by name without regard to case."""
+    users = _t(spark, sf_dir).users.withColumn(
+        "name", F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.col("name")))
+    return reads.users_page(users, 60, 20, collation="UTF8_LCASE")

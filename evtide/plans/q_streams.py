@@ -195,6 +195,17 @@ def q_log_trim_repeats(spark, sf_dir):
         "id", F.col("fields")["order"].cast("long").alias("user_id"))
 
 
+@register("log_trim_approx", sql("""
+SELECT TRUE AS enough, TRUE AS close, max(id) AS last_id FROM c_events"""))
+def q_log_trim_approx(spark, sf_dir):
+    """The approximate trim (T11): at least as many as asked for, one in a hundred
+    more at most, and the newest of all."""
+    log = streams.log_from_events(_t(spark, sf_dir).events)
+    n = F.count(F.lit(1))
+    return streams.log_trim_approx(log, 500).agg(
+        (n >= 500).alias("enough"), (n <= 505).alias("close"), F.max("id").alias("last_id"))
+
+
 @register("log_trim_in_place", sql("""
 SELECT id, user_id FROM (
   SELECT o_custkey AS id, o_orderkey AS user_id, row_number() OVER (

@@ -35,8 +35,16 @@ def stored_form(events: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A day-partitioned events table in the canonical columns."""
-    return spark.read.parquet(path).select(*schemas.EVENTS.fieldNames())
+    """A day-partitioned events table in the canonical columns. Days that a rewrite
+    under way has emptied are left out, whether or not it has removed them yet."""
+    rows = spark.read.parquet(path)
+    note = f"{path.rstrip('/')}/{PENDING}"
+    if path_exists(spark, note):
+        gone = json.loads(_read_note(spark, note))
+        if gone["emptied"]:
+            rows = rows.where(~F.col(gone["part_col"]).cast("string").isin(
+                [n.partition("=")[2] for n in gone["emptied"]]))
+    return rows.select(*schemas.EVENTS.fieldNames())
 
 
 def with_id_filters(writer, column: str = "id", distinct: int = 5_000_000):

@@ -300,6 +300,22 @@ def test_broken_rewrite_is_carried_to_its_end(spark, monkeypatch):
     assert [r.id for r in sinks.read_events(spark, path).collect()] == [2]
 
 
+def test_readers_do_not_see_emptied_days(spark, monkeypatch):
+    """Between the overwrite and the removal of a day that lost all its rows."""
+    from evtide.session import scratch_path
+    from evtide.sources import sinks
+    path = scratch_path(spark, "t-fault")
+    sinks.append_events(ev(spark, [(1, 1, 1, None, T0), (2, 1, 1, None, T0 + dt.timedelta(days=1))]),
+                        path)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "delete_path", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            mutations.delete_events_in_place(path, spark.createDataFrame([(1,)], "id long"))
+    assert [r.id for r in sinks.read_events(spark, path).collect()] == [2]
+    sinks.finish_rewrite(spark, path)
+    assert [r.id for r in sinks.read_events(spark, path).collect()] == [2]
+
+
 def test_failure_before_the_note_changes_nothing(spark, monkeypatch):
     from evtide.session import scratch_path
     from evtide.sources import sinks
