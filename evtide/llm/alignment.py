@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from evtide.llm.common import WordCache, map_batches, materialise
 
 #: Text bytes of a block, at least one document.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: A tokens of a stretch.
 STRETCH = 512
 #: Characters handed to the tokenizers at once.
 ENCODE_CHARS = 1 << 20
 #: Words a worker keeps in each of two generations, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: A space alone between two characters that are neither white space nor B's
 #: mark of a space: no token of A or B reaches over its left edge, so the words
 #: between such spaces are encoded one by one, and once.
