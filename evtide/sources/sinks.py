@@ -47,13 +47,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*schemas.EVENTS.fieldNames())
 
 
-def with_id_filters(writer, column: str = "id", distinct: int = 5_000_000):
+def with_id_filters(writer, column: str = "id"):
     """A Parquet writer that leaves a bloom filter on ``column`` in every row
     group (S4): a lookup by id then opens the row groups that can hold it, as it
-    would find its place in an index. About 10 bits an id."""
+    would find its place in an index. About 10 bits an id, up to 1 MB: filters are
+    sized by the ids that came (halvings of 1 MB, down to 64 bytes). An expected
+    number of ids would fix the size and give a file of a few rows 1 MB as well."""
     return (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-            .option(f"parquet.bloom.filter.expected.ndv#{column}", distinct)
-            .option("parquet.bloom.filter.adaptive.enabled", "true"))
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.bloom.filter.candidates.number", 15))
 
 
 def append_events(events: DataFrame, path: str, max_records_per_file: int = 5_000_000,
@@ -75,7 +77,7 @@ def append_events(events: DataFrame, path: str, max_records_per_file: int = 5_00
     rows = with_hot_columns(ranged)
     rows = with_variant(rows) if variant else rows
     rows = rows.sortWithinPartitions("event_date", "user_id", "timestamp")
-    (with_id_filters(rows.write.mode("append"), distinct=max_records_per_file)
+    (with_id_filters(rows.write.mode("append"))
      .partitionBy("event_date").option("maxRecordsPerFile", max_records_per_file).parquet(path))
 
 
