@@ -55,7 +55,7 @@ def with_id_filters(writer, column: str = "id"):
     number of ids would fix the size and give a file of a few rows 1 MB as well."""
     return (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .option("parquet.bloom.filter.candidates.number", 15))
+            .option(f"parquet.bloom.filter.candidates.number#{column}", 15))
 
 
 def append_events(events: DataFrame, path: str, max_records_per_file: int = 5_000_000,
