@@ -13,7 +13,7 @@ from evtide.plans.q_mutations import (
 )
 from evtide.plans.q_report import ROLLUP_SQL
 from evtide.plans.registry import AS_OF, ORACLES, register, _t
-from evtide.session import scratch_path
+from evtide.session import file_state, scratch_path
 from evtide.sources import ranges, schemas, sinks
 from evtide.sources.driver_tables import read_driver
 from evtide.streaming import streams
@@ -283,34 +283,40 @@ def q_log_delete(spark, sf_dir):
     return streams.log_delete(log, ids).select("id")
 
 
-def _events_in_time_order(spark, sf_dir, slices: int = 4) -> tuple[str, int]:
+def _events_in_time_order(spark, sf_dir, slices: int = 4) -> tuple[str, int, int]:
     """Write the canonical events as ``slices`` time ranges, oldest first, and a
     marker event (user -1, type 0) a year after the data, which moves the
     watermark past every real window and session; its own stay open, so it is
-    never output. Files of one range arrive in any order: returns the folder
-    and the longest range in seconds, the delay that the watermark must allow."""
+    never output. Files of one range arrive in any order: returns the folder,
+    the longest range in seconds, the delay that the watermark must allow, and the
+    most files of a range."""
     path = scratch_path(spark, "events-ordered")
     ev = _t(spark, sf_dir).events
     secs = F.unix_micros(F.col("timestamp").cast("timestamp"))
     span = ev.agg(F.min(secs).alias("a"), F.max(secs).alias("b")).first()
     step = (span.b - span.a) // slices + 1 if span.a is not None else 1
+    written = [0]
     for k in range(slices if span.a is not None else 0):
         lo = span.a + k * step
         ev.filter((secs >= F.lit(lo)) & (secs < F.lit(lo + step))).write.mode("append").parquet(
             path)
+        written.append(sum(f[0].endswith(".parquet") for f in file_state(spark, path)))
     (ev.agg(F.max("timestamp").alias("m"))
      .select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
              F.lit(0).alias("event_type_id"), F.lit('{"page":"end"}').alias("metadata"),
              (F.col("m") + F.expr("INTERVAL 365 DAYS")).alias("timestamp"))
      .write.mode("append").parquet(path))
-    return path, step // 1_000_000 + 1
+    most = max((b - a for a, b in zip(written, written[1:])), default=0)
+    return path, step // 1_000_000 + 1, most
 
 
 def _run_ordered(spark, sf_dir, make, name: str):
-    """``make(stream, watermark)`` run to completion in append mode."""
-    src, delay = _events_in_time_order(spark, sf_dir)
+    """``make(stream, watermark)`` run to completion in append mode. A batch takes
+    as many files as a time range has: each one starts, commits and checks every
+    state partition, so their number must not grow with the files."""
+    src, delay, files = _events_in_time_order(spark, sf_dir)
     out = scratch_path(spark, name)
-    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=2)
+    stream = streams.parquet_stream(spark, src, schemas.EVENTS, max_files=max(2, files))
     streams.append_stream(make(stream, f"{delay} seconds"), out, _named(out),
                           available_now=True).awaitTermination()
     return spark.read.parquet(out)
