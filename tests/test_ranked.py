@@ -159,3 +159,24 @@ def test_rows_behind_a_key(spark):
         rows = rows[count:]
     few = ranges.after(spark, base, (3, "t010"), 2)
     assert len([f for f in few.inputFiles() if "/range=" in f]) <= 2
+
+
+def test_pages_by_their_ends(spark):
+    rows = [(None if i < 4 else i // 3, None if i % 5 == 0 else f"t{i:03d}", i) for i in range(60)]
+    base = scratch_path(spark, "log")
+    ranges.write(spark.createDataFrame(rows, "id long, tie string, v int"), base, ["id", "tie"],
+                 ranges=6)
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    known = ranges.fences(spark, base)
+    assert sum(r.n for r in known) == 60 and len(known) == 6
+    for at, count, pages in ((None, 3, 4), (rows[1][:2], 7, 3), (rows[49][:2], 4, 9),
+                             (rows[59][:2], 4, 2)):
+        left = [r for r in rows if at is None or rows.index(r) > [x[:2] for x in rows].index(at)]
+        cut = [left[k:k + count] for k in range(0, len(left), count)][:pages]
+        ends = ranges.ends(spark, base, at, count, pages, known)
+        assert ends == [(list(c[-1][:2]), len(c)) for c in cut]
+        for want, (last, _) in zip(cut, ends):
+            page = ranges.between(spark, base, at, last)
+            assert [tuple(r) for r in page.collect()] == want
+            assert len([f for f in page.inputFiles() if "/range=" in f]) <= 2
+            at = last

@@ -380,3 +380,70 @@ def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
                            conf=SimpleNamespace(get=lambda name, default=None: default))
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(fake)
+
+
+def _driver_dir(spark, tmp_path, rows):
+    """A folder with the driver's events (event_id, user_id, event_type, ts, props)."""
+    d = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, "
+                          "ts timestamp_ntz, props string").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(1, "c")], "c_custkey long, c_name string").write.parquet(
+        f"{d}/customer.parquet")
+    return d
+
+
+def test_log_stream_read_reads_the_whole_log(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+    from evtide.plans import q_streams
+    # looks a thousand times faster at the clock: no number of looks ends the reading
+    monkeypatch.setattr(q_streams, "time", SimpleNamespace(sleep=lambda s: time.sleep(0.001)))
+    # entries that are alike lie on both sides of the ends of the first and second call
+    ids = [*range(3985), *[3990] * 30, *range(4020, 7990), *[8000] * 50, *range(8001, 8300)]
+    rows = [(i, 5 if i % 9 else None, "click", T0, '{"k": 1}') for i in ids]
+    rows += [(None, 7, "view", T0, '{"k": 1}')] * 3
+    d = _driver_dir(spark, tmp_path, rows)
+    got = sorted(tuple(r) for r in q_streams.q_log_stream_read(spark, d).collect())
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = []
+    for k in range(0, len(ordered), 4000):
+        part = ordered[k:k + 4000]
+        known = [r[0] for r in part if r[0] is not None]
+        want.append((k // 4000, min(known), max(known), len(part), sum(r[1] or 0 for r in part)))
+    assert got == want and sum(r[3] for r in got) == len(rows) > 8000
+
+
+def test_log_stream_read_of_no_events_or_a_failed_consumer(spark, tmp_path, monkeypatch):
+    from evtide.plans import q_streams
+    assert q_streams.q_log_stream_read(
+        spark, _driver_dir(spark, tmp_path / "none", [])).collect() == []
+    d = _driver_dir(spark, tmp_path, [(1, 1, "click", T0, '{"k": 1}')])
+
+    def broken(*_):
+        raise ValueError("the entries cannot be read")
+    monkeypatch.setattr(streams.ranges, "between", broken)
+    with pytest.raises(RuntimeError, match="0 of 1 calls"):
+        q_streams.q_log_stream_read(spark, d)
+
+
+def test_entries_that_are_alike_are_all_read(spark):
+    from evtide.session import scratch_path
+    log = spark.createDataFrame([(i // 20, {"k": "same"}) for i in range(50)],
+                                "id long, fields map<string,string>")
+    base, name, calls = scratch_path(spark, "log"), f"alike-{RUN}", {}
+    streams.store_log(log, base, 4)
+    # a consumer begun on the clock of one row a second goes on with it
+    begun = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = streams.consume(begun, name, lambda b, i: None, available_now=True)
+    q.awaitTermination()
+
+    def handle(entries, batch_id):
+        assert entries.columns == ["id", "fields"]
+        calls[batch_id] = [r.id for r in entries.collect()]
+    query = streams.follow_log(spark, base, name, handle, count=7)
+    for _ in range(240):
+        if sum(map(len, calls.values())) >= 50 or not query.isActive:
+            break
+        time.sleep(0.25)
+    query.stop()
+    assert [i for b in sorted(calls) for i in calls[b]] == [i // 20 for i in range(50)]
+    assert [len(calls[b]) for b in sorted(calls)] == [7] * 7 + [1]
